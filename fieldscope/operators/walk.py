@@ -117,6 +117,8 @@ def nodes(u: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id", "unit"),
     )
     vname = ", vpath" if with_vpath else ""
     xk = kind_sql("x.value")
+    # The child's type is computed once in the inner select and reused by
+    # every flag in the outer one.
     sql = f"""
 WITH RECURSIVE w({kcols}, root_is_array, path, key, pos, v, depth, kind, has_obj, keyed, p1, p6, fst, arr_key, par_arr{vname})
 MAX RECURSION LEVEL {int(max_level)} AS (
@@ -127,17 +129,18 @@ MAX RECURSION LEVEL {int(max_level)} AS (
          CAST(NULL AS STRING), CAST(NULL AS STRING){vcol_a}
   FROM {view}
   UNION ALL
-  SELECT {wk}, w.root_is_array,
-         CASE WHEN x.key IS NULL THEN w.path WHEN w.path = '' THEN x.key ELSE concat(w.path, '.', x.key) END,
-         x.key, x.pos, x.value, w.depth + 1,
-         {xk}, {has_obj_sql('x.value')}, x.key IS NOT NULL,
-         w.p1 AND (w.kind = 'object' OR NOT w.keyed OR w.has_obj),
-         w.p6 AND (w.kind = 'object' OR (w.keyed AND ({xk}) = 'object')),
-         w.fst AND (w.kind = 'object' OR (x.pos = 0 AND ({xk}) = 'object')),
-         CASE WHEN w.kind = 'array' AND w.keyed AND ({xk}) = 'object' THEN w.key END,
-         CASE WHEN x.key IS NOT NULL THEN w.arr_key END{vcol_r}
-  FROM w, LATERAL variant_explode(w.v) x
-  WHERE w.kind IN ('object', 'array')
+  SELECT {", ".join("c.`" + k + "`" for k in keys)}, c.root_is_array,
+         CASE WHEN c.xkey IS NULL THEN c.path WHEN c.path = '' THEN c.xkey ELSE concat(c.path, '.', c.xkey) END,
+         c.xkey, c.xpos, c.xv, c.depth + 1,
+         c.xk, CASE WHEN c.xk = 'array' THEN {has_obj_sql('c.xv')} ELSE false END, c.xkey IS NOT NULL,
+         c.p1 AND (c.kind = 'object' OR NOT c.keyed OR c.has_obj),
+         c.p6 AND (c.kind = 'object' OR (c.keyed AND c.xk = 'object')),
+         c.fst AND (c.kind = 'object' OR (c.xpos = 0 AND c.xk = 'object')),
+         CASE WHEN c.kind = 'array' AND c.keyed AND c.xk = 'object' THEN c.key END,
+         CASE WHEN c.xkey IS NOT NULL THEN c.arr_key END{vcol_r.replace("x.key", "c.xkey").replace("x.pos", "c.xpos").replace("w.vpath", "c.vpath")}
+  FROM (SELECT w.*, x.key AS xkey, x.pos AS xpos, x.value AS xv, {xk} AS xk
+        FROM w, LATERAL variant_explode(w.v) x
+        WHERE w.kind IN ('object', 'array')) c
 )
 SELECT * FROM w
 """
@@ -147,3 +150,98 @@ SELECT * FROM w
 def field_paths(n: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Distinct field paths per key (a set; sort at the consumer)."""
     return n.where("keyed AND p1").select(*keys, "path").distinct()
+
+
+# ---------------------------------------------------------------------------
+# Level-chained walk (one pipelined stage, no per-level jobs)
+# ---------------------------------------------------------------------------
+
+# String literals (unrolled, possessive: no backtracking stack on long text).
+_JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def text_depth(content: str = "content") -> Column:
+    """Bracket nesting depth of JSON text, string literals ignored.
+
+    An upper bound of the expansion levels a document needs (a level more
+    than needed only when the deepest containers are empty).
+    """
+    brackets = F.regexp_replace(F.regexp_replace(F.col(content), _JSON_STRING, ""), r"[^\[\]{}]", "")
+
+    def step(a, x):
+        c = a["c"] + F.when(x.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(c.alias("c"), F.greatest(a["m"], c).alias("m"))
+
+    return F.aggregate(F.split(brackets, ""), F.struct(F.lit(0).alias("c"), F.lit(0).alias("m")), step, lambda a: a["m"])
+
+
+_SELF = "named_struct('s', true, 'k', CAST(NULL AS STRING), 'p', 0, 'val', CAST(NULL AS VARIANT))"
+_KIDS = (
+    "CASE WHEN kind = 'object' THEN transform(map_entries(try_variant_get(v, '$', 'map<string,variant>')), "
+    "(e, i) -> named_struct('s', false, 'k', e.key, 'p', i, 'val', e.value)) "
+    "ELSE transform(try_variant_get(v, '$', 'array<variant>'), "
+    "(e, i) -> named_struct('s', false, 'k', CAST(NULL AS STRING), 'p', i, 'val', e)) END"
+)
+
+
+def nodes_chain(u: DataFrame, levels: int, keys: list[str] | tuple[str, ...] = ("doc_id", "unit"),
+                with_vpath: bool = False) -> DataFrame:
+    """The same node table as ``nodes``, built as ``levels`` chained
+    generators in one pipelined stage.
+
+    Each level re-emits every row once (marked expanded) plus the children
+    of not-yet-expanded containers, so nothing is recomputed and no level
+    needs its own job. ``levels`` must be at least the nesting depth (see
+    ``text_depth``); rows still pending after the last level make the query
+    fail rather than return a partial walk.
+    """
+    keys = list(keys)
+    base = u.selectExpr(
+        *[f"`{k}`" for k in keys], "root_is_array", "'' AS path", "CAST(NULL AS STRING) AS key",
+        "CAST(coalesce(unit, 0) AS INT) AS pos", "v", "CASE WHEN root_is_array THEN 1 ELSE 0 END AS depth",
+        f"{kind_sql('v')} AS kind", "false AS keyed", "true AS p1",
+        f"(NOT root_is_array) AND {_IS_OBJ.format(v='v')} AS p6", "true AS fst",
+        "CAST(NULL AS STRING) AS arr_key", "CAST(NULL AS STRING) AS par_arr",
+        *(["CASE WHEN root_is_array THEN concat('root[', unit, ']') ELSE 'root' END AS vpath"] if with_vpath else []),
+        "false AS done",
+    )
+    base = base.withColumn("has_obj", F.expr(f"kind = 'array' AND {has_obj_sql('v')}"))
+    cols = [c for c in base.columns]
+    rows = base
+    kc = [f"`{k}`" for k in keys]
+    for _ in range(int(levels)):
+        x = rows.selectExpr(
+            *cols,
+            f"explode(CASE WHEN NOT done AND kind IN ('object', 'array') THEN concat(array({_SELF}), {_KIDS}) "
+            f"ELSE array({_SELF}) END) AS c",
+        )
+        x = x.selectExpr("*", f"CASE WHEN c.s THEN kind ELSE {kind_sql('c.val')} END AS ck")
+        child = "NOT c.s"
+        rows = x.selectExpr(
+            *kc, "root_is_array",
+            f"CASE WHEN c.s THEN path WHEN c.k IS NULL THEN path WHEN path = '' THEN c.k ELSE concat(path, '.', c.k) END AS path",
+            "CASE WHEN c.s THEN key ELSE c.k END AS key",
+            "CASE WHEN c.s THEN pos ELSE c.p END AS pos",
+            # an expanded container keeps its value only while it may still be
+            # read (empty-array and scalar checks use leaves and empty containers)
+            "CASE WHEN c.s THEN v ELSE c.val END AS v",
+            "CASE WHEN c.s THEN depth ELSE depth + 1 END AS depth",
+            "ck AS kind",
+            "CASE WHEN c.s THEN keyed ELSE c.k IS NOT NULL END AS keyed",
+            f"CASE WHEN c.s THEN p1 ELSE p1 AND (kind = 'object' OR NOT keyed OR has_obj) END AS p1",
+            f"CASE WHEN c.s THEN p6 ELSE p6 AND (kind = 'object' OR (keyed AND ck = 'object')) END AS p6",
+            f"CASE WHEN c.s THEN fst ELSE fst AND (kind = 'object' OR (c.p = 0 AND ck = 'object')) END AS fst",
+            f"CASE WHEN c.s THEN arr_key WHEN kind = 'array' AND keyed AND ck = 'object' THEN key END AS arr_key",
+            f"CASE WHEN c.s THEN par_arr WHEN c.k IS NOT NULL THEN arr_key END AS par_arr",
+            *([f"CASE WHEN c.s THEN vpath WHEN c.k IS NULL THEN concat(vpath, '[', c.p, ']') "
+               f"ELSE concat(vpath, '.', c.k) END AS vpath"] if with_vpath else []),
+            "c.s AS done",
+            f"CASE WHEN c.s THEN has_obj ELSE ck = 'array' AND {has_obj_sql('c.val')} END AS has_obj",
+        )
+    # a container still holding unexpanded children means ``levels`` was too small
+    pending = F.expr(
+        "NOT done AND ((kind = 'object' AND size(map_keys(try_variant_get(v, '$', 'map<string,variant>'))) > 0) "
+        "OR (kind = 'array' AND size(try_variant_get(v, '$', 'array<struct<>>')) > 0))"
+    )
+    guard = F.when(pending, F.raise_error(F.lit("document nesting exceeds the walk depth"))).otherwise(F.lit(None))
+    return rows.where(guard.isNull()).drop("done")

@@ -82,3 +82,25 @@ def test_depth(spark):
     n = walk.nodes(walk.units(walk.parse(df)))
     d = {r.doc_id: r.m for r in n.groupBy("doc_id").agg(F.max("depth").alias("m")).collect()}
     assert d == {1: 1, 2: 2, 3: 0, 4: 2}
+
+
+def test_chain_walk_matches_recursive_walk(spark):
+    import json
+
+    rng = random.Random(11)
+    docs = [json.dumps(_rand(rng)) for _ in range(40)] + ['{"s": "]]]}}\\"[[", "t": [[[]]]}']
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, content string")
+    depth = df.agg(F.max(walk.text_depth("content"))).first()[0]
+    u = walk.units(walk.parse(df))
+    cols = ["doc_id", "path", "depth", "kind", "keyed", "p1", "p6", "fst", "arr_key", "par_arr"]
+    a = sorted(tuple(r) for r in walk.nodes(u).select(*cols).collect())
+    b = sorted(tuple(r) for r in walk.nodes_chain(u, depth).select(*cols).collect())
+    assert a == b
+
+
+def test_chain_walk_refuses_too_few_levels(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, '{"a": {"b": {"c": 1}}}')], "doc_id long, content string")
+    with pytest.raises(Exception):
+        walk.nodes_chain(walk.units(walk.parse(df)), 1).collect()
