@@ -334,4 +334,13 @@ def oracle_sql() -> dict[str, str]:
       FROM events WHERE event_id % 8 IN (5, 6, 7)"""
     sql["minified"] = """SELECT 'p' || CAST(event_id AS VARCHAR) AS doc, true AS minified FROM events
       UNION ALL SELECT 'd' || CAST(event_id AS VARCHAR), false FROM events"""
+    sql["catalog_from_paragraphs"] = """WITH p AS (
+        SELECT p_partkey, p_partkey // 100 AS doc_id, p_type, p_size, regexp_replace(p_brand, '[^0-9]', '', 'g') AS bn FROM part),
+      f AS (SELECT doc_id, p_partkey, 1 AS pos, p_type AS field FROM p
+            UNION ALL SELECT doc_id, p_partkey, 2, 'Size' || CAST(p_size AS VARCHAR) FROM p
+            UNION ALL SELECT doc_id, p_partkey, 3, 'Brand' || bn FROM p)
+      SELECT doc_id, 'Catalog' || CAST(doc_id AS VARCHAR) AS catalog, 'Part' || CAST(p_partkey AS VARCHAR) AS category, field,
+             CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p_partkey, pos) - 1 AS BIGINT) AS ordinal FROM f"""
+    sql["stream_validate"] = f"""SELECT event_id AS doc_id, event_id % 8 IN (5, 6, 7) AS valid, {SYNTAX_ERR} AS first_error,
+        CASE WHEN event_id % 8 = 5 THEN 'Empty string at root.note' ELSE '' END AS warnings FROM events"""
     return sql

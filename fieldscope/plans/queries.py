@@ -291,6 +291,34 @@ def q_minified(spark, sf):
     return u.select("doc", prof_ops.minified(F.col("content")).alias("minified"))
 
 
+def q_catalog_from_paragraphs(spark, sf):
+    configure(spark)
+    c = clean_ops.catalog_from_paragraphs(fx.paragraphs(spark, sf))
+    return c.select("doc_id", "catalog", "category", "field", F.col("ordinal").cast("bigint").alias("ordinal"))
+
+
+def q_stream_validate(spark, sf):
+    """Validation of a document stream in micro batches (availableNow)."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..streaming import ingest
+
+    configure(spark)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/fieldscope-stream-{uuid.uuid4().hex}"
+    docs = fx.dirty_docs(spark, sf)
+    docs.repartition(8, "doc_id").write.mode("overwrite").parquet(f"{base}/in")
+    stream = ingest.parquet_stream(spark, f"{base}/in", docs.schema, max_files=2)
+
+    def per_batch(batch):
+        v = val_ops.validate(batch)
+        return v.select("doc_id", "valid", F.try_element_at("errors", F.lit(1)).alias("first_error"),
+                        _join("warnings").alias("warnings"))
+
+    ingest.run_batches(stream, per_batch, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").select("doc_id", "valid", "first_error", "warnings")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "field_paths": q_field_paths,
     "props_paths": q_props_paths,
@@ -320,4 +348,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_values": q_clean_values,
     "clean_docs": q_clean_docs,
     "minified": q_minified,
+    "catalog_from_paragraphs": q_catalog_from_paragraphs,
+    "stream_validate": q_stream_validate,
 }

@@ -153,3 +153,33 @@ def text_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lit("text").alias("field"), F.col("text").alias("value"), "lang"
     )
     return docs
+
+
+PARTS_PER_DOC = 100
+
+
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: catalog description text, one document per 100 parts.
+
+    Line 0 is the database heading ``I. Catalog<doc> Database details``; each
+    part then contributes four lines: ``Part<key> Module``, ``Data fields:``,
+    ``<p_type>, Size<p_size>`` and ``- Brand<brand number>``.
+    """
+    p = table(spark, sf_dir, "part")
+    doc = (F.col("p_partkey") / PARTS_PER_DOC).cast("bigint")
+    base = 1 + 4 * (F.col("p_partkey") % PARTS_PER_DOC)
+    lines = p.select(
+        doc.alias("doc_id"),
+        F.posexplode(F.array(
+            F.concat(F.lit("Part"), F.col("p_partkey").cast("string"), F.lit(" Module")),
+            F.lit("Data fields:"),
+            F.concat(F.col("p_type"), F.lit(", Size"), F.col("p_size").cast("string")),
+            F.concat(F.lit("- Brand"), F.regexp_replace("p_brand", "[^0-9]", "")),
+        )).alias("j", "text"),
+        base.alias("base"),
+    ).select("doc_id", (F.col("base") + F.col("j")).cast("int").alias("line_no"), "text")
+    heads = p.select(doc.alias("doc_id")).distinct().select(
+        "doc_id", F.lit(0).alias("line_no"),
+        F.concat(F.lit("I. Catalog"), F.col("doc_id").cast("string"), F.lit(" Database details")).alias("text"),
+    )
+    return heads.unionByName(lines)
