@@ -360,3 +360,73 @@ def mapping_suggestions(prof: DataFrame, catalog: DataFrame, threshold: float =
     ).select("catalog", "sig", "dn", F.col("b.jcand").alias("suggestion"), F.col("b.ratio").alias("similarity"),
              F.lit("fuzzy").alias("match_kind"))
     return exact.unionByName(best)
+
+
+# ---------------------------------------------------------------------------
+# Shape-deduplicated profile
+# ---------------------------------------------------------------------------
+
+def _members_sql(v: str, level: str) -> str:
+    """MAP<STRING,VARIANT> of the members that decide null parents."""
+    obj = f"try_variant_get({v}, '$', 'map<string,variant>')"
+    if level == "record":
+        return obj
+    return f"coalesce({obj}, try_variant_get({v}, '$[0]', 'map<string,variant>'))"
+
+
+def root_maps(df: DataFrame, v: str = "v", level: str = "file") -> DataFrame:
+    """Per row: ``null_map`` (P5) and ``rec_keys`` from the root members,
+    computed natively without a walk."""
+    m = _members_sql(v, level)
+    ents = (
+        f"array_sort(transform(map_entries(coalesce({m}, map())), e -> named_struct("
+        f"'o', e.key, 'k', lower(translate(e.key, ' _-', '')), "
+        f"'n', is_variant_null(e.value) OR coalesce(size(try_variant_get(e.value, '$', 'array<struct<>>')) = 0, false))))"
+    )
+    return (
+        df.withColumn("_ents", F.expr(ents))
+        .withColumn("null_map", F.map_from_arrays(F.col("_ents.k"), F.col("_ents.n")))
+        .withColumn("rec_keys", F.transform(F.col("_ents.o"), lambda k: names.norm_array(k)))
+        .drop("_ents")
+    )
+
+
+def shape_profile(u: DataFrame, keys: tuple[str, ...], level: str = "file") -> DataFrame:
+    """The ``profile`` of walk units, walking one unit per distinct shape.
+
+    Field paths and array-parent maps depend only on a document's Variant
+    schema when that schema has no mixed-type (``VARIANT``) parts, so units
+    are keyed by ``schema_of_variant`` and only one representative per shape
+    is walked (the shape grouping is a partial/final hash aggregate, so a
+    shape shared by most documents never gathers in one task). Units with
+    mixed-type parts are walked in full. Null-parent maps depend on values
+    and are computed per row from the root members.
+
+    ``u``: unit rows with ``*keys, root_is_array, unit, v``; for file level
+    the rows of one document must already be one row (see ``doc_units``).
+    """
+    from pyspark import StorageLevel
+
+    from . import walk
+
+    keys = list(keys)
+    s = u.withColumn("_shape", F.expr("schema_of_variant(v)")).persist(StorageLevel.MEMORY_AND_DISK)
+    plain = F.col("_shape").contains("VARIANT")
+    # one representative unit per shape
+    reps = (
+        s.where(~plain).groupBy("_shape")
+        .agg(F.min_by(F.struct("root_is_array", "unit", "v"), F.struct(*keys)).alias("r"))
+        .select("_shape", "r.root_is_array", "r.unit", "r.v")
+    )
+    rep_units = reps if level == "record" else walk.units(reps.select("_shape", "v"), key="_shape")
+    rn = walk.nodes(rep_units, keys=("_shape", "unit"))
+    rp = profile(rn, ("_shape",), level=level).select("_shape", "paths", "sig", "arr_map")
+    fast = root_maps(s.where(~plain).select(*keys, "_shape", "v"), "v", level).join(rp, "_shape").select(
+        *keys, "paths", "sig", "null_map", "arr_map", "rec_keys"
+    )
+    # mixed-type shapes: full walk
+    mixed = s.where(plain).drop("_shape")
+    mu = mixed if level == "record" else walk.units(mixed.select(*keys, "v"), key=keys[0])
+    mk = tuple(keys) + (() if level == "record" else ("unit",))
+    slow = profile(walk.nodes(mu, keys=mk), tuple(keys), level=level)
+    return fast.unionByName(slow.select(*keys, "paths", "sig", "null_map", "arr_map", "rec_keys"))

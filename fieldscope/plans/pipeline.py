@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,22 +19,36 @@ def parse_docs(docs: DataFrame, content: str = "content", tolerant: bool = False
 
 
 def file_profile(docs: DataFrame, key: str = "doc_id", content: str = "content", tolerant: bool = False,
-                 spread: int | None = None) -> DataFrame:
-    """Per document: sorted paths, signature, null-parent and array maps."""
-    parsed = parse_docs(docs.select(key, content), content, tolerant).select(key, "v")
-    u = walk.units(parsed, key=key, spread=spread)
-    n = walk.nodes(u, keys=(key, "unit"))
-    return match.profile(n, (key,), level="file")
+                 spread: int | None = None, by_shape: bool = True) -> DataFrame:
+    """Per document: sorted paths, signature, null-parent and array maps.
+
+    ``by_shape`` walks one document per distinct Variant schema (see
+    ``match.shape_profile``); otherwise every document is walked.
+    """
+    parsed = parse_docs(docs.select(key, content), content, tolerant).select(key, "v").where(F.col("v").isNotNull())
+    if by_shape:
+        d = parsed.withColumn("root_is_array", F.lit(False)).withColumn("unit", F.lit(None).cast("int"))
+        prof = match.shape_profile(d, (key,), level="file")
+    else:
+        u = walk.units(parsed, key=key, spread=spread)
+        prof = match.profile(walk.nodes(u, keys=(key, "unit")), (key,), level="file")
+    # One compact row per document, read by the signature grouping and by the
+    # join back: keep it so the walk runs once (lost blocks recompute).
+    return prof.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def record_profile(docs: DataFrame, key: str = "doc_id", content: str = "content", tolerant: bool = False,
-                   spread: int | None = None) -> DataFrame:
+                   spread: int | None = None, by_shape: bool = True) -> DataFrame:
     """Per record of documents with more than one record."""
     parsed = parse_docs(docs.select(key, content), content, tolerant).select(key, "v")
     u = walk.units(parsed, key=key, spread=spread)
     r = match.record_units(u, key)
-    n = walk.nodes(r, keys=(key, "unit", "record_idx"))
-    return match.profile(n, (key, "record_idx"), level="record")
+    if by_shape:
+        prof = match.shape_profile(r, (key, "record_idx"), level="record")
+    else:
+        n = walk.nodes(r, keys=(key, "unit", "record_idx"))
+        prof = match.profile(n, (key, "record_idx"), level="record")
+    return prof.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def compare_documents(docs: DataFrame, catalog: DataFrame, key: str = "doc_id", **kw) -> DataFrame:

@@ -104,3 +104,28 @@ def test_chain_walk_refuses_too_few_levels(spark):
     df = spark.createDataFrame([(1, '{"a": {"b": {"c": 1}}}')], "doc_id long, content string")
     with pytest.raises(Exception):
         walk.nodes_chain(walk.units(walk.parse(df)), 1).collect()
+
+
+def test_shape_profile_equals_full_profile(spark):
+    import json
+
+    from fieldscope.plans import pipeline
+
+    rng = random.Random(5)
+    trees = [_rand(rng) for _ in range(40)]
+    # repeated shapes with different values, root arrays, nulls and empties
+    trees += [{"a": [{"x": i}], "b": None if i % 2 else []} for i in range(6)]
+    trees += [[{"k": i, "m": [{"z": 1}]}, {"k": None}] for i in range(4)]
+    df = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trees)], "doc_id long, content string")
+    cols = ["doc_id", "paths", "sig", "null_map", "arr_map", "rec_keys"]
+
+    def rows(p):
+        return sorted((r.doc_id, tuple(r.paths), r.sig, tuple(sorted(r.null_map.items())),
+                       tuple(sorted(r.arr_map.items())), tuple(sorted(r.rec_keys))) for r in p.select(*cols).collect())
+
+    assert rows(pipeline.file_profile(df, by_shape=True)) == rows(pipeline.file_profile(df, by_shape=False))
+    a = pipeline.record_profile(df, by_shape=True).select("doc_id", "record_idx", "paths", "null_map", "arr_map")
+    b = pipeline.record_profile(df, by_shape=False).select("doc_id", "record_idx", "paths", "null_map", "arr_map")
+    norm = lambda p: sorted((r.doc_id, r.record_idx, tuple(r.paths), tuple(sorted(r.null_map.items())),
+                             tuple(sorted(r.arr_map.items()))) for r in p.collect())
+    assert norm(a) == norm(b)
