@@ -391,6 +391,16 @@ def root_maps(df: DataFrame, v: str = "v", level: str = "file") -> DataFrame:
     )
 
 
+def _walk_bounded(u: DataFrame, keys) -> DataFrame:
+    """Single-stage chained walk with the level count read from the units'
+    own bracket depth (one small aggregate; a row more than needed never
+    changes the result, a row less would fail the query)."""
+    from . import walk
+
+    d = u.agg(F.max(walk.text_depth_of(F.to_json("v"))).alias("d")).first()["d"]
+    return walk.nodes_chain(u, int(d or 0), keys=keys)
+
+
 def shape_profile(u: DataFrame, keys: tuple[str, ...], level: str = "file") -> DataFrame:
     """The ``profile`` of walk units, walking one unit per distinct shape.
 
@@ -405,12 +415,12 @@ def shape_profile(u: DataFrame, keys: tuple[str, ...], level: str = "file") -> D
     ``u``: unit rows with ``*keys, root_is_array, unit, v``; for file level
     the rows of one document must already be one row (see ``doc_units``).
     """
-    from pyspark import StorageLevel
-
+    from ..session import materialize
     from . import walk
 
     keys = list(keys)
-    s = u.withColumn("_shape", F.expr("schema_of_variant(v)")).persist(StorageLevel.MEMORY_AND_DISK)
+    # parse, shape and root maps once; three branches read the result
+    s = materialize(root_maps(u.withColumn("_shape", F.expr("schema_of_variant(v)")), "v", level))
     plain = F.col("_shape").contains("VARIANT")
     # one representative unit per shape
     reps = (
@@ -419,14 +429,14 @@ def shape_profile(u: DataFrame, keys: tuple[str, ...], level: str = "file") -> D
         .select("_shape", "r.root_is_array", "r.unit", "r.v")
     )
     rep_units = reps if level == "record" else walk.units(reps.select("_shape", "v"), key="_shape")
-    rn = walk.nodes(rep_units, keys=("_shape", "unit"))
+    rn = _walk_bounded(rep_units, ("_shape", "unit"))
     rp = profile(rn, ("_shape",), level=level).select("_shape", "paths", "sig", "arr_map")
-    fast = root_maps(s.where(~plain).select(*keys, "_shape", "v"), "v", level).join(rp, "_shape").select(
+    fast = s.where(~plain).select(*keys, "_shape", "null_map", "rec_keys").join(rp, "_shape").select(
         *keys, "paths", "sig", "null_map", "arr_map", "rec_keys"
     )
     # mixed-type shapes: full walk
-    mixed = s.where(plain).drop("_shape")
+    mixed = s.where(plain).drop("_shape", "null_map", "rec_keys")
     mu = mixed if level == "record" else walk.units(mixed.select(*keys, "v"), key=keys[0])
     mk = tuple(keys) + (() if level == "record" else ("unit",))
-    slow = profile(walk.nodes(mu, keys=mk), tuple(keys), level=level)
+    slow = profile(_walk_bounded(mu, mk), tuple(keys), level=level)
     return fast.unionByName(slow.select(*keys, "paths", "sig", "null_map", "arr_map", "rec_keys"))

@@ -7,7 +7,6 @@ the feature (first 10 files, first 20 records).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +74,9 @@ def field_rollup(cmp: DataFrame, top: int = 10) -> DataFrame:
     """
     s = F.col("status")
     # read four times below: materialize the comparison once
-    cmp = cmp.persist(StorageLevel.MEMORY_AND_DISK)
+    from ..session import materialize
+
+    cmp = materialize(cmp)
     seen = cmp.where(s.isin("matched", "extra")).select("catalog", "field_name").distinct().withColumn("_seen", F.lit(True))
     g = cmp.groupBy("catalog", "field_name").agg(
         _cnt(s == "matched").alias("n_matched"),

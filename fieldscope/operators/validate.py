@@ -10,7 +10,6 @@ err_msg, suggestions``.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,8 +165,10 @@ def validate(docs: DataFrame, key: str = "doc_id", content: str = "content", sch
     d = d.withColumn("_blank", c.isNull() | c.rlike(_BLANK))
     d = d.withColumn("_syn", F.when(F.col("_utf8") & ~F.col("_blank"), syntax_verdict(c)))
     d = d.withColumn("v", F.when(F.col("_syn.ok"), F.expr(f"try_parse_json({content})")))
-    # the verdict feeds the walk branch and the final projection: keep it
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    # the verdict feeds the walk branch and the final projection: compute once
+    from ..session import materialize
+
+    d = materialize(d)
     for name, col in root_structure("v").items():
         d = d.withColumn(name, col)
     db = depth_and_blanks(d.where(F.col("v").isNotNull()).select(key, "v"), key, check_nulls)

@@ -166,7 +166,11 @@ def text_depth(content: str = "content") -> Column:
     An upper bound of the expansion levels a document needs (a level more
     than needed only when the deepest containers are empty).
     """
-    brackets = F.regexp_replace(F.regexp_replace(F.col(content), _JSON_STRING, ""), r"[^\[\]{}]", "")
+    return text_depth_of(F.col(content))
+
+
+def text_depth_of(text: Column) -> Column:
+    brackets = F.regexp_replace(F.regexp_replace(text, _JSON_STRING, ""), r"[^\[\]{}]", "")
 
     def step(a, x):
         c = a["c"] + F.when(x.isin("[", "{"), 1).otherwise(-1)

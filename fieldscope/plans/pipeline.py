@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import match, walk
+from ..session import materialize
 
 
 def parse_docs(docs: DataFrame, content: str = "content", tolerant: bool = False) -> DataFrame:
@@ -33,8 +33,8 @@ def file_profile(docs: DataFrame, key: str = "doc_id", content: str = "content",
         u = walk.units(parsed, key=key, spread=spread)
         prof = match.profile(walk.nodes(u, keys=(key, "unit")), (key,), level="file")
     # One compact row per document, read by the signature grouping and by the
-    # join back: keep it so the walk runs once (lost blocks recompute).
-    return prof.persist(StorageLevel.MEMORY_AND_DISK)
+    # join back: materialized once.
+    return materialize(prof)
 
 
 def record_profile(docs: DataFrame, key: str = "doc_id", content: str = "content", tolerant: bool = False,
@@ -48,7 +48,7 @@ def record_profile(docs: DataFrame, key: str = "doc_id", content: str = "content
     else:
         n = walk.nodes(r, keys=(key, "unit", "record_idx"))
         prof = match.profile(n, (key, "record_idx"), level="record")
-    return prof.persist(StorageLevel.MEMORY_AND_DISK)
+    return materialize(prof)
 
 
 def compare_documents(docs: DataFrame, catalog: DataFrame, key: str = "doc_id", **kw) -> DataFrame:

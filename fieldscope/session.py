@@ -52,6 +52,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def materialize(df):
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in
+    the shared checkpoint folder (used where several consumers read one
+    expensive intermediate; lost executors cannot lose it)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "fieldscope") -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
