@@ -374,15 +374,19 @@ def _members_sql(v: str, level: str) -> str:
     return f"coalesce({obj}, try_variant_get({v}, '$[0]', 'map<string,variant>'))"
 
 
-def root_maps(df: DataFrame, v: str = "v", level: str = "file") -> DataFrame:
-    """Per row: ``null_map`` (P5) and ``rec_keys`` from the root members,
-    computed natively without a walk."""
+def _root_entries_sql(v: str, level: str) -> str:
     m = _members_sql(v, level)
-    ents = (
+    return (
         f"array_sort(transform(map_entries(coalesce({m}, map())), e -> named_struct("
         f"'o', e.key, 'k', lower(translate(e.key, ' _-', '')), "
         f"'n', is_variant_null(e.value) OR coalesce(size(try_variant_get(e.value, '$', 'array<struct<>>')) = 0, false))))"
     )
+
+
+def root_maps(df: DataFrame, v: str = "v", level: str = "file") -> DataFrame:
+    """Per row: ``null_map`` (P5) and ``rec_keys`` from the root members,
+    computed natively without a walk."""
+    ents = _root_entries_sql(v, level)
     return (
         df.withColumn("_ents", F.expr(ents))
         .withColumn("null_map", F.map_from_arrays(F.col("_ents.k"), F.col("_ents.n")))
@@ -391,17 +395,18 @@ def root_maps(df: DataFrame, v: str = "v", level: str = "file") -> DataFrame:
     )
 
 
-def _walk_bounded(u: DataFrame, keys) -> DataFrame:
+def _walk_bounded(u: DataFrame, keys, depth: int | None = None) -> DataFrame:
     """Single-stage chained walk with the level count read from the units'
-    own bracket depth (one small aggregate; a row more than needed never
-    changes the result, a row less would fail the query)."""
+    own bracket depth (one small aggregate; a level more than needed never
+    changes the result, a level less fails the query)."""
     from . import walk
 
-    d = u.agg(F.max(walk.text_depth_of(F.to_json("v"))).alias("d")).first()["d"]
-    return walk.nodes_chain(u, int(d or 0), keys=keys)
+    if depth is None:
+        depth = u.agg(F.max(walk.text_depth_of(F.to_json("v"))).alias("d")).first()["d"]
+    return walk.nodes_chain(u, int(depth or 0), keys=keys)
 
 
-def shape_profile(u: DataFrame, keys: tuple[str, ...], level: str = "file") -> DataFrame:
+def shape_profile(u: DataFrame, keys: tuple[str, ...], level: str = "file", content: str | None = None) -> DataFrame:
     """The ``profile`` of walk units, walking one unit per distinct shape.
 
     Field paths and array-parent maps depend only on a document's Variant
@@ -412,31 +417,58 @@ def shape_profile(u: DataFrame, keys: tuple[str, ...], level: str = "file") -> D
     mixed-type parts are walked in full. Null-parent maps depend on values
     and are computed per row from the root members.
 
-    ``u``: unit rows with ``*keys, root_is_array, unit, v``; for file level
-    the rows of one document must already be one row (see ``doc_units``).
+    ``u``: unit rows ``*keys, root_is_array, unit, v`` (file level: one row
+    per document). With ``content`` (the JSON text column of ``u``) the
+    materialized per-document table keeps the text instead of the parsed
+    value, and only representatives and mixed-shape units are parsed again.
     """
     from ..session import materialize
     from . import walk
 
     keys = list(keys)
-    # parse, shape and root maps once; three branches read the result
-    s = materialize(root_maps(u.withColumn("_shape", F.expr("schema_of_variant(v)")), "v", level))
+    # Root-member null checks depend on values only where the shape cannot
+    # tell: a root array (first element decides) or an array typed
+    # ARRAY<VOID> (empty, or holding nulls only). Elsewhere a member is null
+    # exactly when it is typed VOID, so the representative's map is exact.
+    sh = u.withColumn("_shape", F.expr("schema_of_variant(v)"))
+    per_row = F.col("_shape").contains("ARRAY<VOID>")
+    if level != "record":
+        per_row = per_row | F.expr("try_variant_get(v, '$', 'array<struct<>>') IS NOT NULL")
+    m_ents = _root_entries_sql("v", level)
+    base = sh.withColumn("_ents", F.when(per_row, F.expr(m_ents))).withColumn(
+        "null_map", F.when(per_row, F.map_from_arrays(F.col("_ents.k"), F.col("_ents.n")))
+    ).withColumn("rec_keys", F.when(per_row, F.transform(F.col("_ents.o"), lambda k: names.norm_array(k)))).drop("_ents")
+    body = [content] if content else ["v"]
+    s = materialize(base.select(*keys, "root_is_array", "unit", "_shape", "null_map", "rec_keys", *body))
     plain = F.col("_shape").contains("VARIANT")
+
+    def value(df: DataFrame) -> DataFrame:
+        return df.withColumn("v", F.expr(f"parse_json({content})")).drop(content) if content else df
+
     # one representative unit per shape
-    reps = (
+    reps = value(
         s.where(~plain).groupBy("_shape")
-        .agg(F.min_by(F.struct("root_is_array", "unit", "v"), F.struct(*keys)).alias("r"))
-        .select("_shape", "r.root_is_array", "r.unit", "r.v")
+        .agg(F.min_by(F.struct("root_is_array", "unit", *body), F.struct(*keys)).alias("r"))
+        .select("_shape", "r.*")
     )
     rep_units = reps if level == "record" else walk.units(reps.select("_shape", "v"), key="_shape")
     rn = _walk_bounded(rep_units, ("_shape", "unit"))
-    rp = profile(rn, ("_shape",), level=level).select("_shape", "paths", "sig", "arr_map")
+    rp = profile(rn, ("_shape",), level=level).select(
+        "_shape", "paths", "sig", "arr_map", F.col("null_map").alias("_rnm"), F.col("rec_keys").alias("_rrk"))
     fast = s.where(~plain).select(*keys, "_shape", "null_map", "rec_keys").join(rp, "_shape").select(
-        *keys, "paths", "sig", "null_map", "arr_map", "rec_keys"
+        *keys, "paths", "sig", F.coalesce("null_map", "_rnm").alias("null_map"), "arr_map",
+        F.coalesce("rec_keys", "_rrk").alias("rec_keys"),
     )
     # mixed-type shapes: full walk
-    mixed = s.where(plain).drop("_shape", "null_map", "rec_keys")
+    mixed = s.where(plain)
+    if content:
+        st = mixed.agg(F.count("*").alias("n"), F.max(walk.text_depth(content)).alias("d")).first()
+    else:
+        st = mixed.agg(F.count("*").alias("n"), F.max(walk.text_depth_of(F.to_json("v"))).alias("d")).first()
+    mixed = value(mixed.drop("_shape", "null_map", "rec_keys"))
     mu = mixed if level == "record" else walk.units(mixed.select(*keys, "v"), key=keys[0])
     mk = tuple(keys) + (() if level == "record" else ("unit",))
-    slow = profile(_walk_bounded(mu, mk), tuple(keys), level=level)
-    return fast.unionByName(slow.select(*keys, "paths", "sig", "null_map", "arr_map", "rec_keys"))
+    slow = profile(_walk_bounded(mu, mk, st["d"]), tuple(keys), level=level)
+    out = fast.unionByName(slow.select(*keys, "paths", "sig", "null_map", "arr_map", "rec_keys"))
+    # heterogeneous corpora: keep the walked profile instead of walking again
+    return materialize(out) if st["n"] else out

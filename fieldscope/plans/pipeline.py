@@ -25,16 +25,18 @@ def file_profile(docs: DataFrame, key: str = "doc_id", content: str = "content",
     ``by_shape`` walks one document per distinct Variant schema (see
     ``match.shape_profile``); otherwise every document is walked.
     """
-    parsed = parse_docs(docs.select(key, content), content, tolerant).select(key, "v").where(F.col("v").isNotNull())
+    parsed = parse_docs(docs.select(key, content), content, tolerant).where(F.col("v").isNotNull())
     if by_shape:
         d = parsed.withColumn("root_is_array", F.lit(False)).withColumn("unit", F.lit(None).cast("int"))
-        prof = match.shape_profile(d, (key,), level="file")
-    else:
-        u = walk.units(parsed, key=key, spread=spread)
-        prof = match.profile(walk.nodes(u, keys=(key, "unit")), (key,), level="file")
-    # One compact row per document, read by the signature grouping and by the
-    # join back: materialized once.
-    return materialize(prof)
+        if tolerant:
+            # re-parse the repaired text, not the original
+            from ..sources.files import repaired_text
+
+            d = d.withColumn(content, repaired_text(content))
+        return match.shape_profile(d, (key,), level="file", content=content)
+    u = walk.units(parsed.select(key, "v"), key=key, spread=spread)
+    # read by the signature grouping and by the join back: materialize once
+    return materialize(match.profile(walk.nodes(u, keys=(key, "unit")), (key,), level="file"))
 
 
 def record_profile(docs: DataFrame, key: str = "doc_id", content: str = "content", tolerant: bool = False,
@@ -44,11 +46,9 @@ def record_profile(docs: DataFrame, key: str = "doc_id", content: str = "content
     u = walk.units(parsed, key=key, spread=spread)
     r = match.record_units(u, key)
     if by_shape:
-        prof = match.shape_profile(r, (key, "record_idx"), level="record")
-    else:
-        n = walk.nodes(r, keys=(key, "unit", "record_idx"))
-        prof = match.profile(n, (key, "record_idx"), level="record")
-    return materialize(prof)
+        return match.shape_profile(r, (key, "record_idx"), level="record")
+    n = walk.nodes(r, keys=(key, "unit", "record_idx"))
+    return materialize(match.profile(n, (key, "record_idx"), level="record"))
 
 
 def compare_documents(docs: DataFrame, catalog: DataFrame, key: str = "doc_id", **kw) -> DataFrame:

@@ -53,11 +53,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint in
-    the shared checkpoint folder (used where several consumers read one
-    expensive intermediate; lost executors cannot lose it)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once as a Parquet table in the shared checkpoint folder
+    and read it back: the lineage is cut, several consumers read the same
+    files, and a lost executor cannot lose them (one write, no recompute)."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/fieldscope-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "fieldscope") -> SparkSession:

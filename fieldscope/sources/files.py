@@ -99,6 +99,18 @@ def _repair_kind(text: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def repaired_text(content: str = "content") -> Column:
+    """The text that ``tolerant_load`` parsed (needs its ``repair`` column)."""
+    c = F.col(content)
+    nobom = F.when(c.startswith("\ufeff"), F.expr(f"substring({content}, 2)")).otherwise(c)
+    fixed = F.regexp_replace(nobom, r"(?U),(\s*[}\]])", "$1")
+    return (
+        F.when(F.col("repair") == "none", c)
+        .when(F.col("repair") == "bom", nobom)
+        .when(F.col("repair") == "trailing_comma", fixed)
+    )
+
+
 def tolerant_load(docs: DataFrame, content: str = "content") -> DataFrame:
     """S3: add ``repair`` (none | bom | trailing_comma | failed) and ``v``.
 
