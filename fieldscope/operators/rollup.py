@@ -147,14 +147,17 @@ def record_issues(rec_cmp: DataFrame, first: int = 20) -> DataFrame:
     return tot.join(firsts, ["catalog", "doc_id"])
 
 
-def first_per_field(cmp: DataFrame) -> DataFrame:
-    """Keep the first row per (field, status) and count all of them."""
-    w = Window.partitionBy("catalog", "field_name", "status").orderBy("doc_id")
-    wc = Window.partitionBy("catalog", "field_name", "status")
-    return (
-        cmp.withColumn("_rn", F.row_number().over(w)).withColumn("occurrences", F.count("*").over(wc))
-        .where("_rn = 1").drop("_rn")
+def first_per_field(cmp: DataFrame, order: str = "doc_id") -> DataFrame:
+    """Keep the first row per (field, status) and count all of them.
+
+    ``min_by`` and ``count`` aggregate partially on the map side, so a field
+    present in most documents never gathers in one task.
+    """
+    g = cmp.groupBy("catalog", "field_name", "status").agg(
+        F.min_by(F.struct(*[c for c in cmp.columns if c not in ("catalog", "field_name", "status")]), order).alias("_r"),
+        F.count("*").alias("occurrences"),
     )
+    return g.select("catalog", "field_name", "status", "_r.*", "occurrences")
 
 
 def load_stats(parsed: DataFrame, v: str = "v") -> DataFrame:
