@@ -343,4 +343,9 @@ def oracle_sql() -> dict[str, str]:
              CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p_partkey, pos) - 1 AS BIGINT) AS ordinal FROM f"""
     sql["stream_validate"] = f"""SELECT event_id AS doc_id, event_id % 8 IN (5, 6, 7) AS valid, {SYNTAX_ERR} AS first_error,
         CASE WHEN event_id % 8 = 5 THEN 'Empty string at root.note' ELSE '' END AS warnings FROM events"""
+    sql["special_char_rollup"] = """SELECT 'user' AS field, '#' AS chars, count(*) AS occurrences,
+        array_to_string(list_sort(list(event_id))[1:50], ',') AS first_docs
+      FROM events WHERE event_id % 8 IN (0, 1, 5, 6, 7)"""
+    sql["load_stats"] = """SELECT count(*) FILTER (WHERE event_id % 8 NOT IN (2, 3, 4)) AS success,
+        count(*) FILTER (WHERE event_id % 8 IN (2, 3, 4)) AS failed FROM events"""
     return sql

@@ -250,6 +250,22 @@ def q_special_char_profile(spark, sf):
                              F.col("line_number").cast("bigint").alias("line_number"))
 
 
+def q_special_char_rollup(spark, sf):
+    configure(spark)
+    docs = fx.dirty_docs(spark, sf)
+    loaded = src_files.tolerant_load(docs).where(F.col("v").isNotNull())
+    n = walk.nodes(walk.units(loaded.select("doc_id", "v")))
+    found = prof_ops.line_numbers(prof_ops.findings(prof_ops.string_values(prof_ops.path_values(n))), docs)
+    r = prof_ops.rollup(found)
+    return r.select("field", _join("chars").alias("chars"), "occurrences",
+                    F.array_join(F.transform("first_occurrences", lambda o: o["doc"].cast("string")), ",").alias("first_docs"))
+
+
+def q_load_stats(spark, sf):
+    configure(spark)
+    return rollup.load_stats(src_files.tolerant_load(fx.dirty_docs(spark, sf)))
+
+
 def q_special_chars_by_lang(spark, sf):
     configure(spark)
     t = fx.text_values(spark, sf)
@@ -344,6 +360,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "root_array_consistency": q_root_array_consistency,
     "special_char_profile": q_special_char_profile,
     "special_chars_by_lang": q_special_chars_by_lang,
+    "special_char_rollup": q_special_char_rollup,
+    "load_stats": q_load_stats,
     "special_char_docs": q_special_char_docs,
     "clean_values": q_clean_values,
     "clean_docs": q_clean_docs,
