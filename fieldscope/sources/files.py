@@ -21,13 +21,38 @@ BINARY_FILE_SCHEMA = T.StructType([
 ])
 
 
+def _empty_files(spark: SparkSession, root: str, glob: str) -> list[tuple]:
+    """Zero-length files matching ``glob`` under ``root``.
+
+    File sources skip empty files, but an empty document is a finding ("File
+    is empty"), so they are listed from file-system metadata (no content is
+    read; the listing is the same kind the file index itself does)."""
+    import fnmatch
+
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(conf)
+    out = []
+    it = fs.listFiles(p, True)
+    while it.hasNext():
+        st = it.next()
+        if st.getLen() == 0 and fnmatch.fnmatch(st.getPath().getName(), glob):
+            out.append((st.getPath().toString(), None, 0, bytearray()))
+    return out
+
+
 def read_folder(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
     """Every ``*.json`` under ``root`` (recursive), one row per file:
     ``path, modificationTime, length, content BINARY, in_root BOOLEAN``.
-    Large folders split across tasks by file; ``doc_id`` is the full path."""
+    Large folders split across tasks by file; ``doc_id`` is the full path.
+    Zero-length files are kept (with empty content)."""
     df = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     )
+    empty = _empty_files(spark, root, glob)
+    if empty:
+        df = df.unionByName(spark.createDataFrame(empty, BINARY_FILE_SCHEMA))
     r = root.rstrip("/")
     parent = F.regexp_replace(F.col("path"), "/[^/]*$", "")
     return df.withColumn("in_root", parent.endswith(r) | parent.endswith(r.replace("file://", "")))
