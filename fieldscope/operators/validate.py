@@ -132,10 +132,17 @@ def root_structure(v: str = "v") -> dict[str, Column]:
     }
 
 
-def depth_and_blanks(parsed: DataFrame, key: str = "doc_id", check_nulls: bool = False) -> DataFrame:
-    """V3 + V4 from the walk: max depth and blank-string (null) issues."""
+def depth_and_blanks(parsed: DataFrame, key: str = "doc_id", check_nulls: bool = False,
+                     levels: int | None = None) -> DataFrame:
+    """V3 + V4 from the walk: max depth and blank-string (null) issues.
+
+    With ``levels`` (an upper bound of the nesting depth, e.g. from
+    ``walk.text_depth``) the single-stage chained walk is used."""
     u = walk.units(parsed.select(key, "v"), key=key)
-    n = walk.nodes(u, keys=(key, "unit"), with_vpath=True)
+    if levels is not None:
+        n = walk.nodes_chain(u, levels, keys=(key, "unit"), with_vpath=True)
+    else:
+        n = walk.nodes(u, keys=(key, "unit"), with_vpath=True)
     is_str = F.expr("kind = 'scalar' AND schema_of_variant(v) = 'STRING'")
     blank = is_str & F.expr("variant_get(v, '$', 'string')").rlike(_BLANK)
     issue = F.when(F.col("keyed") & blank, F.concat(F.lit("Empty string at "), F.col("vpath")))
@@ -171,7 +178,9 @@ def validate(docs: DataFrame, key: str = "doc_id", content: str = "content", sch
     d = materialize(d)
     for name, col in root_structure("v").items():
         d = d.withColumn(name, col)
-    db = depth_and_blanks(d.where(F.col("v").isNotNull()).select(key, "v"), key, check_nulls)
+    ok = d.where(F.col("v").isNotNull())
+    levels = ok.agg(F.max(walk.text_depth(content)).alias("m")).first()["m"]
+    db = depth_and_blanks(ok.select(key, "v"), key, check_nulls, int(levels or 0))
     d = d.join(db, key, "left")
     mb = F.round(F.col("_size") / F.lit(1048576.0), 2)
     large = F.when(F.col("_size") > large_bytes, F.concat(F.lit("Large file size: "), mb.cast("string"), F.lit(" MB")))

@@ -237,12 +237,18 @@ def q_root_array_consistency(spark, sf):
                     _join("warnings").alias("warnings"), F.col("max_depth").cast("bigint").alias("max_depth"))
 
 
-def q_special_char_profile(spark, sf):
-    configure(spark)
+def _loaded_nodes(spark, sf):
+    """Nodes of the dirty documents that load (after repairs), walked in one
+    stage with the level count from the text's bracket depth."""
     docs = fx.dirty_docs(spark, sf)
     loaded = src_files.tolerant_load(docs).where(F.col("v").isNotNull())
-    u = walk.units(loaded.select("doc_id", "v"))
-    n = walk.nodes(u)
+    levels = loaded.agg(F.max(walk.text_depth("content")).alias("m")).first()["m"]
+    return docs, walk.nodes_chain(walk.units(loaded.select("doc_id", "v")), int(levels or 0))
+
+
+def q_special_char_profile(spark, sf):
+    configure(spark)
+    docs, n = _loaded_nodes(spark, sf)
     vals = prof_ops.string_values(prof_ops.path_values(n))
     found = prof_ops.findings(vals)
     with_lines = prof_ops.line_numbers(found, docs)
@@ -252,9 +258,7 @@ def q_special_char_profile(spark, sf):
 
 def q_special_char_rollup(spark, sf):
     configure(spark)
-    docs = fx.dirty_docs(spark, sf)
-    loaded = src_files.tolerant_load(docs).where(F.col("v").isNotNull())
-    n = walk.nodes(walk.units(loaded.select("doc_id", "v")))
+    docs, n = _loaded_nodes(spark, sf)
     found = prof_ops.line_numbers(prof_ops.findings(prof_ops.string_values(prof_ops.path_values(n))), docs)
     r = prof_ops.rollup(found)
     return r.select("field", _join("chars").alias("chars"), "occurrences",
