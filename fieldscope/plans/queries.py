@@ -241,8 +241,9 @@ def _loaded_nodes(spark, sf):
     """Nodes of the dirty documents that load (after repairs), walked in one
     stage with the level count from the text's bracket depth."""
     docs = fx.dirty_docs(spark, sf)
+    # the bound over all texts (loadable or not) is still an upper bound
+    levels = docs.agg(F.max(walk.text_depth("content")).alias("m")).first()["m"]
     loaded = src_files.tolerant_load(docs).where(F.col("v").isNotNull())
-    levels = loaded.agg(F.max(walk.text_depth("content")).alias("m")).first()["m"]
     return docs, walk.nodes_chain(walk.units(loaded.select("doc_id", "v")), int(levels or 0))
 
 
