@@ -98,6 +98,8 @@ def nodes(u: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id", "unit"),
     * ``p6``/``arr_key``/``par_arr``: array-parent bookkeeping. ``arr_key`` is
       set on objects that are direct elements of a keyed array; ``par_arr`` is
       set on the members of such objects.
+    * ``op``: every container above the node is an object (object-only key
+      listing, P4).
     * ``fst``: node is reached when every array on the way is entered at its
       first element and that element is an object (dotted-path lookup, P10).
     * ``depth``: containers above the node in the original document (a unit
@@ -120,12 +122,12 @@ def nodes(u: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id", "unit"),
     # The child's type is computed once in the inner select and reused by
     # every flag in the outer one.
     sql = f"""
-WITH RECURSIVE w({kcols}, root_is_array, path, key, pos, v, depth, kind, has_obj, keyed, p1, p6, fst, arr_key, par_arr{vname})
+WITH RECURSIVE w({kcols}, root_is_array, path, key, pos, v, depth, kind, has_obj, keyed, p1, p6, fst, op, arr_key, par_arr{vname})
 MAX RECURSION LEVEL {int(max_level)} AS (
   SELECT {kcols}, root_is_array, '', CAST(NULL AS STRING), CAST(coalesce(unit, 0) AS INT), v,
          CASE WHEN root_is_array THEN 1 ELSE 0 END,
          {kind_sql('v')}, {has_obj_sql('v')}, false, true,
-         (NOT root_is_array) AND {_IS_OBJ.format(v='v')}, true,
+         (NOT root_is_array) AND {_IS_OBJ.format(v='v')}, true, NOT root_is_array,
          CAST(NULL AS STRING), CAST(NULL AS STRING){vcol_a}
   FROM {view}
   UNION ALL
@@ -136,6 +138,7 @@ MAX RECURSION LEVEL {int(max_level)} AS (
          c.p1 AND (c.kind = 'object' OR NOT c.keyed OR c.has_obj),
          c.p6 AND (c.kind = 'object' OR (c.keyed AND c.xk = 'object')),
          c.fst AND (c.kind = 'object' OR (c.xpos = 0 AND c.xk = 'object')),
+         c.op AND c.kind = 'object',
          CASE WHEN c.kind = 'array' AND c.keyed AND c.xk = 'object' THEN c.key END,
          CASE WHEN c.xkey IS NOT NULL THEN c.arr_key END{vcol_r.replace("x.key", "c.xkey").replace("x.pos", "c.xpos").replace("w.vpath", "c.vpath")}
   FROM (SELECT w.*, x.key AS xkey, x.pos AS xpos, x.value AS xv, {xk} AS xk
@@ -147,6 +150,13 @@ SELECT * FROM w
     return spark.sql(sql)
 
 
+def object_keys(n: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id",), nested: bool = True) -> DataFrame:
+    """Keys reached through objects only (arrays are not entered), one
+    row per occurrence; ``nested=False`` keeps the root object's own keys."""
+    out = n.where("keyed AND op" + ("" if nested else " AND depth = 1"))
+    return out.select(*keys, "path", "depth")
+
+
 def field_paths(n: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Distinct field paths per key (a set; sort at the consumer)."""
     return n.where("keyed AND p1").select(*keys, "path").distinct()
@@ -205,7 +215,7 @@ def nodes_chain(u: DataFrame, levels: int, keys: list[str] | tuple[str, ...] = (
         "CAST(coalesce(unit, 0) AS INT) AS pos", "v", "CASE WHEN root_is_array THEN 1 ELSE 0 END AS depth",
         f"{kind_sql('v')} AS kind", "false AS keyed", "true AS p1",
         f"(NOT root_is_array) AND {_IS_OBJ.format(v='v')} AS p6", "true AS fst",
-        "CAST(NULL AS STRING) AS arr_key", "CAST(NULL AS STRING) AS par_arr",
+        "NOT root_is_array AS op", "CAST(NULL AS STRING) AS arr_key", "CAST(NULL AS STRING) AS par_arr",
         *(["CASE WHEN root_is_array THEN concat('root[', unit, ']') ELSE 'root' END AS vpath"] if with_vpath else []),
         "false AS done",
     )
@@ -235,6 +245,7 @@ def nodes_chain(u: DataFrame, levels: int, keys: list[str] | tuple[str, ...] = (
             f"CASE WHEN c.s THEN p1 ELSE p1 AND (kind = 'object' OR NOT keyed OR has_obj) END AS p1",
             f"CASE WHEN c.s THEN p6 ELSE p6 AND (kind = 'object' OR (keyed AND ck = 'object')) END AS p6",
             f"CASE WHEN c.s THEN fst ELSE fst AND (kind = 'object' OR (c.p = 0 AND ck = 'object')) END AS fst",
+            "CASE WHEN c.s THEN op ELSE op AND kind = 'object' END AS op",
             f"CASE WHEN c.s THEN arr_key WHEN kind = 'array' AND keyed AND ck = 'object' THEN key END AS arr_key",
             f"CASE WHEN c.s THEN par_arr WHEN c.k IS NOT NULL THEN arr_key END AS par_arr",
             *([f"CASE WHEN c.s THEN vpath WHEN c.k IS NULL THEN concat(vpath, '[', c.p, ']') "

@@ -348,4 +348,11 @@ def oracle_sql() -> dict[str, str]:
       FROM events WHERE event_id % 8 IN (0, 1, 5, 6, 7)"""
     sql["load_stats"] = """SELECT count(*) FILTER (WHERE event_id % 8 NOT IN (2, 3, 4)) AS success,
         count(*) FILTER (WHERE event_id % 8 IN (2, 3, 4)) AS failed FROM events"""
+    sql["object_keys"] = f"""SELECT o_orderkey AS doc_id, p.path, CAST(1 AS BIGINT) AS depth
+      FROM orders CROSS JOIN {_values([(f,) for f in ORDER_FIELDS] + [("lineitems",)], "p(path)")}"""
+    sql["per_doc_lists"] = ("WITH " + F2_PATHS + "," + compare_ctes("v", "f2_paths", ["doc_id"], _catalog_rows({"order_variants": VARIANTS}))
+                            + """ SELECT catalog, doc_id,
+        coalesce(array_to_string(list_sort(list(field_name) FILTER (WHERE status = 'missing')), ','), '') AS missing_fields,
+        coalesce(array_to_string(list_sort(list(field_name) FILTER (WHERE status = 'extra')), ','), '') AS extra_fields
+      FROM v_cmp GROUP BY catalog, doc_id""")
     return sql

@@ -98,6 +98,20 @@ def q_max_depth(spark, sf):
     return n.groupBy("doc_id").agg(F.max("depth").cast("bigint").alias("max_depth"))
 
 
+def q_object_keys(spark, sf):
+    configure(spark)
+    n = walk.nodes(walk.units(walk.parse(fx.order_docs(spark, sf))))
+    return walk.object_keys(n).select("doc_id", "path", F.col("depth").cast("bigint").alias("depth"))
+
+
+def q_per_doc_lists(spark, sf):
+    configure(spark)
+    c = pipeline.compare_documents(fx.order_docs(spark, sf), _variants(spark))
+    r = rollup.per_doc_lists(c)
+    return r.select("catalog", "doc_id", _join("missing_fields").alias("missing_fields"),
+                    _join("extra_fields").alias("extra_fields"))
+
+
 def q_record_paths(spark, sf):
     configure(spark)
     p = pipeline.record_profile(fx.multi_record_docs(spark, sf))
@@ -344,7 +358,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "field_paths": q_field_paths,
     "props_paths": q_props_paths,
     "max_depth": q_max_depth,
+    "object_keys": q_object_keys,
     "record_paths": q_record_paths,
+    "per_doc_lists": q_per_doc_lists,
     "null_parents": q_null_parents,
     "compare_variants": q_compare_variants,
     "compare_by_table": q_compare_by_table,

@@ -92,7 +92,7 @@ def test_chain_walk_matches_recursive_walk(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, content string")
     depth = df.agg(F.max(walk.text_depth("content"))).first()[0]
     u = walk.units(walk.parse(df))
-    cols = ["doc_id", "path", "depth", "kind", "keyed", "p1", "p6", "fst", "arr_key", "par_arr"]
+    cols = ["doc_id", "path", "depth", "kind", "keyed", "p1", "p6", "fst", "op", "arr_key", "par_arr"]
     a = sorted(tuple(r) for r in walk.nodes(u).select(*cols).collect())
     b = sorted(tuple(r) for r in walk.nodes_chain(u, depth).select(*cols).collect())
     assert a == b
@@ -129,3 +129,10 @@ def test_shape_profile_equals_full_profile(spark):
     norm = lambda p: sorted((r.doc_id, r.record_idx, tuple(r.paths), tuple(sorted(r.null_map.items())),
                              tuple(sorted(r.arr_map.items()))) for r in p.collect())
     assert norm(a) == norm(b)
+
+
+def test_object_keys(spark):
+    df = spark.createDataFrame([(1, '{"a": {"b": 1, "c": [{"d": 1}]}, "e": 2}'), (2, '[{"x": 1}]')], "doc_id long, content string")
+    n = walk.nodes(walk.units(walk.parse(df)))
+    assert sorted(r.path for r in walk.object_keys(n).collect()) == ["a", "a.b", "a.c", "e"]
+    assert sorted(r.path for r in walk.object_keys(n, nested=False).collect()) == ["a", "e"]
