@@ -77,7 +77,6 @@ def field_rollup(cmp: DataFrame, top: int = 10) -> DataFrame:
     from ..session import materialize
 
     cmp = materialize(cmp)
-    seen = cmp.where(s.isin("matched", "extra")).select("catalog", "field_name").distinct().withColumn("_seen", F.lit(True))
     g = cmp.groupBy("catalog", "field_name").agg(
         _cnt(s == "matched").alias("n_matched"),
         _cnt(s == "missing").alias("n_missing"),
@@ -90,9 +89,9 @@ def field_rollup(cmp: DataFrame, top: int = 10) -> DataFrame:
     firsts = first_k(miss, ["catalog", "field_name"], "doc", top).groupBy("catalog", "field_name").agg(
         F.array_sort(F.collect_list("doc")).alias("_docs")
     )
-    g = g.join(seen, ["catalog", "field_name"], "left").join(n_docs, ["catalog", "field_name"], "left").join(
-        firsts, ["catalog", "field_name"], "left"
-    )
+    # "seen in some document" is matched or extra anywhere: same grouping key
+    g = g.withColumn("_seen", F.when((F.col("n_matched") + F.col("n_extra")) > 0, F.lit(True)))
+    g = g.join(n_docs, ["catalog", "field_name"], "left").join(firsts, ["catalog", "field_name"], "left")
     docs = F.col("_docs")
     listing = F.when(F.col("_ndocs") <= top, F.array_join(docs, ", ")).otherwise(
         F.concat(F.array_join(docs, ", "), F.lit(" and "), (F.col("_ndocs") - top).cast("string"), F.lit(" more"))
