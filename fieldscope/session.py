@@ -31,10 +31,42 @@ RUNTIME_CONFS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``fieldscope`` importable by the Python workers (the Arrow UDFs
+    and grouped functions live in it): zip the package once per application
+    into the shared checkpoint folder and ``addPyFile`` it."""
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    target_dir = checkpoint_dir(spark).rstrip("/")
+    local_dir = target_dir[len("file:"):] if target_dir.startswith("file:") else target_dir
+    if "://" in local_dir:  # a remote shared folder: stage the zip locally, Spark ships it
+        local_dir = tempfile.mkdtemp(prefix="fieldscope-pkg-")
+    os.makedirs(local_dir, exist_ok=True)
+    zpath = os.path.join(local_dir, f"fieldscope-{app}.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for k, v in RUNTIME_CONFS.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
