@@ -355,4 +355,12 @@ def oracle_sql() -> dict[str, str]:
         coalesce(array_to_string(list_sort(list(field_name) FILTER (WHERE status = 'missing')), ','), '') AS missing_fields,
         coalesce(array_to_string(list_sort(list(field_name) FILTER (WHERE status = 'extra')), ','), '') AS extra_fields
       FROM v_cmp GROUP BY catalog, doc_id""")
+    sql["run_summary"] = ("WITH " + F2_PATHS + "," + compare_ctes("v", "f2_paths", ["doc_id"], _catalog_rows({"order_variants": VARIANTS}))
+                          + f""" SELECT catalog, count(*) FILTER (WHERE status = 'matched') AS matched,
+        count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'extra') AS extra,
+        count(*) AS compared, CAST({len(VARIANTS)} AS BIGINT) AS catalog_names,
+        (SELECT count(*) FROM orders) AS files_processed FROM v_cmp GROUP BY catalog""")
+    sql["category_unmatched"] = ("WITH " + F2_PATHS + "," + compare_ctes("t", "f2_paths", ["doc_id"], _orders_by_table_rows())
+                                 + f""" SELECT {_CMP_COLS.replace(', similarity', '')} FROM t_cmp
+        WHERE status IN ('missing', 'extra') AND {_norm_d('category')} = 'lineitems'""")
     return sql

@@ -160,6 +160,21 @@ def q_unique_unmatched(spark, sf):
     return rollup.unique_unmatched(_both(spark, sf))
 
 
+def q_run_summary(spark, sf):
+    configure(spark)
+    docs = fx.order_docs(spark, sf)
+    cat = _variants(spark)
+    cmp = pipeline.compare_documents(docs, cat)
+    parsed = walk.parse(docs)
+    return rollup.run_summary(cmp, None, None, cat, parsed)
+
+
+def q_category_unmatched(spark, sf):
+    configure(spark)
+    cmp = pipeline.compare_documents(fx.order_docs(spark, sf), _orders_catalog(spark, sf))
+    return rollup.category_unmatched(cmp, category="line_items").drop("similarity")
+
+
 def q_record_conformance(spark, sf):
     configure(spark)
     cat = cg.from_dict(spark, {"cross_names": CROSS_NAMES})
@@ -368,6 +383,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "per_doc_counts": q_per_doc_counts,
     "field_rollup": q_field_rollup,
     "unique_unmatched": q_unique_unmatched,
+    "run_summary": q_run_summary,
+    "category_unmatched": q_category_unmatched,
     "record_conformance": q_record_conformance,
     "record_issues": q_record_issues,
     "suppressed_pairs": q_suppressed_pairs,
