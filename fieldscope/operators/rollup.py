@@ -96,10 +96,12 @@ def field_rollup(cmp: DataFrame, top: int = 10) -> DataFrame:
     listing = F.when(F.col("_ndocs") <= top, F.array_join(docs, ", ")).otherwise(
         F.concat(F.array_join(docs, ", "), F.lit(" and "), (F.col("_ndocs") - top).cast("string"), F.lit(" more"))
     )
+    # a field missing somewhere never falls through to "extra": without a
+    # category it is reported only when no document carries the name at all
     verdict = (
         F.when(F.col("n_matched") > 0, F.lit("matched"))
-        .when((F.col("n_missing") > 0) & F.coalesce(F.col("has_category"), F.lit(False)), F.lit("missing"))
-        .when((F.col("n_missing") > 0) & F.col("_seen").isNull(), F.lit("missing"))
+        .when(F.col("n_missing") > 0, F.when(
+            F.coalesce(F.col("has_category"), F.lit(False)) | F.col("_seen").isNull(), F.lit("missing")))
         .when(F.col("n_extra") > 0, F.lit("extra"))
     )
     times = (

@@ -224,8 +224,7 @@ def oracle_sql() -> dict[str, str]:
       v AS (
         SELECT g.catalog, g.field_name,
           CASE WHEN n_matched > 0 THEN 'matched'
-               WHEN n_missing > 0 AND coalesce(has_category, false) THEN 'missing'
-               WHEN n_missing > 0 AND s.field_name IS NULL THEN 'missing'
+               WHEN n_missing > 0 THEN CASE WHEN coalesce(has_category, false) OR s.field_name IS NULL THEN 'missing' END
                WHEN n_extra > 0 THEN 'extra' END AS verdict,
           CAST(CASE WHEN n_matched > 0 THEN n_matched WHEN n_missing > 0 THEN n_missing ELSE n_extra END AS BIGINT) AS times,
           CASE WHEN n_matched = 0 AND coalesce(has_category, false) THEN
