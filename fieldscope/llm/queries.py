@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, sentencepiece_codec
+from . import contamination, quality, sentencepiece_codec, toxicity
 from .oracles import ORACLES
 
 
@@ -32,7 +32,17 @@ def q_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), piece_model())
 
 
+def q_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def q_quality(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_benchmark_decontamination": q_contamination,
+    "op4_toxicity": q_toxicity,
     "op5_sentencepiece": q_sentencepiece,
+    "op10_quality": q_quality,
 }
