@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, quality, sentencepiece_codec, toxicity
+from . import contamination, order_minhash, quality, secrets, sentencepiece_codec, toxicity
 from .oracles import ORACLES
 
 
@@ -40,9 +40,19 @@ def q_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def q_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def q_near_duplicates(spark, sf_dir):
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_benchmark_decontamination": q_contamination,
     "op4_toxicity": q_toxicity,
     "op5_sentencepiece": q_sentencepiece,
+    "op7_order_minhash": q_near_duplicates,
+    "op9_secrets": q_secrets,
     "op10_quality": q_quality,
 }
