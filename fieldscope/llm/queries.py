@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, order_minhash, quality, secrets, sentencepiece_codec, toxicity
+from . import contamination, hash_forest, order_minhash, pii, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 from .oracles import ORACLES
 
 
@@ -48,11 +48,38 @@ def q_near_duplicates(spark, sf_dir):
     return order_minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def q_nearest(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return hash_forest.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+def q_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def q_pii(spark, sf_dir):
+    """The key is a setting of the deployment; the fallback is for tests."""
+    key = os.environ.get("LLM_PII_KEY", "test key")
+    return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+
+
+def q_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = token_counts.derived_edits(table(spark, sf_dir, "documents"))
+    return token_counts.count_edited(token_counts.build_trees(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+
+
 QUERIES = {
+    "op1_pii_surrogates": q_pii,
+    "op2_suffix_dedup": q_suffix_dedup,
     "op3_benchmark_decontamination": q_contamination,
     "op4_toxicity": q_toxicity,
     "op5_sentencepiece": q_sentencepiece,
+    "op6_token_counts": q_token_counts,
     "op7_order_minhash": q_near_duplicates,
+    "op8_hash_forest": q_nearest,
     "op9_secrets": q_secrets,
     "op10_quality": q_quality,
 }
