@@ -182,7 +182,7 @@ def count_edited(trees: DataFrame, ranks_path: str, pattern: str, with_text: boo
                 del out[c]
         return {"doc_id": b.column("doc_id")} | out
 
-    schema = trees.select("doc_id").schema.add("n_tokens", "long").add("n_leaves", "int").add("n_edits", "int").add("n_tokens_edited", "long").add("n_reencoded", "long").add("edited_sha256", "string")
+    schema = trees.select("doc_id").schema.add("n_tokens", "long").add("n_leaves", "integer").add("n_edits", "integer").add("n_tokens_edited", "long").add("n_reencoded", "long").add("edited_sha256", "string")
     if with_text:
         schema = schema.add("edited", "string").add("leaf_chars", LEAVES).add("leaf_tokens", LEAVES)
     return map_batches(trees.select("doc_id", "text", "edits", "leaf_chars", "leaf_tokens"), step, schema)
