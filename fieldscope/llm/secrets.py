@@ -78,14 +78,22 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _upper_tail(z: Column) -> Column:
     """P(Z > z) of the standard normal, by a rational form whose relative error
     stays small in the tail."""
-    a = F.abs(z)
-    t = 1 / (1 + 0.2316419 * a)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-a * a / 2) / math.sqrt(2 * math.pi) * poly
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+    def from_t(v):
+        z, t = v["z"], v["t"]
+        poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return F.struct(z.alias("z"), (F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly).alias("tail"))
+
+    tail = _let(_let(z, lambda z: F.struct(z.alias("z"), (1 / (1 + 0.2316419 * F.abs(z))).alias("t"))), from_t)
+    return _let(tail, lambda v: F.when(v["z"] >= 0, v["tail"]).otherwise(1 - v["tail"]))
 
 
 def battery(token: Column) -> Column:
@@ -94,47 +102,50 @@ def battery(token: Column) -> Column:
     encoding = F.when(F.lit(False), F.lit(""))
     for name, fits, _ in ENCODINGS:
         encoding = encoding.when(token.rlike(fits), F.lit(name))
-    return F.transform(F.array(F.struct(encoding.alias("e"), token.alias("t"))), lambda x: _tested(x["e"], x["t"]))[0]
+    return _let(F.struct(encoding.alias("e"), token.alias("t")), _tested)
 
 
-def _tested(encoding: Column, token: Column) -> Column:
-    of = lambda f: F.coalesce(*[F.when(encoding == name, f(name, alphabet)) for name, _, alphabet in ENCODINGS])
+def _tested(x: Column) -> Column:
+    encoding, token = x["e"], x["t"]
+    of = lambda f: F.coalesce(*[F.when(encoding == name, f(alphabet)) for name, _, alphabet in ENCODINGS])
     # one way of writing: lower case where case says nothing, no padding, one pair of marks
     plain = F.when(encoding.isin("hex", "base36"), F.lower(token)).otherwise(F.translate(F.rtrim(token, F.lit("=")), "-_", "+/"))
-    alphabet = of(lambda _, a: F.lit(a))
-    size = of(lambda _, a: F.lit(len(a)))
-    work = F.struct(plain.alias("t"), alphabet.alias("a"), size.cast("double").alias("k"), F.length(plain).cast("double").alias("n"),
-                    F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.call_function("instr", alphabet, c).cast("double")).alias("s"))
+    return _let(F.struct(encoding.alias("e"), plain.alias("t"), of(F.lit).alias("a"), of(lambda a: F.lit(float(len(a)))).alias("k")), _judged)
+
+
+def _judged(x: Column) -> Column:
+    length = F.length(x["t"])
+    work = F.struct(x["t"].alias("t"), x["a"].alias("a"), x["k"].alias("k"), length.cast("double").alias("n"),
+                    F.transform(F.filter(F.split(x["t"], ""), lambda c: c != ""), lambda c: F.call_function("instr", x["a"], c).cast("double")).alias("s"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, v: acc + v)
 
-    def tests(w: Column) -> Column:
+    def sums(w: Column) -> Column:
         t, k, n, s = w["t"], w["k"], w["n"], w["s"]
         counts = F.transform(F.sequence(F.lit(1), k.cast("int")), lambda i: n - F.length(F.replace(t, F.substr(w["a"], i, F.lit(1)), F.lit(""))))
-        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, v: acc + v)
-        chi = k / n * total(F.transform(counts, lambda c: c * c)) - n
-        df = k - 1
-        z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        # neighbours: both halves of the alphabet, and products
-        pairs = F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda x, y: F.struct((((x > k / 2) != (y > k / 2)).cast("double")).alias("turn"), (x * y).alias("xy")))
-        high = total(F.transform(s, lambda x: (x > k / 2).cast("double")))
-        low = n - high
-        runs = 1 + total(F.transform(pairs, lambda p: p["turn"]))
-        mean_runs = 2 * high * low / n + 1
-        var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
-        z_runs = F.when(var_runs > 0, F.abs(runs - mean_runs) / F.sqrt(var_runs)).otherwise(0.0)
-        mean = total(s) / n
-        spread = total(F.transform(s, lambda x: (x - mean) * (x - mean)))
-        ends = F.element_at(s, 1) + F.element_at(s, -1)
-        lag = total(F.transform(pairs, lambda p: p["xy"])) - mean * (2 * n * mean - ends) + (n - 1) * mean * mean
-        z_serial = F.when(spread > 0, F.abs(lag / spread + 1 / n) * F.sqrt(n)).otherwise(0.0)
+        pairs = F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda x, y: F.struct(((x > k / 2) != (y > k / 2)).cast("double").alias("turn"), (x * y).alias("xy")))
+        return F.struct(k.alias("k"), n.alias("n"), total(F.transform(counts, lambda c: c * c)).alias("squares"), total(s).alias("sum"), total(F.transform(s, lambda x: x * x)).alias("sum_squares"),
+                        total(F.transform(s, lambda x: (x > k / 2).cast("double"))).alias("high"), (F.element_at(s, 1) + F.element_at(s, -1)).alias("ends"),
+                        _let(pairs, lambda p: F.struct(total(F.transform(p, lambda q: q["turn"])).alias("turns"), total(F.transform(p, lambda q: q["xy"])).alias("lag"))).alias("p"))
+
+    def moments(v: Column) -> Column:
+        n, mean = v["n"], v["sum"] / v["n"]
+        return F.struct(v.alias("v"), F.greatest(v["k"] / n * v["squares"] - n, F.lit(0.0)).alias("chi"), (2 * v["high"] * (n - v["high"]) / n + 1).alias("runs"),
+                        (v["sum_squares"] - n * mean * mean).alias("spread"), (v["p"]["lag"] - mean * (2 * v["sum"] - v["ends"]) + (n - 1) * mean * mean).alias("lag"))
+
+    def scores(m: Column) -> Column:
+        n, df = m["v"]["n"], m["v"]["k"] - 1
+        z_chi = (F.pow(m["chi"] / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        var_runs = (m["runs"] - 1) * (m["runs"] - 2) / (n - 1)
+        z_runs = F.when(var_runs > 0, F.abs(1 + m["v"]["p"]["turns"] - m["runs"]) / F.sqrt(var_runs)).otherwise(0.0)
+        z_serial = F.when(m["spread"] > 0, F.abs(m["lag"] / m["spread"] + 1 / n) * F.sqrt(n)).otherwise(0.0)
         nats = lambda p: -F.log(F.greatest(p, F.lit(1e-290)))
-        sum_nats = nats(_upper_tail(z_chi)) + nats(2 * _upper_tail(z_runs)) + nats(2 * _upper_tail(z_serial))
-        minus_ln_p = F.greatest(sum_nats - F.log(1 + sum_nats + sum_nats * sum_nats / 2), F.lit(0.0))
-        return F.least(F.floor(minus_ln_p * PER_NAT), F.lit(MOST_BIN)).cast("int")
+        return nats(_upper_tail(z_chi)) + nats(2 * _upper_tail(z_runs)) + nats(2 * _upper_tail(z_serial))
 
-    fits = encoding.isNotNull() & (F.length(plain) >= LEAST_TOKEN)
-    length_class = F.floor(F.log2(F.greatest(F.length(plain), F.lit(1)))).cast("int")
-    return F.struct(F.when(fits, F.concat(encoding, F.lit(":"), length_class)).alias("stratum"),
-                    F.when(fits, F.transform(F.array(work), tests)[0]).alias("bin"))
+    fisher = lambda s: F.least(F.floor(F.greatest(s - F.log(1 + s + s * s / 2), F.lit(0.0)) * PER_NAT), F.lit(MOST_BIN)).cast("int")
+    fits = x["e"].isNotNull() & (length >= LEAST_TOKEN)
+    length_class = F.floor(F.log2(F.greatest(length, F.lit(1)))).cast("int")
+    return F.struct(F.when(fits, F.concat(x["e"], F.lit(":"), length_class)).alias("stratum"),
+                    F.when(fits, _let(_let(_let(_let(work, sums), moments), scores), fisher)).alias("bin"))
 
 
 def tokens(text: Column) -> Column:
@@ -142,8 +153,7 @@ def tokens(text: Column) -> Column:
     none = F.expr("cast(array() AS array<struct<start: int, end: int, stratum: string, bin: int>>)")
 
     def one(x):
-        b = battery(x["hit"])
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), b["stratum"].alias("stratum"), b["bin"].alias("bin"))
+        return _let(battery(x["hit"]), lambda b: F.struct(x["start"].alias("start"), x["end"].alias("end"), b["stratum"].alias("stratum"), b["bin"].alias("bin")))
 
     return F.when(text.rlike(TOKEN), F.transform(_matches(text, TOKEN), one)).otherwise(none)
 
