@@ -8,13 +8,14 @@ their words keeps enough whole shingles in order:
 kept / (n_a + n_b - kept) >= 0.8. Classes are the connected components.
 
 Identical word sequences are one node from the start. Within a bucket all
-pairs are tried up to ``SMALL`` nodes; beyond that every node is tried with the
-bucket's smallest node. What this leaves out is found through the leader: if x
-is no link of leader a, any link y of x shares a shingle with x that a does not
-have. Both are therefore put into new buckets by the shingles that a lacks
-(the shingles of smallest hash, as many as a pair of 0.8 must have one of in
-common), and the search goes on there until no bucket is left. So no bucket is
-capped, and none is expanded into all its pairs.
+pairs are tried up to ``SMALL`` nodes, or more while the pairs of the whole
+corpus stay in proportion to it; beyond that every node is tried with the
+bucket's most typical node, its leader. What this leaves out is found through the
+leader: if x is no link of leader a, any link y of x shares a shingle with x
+that a does not have. Both are therefore put into new buckets by the shingles
+that a lacks (the rarest, as many as a pair of 0.8 must have one of in common), and the search goes on there until no bucket holds two nodes that
+were not linked through the same leader. So no bucket is capped, and none is
+expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from .common import Scratch, map_batches, with_package, words_of
 from .components import components
@@ -36,7 +38,8 @@ K = 5
 LEAST = 0.8
 BANDS = 16  # a pair of 0.8 misses all of them once in 100,000: (1 - 0.8^3)^16
 PICKED = 3
-SMALL = 6
+SMALL = 32  # nodes of a bucket whose pairs are all tried, at least
+PAIRS_PER_NODE = 2  # of the corpus: what the first round may spend on all pairs of larger buckets; doubled in each next one
 
 _U = np.uint64
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], _U)
@@ -192,45 +195,74 @@ def codes_of(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("text"), step, "node binary, codes binary")
 
 
-def _candidates(keys: DataFrame) -> DataFrame:
-    """``keys(key, node)`` to pairs (a, b, shared, large): all pairs of small
-    buckets; of the others each node with the smallest."""
-    sized = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1")
+def _candidates(keys: DataFrame, pairs_allowed: int) -> DataFrame:
+    """``keys(key, node, side)`` to pairs (a, b, side_a, side_b, large): all
+    pairs of small buckets, of the others each node with the leader. Nodes of
+    equal ``side`` are known to be of one class; a bucket of one side is closed."""
+    sized = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("x"), F.max("side").alias("y"))
+    sized = sized.filter("n > 1 AND x <> y").drop("x", "y")
+    # the largest power of two up to which all pairs are few enough: 64 sums at most
+    by_size = sized.groupBy(F.ceil(F.log2("n")).alias("e")).agg(F.sum(F.col("n") * F.col("n") / 2).alias("pairs")).orderBy("e").collect()
+    small, spent = SMALL, 0.0
+    for row in by_size:
+        spent += row["pairs"]
+        if spent <= pairs_allowed:
+            small = max(small, 2 ** row["e"])
     members = keys.join(sized, "key")
-    stars = members.filter("node > leader").select("key", F.col("leader").alias("a"), F.col("node").alias("b"), (F.col("n") > SMALL).alias("large"))
-    few = members.filter((F.col("n") > 2) & (F.col("n") <= SMALL) & (F.col("node") > F.col("leader"))).select("key", "node")
-    rest = few.join(few.withColumnRenamed("node", "other"), "key").filter("node < other").select("key", F.col("node").alias("a"), F.col("other").alias("b"), F.lit(False).alias("large"))
-    return stars.unionByName(rest).groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("large").alias("large"))
+    # a large bucket's leader is its most typical node, whose buckets are the fullest: the others then differ from it by little
+    crowd = members.filter(f"n > {small}").select("key", "node", "side", "n")
+    typical = crowd.join(crowd.groupBy("node").agg(F.sum("n").alias("weight")), "node")
+    leaders = typical.groupBy("key").agg(F.max(F.struct("weight", "node", "side")).alias("x")).select("key", F.col("x.node").alias("leader"), F.col("x.side").alias("side_a"))
+    stars = crowd.join(leaders, "key").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), "side_a", F.col("side").alias("side_b"), F.lit(True).alias("large"))
+    few = members.filter(f"n <= {small}").select("key", "node", "side")
+    other = few.select("key", F.col("node").alias("b"), F.col("side").alias("side_b"))
+    rest = few.join(other, "key").filter("node < b AND side <> side_b").select(F.col("node").alias("a"), "b", F.col("side").alias("side_a"), "side_b", F.lit(False).alias("large"))
+    return stars.unionByName(rest).groupBy("a", "b").agg(F.min("side_a").alias("side_a"), F.min("side_b").alias("side_b"), F.max("large").alias("large"))
 
 
 def _verify(pairs: DataFrame, codes: DataFrame) -> DataFrame:
-    """Adds ``similar`` and, for pairs of large buckets, ``rest``: the next
-    bucket keys of both nodes by the shingles that the leader lacks."""
+    """Adds ``similar`` and, for pairs of large buckets, ``rest``: the shingles
+    of b that the leader a lacks, and how many of them (``most``) a link of 0.8
+    must have one of in common, whatever their order."""
     member = codes.select(F.col("node").alias("b"), F.col("codes").alias("cb"))
     leader = codes.select(F.col("node").alias("a"), F.col("codes").alias("ca"))
-    both = pairs.select("a", "b", "large").join(member, "b").join(leader, "a")
+    both = pairs.join(member, "b").join(leader, "a").select("a", "b", "side_a", "side_b", "large", "ca", "cb")
 
     def run(batches):
         last, ca, la = None, None, None
         for batch in batches:
-            sims, rests = [], []
-            for a, cell, cell_b, large in zip(*(batch.column(c).to_pylist() for c in ("a", "ca", "cb", "large")), strict=True):
+            sims, rests, most = [], [], []
+            for a, cell, cell_b, large, side_a, side_b in zip(*(batch.column(c).to_pylist() for c in ("a", "ca", "cb", "large", "side_a", "side_b")), strict=True):
                 if a != last:
                     last, ca = a, np.frombuffer(cell, np.uint32)
                     la = _labels(ca)
                 cb = np.frombuffer(cell_b, np.uint32)
                 lb = _labels(cb)
-                sims.append(similarity(ca, cb, la, lb))
+                sims.append(similarity(ca, cb, la, lb) if side_a != side_b else 0.0)
                 rest = []
                 if large:
-                    lacks = np.sort(np.setdiff1d(lb, la, assume_unique=True))[: len(lb) // 5 + 1]
+                    lacks = np.setdiff1d(lb, la, assume_unique=True)
                     salt = np.frombuffer(a, _U)
                     rest = _mix((lacks ^ salt[0]) * _U(0x9E3779B97F4A7C15) + salt[1]).view(np.int64).tolist()
                 rests.append(rest)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64()), batch.column("large"), pa.array(rests, pa.list_(pa.int64()))],
-                                             names=["a", "b", "similar", "large", "rest"])
+                most.append(len(lb) // 5 + 1)
+            cols = [batch.column(c) for c in ("a", "b", "side_a", "side_b", "large")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sims, pa.float64()), pa.array(rests, pa.list_(pa.int64())), pa.array(most, pa.int32())],
+                                             names=["a", "b", "side_a", "side_b", "large", "similar", "rest", "most"])
 
-    return both.mapInArrow(run, "a binary, b binary, similar double, large boolean, rest array<bigint>")
+    return both.mapInArrow(run, "a binary, b binary, side_a binary, side_b binary, large boolean, similar double, rest array<bigint>, most int")
+
+
+def _next_keys(done: DataFrame) -> DataFrame:
+    """``keys(key, node, side)`` of the next round. Of the shingles that its
+    leader lacks a node takes the ``most`` rarest among the leader's members;
+    those that nobody else has count but need no bucket."""
+    side = F.when(F.col("similar") > 0, F.col("side_a")).otherwise(F.col("side_b"))  # nodes linked to a leader take its side
+    each = done.filter("large").select("a", "b", side.alias("side"), "most", F.size("rest").alias("all"), F.explode("rest").alias("key"))
+    shared = each.join(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+    own = W.partitionBy("a", "b")
+    ranked = shared.withColumn("common", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("n", "key")))
+    return ranked.filter("rank <= most - (all - common)").groupBy("key", F.col("b").alias("node")).agg(F.min("side").alias("side"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -245,8 +277,9 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = with_package(docs.sparkSession)
     scratch = Scratch(spark)
     drawn = scratch.keep(sketch(docs))
-    keys = scratch.keep(drawn.filter("node IS NOT NULL").select(F.explode("keys").alias("key"), "node").distinct())
-    pairs = scratch.keep(_candidates(keys))
+    keys = scratch.keep(drawn.filter("node IS NOT NULL").select(F.explode("keys").alias("key"), "node").distinct().withColumn("side", F.col("node")))
+    allowed = PAIRS_PER_NODE * drawn.count()
+    pairs = scratch.keep(_candidates(keys, allowed))
     scratch.drop(keys)
     # one text of each node that is in a pair; a lone document's text is not moved any further
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -254,34 +287,34 @@ def classes(docs: DataFrame) -> DataFrame:
     ids = ids.select(F.when(F.col("nulls"), None).otherwise(F.col("id")).alias("id")).distinct()
     codes = codes_of(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"))
     codes = scratch.keep(codes.groupBy("node").agg(F.max("codes").alias("codes")))
-    links, pending, tested, roots = [], [], None, None
-    first = True
+    rounds: list[DataFrame] = []
     while True:
-        if first:  # each node with the candidate it shares most keys with; most other pairs need no look after that
-            now = pairs.groupBy("b").agg(F.max(F.struct("shared", "a", "large")).alias("x")).select(F.col("x.a").alias("a"), "b", F.col("x.large").alias("large"))
-        else:
-            now = pairs.select("a", "b", "large")
-            if tested is not None:
-                now = now.join(tested.select("a", "b", F.col("large").alias("was")), ["a", "b"], "left").filter("was IS NULL OR (large AND NOT was)").drop("was")
-            if roots is not None:  # pairs already in one class need no look, but a large bucket's next keys do
-                ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-                now = now.join(ra, "a", "left").join(rb, "b", "left").filter("large OR coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "large")
-        done = scratch.keep(_verify(now, codes))
-        pending.append(done)
-        links.append(done.filter(F.col("similar") > 0).select("a", "b"))
-        tested = done if tested is None else tested.unionByName(done)
-        roots = components(reduce(DataFrame.unionByName, links), scratch)
-        if not first:
-            # a bucket of next keys matters only while it joins different classes
-            turned = reduce(DataFrame.unionByName, pending)
-            pending = []
-            fresh = turned.filter("large").select("b", F.explode("rest").alias("key")).select("key", F.col("b").alias("node")).distinct()
-            known = fresh.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("r"))
-            open_keys = known.groupBy("key").agg(F.min("r").alias("x"), F.max("r").alias("y")).filter("x <> y").select("key")
-            pairs = scratch.keep(_candidates(fresh.join(open_keys, "key", "left_semi")))
-            if pairs.isEmpty():
-                break
-        first = False
+        if rounds:  # what was tried is not tried again, unless a large bucket asks for its next keys
+            tried = reduce(DataFrame.unionByName, [r.select("a", "b", "large") for r in rounds]).groupBy("a", "b").agg(F.max("large").alias("was"))
+            pairs = pairs.join(tried, ["a", "b"], "left").filter("was IS NULL OR (large AND NOT was)").drop("was")
+        done = scratch.keep(_verify(pairs, codes))
+        rounds.append(done)
+        allowed *= 2
+        pairs = scratch.keep(_candidates(_next_keys(done), allowed))
+        if pairs.isEmpty():
+            break
+    roots = components(reduce(DataFrame.unionByName, [r.filter("similar > 0").select("a", "b") for r in rounds]), scratch)
     named = drawn.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class"))
     names = named.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return named.join(names, "class", "left").select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.col("class").isNotNull().alias("has_words"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each class: of the smallest doc_id, and of
+    equal ids one. Texts without words all stay. All columns are kept."""
+    named = classes(docs)
+    scratch = Scratch(docs.sparkSession)
+    chosen = named.filter("has_words AND doc_id <=> class_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
+    chosen = scratch.keep(chosen)
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+    single = docs.filter(has_words).join(chosen.filter("copies = 1").select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # several rows with the chosen id: one of each word sequence stays
+    several = docs.filter(has_words).join(chosen.filter("copies > 1").select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    several = several.withColumn("_words", F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")).dropDuplicates(["doc_id", "_words"])
+    return single.select(*cols).unionByName(several.select(*cols)).unionByName(docs.filter(~has_words).select(*cols))
