@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -50,15 +51,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, k: int = ANCHOR):
-    """Anchor hash, document number, first window and number of windows of all
-    contexts of documents laid end to end."""
+    """Anchor hash, context hash, document number, first window and number of
+    windows of all contexts of documents laid end to end."""
     n, w = len(data), length - k + 1
     ends = np.cumsum(sizes)
     starts = ends - sizes
     if n < length:
-        return (np.empty(0, np.int64),) * 4
+        return (np.empty(0, np.int64),) * 5
     sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[data] * _powers(_BASE, n))])
-    grams = _mix((sums[k:] - sums[:-k]) * _powers(_BACK, n - k + 1))
+    back = _powers(_BACK, n)
+    grams = _mix((sums[k:] - sums[:-k]) * back[: n - k + 1])
     # 40 bits of the hash, then the place: the leftmost of the smallest
     low = (grams & ~_U(0xFFFFFF)) | np.arange(len(grams), dtype=_U) % _U(1 << 24)
     span = 1
@@ -74,7 +76,9 @@ def contexts(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, k: int =
     many = np.diff(np.append(cut, len(at)))
     place = (mine[cut] & _U(0xFFFFFF)).astype(np.int64)
     place += (at[cut] - place + (1 << 23)) >> 24 << 24  # places are kept modulo 2^24
-    return grams[place].view(np.int64), doc[cut], at[cut] - starts[doc[cut]], many
+    first = at[cut]
+    whole = _mix((sums[first + many - 1 + length] - sums[first]) * back[first] + (place - first).astype(_U) * _U(0xC2B2AE3D27D4EB4F) + many.astype(_U))
+    return grams[place].view(np.int64), whole.view(np.int64), doc[cut], first - starts[doc[cut]], many
 
 
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
@@ -113,15 +117,24 @@ def equal_windows(s: np.ndarray, length: int) -> np.ndarray:
     first = s[order]  # F column; the transform is s[order - 1]
     right = row_of[np.minimum(order + 1, n - 1)]  # the row one step to the right: where this row's backward extension started
     new = np.concatenate([[True], first[1:] != first[:-1]]) | (first == 0)  # level 1; a separator ends every match
-    for _ in range(length - 1):
+    rows = np.arange(n)  # rows still looked at: those that are not alone
+    for level in range(length - 1):
         live = np.flatnonzero(~new)  # rows that are still one with the row above
         if not len(live):
             break
-        group = np.cumsum(new)
+        group = np.append(np.cumsum(new), -1)  # the last: of rows no longer looked at
         # extended rows stay together only if their rests are in one interval of the level before
-        apart = group[right[live]] != group[right[live - 1]]
-        new = new.copy()
-        new[live[apart]] = True
+        g, above = group[right[live]], group[right[live - 1]]
+        new[live[(g != above) | (g < 0)]] = True
+        if level % 8 == 7:
+            alone = new & np.append(new[1:], True)
+            kept = np.flatnonzero(~alone)
+            here = np.full(len(new) + 1, len(kept))
+            here[kept] = np.arange(len(kept))
+            rows, right, new = rows[kept], here[right[kept]], new[kept]
+    whole = np.ones(n, bool)
+    whole[rows] = new
+    new = whole
     group = np.cumsum(new)
     size = np.bincount(group, minlength=group[-1] + 1 if n else 1)
     out = np.full(n, -1, np.int64)
@@ -129,7 +142,7 @@ def equal_windows(s: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def repeated(order: np.ndarray, texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+def repeated(order: np.ndarray, texts: list[bytes], routes: list[int], length: int = LENGTH) -> list[np.ndarray]:
     """For contexts with their rank in corpus order: which of their windows
     start earlier in another of them (or in themselves)."""
     dup = [np.zeros(len(t) - length + 1, bool) for t in texts]
@@ -141,7 +154,10 @@ def repeated(order: np.ndarray, texts: list[bytes], length: int = LENGTH) -> lis
         else:
             seen[texts[i]] = i
             distinct.append(i)
-    if len(distinct) < 2:
+    # equal windows have equal anchors: an anchor with one context has no more
+    many = Counter(routes[i] for i in distinct)
+    distinct = [i for i in distinct if many[routes[i]] > 1]
+    if not distinct:
         return dup
     s = np.concatenate([np.append(np.frombuffer(texts[i], np.uint8).astype(np.uint16) + 1, 0) for i in distinct]).astype(np.uint16)
     label = equal_windows(s, length)
@@ -199,15 +215,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     def cut(b: pa.RecordBatch) -> dict:
         raw = b.column("text").cast(pa.binary()).to_pylist()
         sizes = np.array([len(x) for x in raw], np.int64)
-        anchor, doc, first, many = contexts(np.frombuffer(b"".join(raw), np.uint8), sizes, length)
-        return {"a": anchor, "d": b.column("d").to_numpy()[doc], "tie": b.column("tie").to_numpy()[doc], "f": first, "n": many}
+        anchor, whole, doc, first, many = contexts(np.frombuffer(b"".join(raw), np.uint8), sizes, length)
+        return {"a": anchor, "c": whole, "d": b.column("d").to_numpy()[doc], "tie": b.column("tie").to_numpy()[doc], "f": first, "n": many}
 
-    found = map_batches(once.select("d", "tie", "text"), cut, "a long, d long, tie long, f int, n int", most_bytes=2 << 20)
+    found = map_batches(once.select("d", "tie", "text"), cut, "a long, c long, d long, tie long, f int, n int", most_bytes=2 << 20)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = found.repartition(parts, "a")  # one shuffle for the count and the join
-    again = dealt.groupBy("a").agg(F.count("*").alias("m")).filter("m > 1")
-    per_doc = dealt.join(again, "a").groupBy("d", "tie").agg(F.collect_list(F.struct("a", "f", "n", "m")).alias("marks"))
-    per_doc = scratch.keep(per_doc)
+    again = dealt.groupBy("a").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("d").alias("d0")).filter("m > 1")
+    # where all contexts of an anchor are equal (by 64 bits each of anchor and context), all but the first are repeats
+    marks = dealt.join(again, "a").select("d", "tie", F.struct("a", "f", "n", "m", (F.col("c0") == F.col("c1")).alias("alike"), (F.col("d") > F.col("d0")).alias("later")).alias("mark"))
+    per_doc = scratch.keep(marks.groupBy("d", "tie").agg(F.collect_list("mark").alias("marks")))
+    alike = per_doc.select("d", "tie", F.explode(F.filter("marks", lambda m: m["alike"] & m["later"])).alias("x")).select("d", "tie", F.col("x.f").alias("s"), (F.col("x.f") + F.col("x.n") - 1 + length).alias("e"))
+    # the others' text is wanted; equal contexts in the first document itself are settled along with them
+    per_doc = per_doc.select("d", "tie", F.filter("marks", lambda m: ~(m["alike"] & m["later"])).alias("marks")).filter(F.exists("marks", lambda m: ~m["alike"]) | (F.size(F.array_distinct(F.transform("marks", lambda m: m["a"]))) < F.size("marks")))
 
     def slices(b: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c: [] for c in ("route", "d", "tie", "f", "settled", "ctx")}
@@ -216,8 +236,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         marks, raw = b.column("marks").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()
         ds, ties = b.column("d").to_pylist(), b.column("tie").to_pylist()
         for i in order.tolist():
+            counts = Counter(m["a"] for m in marks[i])
+            repeats_here = {a: k > 1 for a, k in counts.items()}
             for m in sorted(marks[i], key=lambda x: x["f"]):
                 by_window = m["m"] > MANY
+                if m["alike"] and not repeats_here[m["a"]]:
+                    continue
                 for f, n in ((m["f"] + j, 1) for j in range(m["n"])) if by_window else ((m["f"], m["n"]),):
                     ctx = raw[i][f : f + n - 1 + length]
                     route = int.from_bytes(hashlib.blake2b(ctx, digest_size=8).digest(), "little", signed=True) if by_window else m["a"]
@@ -239,14 +263,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         d, ties, f = (t.column(c).to_numpy() for c in ("d", "tie", "f"))
         rank = np.empty(len(d), np.int64)
         rank[np.lexsort((f, ties, d))] = np.arange(len(d))
-        dup = repeated(rank, t.column("ctx").to_pylist(), length)
+        dup = repeated(rank, t.column("ctx").to_pylist(), t.column("route").to_pylist(), length)
         got = [r for i, x in enumerate(dup) if x.any() for r in _runs(int(d[i]), int(ties[i]), int(f[i]), x, length)]
         return pa.Table.from_arrays([pa.array([g[j] for g in got], x.type) for j, x in enumerate(bound)], schema=bound)
 
     open_pieces = pieces.filter("ctx IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("route"), F.lit(blocks)))
     spans = open_pieces.groupBy("block").applyInArrow(settle, "d long, tie long, s int, e int")
     sure = pieces.filter("ctx IS NULL").select("d", "tie", F.col("f").alias("s"), (F.col("f") + F.col("settled") - 1 + length).alias("e"))
-    removed = spans.unionByName(sure).groupBy("d", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    removed = spans.unionByName(sure).unionByName(alike).groupBy("d", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
     def digest(b: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
