@@ -7,22 +7,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldscope.llm import contamination, sentencepiece_codec
+from fieldscope.llm import contamination, order_minhash, secrets, sentencepiece_codec, toxicity
 from fieldscope.llm.queries import piece_model, table
 from fieldscope.session import checkpoint_dir
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each class stays."""
+    return order_minhash.representatives(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with benchmark passages go."""
     return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return secrets.redact(docs)
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text."""
     return sentencepiece_codec.encode_decode(docs, piece_model())
 
 
 STAGES = [
+    ("toxicity", reject_toxic),
+    ("MinHash near-dedup", near_dedup),
     ("benchmark decontamination", decontaminate),
-    ("sentencepiece", tokenize),
+    ("secret scans", redact_secrets),
+    ("SentencePiece encoding and decoding", tokenize),
 ]
 
 ORACLE_SQL = None  # trained scores, near-duplicate classes and token ids are beyond SQL
