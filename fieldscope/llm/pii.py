@@ -161,8 +161,9 @@ def redrawn(docs: DataFrame, key: str, most_attempts: int = 20) -> DataFrame | N
     for attempt in range(1, most_attempts + 1):
         now = entities if moved is None else entities.join(moved.withColumnRenamed("attempt", "again"), "entity", "left").select("entity", F.coalesce("again", "attempt").alias("attempt"))
         drawn = now.select("entity", "attempt", _kind(F.col("entity")).alias("kind")).withColumn("s", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key))
-        shared = drawn.groupBy("s").agg(F.count("*").alias("n"), F.min("entity").alias("first")).filter("n > 1").select("s", "first")
-        losers = drawn.join(shared, "s").filter("entity <> first").select("entity")
+        drawn = drawn.withColumn("same", F.lower("entity"))  # ways of writing one entity share its surrogate
+        shared = drawn.groupBy("s").agg(F.min("same").alias("first"), F.max("same").alias("last")).filter("first <> last").select("s", "first")
+        losers = drawn.join(shared, "s").filter("same <> first").select("entity")
         real = drawn.join(entities.select(F.col("entity").alias("s")), "s", "left_semi").select("entity")
         again = losers.unionByName(real).distinct().withColumn("attempt", F.lit(attempt))
         if again.isEmpty():
@@ -179,9 +180,9 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     Null and empty texts and texts without entities stay as they are. Rows do
     not depend on their id, so repeated and null ids are safe.
     """
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "n_entities"])
     again = redrawn(docs, key)
     text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.expr("cast(array() AS array<string>)")
     if again is None:
         given = docs.withColumn("n_entities", _entities(text))
         draw = lambda e: _let(F.struct(e.alias("e"), _kind(e).alias("k")), lambda x: surrogate(x["k"], x["e"], F.lit(0), key))
@@ -195,5 +196,5 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
         draw = lambda e: _let(F.struct(e.alias("e"), _kind(e).alias("k"), F.coalesce(F.try_element_at(F.col("m"), e), F.lit(0)).alias("a")), lambda x: surrogate(x["k"], x["e"], x["a"], key))
     put = F.concat(F.array_join(F.flatten(F.zip_with(F.split(F.col("text"), ANY, -1), F.transform("n_entities", draw), lambda gap, s: F.array(F.coalesce(gap, F.lit("")), F.coalesce(s, F.lit(""))))), ""))
     out = given.withColumn("text", F.when(F.size("n_entities") > 0, put).otherwise(F.col("text")))
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != "n_entities"]
+    keep = [F.col(f"`{c}`") for c in docs.columns]
     return out.select(*keep, F.size("n_entities").alias("n_entities"))

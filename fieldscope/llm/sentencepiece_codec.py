@@ -21,6 +21,7 @@ import re
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import map_batches, with_package
 
@@ -114,7 +115,7 @@ def encode_decode(docs: DataFrame, model_path: str, with_ids: bool = False, with
 
     schema = docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
     if with_text:
         schema = schema.add("decoded", "string")
     return map_batches(docs.select("doc_id", "text"), step, schema)
