@@ -53,9 +53,11 @@ def read_folder(spark: SparkSession, root: str, glob: str = "*.json") -> DataFra
     empty = _empty_files(spark, root, glob)
     if empty:
         df = df.unionByName(spark.createDataFrame(empty, BINARY_FILE_SCHEMA))
-    r = root.rstrip("/")
+    given = spark._jvm.org.apache.hadoop.fs.Path(root)
+    qualified = given.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(given).toString()
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  one spelling of local paths
     parent = F.regexp_replace(F.col("path"), "/[^/]*$", "")
-    return df.withColumn("in_root", parent.endswith(r) | parent.endswith(r.replace("file://", "")))
+    return df.withColumn("in_root", plain(parent) == plain(F.lit(qualified)))
 
 
 def folder_counts(files: DataFrame) -> DataFrame:
@@ -159,13 +161,8 @@ def tolerant_load(docs: DataFrame, content: str = "content") -> DataFrame:
 def navigate(v: Column, dotted: str) -> Column:
     """Value at a dotted path where digit steps index arrays or name
     object keys (both are tried)."""
-    steps = dotted.split(".")
-    paths = [""]
-    for s in steps:
-        key = '["' + s.replace("\\", "\\\\").replace('"', '\\"') + '"]'
-        nxt = [p + key for p in paths]
-        if s.isdigit():
-            nxt += [p + f"[{int(s)}]" for p in paths]
-        paths = nxt[:16]
-    gets = [F.try_variant_get(v, "$" + p, "variant") for p in paths]
-    return F.coalesce(*gets)
+    for s in dotted.split("."):
+        found = F.try_variant_get(v, '$["' + s.replace("\\", "\\\\").replace('"', '\\"') + '"]', "variant")
+        # a value is an object or an array, so one of the two readings is null
+        v = F.coalesce(found, F.try_variant_get(v, f"$[{int(s)}]", "variant")) if s.isdigit() else found
+    return v

@@ -43,3 +43,20 @@ def test_report_lines_and_sink(spark, tmp_path):
     assert lines[0] == "File: bad.json" and lines[1] == "  Errors:"
     assert "File: warn.json" in lines and "    - Empty string at root.a" in lines
     assert lines[-1] == "  ✓ ok.json"
+
+
+def test_root_is_compared_as_a_whole(spark, tmp_path):
+    root = tmp_path / "docs"
+    again = root / str(root).lstrip("/")  # a subfolder whose path repeats the root's
+    again.mkdir(parents=True)
+    (root / "a.json").write_text("{}")
+    (again / "b.json").write_text("{}")
+    r = files.folder_counts(files.read_folder(spark, str(root))).first()
+    assert (r.root_files, r.subfolder_files) == (1, 1)
+
+
+def test_navigate_has_no_depth_limit(spark):
+    doc = '{"a": [[[[[[42]]]]]], "b": {"0": {"1": "k"}}}'
+    v = F.parse_json(F.lit(doc))
+    got = spark.range(1).select(*[files.navigate(v, p).cast("string").alias(p.replace(".", "_")) for p in ("a.0.0.0.0.0.0", "b.0.1", "a.1", "b.x")]).first()
+    assert tuple(got) == ("42", "k", None, None)
