@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import map_batches, with_package
 
-LEAF = 512  # characters of a block, about
+LEAF = 128  # characters of a block, about: an edit re-encodes one or two of them
 FANOUT = 32
 LEAVES = ArrayType(IntegerType())
 _CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
