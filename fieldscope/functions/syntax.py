@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+# of documents that are valid for Python's json but have no Variant value
+NO_STRUCTURE = "Structure not available: NaN, Infinity, nesting or size beyond the limits of a value"
+
 SYNTAX_T = T.StructType([
     T.StructField("ok", T.BooleanType()), T.StructField("line", T.IntegerType()),
     T.StructField("col", T.IntegerType()), T.StructField("msg", T.StringType()),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.syntax import syntax_verdict
+from ..functions.syntax import NO_STRUCTURE, syntax_verdict
 from . import walk
 
 # Python's str.strip()/\s whitespace, for blank tests.
@@ -198,8 +198,11 @@ def validate(docs: DataFrame, key: str = "doc_id", content: str = "content", sch
     )
     parsed_ok = F.col("_syn.ok") & F.col("v").isNotNull()
     warn_tail = F.concat(struct_issues, F.coalesce(F.col("type_issues"), F.array().cast("array<string>")), common_issues(c))
+    # valid syntax without a value: never silently valid where something was to be checked
+    unread = F.col("_syn.ok") & F.col("v").isNull()
+    unread_error = unread & (F.lit(schema is not None) | (F.col("_size") > large_bytes))
     warnings = F.concat(
-        F.filter(F.array(large), lambda x: x.isNotNull()),
+        F.filter(F.array(large, F.when(unread & ~unread_error, F.lit(NO_STRUCTURE))), lambda x: x.isNotNull()),
         F.when(parsed_ok, warn_tail).otherwise(F.array().cast("array<string>")),
     )
     syn_err = F.format_string("JSON syntax error at line %d, column %d: %s", F.col("_syn.line"), F.col("_syn.col"), F.col("_syn.msg"))
@@ -207,6 +210,7 @@ def validate(docs: DataFrame, key: str = "doc_id", content: str = "content", sch
         F.when(~F.col("_utf8"), F.array(F.lit("Encoding error: invalid UTF-8")))
         .when(F.col("_blank"), F.array(F.lit("File is empty")))
         .when(~F.col("_syn.ok"), F.array(syn_err))
+        .when(unread_error, F.array(F.lit(NO_STRUCTURE)))
         .otherwise(F.when(F.col("v").isNotNull(), schema_errors("v", schema)).otherwise(F.array().cast("array<string>")))
     )
     out = d.select(

@@ -7,7 +7,7 @@ damage are recomputed with joins, window functions and modular arithmetic.
 
 from __future__ import annotations
 
-from .queries import CROSS_NAMES, CUSTOMER_ORDERS, EXPECTED_ORDER_FIELDS, PINNED_RATIOS, VARIANTS
+from .queries import CROSS_NAMES, CUSTOMER_ORDERS, EVENT_FIELDS, EXPECTED_ORDER_FIELDS, PINNED_RATIOS, VARIANTS
 from ..sources.fixtures import LINEITEM_FIELDS, ORDER_FIELDS
 
 
@@ -164,6 +164,14 @@ def _both_ctes() -> str:
     return F2_PATHS + "," + compare_ctes("b", "f2_paths", ["doc_id"], rows)
 
 
+F3_PATHS = f"""
+f3_paths AS (
+  SELECT event_id AS doc_id, p.path FROM events CROSS JOIN {_values([(f,) for f in ("event_id", "event_type", "user", "props", "props.k")], "p(path)")}
+  WHERE event_id % 8 NOT IN (2, 3, 4)
+  UNION ALL
+  SELECT event_id AS doc_id, 'note' AS path FROM events WHERE event_id % 8 = 5
+)"""
+
 _CMP_COLS = "doc_id, catalog, field_name, db_field, json_field, status, match_kind, similarity, category"
 
 SYNTAX_ERR = """CASE event_id % 8
@@ -293,6 +301,10 @@ def oracle_sql() -> dict[str, str]:
         CASE event_id % 8 WHEN 0 THEN 'trailing_comma' WHEN 1 THEN 'bom' WHEN 2 THEN 'failed' WHEN 3 THEN 'failed'
              WHEN 4 THEN 'failed' ELSE 'none' END AS repair,
         event_id % 8 NOT IN (2, 3, 4) AS loaded FROM events"""
+    sql["compare_dirty"] = ("WITH " + F3_PATHS + "," + compare_ctes("d", "f3_paths", ["doc_id"], _catalog_rows({"events": EVENT_FIELDS}))
+                            + f" SELECT {_CMP_COLS} FROM d_cmp")
+    sql["compare_failed"] = f"""SELECT event_id AS doc_id, 'failed' AS repair, {SYNTAX_ERR} AS error
+      FROM events WHERE event_id % 8 IN (2, 3, 4)"""
     sql["validation_summary"] = """SELECT count(*) AS total_files, count(*) FILTER (WHERE event_id % 8 IN (5, 6, 7)) AS valid_files,
         count(*) FILTER (WHERE event_id % 8 NOT IN (5, 6, 7)) AS invalid_files,
         count(*) FILTER (WHERE event_id % 8 = 5) AS files_with_warnings FROM events"""
@@ -330,7 +342,7 @@ def oracle_sql() -> dict[str, str]:
     sql["clean_values"] = f"""SELECT doc_id, CAST(length(text) - length({t3}) AS BIGINT) AS removed,
         CAST(length({t3}) AS BIGINT) AS cleaned_length FROM documents"""
     sql["clean_docs"] = """SELECT event_id AS doc_id, CAST(1 AS BIGINT) AS removed, false AS still_has_hash
-      FROM events WHERE event_id % 8 IN (5, 6, 7)"""
+      FROM events WHERE event_id % 8 NOT IN (2, 3, 4)"""
     sql["minified"] = """SELECT 'p' || CAST(event_id AS VARCHAR) AS doc, true AS minified FROM events
       UNION ALL SELECT 'd' || CAST(event_id AS VARCHAR), false FROM events"""
     sql["catalog_from_paragraphs"] = """WITH p AS (

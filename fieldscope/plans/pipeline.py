@@ -9,8 +9,8 @@ from ..operators import match, walk
 from ..session import materialize
 
 
-def parse_docs(docs: DataFrame, content: str = "content", tolerant: bool = False) -> DataFrame:
-    """Documents -> ``v`` VARIANT. ``tolerant`` adds the S3 repairs."""
+def parse_docs(docs: DataFrame, content: str = "content", tolerant: bool = True) -> DataFrame:
+    """Documents -> ``v`` VARIANT. ``tolerant`` loads as S3 does: strictly, then with repairs."""
     if tolerant:
         from ..sources.files import tolerant_load
 
@@ -18,10 +18,13 @@ def parse_docs(docs: DataFrame, content: str = "content", tolerant: bool = False
     return walk.parse(docs, content)
 
 
-def file_profile(docs: DataFrame, key: str = "doc_id", content: str = "content", tolerant: bool = False,
+def file_profile(docs: DataFrame, key: str = "doc_id", content: str = "content", tolerant: bool = True,
                  spread: int | None = None, by_shape: bool = True) -> DataFrame:
     """Per document: sorted paths, signature, null-parent and array maps.
 
+    Documents that do not load have no row here; ``files.load_status`` lists
+    them with their error.
+
     ``by_shape`` walks one document per distinct Variant schema (see
     ``match.shape_profile``); otherwise every document is walked.
     """
@@ -39,10 +42,10 @@ def file_profile(docs: DataFrame, key: str = "doc_id", content: str = "content",
     return materialize(match.profile(walk.nodes(u, keys=(key, "unit")), (key,), level="file"))
 
 
-def record_profile(docs: DataFrame, key: str = "doc_id", content: str = "content", tolerant: bool = False,
+def record_profile(docs: DataFrame, key: str = "doc_id", content: str = "content", tolerant: bool = True,
                    spread: int | None = None, by_shape: bool = True) -> DataFrame:
     """Per record of documents with more than one record."""
-    parsed = parse_docs(docs.select(key, content), content, tolerant).select(key, "v")
+    parsed = parse_docs(docs.select(key, content), content, tolerant).where(F.col("v").isNotNull()).select(key, "v")
     u = walk.units(parsed, key=key, spread=spread)
     r = match.record_units(u, key)
     if by_shape:
@@ -51,9 +54,9 @@ def record_profile(docs: DataFrame, key: str = "doc_id", content: str = "content
     return materialize(match.profile(n, (key, "record_idx"), level="record"))
 
 
-def compare_documents(docs: DataFrame, catalog: DataFrame, key: str = "doc_id", **kw) -> DataFrame:
-    """E1 file level: the comparison table for every document."""
-    return match.compare(file_profile(docs, key), catalog, keys=(key,), **kw)
+def compare_documents(docs: DataFrame, catalog: DataFrame, key: str = "doc_id", tolerant: bool = True, **kw) -> DataFrame:
+    """E1 file level: the comparison table for every document that loads."""
+    return match.compare(file_profile(docs, key, tolerant=tolerant), catalog, keys=(key,), **kw)
 
 
 def compare_records(docs: DataFrame, catalog: DataFrame, key: str = "doc_id", only_issues: bool = True, **kw) -> DataFrame:

@@ -52,6 +52,7 @@ EVENT_SCHEMA_RULES = {
     "properties": {"event_id": {"type": "integer"}, "event_type": {"type": "string"},
                    "props": {"type": "object"}, "user": {"type": "number"}},
 }
+EVENT_FIELDS = ["Event ID", "event-type", "user", "K", "note", "session"]
 CLEAN_TOKENS = {"text": ["é", "ç"]}
 USER_TOKENS = {"user": ["#"]}
 
@@ -300,6 +301,18 @@ def q_load_stats(spark, sf):
     return rollup.load_stats(src_files.tolerant_load(fx.dirty_docs(spark, sf)))
 
 
+def q_compare_dirty(spark, sf):
+    """E1 over damaged documents: the repairable ones are compared too."""
+    configure(spark)
+    return _rounded(pipeline.compare_documents(fx.dirty_docs(spark, sf), cg.from_dict(spark, {"events": EVENT_FIELDS})))
+
+
+def q_compare_failed(spark, sf):
+    """The documents that E1 could not compare, with their errors."""
+    configure(spark)
+    return src_files.load_status(fx.dirty_docs(spark, sf)).where(~F.col("loaded")).select("doc_id", "repair", "error")
+
+
 def q_special_chars_by_lang(spark, sf):
     configure(spark)
     t = fx.text_values(spark, sf)
@@ -327,7 +340,7 @@ def q_clean_values(spark, sf):
 
 def q_clean_docs(spark, sf):
     configure(spark)
-    docs = src_files.tolerant_load(fx.dirty_docs(spark, sf)).where(F.col("repair") == "none")
+    docs = src_files.tolerant_load(fx.dirty_docs(spark, sf)).where(F.col("v").isNotNull()).withColumn("content", src_files.repaired_text())
     c = clean_ops.clean_documents(docs.select("doc_id", "content"), field_tokens=USER_TOKENS)
     return c.select("doc_id", F.col("removed").cast("bigint").alias("removed"),
                     F.col("cleaned").contains("#").alias("still_has_hash"))
@@ -392,6 +405,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "structure_diff": q_structure_diff,
     "expected_check": q_expected_check,
     "load_repair": q_load_repair,
+    "compare_dirty": q_compare_dirty,
+    "compare_failed": q_compare_failed,
     "validation_summary": q_validation_summary,
     "validation_details": q_validation_details,
     "schema_rules": q_schema_rules,

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from ..functions.syntax import NO_STRUCTURE, syntax_verdict
+
 BINARY_FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("modificationTime", T.TimestampType()),
@@ -65,25 +67,30 @@ def folder_counts(files: DataFrame) -> DataFrame:
     return files.agg(F.count_if("in_root").alias("root_files"), F.count_if(~F.col("in_root")).alias("subfolder_files"))
 
 
+def _paired(content: Column, little: bool) -> Column:
+    """Whether every surrogate of UTF-16 bytes is one of a pair."""
+    units = F.regexp_replace(F.hex(content), "(..)(..)", "$2$1 " if little else "$1$2 ")
+    return ~F.regexp_replace(units, "D[89AB].. D[C-F].. ", "").rlike("D[89A-F].. ")
+
+
 def decode(content: Column) -> tuple[Column, Column]:
     """Bytes -> (text, encoding) without a statistical detector.
 
     Valid UTF-8 is read as UTF-8 (a UTF-8 BOM stays a U+FEFF character, as
     with Python's ``utf-8`` codec, and is removed by the loader); a UTF-16
     BOM selects UTF-16; otherwise even-length data is tried as UTF-16-LE;
-    anything else cannot be decoded (NULL).
+    anything else, a lone surrogate included, cannot be decoded (NULL).
     """
     head = F.hex(F.substring(content, 1, 2))
     utf8 = F.call_function("is_valid_utf8", content)
-    enc = (
-        F.when(utf8, F.lit("utf-8"))
-        .when(head.isin("FFFE", "FEFF"), F.lit("utf-16"))
-        .when(F.length(content) % 2 == 0, F.lit("utf-16-le"))
-    )
+    even = F.length(content) % 2 == 0
+    big, little = even & (head == "FEFF") & _paired(content, False), even & _paired(content, True)
+    little_bom, little_bare = little & (head == "FFFE"), little & ~head.isin("FFFE", "FEFF")
+    enc = F.when(utf8, F.lit("utf-8")).when(big | little_bom, F.lit("utf-16")).when(little_bare, F.lit("utf-16-le"))
     text = (
         F.when(utf8, F.decode(content, "UTF-8"))
-        .when(head.isin("FFFE", "FEFF"), F.decode(content, "UTF-16"))
-        .when(F.length(content) % 2 == 0, F.decode(content, "UTF-16LE"))
+        .when(big | little_bom, F.decode(content, "UTF-16"))
+        .when(little_bare, F.decode(content, "UTF-16LE"))
     )
     return text, enc
 
@@ -104,7 +111,7 @@ def _repair_kind(text: pd.Series) -> pd.Series:
             json.loads(t)
             out.append("none")
             continue
-        except ValueError:
+        except (ValueError, RecursionError):
             pass
         if t.startswith("\ufeff"):
             t = t[1:]
@@ -112,7 +119,7 @@ def _repair_kind(text: pd.Series) -> pd.Series:
                 json.loads(t)
                 out.append("bom")
                 continue
-            except ValueError:
+            except (ValueError, RecursionError):
                 pass
         fixed = _TRAILING.sub(r"\1", t)
         if fixed != t:
@@ -120,12 +127,15 @@ def _repair_kind(text: pd.Series) -> pd.Series:
                 json.loads(fixed)
                 out.append("trailing_comma")
                 continue
-            except ValueError:
+            except (ValueError, RecursionError):
                 pass
         out.append("failed")
     return pd.Series(out, dtype=object)
 
 
+_repair_kind = _repair_kind.asNondeterministic()  # one evaluation, whatever filters follow
+
+
 def repaired_text(content: str = "content") -> Column:
     """The text that ``tolerant_load`` parsed (needs its ``repair`` column)."""
     c = F.col(content)
@@ -146,16 +156,23 @@ def tolerant_load(docs: DataFrame, content: str = "content") -> DataFrame:
     before a closing bracket on the BOM-less text. The text that parsed is
     parsed again natively into VARIANT.
     """
+    return docs.withColumn("repair", _repair_kind(F.col(content))).withColumn("v", F.try_parse_json(repaired_text(content)))
+
+
+def load_status(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """One row per document: ``repair``, ``loaded`` and, where it did not load
+    and so has no rows in a comparison, the ``error``."""
     c = F.col(content)
-    d = docs.withColumn("repair", _repair_kind(c))
-    nobom = F.when(c.startswith("\ufeff"), F.expr(f"substring({content}, 2)")).otherwise(c)
-    fixed = F.regexp_replace(nobom, r"(?U),(\s*[}\]])", "$1")
-    text = (
-        F.when(F.col("repair") == "none", c)
-        .when(F.col("repair") == "bom", nobom)
-        .when(F.col("repair") == "trailing_comma", fixed)
+    d = tolerant_load(docs.select(key, content), content)
+    d = d.withColumn("_syn", syntax_verdict(F.when(F.col("repair") == "failed", c)))
+    syntax = F.format_string("JSON syntax error at line %d, column %d: %s", F.col("_syn.line"), F.col("_syn.col"), F.col("_syn.msg"))
+    error = (
+        F.when(F.col("v").isNotNull(), None)
+        .when(c.isNull() | c.rlike(r"^\s*$"), F.lit("File is empty"))
+        .when(F.col("repair") == "failed", syntax)
+        .otherwise(F.lit(NO_STRUCTURE))
     )
-    return d.withColumn("v", F.try_parse_json(text))
+    return d.select(key, F.coalesce("repair", F.lit("failed")).alias("repair"), F.col("v").isNotNull().alias("loaded"), error.alias("error"))
 
 
 def navigate(v: Column, dotted: str) -> Column:
