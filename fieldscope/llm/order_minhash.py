@@ -11,10 +11,15 @@ Identical word sequences are one node from the start. Within a bucket all
 pairs are tried up to ``SMALL`` nodes, or more while the pairs of the whole
 corpus stay in proportion to it; beyond that every node is tried with the
 bucket's most typical node, its leader. What this leaves out is found through the
-leader: if x is no link of leader a, any link y of x shares a shingle with x
-that a does not have. Both are therefore put into new buckets by the shingles
-that a lacks (the rarest, as many as a pair of 0.8 must have one of in common), and the search goes on there until no bucket holds two nodes that
-were not linked through the same leader. So no bucket is capped, and none is
+leader: links x and y that are not both links of leader a share a shingle that
+a does not have, or all they share lies in a, which then has at least 0.8 of the
+shingles of each. All are therefore put into new buckets by the shingles that a lacks
+(the rarest, as many as a pair of 0.8 must have one of in common), and where a
+holds so much of a node that is no link of it (a part of a longer a, or another
+order), all nodes of which it does also by the shingles they share with it. The search goes on there until no bucket holds two nodes that were not
+linked through the same leader. The order by which leaders are chosen never
+changes and a leader is in none of its new buckets, so each bucket's leader comes
+later in it than that of the bucket before. No bucket is capped, and none is
 expanded into all its pairs.
 """
 
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import Scratch, map_batches, with_package, words_of
+from .common import Scratch, map_batches, sliced, with_package, words_of
 from .components import components
 
 K = 5
@@ -39,6 +44,7 @@ LEAST = 0.8
 BANDS = 16  # a pair of 0.8 misses all of them once in 100,000: (1 - 0.8^3)^16
 PICKED = 3
 SMALL = 32  # nodes of a bucket whose pairs are all tried, at least
+FEW = 2  # nodes besides those of one class that are tried with all of a bucket, at least
 PAIRS_PER_NODE = 2  # of the corpus: what the first round may spend on all pairs of larger buckets; doubled in each next one
 
 _U = np.uint64
@@ -195,72 +201,132 @@ def codes_of(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("text"), step, "node binary, codes binary")
 
 
-def _candidates(keys: DataFrame, pairs_allowed: int) -> DataFrame:
+def _typical(keys: DataFrame) -> DataFrame:
+    """node and weight: how full the first round's buckets of a node are."""
+    full = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 2")
+    return keys.join(full, "key").groupBy("node").agg(F.sum("n").alias("weight"))
+
+
+def _candidates(keys: DataFrame, pairs_allowed: int, typical: DataFrame) -> DataFrame:
     """``keys(key, node, side)`` to pairs (a, b, side_a, side_b, large): all
     pairs of small buckets, of the others each node with the leader. Nodes of
     equal ``side`` are known to be of one class; a bucket of one side is closed."""
-    sized = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("x"), F.max("side").alias("y"))
-    sized = sized.filter("n > 1 AND x <> y").drop("x", "y")
+    sides = keys.groupBy("key", "side").agg(F.count("*").alias("n"))
+    sized = sides.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "side")).alias("x"))
+    # pairs of two sides are those of the nodes that are not of the fullest side, with all
+    sized = sized.select("key", "n", F.col("x.side").alias("major"), (F.col("n") - F.col("x.n")).alias("others")).filter("others > 0")
+    sized = sized.withColumn("pairs", F.expr("n * others - others * (others + 1) / 2"))
     # the largest power of two up to which all pairs are few enough: 64 sums at most
-    by_size = sized.groupBy(F.ceil(F.log2("n")).alias("e")).agg(F.sum(F.col("n") * F.col("n") / 2).alias("pairs")).orderBy("e").collect()
-    small, spent = SMALL, 0.0
+    by_size = sized.groupBy(F.ceil(F.log2("pairs")).alias("e")).agg(F.sum("pairs").alias("pairs")).orderBy("e").collect()
+    most, spent = 0, 0.0
     for row in by_size:
         spent += row["pairs"]
         if spent <= pairs_allowed:
-            small = max(small, 2 ** row["e"])
-    members = keys.join(sized, "key")
-    # a large bucket's leader is its most typical node, whose buckets are the fullest: the others then differ from it by little
-    crowd = members.filter(f"n > {small}").select("key", "node", "side", "n")
-    typical = crowd.join(crowd.groupBy("node").agg(F.sum("n").alias("weight")), "node")
-    leaders = typical.groupBy("key").agg(F.max(F.struct("weight", "node", "side")).alias("x")).select("key", F.col("x.node").alias("leader"), F.col("x.side").alias("side_a"))
+            most = max(most, 2 ** row["e"])
+    members = keys.join(sized.select("key", "major", (~F.expr(f"n <= {SMALL} OR others <= {FEW} OR pairs <= {most}")).alias("large")), "key")
+    # a large bucket's leader is its most typical node, whose first buckets were the fullest: the others then differ from it by little
+    crowd = members.filter("large").select("key", "node", "side")
+    ranked = crowd.join(typical, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("weight", "node", "side")).alias("x")).select("key", F.col("x.node").alias("leader"), F.col("x.side").alias("side_a"))
     stars = crowd.join(leaders, "key").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), "side_a", F.col("side").alias("side_b"), F.lit(True).alias("large"))
-    few = members.filter(f"n <= {small}").select("key", "node", "side")
+    few = members.filter("NOT large").select("key", "node", "side", "major")
     other = few.select("key", F.col("node").alias("b"), F.col("side").alias("side_b"))
-    rest = few.join(other, "key").filter("node < b AND side <> side_b").select(F.col("node").alias("a"), "b", F.col("side").alias("side_a"), "side_b", F.lit(False).alias("large"))
+    two = few.filter("side <> major").join(other, "key").filter("side <> side_b AND (side_b = major OR node < b)")
+    swap = lambda x, y: F.when(F.col("node") < F.col("b"), F.col(x)).otherwise(F.col(y))
+    rest = two.select(swap("node", "b").alias("a"), swap("b", "node").alias("b"), swap("side", "side_b").alias("side_a"), swap("side_b", "side").alias("side_b"), F.lit(False).alias("large"))
     return stars.unionByName(rest).groupBy("a", "b").agg(F.min("side_a").alias("side_a"), F.min("side_b").alias("side_b"), F.max("large").alias("large"))
 
 
-def _verify(pairs: DataFrame, codes: DataFrame) -> DataFrame:
-    """Adds ``similar`` and, for pairs of large buckets, ``rest``: the shingles
-    of b that the leader a lacks, and how many of them (``most``) a link of 0.8
-    must have one of in common, whatever their order."""
+def _untried(pairs: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """Adds ``known``, the similarity found in an earlier round. Pairs tried
+    before are left out, but for those of a large bucket whose leader's members
+    were not all together in one round yet: only there did they meet."""
+    tried = reduce(DataFrame.unionByName, [r.select("a", "b", "large", "similar", F.lit(i).alias("round")) for i, r in enumerate(rounds)])
+    known = tried.groupBy("a", "b").agg(F.max("similar").alias("known"))
+    led = pairs.filter("large").select("a", "b")
+    before = led.join(tried.filter("large").select("a", "b", "round"), ["a", "b"]).groupBy("a", "round").agg(F.count("*").alias("n"))
+    met = before.join(led.groupBy("a").agg(F.count("*").alias("n")), ["a", "n"]).select("a").distinct().withColumn("met", F.lit(True))
+    return pairs.join(known, ["a", "b"], "left").join(met, "a", "left").filter("known IS NULL OR (large AND met IS NULL)").drop("met")
+
+
+def _with_codes(pairs: DataFrame, codes: DataFrame) -> DataFrame:
     member = codes.select(F.col("node").alias("b"), F.col("codes").alias("cb"))
     leader = codes.select(F.col("node").alias("a"), F.col("codes").alias("ca"))
-    both = pairs.join(member, "b").join(leader, "a").select("a", "b", "side_a", "side_b", "large", "ca", "cb")
+    return pairs.join(member, "b").join(leader, "a")
+
+
+def _keys_of(shingles: np.ndarray, a: bytes, kind: int) -> np.ndarray:
+    """Bucket keys of shingles under leader ``a``: 0 for those it lacks, 1 for
+    those it has."""
+    salt = np.frombuffer(a, _U)
+    return _mix((shingles ^ salt[0]) * _U(0x9E3779B97F4A7C15) + salt[1] + _U(kind)).view(np.int64)
+
+
+def _verify(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """Adds ``similar`` and, for pairs of large buckets, ``rest``: the shingles
+    of b that the leader a lacks, how many of them (``most``) a link of 0.8
+    must have one of in common, whatever their order; and ``size``: how many b
+    has."""
+    both = _with_codes(pairs, codes).select("a", "b", "side_a", "side_b", "large", "known", "ca", "cb")
 
     def run(batches):
         last, ca, la = None, None, None
         for batch in batches:
-            sims, rests, most = [], [], []
-            for a, cell, cell_b, large, side_a, side_b in zip(*(batch.column(c).to_pylist() for c in ("a", "ca", "cb", "large", "side_a", "side_b")), strict=True):
+            sims, rests, most, sizes = [], [], [], []
+            for a, cell, cell_b, large, side_a, side_b, known in zip(*(batch.column(c).to_pylist() for c in ("a", "ca", "cb", "large", "side_a", "side_b", "known")), strict=True):
                 if a != last:
                     last, ca = a, np.frombuffer(cell, np.uint32)
                     la = _labels(ca)
                 cb = np.frombuffer(cell_b, np.uint32)
                 lb = _labels(cb)
-                sims.append(similarity(ca, cb, la, lb) if side_a != side_b else 0.0)
+                sims.append(known if known is not None else similarity(ca, cb, la, lb) if side_a != side_b else 0.0)
                 rest = []
                 if large:
                     lacks = np.setdiff1d(lb, la, assume_unique=True)
-                    salt = np.frombuffer(a, _U)
-                    rest = _mix((lacks ^ salt[0]) * _U(0x9E3779B97F4A7C15) + salt[1]).view(np.int64).tolist()
+                    rest = _keys_of(lacks, a, 0).tolist()
                 rests.append(rest)
                 most.append(len(lb) // 5 + 1)
+                sizes.append(len(lb))
             cols = [batch.column(c) for c in ("a", "b", "side_a", "side_b", "large")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sims, pa.float64()), pa.array(rests, pa.list_(pa.int64())), pa.array(most, pa.int32())],
-                                             names=["a", "b", "side_a", "side_b", "large", "similar", "rest", "most"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sims, pa.float64()), pa.array(rests, pa.list_(pa.int64())), pa.array(most, pa.int32()), pa.array(sizes, pa.int32())],
+                                             names=["a", "b", "side_a", "side_b", "large", "similar", "rest", "most", "size"])
+
+    return both.mapInArrow(run, "a binary, b binary, side_a binary, side_b binary, large boolean, similar double, rest array<bigint>, most int, size int")
+
+
+def _shared_with_leader(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """``rest`` of ``pairs(a, b, side, most)`` as the shingles of b that a has."""
+
+    def run(batches):
+        for batch in sliced(batches, "cb", 1 << 20):
+            rests = []
+            for a, cell, cell_b in zip(*(batch.column(c).to_pylist() for c in ("a", "ca", "cb")), strict=True):
+                la, lb = (_labels(np.frombuffer(c, np.uint32)) for c in (cell, cell_b))
+                rests.append(_keys_of(np.intersect1d(la, lb, assume_unique=True), a, 1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "side", "most")), pa.array(rests, pa.list_(pa.int64()))], names=["a", "b", "side", "most", "rest"])
 
-    return both.mapInArrow(run, "a binary, b binary, side_a binary, side_b binary, large boolean, similar double, rest array<bigint>, most int")
+    return _with_codes(pairs, codes).select("a", "b", "side", "most", "ca", "cb").mapInArrow(run, "a binary, b binary, side binary, most int, rest array<bigint>")
 
 
-def _next_keys(done: DataFrame) -> DataFrame:
+def _next_keys(done: DataFrame, codes: DataFrame) -> DataFrame:
     """``keys(key, node, side)`` of the next round. Of the shingles that its
     leader lacks a node takes the ``most`` rarest among the leader's members;
-    those that nobody else has count but need no bucket."""
+    those that nobody else has count but need no bucket. If all that a link
+    shares lies in the leader, each of its two nodes has 4 / 9 of the sum of
+    both sizes in common with the leader, the other's size being the smallest
+    member's at least. Where such a node is no link of the leader, all such
+    nodes take as many of the shingles that they share with it."""
     side = F.when(F.col("similar") > 0, F.col("side_a")).otherwise(F.col("side_b"))  # nodes linked to a leader take its side
-    each = done.filter("large").select("a", "b", side.alias("side"), "most", F.size("rest").alias("all"), F.explode("rest").alias("key"))
+    led = done.filter("large").withColumn("side", side)
+    lists = led.select("a", "b", "side", "most", "rest", F.lit(0).alias("kind"))
+    least = led.groupBy("a").agg(F.min("size").alias("least"))
+    held = led.withColumn("has", F.col("size") - F.size("rest")).filter("5 * has >= 4 * size").join(least, "a").filter("9 * has >= 4 * (size + least)")
+    mixed = held.filter("side <> side_a").select("a").distinct()
+    if not mixed.isEmpty():
+        lists = lists.unionByName(_shared_with_leader(held.join(mixed, "a").select("a", "b", "side", "most"), codes).withColumn("kind", F.lit(1)))
+    each = lists.select("a", "b", "kind", "side", "most", F.size("rest").alias("all"), F.explode("rest").alias("key"))
     shared = each.join(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
-    own = W.partitionBy("a", "b")
+    own = W.partitionBy("a", "b", "kind")
     ranked = shared.withColumn("common", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("n", "key")))
     return ranked.filter("rank <= most - (all - common)").groupBy("key", F.col("b").alias("node")).agg(F.min("side").alias("side"))
 
@@ -279,7 +345,8 @@ def classes(docs: DataFrame) -> DataFrame:
     drawn = scratch.keep(sketch(docs))
     keys = scratch.keep(drawn.filter("node IS NOT NULL").select(F.explode("keys").alias("key"), "node").distinct().withColumn("side", F.col("node")))
     allowed = PAIRS_PER_NODE * drawn.count()
-    pairs = scratch.keep(_candidates(keys, allowed))
+    typical = scratch.keep(_typical(keys))
+    pairs = scratch.keep(_candidates(keys, allowed, typical))
     scratch.drop(keys)
     # one text of each node that is in a pair; a lone document's text is not moved any further
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -289,13 +356,11 @@ def classes(docs: DataFrame) -> DataFrame:
     codes = scratch.keep(codes.groupBy("node").agg(F.max("codes").alias("codes")))
     rounds: list[DataFrame] = []
     while True:
-        if rounds:  # what was tried is not tried again, unless a large bucket asks for its next keys
-            tried = reduce(DataFrame.unionByName, [r.select("a", "b", "large") for r in rounds]).groupBy("a", "b").agg(F.max("large").alias("was"))
-            pairs = pairs.join(tried, ["a", "b"], "left").filter("was IS NULL OR (large AND NOT was)").drop("was")
+        pairs = _untried(pairs, rounds) if rounds else pairs.withColumn("known", F.lit(None).cast("double"))
         done = scratch.keep(_verify(pairs, codes))
         rounds.append(done)
         allowed *= 2
-        pairs = scratch.keep(_candidates(_next_keys(done), allowed))
+        pairs = scratch.keep(_candidates(_next_keys(done, codes), allowed, typical))
         if pairs.isEmpty():
             break
     roots = components(reduce(DataFrame.unionByName, [r.filter("similar > 0").select("a", "b") for r in rounds]), scratch)

@@ -159,6 +159,27 @@ def test_order_minhash_large_buckets(spark, monkeypatch):
     assert got == {i: find(i) for i in range(60)}
 
 
+@pytest.mark.parametrize("case", ["longer leader", "other order"])
+def test_order_minhash_all_that_links_share_lies_in_the_leader(spark, monkeypatch, case):
+    """Short near copies among long documents of one passage, and copies of a
+    passage whose halves are exchanged."""
+    monkeypatch.setattr(order_minhash, "SMALL", 2)
+    monkeypatch.setattr(order_minhash, "PAIRS_PER_NODE", 0)
+    rng = random.Random(11)
+    long = lambda n: " ".join("".join(rng.choices("bcdfgklmnprst", k=7)) for _ in range(n))
+    one, two = long(80), long(80)
+    if case == "longer leader":
+        rows = [f"{one} {two} {long(60)}" for _ in range(40)] + [f"{one} {two} {long(14)}" for _ in range(2)]
+    else:
+        rows = [f"{one} {two} {long(4)}" for _ in range(40)] + [f"{two} {one} {long(4)}" for _ in range(2)]
+    codes = [order_minhash.word_codes(words_of(t)) for t in rows]
+    linked = [[bool(order_minhash.similarity(x, y)) for y in codes] for x in codes]
+    assert linked[40][41] and not any(linked[i][j] for i in range(40) for j in (40, 41))
+    first = list(range(42))  # all links of the first 40 are among themselves: the smallest link names the class
+    got = {r[0]: r[1] for r in order_minhash.classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == {i: min(j for j in first if linked[i][j]) for i in first}
+
+
 def test_alignment():
     a = words_of("a b c d e f g h i j k l m n o p q r s t")
     assert order_minhash.kept_shingles(a, a, 0) == 16
