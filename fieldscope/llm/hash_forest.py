@@ -80,12 +80,13 @@ class Forest:
 
 def search_shard(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int):
     """(query number, vec_id, distance) of the k nearest found in a shard."""
-    order = np.lexsort((ids,))
-    ids, x = ids[order], x[order]
     distinct, of = np.unique(x, axis=0, return_inverse=True)
     of = of.ravel()
-    group = np.argsort(of, kind="stable")  # ids of a vector, smallest first
-    starts = np.searchsorted(of[group], np.arange(len(distinct) + 1))
+    order = np.lexsort((ids, of))  # ids of a vector, smallest first; a repeated (id, vector) row counts once
+    ids, of = ids[order], of[order]
+    once = np.concatenate([[True], (of[1:] != of[:-1]) | (ids[1:] != ids[:-1])])
+    ids, of = ids[once], of[once]
+    starts = np.searchsorted(of, np.arange(len(distinct) + 1))
     forest = Forest(distinct)
     enough = max(LEAST_CANDIDATES, math.ceil(len(distinct) ** CANDIDATE_POWER))
     asked, back = np.unique(q, axis=0, return_inverse=True)
@@ -99,7 +100,7 @@ def search_shard(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarra
         near.append((rows[keep], d[keep]))
     out = []
     for i, j in enumerate(back):
-        found = [(dist, int(v)) for r, dist in zip(*near[j], strict=True) for v in dict.fromkeys(ids[group[starts[r] : starts[r + 1]]][: k + 2].tolist()) if v != q_ids[i]]
+        found = [(dist, int(v)) for r, dist in zip(*near[j], strict=True) for v in ids[starts[r] : starts[r + 1]][: k + 1].tolist() if v != q_ids[i]]
         out += [(i, v, dist) for dist, v in sorted(set(found))[:k]]
     return out
 

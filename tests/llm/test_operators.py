@@ -208,6 +208,17 @@ def test_hash_forest(spark):
     assert [i for i, _ in got[50]] == [49, *range(51, 60)]
 
 
+def test_hash_forest_row_repeated_often(spark):
+    x = np.random.default_rng(6).normal(size=(600, 8))
+    x[501:521] = x[500]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, x[500].tolist())] * 50
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for q, _, i, s in hash_forest.nearest(v, v.filter("vec_id IN (500, 510)")).orderBy("query_id", "rank").collect():
+        got[q].append((i, s))
+    assert got == {500: [(i, 0.0) for i in range(501, 511)], 510: [(i, 0.0) for i in range(500, 510)]}
+
+
 def test_secrets(spark, docs):
     hexes = "0123456789abcdef" * 2
     rows = [(1, f'passWORD = "abc" x token: {hexes} AKIA' + "Z" * 16 + " é API_key='s3cr3t!'"), (2, "password=token:abcdefgh"), (3, None), (4, ""), (5, "AKIA123 " + "f" * 23),
