@@ -221,9 +221,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     found = map_batches(once.select("d", "tie", "text"), cut, "a long, c long, d long, tie long, f int, n int", most_bytes=2 << 20)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = found.repartition(parts, "a")  # one shuffle for the count and the join
-    again = dealt.groupBy("a").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("d").alias("d0")).filter("m > 1")
+    place = F.struct("d", "tie") if ids < rows else F.col("d")  # in the order of documents
+    again = dealt.groupBy("a").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(place).alias("p0")).filter("m > 1")
     # where all contexts of an anchor are equal (by 64 bits each of anchor and context), all but the first are repeats
-    marks = dealt.join(again, "a").select("d", "tie", F.struct("a", "f", "n", "m", (F.col("c0") == F.col("c1")).alias("alike"), (F.col("d") > F.col("d0")).alias("later")).alias("mark"))
+    marks = dealt.join(again, "a").select("d", "tie", F.struct("a", "f", "n", "m", (F.col("c0") == F.col("c1")).alias("alike"), (place > F.col("p0")).alias("later")).alias("mark"))
     per_doc = scratch.keep(marks.groupBy("d", "tie").agg(F.collect_list("mark").alias("marks")))
     alike = per_doc.select("d", "tie", F.explode(F.filter("marks", lambda m: m["alike"] & m["later"])).alias("x")).select("d", "tie", F.col("x.f").alias("s"), (F.col("x.f") + F.col("x.n") - 1 + length).alias("e"))
     # the others' text is wanted; equal contexts in the first document itself are settled along with them

@@ -111,6 +111,28 @@ def test_suffix_dedup(spark, docs):
     assert suffix_dedup.remove_repeats(empty(docs)).count() == 0
 
 
+def test_suffix_dedup_rows_of_one_id(spark):
+    """A passage shared only by rows of one id, or of no id."""
+    rng = random.Random(12)
+    rows = [(9, words(rng, 30))]
+    for i, n in ((None, 3), (7, 4)):
+        passage = "".join(rng.choices("abcdefgh ", k=500))
+        rows += [(i, words(rng, 20) + passage + words(rng, 20)) for _ in range(n)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, want = set(), collections.Counter()
+    for i, _, t in sorted((r[0] if r[0] is not None else -(2**63), r[1], r[2]) for r in d.select("doc_id", F.xxhash64("text"), "text").collect()):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(b[k : k + 100])
+        want[i, len(b), sum(gone), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()] += 1
+    got = suffix_dedup.remove_repeats(d).collect()
+    assert collections.Counter((r[0] if r[0] is not None else -(2**63), r[1], r[2], r[4]) for r in got) == want
+    assert sum(r["n_removed"] >= 500 for r in got) == 5
+
+
 def test_suffix_dedup_by_window(spark, docs, monkeypatch):
     want = sorted(map(str, suffix_dedup.remove_repeats(docs).collect()))
     monkeypatch.setattr(suffix_dedup, "MANY", 2)
