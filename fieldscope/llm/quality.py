@@ -33,6 +33,7 @@ EPOCHS, BATCH, RATE, L2 = 12, 128, 0.02, 2e-5
 
 _ASCII_UPPER, _ASCII_LOWER = string.ascii_uppercase.encode(), string.ascii_lowercase.encode()
 _DIGITS, _WHITE, _PUNCTUATION = string.digits.encode(), string.whitespace.encode(), string.punctuation.encode()
+_NON_ASCII = bytes(range(128, 256))
 STATISTICS = ("log length", "log words", "word length", "distinct words", "most frequent word", "repeated neighbours", "upper", "digits",
               "white space", "punctuation", "stops", "non-ASCII", "words a line", "short lines", "distinct lines", "distinct threes", "log n_chars")
 
@@ -49,7 +50,7 @@ def statistics(text: str, words: list[bytes], n_chars: int | None) -> list[float
     return [
         math.log1p(len(b)) / 14, math.log1p(len(words)) / 12, min(1, sum(map(len, words)) / k / 20), len(counts) / k, most / k,
         sum(x == y for x, y in zip(words, words[1:], strict=False)) / k, share(_ASCII_UPPER), share(_DIGITS), share(_WHITE), share(_PUNCTUATION),
-        min(1, 10 * share(b".,")), sum(x >= 128 for x in b[:: max(1, n // 4096)]) / min(n, 4096), min(1, k / len(lines) / 50),
+        min(1, 10 * share(b".,")), share(_NON_ASCII), min(1, k / len(lines) / 50),
         sum(len(x) < 25 for x in lines) / len(lines), len(set(lines)) / len(lines), len(set(zip(words, words[1:], words[2:], strict=False))) / threes,
         math.log1p(max(0, n_chars or 0)) / 14,
     ]

@@ -343,6 +343,13 @@ def test_classifiers_on_held_out_rows(spark, module, label, folds, fold, cut):
     assert module.score(d.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("text", ["é" + "a" * 98, "éa" * 2_000, "a" * 5_999 + "é" * 1_000, "aaé" * 3_000, ("a" * 96 + "é") * 4_000])
+def test_non_ascii_share_is_of_the_whole_text(text):
+    b = text.encode()
+    got = quality.statistics(text, words_of(text), None)[quality.STATISTICS.index("non-ASCII")]
+    assert got == pytest.approx(sum(x >= 128 for x in b) / len(b))
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(1)
     m = quality.Machine(0.1, rng.normal(size=30), rng.normal(size=(30, 4)))
