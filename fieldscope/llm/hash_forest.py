@@ -112,6 +112,14 @@ def valid(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).filter(usable)
 
 
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """The different (vec_id, embedding) rows of ``valid`` queries in blocks of
+    about QUERY_BLOCK, dealt by id and vector."""
+    q = queries.dropDuplicates(["vec_id", "embedding"])
+    blocks = max(1, math.ceil(q.count() / QUERY_BLOCK))
+    return [q.filter(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k nearest found of ``vectors(vec_id, embedding)`` for each row of
     ``queries(vec_id, embedding)``: query_id, rank, vec_id, score (Euclidean).
@@ -127,10 +135,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     x, q = valid(vectors), valid(queries)
     shards = max(1, math.ceil(x.count() / SHARD_ROWS))
     x = x.repartition(shards, F.xxhash64("vec_id"))
-    blocks = max(1, math.ceil(q.count() / QUERY_BLOCK))
     found = []
-    for b in range(blocks):
-        rows = q.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()  # a block of the stated queries
+    for stated in query_blocks(q):
+        rows = stated.collect()  # a block of the stated queries
         asked: dict[int, tuple] = {}
         for dim in {len(r["embedding"]) for r in rows}:
             own = [r for r in rows if len(r["embedding"]) == dim]

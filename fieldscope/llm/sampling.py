@@ -18,10 +18,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     At most ``rows_per_class[y]`` ids of each class, the smallest by a hash of
     the id, and texts of at most ``longest`` bytes: what reaches the driver is
     bounded by these parameters and does not grow with the corpus. A doc_id
-    labelled twice counts once with its larger label.
+    labelled twice counts once with its larger label, and one with several rows
+    brings the smallest of them.
     """
     ids = labels.filter(F.col(label).isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out)).groupBy("doc_id").agg(F.max(label).alias("y"))
     bounded = [ids.filter(F.col("y") == y).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(n) for y, n in enumerate(rows_per_class)]
     chosen = F.broadcast(bounded[0].unionByName(bounded[1]))
     rows = docs.filter(F.octet_length("text") <= longest).join(chosen, "doc_id")
-    return sorted(rows.select("y", *columns).collect(), key=lambda r: tuple(map(str, r)))
+    one = rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct(*columns)).alias("row"))
+    return sorted(one.select("y", *[F.col(f"row.{c}") for c in columns]).collect(), key=lambda r: tuple(map(str, r)))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldscope.llm import contamination, hash_forest, order_minhash, pii, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts, toxicity
+from fieldscope.llm import contamination, hash_forest, order_minhash, pii, quality, sampling, secrets, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 from fieldscope.llm.common import words_of
 from fieldscope.llm.queries import piece_model
 
@@ -241,6 +241,21 @@ def test_hash_forest_row_repeated_often(spark):
     assert got == {500: [(i, 0.0) for i in range(501, 511)], 510: [(i, 0.0) for i in range(500, 510)]}
 
 
+def test_query_blocks_are_bounded_for_a_repeated_id(spark, monkeypatch):
+    monkeypatch.setattr(hash_forest, "QUERY_BLOCK", 20)
+    rows = [(500, [float(i), 1.0]) for i in range(100)] + [(500, [0.0, 1.0])] * 200
+    sizes = [b.count() for b in hash_forest.query_blocks(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))]
+    assert sum(sizes) == 100 and len(sizes) == 5 and max(sizes) < 50
+
+
+def test_sample_has_one_row_of_a_repeated_id(spark):
+    d = spark.createDataFrame([(i, f"text {i}") for i in range(20)] + [(3, f"again {i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    rows = sampling.labelled_sample(d, labels, "toxic", 5, 0, (100, 100), 1000)
+    ids = {i for i in range(20) if zlib.crc32(str(i).encode()) % 5}
+    assert 3 in ids and sorted(tuple(r) for r in rows) == sorted((i % 2, "again 0" if i == 3 else f"text {i}") for i in ids)
+
+
 def test_secrets(spark, docs):
     hexes = "0123456789abcdef" * 2
     rows = [(1, f'passWORD = "abc" x token: {hexes} AKIA' + "Z" * 16 + " é API_key='s3cr3t!'"), (2, "password=token:abcdefgh"), (3, None), (4, ""), (5, "AKIA123 " + "f" * 23),
