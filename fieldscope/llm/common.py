@@ -56,6 +56,10 @@ class Scratch:
         self._paths[id(out)], self._frames[id(out)] = path, out
         return out
 
+    def path(self, df: DataFrame) -> str:
+        """The folder of a table that ``keep`` wrote."""
+        return self._paths[id(df)]
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             path = self._paths.pop(id(df), None)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import contamination, hash_forest, order_minhash, pii, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts, toxicity
+from . import contamination, hard_negatives, hash_forest, order_minhash, pii, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 from .oracles import ORACLES
 
 
@@ -71,6 +72,13 @@ def q_token_counts(spark, sf_dir):
     return token_counts.count_edited(token_counts.build_trees(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
 
 
+def q_hard_negatives(spark, sf_dir):
+    """Labels of every seventh vector are first moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_pii_surrogates": q_pii,
     "op2_suffix_dedup": q_suffix_dedup,
@@ -82,4 +90,5 @@ QUERIES = {
     "op8_hash_forest": q_nearest,
     "op9_secrets": q_secrets,
     "op10_quality": q_quality,
+    "op13_hard_negatives": q_hard_negatives,
 }
