@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, hard_negatives, hash_forest, order_minhash, pii, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts, toxicity
+from . import contamination, embedding_dedup, hard_negatives, hash_forest, order_minhash, pii, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 from .oracles import ORACLES
 
 
@@ -72,6 +72,10 @@ def q_token_counts(spark, sf_dir):
     return token_counts.count_edited(token_counts.build_trees(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
 
 
+def q_near_vectors(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def q_hard_negatives(spark, sf_dir):
     """Labels of every seventh vector are first moved on by one."""
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -90,5 +94,6 @@ QUERIES = {
     "op8_hash_forest": q_nearest,
     "op9_secrets": q_secrets,
     "op10_quality": q_quality,
+    "op12_cover_tree": q_near_vectors,
     "op13_hard_negatives": q_hard_negatives,
 }
