@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, embedding_dedup, hard_negatives, hash_forest, order_minhash, pii, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts, toxicity
+from . import contamination, conversation_repair, embedding_dedup, hard_negatives, hash_forest, order_minhash, pii, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 from .oracles import ORACLES
 
 
@@ -72,6 +72,16 @@ def q_token_counts(spark, sf_dir):
     return token_counts.count_edited(token_counts.build_trees(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
 
 
+def q_conversations(spark, sf_dir):
+    """Conversations of which the damage leaves nothing are there with zeros."""
+    given = table(spark, sf_dir, "conversations")
+    done = conversation_repair.digests(conversation_repair.repair(conversation_repair.damaged(given))).withColumnRenamed("conv_id", "_id")
+    ids = given.select("conv_id").distinct()
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    joined = ids.join(done, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    return joined.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def q_near_vectors(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -94,6 +104,7 @@ QUERIES = {
     "op8_hash_forest": q_nearest,
     "op9_secrets": q_secrets,
     "op10_quality": q_quality,
+    "op11_conversation_repair": q_conversations,
     "op12_cover_tree": q_near_vectors,
     "op13_hard_negatives": q_hard_negatives,
 }
