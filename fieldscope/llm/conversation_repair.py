@@ -254,7 +254,7 @@ def seen_before(turns: list) -> list[bool]:
     return [(r, t) in seen or seen.add((r, t)) is not None for _, r, t in turns]
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, bool, list]]:
+def runs(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[tuple[object, bool, list]]:
     """(conversation, whether all of it is there, its rows or a segment of
     them) of one task's sorted rows. The first and the last conversation of a
     task may go on in its neighbours."""
@@ -267,7 +267,7 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, bool, list
                     yield now, not (cut or n == 1), held
                 now, held, chars, cut, n = conv, [], 0, False, n + 1
             for _, turn, role, text in some:
-                if len(held) == SEGMENT or chars > SEGMENT_CHARS:
+                if len(held) == segment or chars > SEGMENT_CHARS:
                     yield now, False, held
                     held, chars, cut = [], 0, True
                 held.append((turn, role, text))
@@ -322,12 +322,12 @@ def chained(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in CHAIN.split(", ")])
 
 
-def repair(conversations: DataFrame) -> DataFrame:
+def repair(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """``conversations(conv_id, turn, role, text)``, one row per turn, to
     conv_id, part, parts, gaps, blank, duplicate, truncated, illegal, cost,
     audit and turns (role, text).
 
-    There is one row per conversation, and per part of at most `SEGMENT` turns
+    There is one row per conversation, and per part of at most ``segment`` turns
     where a conversation is longer or lay across tasks (part 1 to parts). Counts
     and cost are those of the whole conversation; audit and turns are the
     part's own and follow each other. A turn's first fault counts: blank,
@@ -360,7 +360,7 @@ def repair(conversations: DataFrame) -> DataFrame:
 
         def each():
             nonlocal out
-            for seg, (conv, whole, turns) in enumerate(runs(taken())):
+            for seg, (conv, whole, turns) in enumerate(runs(taken(), segment)):
                 if whole:
                     letters, t = of_rows(turns, seen_before(turns))
                     cost, audit = repaired(letters)

@@ -103,10 +103,10 @@ def sorted_by_id(ids, *more):
     return ids[order], *(m[order] for m in more)
 
 
-def positives_of(batches, anchors: dict, k: int):
+def positives_of(batches, anchors: dict, k: int, block: int = CANDIDATE_BLOCK, tile_rows: int = TILE):
     """(anchor number, id, score) of the best ``k`` rows of each anchor's own label."""
     best: dict[int, Best] = {}
-    for ids, labels, x in blocks(batches, CANDIDATE_BLOCK, ("vec_id", "label")):
+    for ids, labels, x in blocks(batches, block, ("vec_id", "label")):
         if (part := anchors.get(x.shape[1])) is None:
             continue
         held = best.setdefault(x.shape[1], Best((len(part["id"]),), k))
@@ -114,8 +114,8 @@ def positives_of(batches, anchors: dict, k: int):
         for label in np.intersect1d(labels, part["label"]).tolist():
             own, mine = np.flatnonzero(labels == label), np.flatnonzero(part["label"] == label)
             packed = Packed(rows[own], part["low"], part["high"])
-            for at in range(0, len(mine), TILE):
-                tile = mine[at : at + TILE]
+            for at in range(0, len(mine), tile_rows):
+                tile = mine[at : at + tile_rows]
                 score = packed.scores(part["rows"][tile])
                 score[part["id"][tile][:, None] == ids[own][None, :]] = NONE
                 first = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids ascend, so ties stay in their order
@@ -125,18 +125,18 @@ def positives_of(batches, anchors: dict, k: int):
         yield anchors[dim]["number"][a], held.id[held.score > NONE], held.score[held.score > NONE]
 
 
-def negatives_of(batches, anchors: dict, k: int, low: int, high: int):
+def negatives_of(batches, anchors: dict, k: int, low: int, high: int, block: int = CANDIDATE_BLOCK, tile_rows: int = TILE):
     """(anchor number, place of the positive, id, score) of the best ``k`` rows
     of other labels in each positive's score window."""
     best: dict[int, Best] = {}
-    for ids, labels, x in blocks(batches, CANDIDATE_BLOCK, ("vec_id", "label")):
+    for ids, labels, x in blocks(batches, block, ("vec_id", "label")):
         if (part := anchors.get(x.shape[1])) is None:
             continue
         held = best.setdefault(x.shape[1], Best(part["score"].shape, k))
         ids, labels, rows = sorted_by_id(ids, labels, integers(x))
         packed = Packed(rows, part["low"], part["high"])
-        for at in range(0, len(part["id"]), TILE):
-            tile = np.arange(at, min(at + TILE, len(part["id"])))
+        for at in range(0, len(part["id"]), tile_rows):
+            tile = np.arange(at, min(at + tile_rows, len(part["id"])))
             score = packed.scores(part["rows"][tile])
             score[part["label"][tile][:, None] == labels[None, :]] = NONE
             order = np.argsort(-score, axis=1, kind="stable")
@@ -165,7 +165,8 @@ def by_length(rows: list) -> dict[int, dict[str, np.ndarray]]:
     return out
 
 
-def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90) -> DataFrame:
+def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90,
+         block: int = CANDIDATE_BLOCK, tile_rows: int = TILE) -> DataFrame:
     """For each anchor among ``vectors(vec_id, label, embedding)`` and each of
     its first ``positives`` other rows of the same label, the first
     ``negatives`` rows of other labels whose score is between ``low`` and
@@ -190,29 +191,29 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     schema = "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long"
     parts = []
     for b in range(n_blocks):
-        block = anchors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).collect()  # about ANCHOR_BLOCK rows
-        if not block:
+        rows_here = anchors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).collect()  # about ANCHOR_BLOCK rows
+        if not rows_here:
             continue
-        asked = by_length(block)
+        asked = by_length(rows_here)
         sent = spark.sparkContext.broadcast(asked)
 
         def find_positives(batches, sent=sent):
-            for a, ids, score in positives_of(batches, sent.value, positives):
+            for a, ids, score in positives_of(batches, sent.value, positives, block, tile_rows):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.int64())], names=["a", "id", "score"])
 
         best = W.partitionBy("a").orderBy(F.desc("score"), "id")
         found = rows.mapInArrow(find_positives, "a long, id long, score long").withColumn("p", F.row_number().over(best) - 1)
         got = found.filter(F.col("p") < positives).collect()  # at most ANCHOR_BLOCK x positives
-        score, of = np.full((len(block), positives), NONE), np.zeros((len(block), positives), np.int64)
+        score, of = np.full((len(rows_here), positives), NONE), np.zeros((len(rows_here), positives), np.int64)
         for r in got:
             score[r["a"], r["p"]], of[r["a"], r["p"]] = r["score"], r["id"]
         for part in asked.values():
             part["score"], part["positive"] = score[part["number"]], of[part["number"]]
-        windows = spark.sparkContext.broadcast((asked, np.array([r["vec_id"] for r in block], np.int64), of, score))
+        windows = spark.sparkContext.broadcast((asked, np.array([r["vec_id"] for r in rows_here], np.int64), of, score))
 
         def find_negatives(batches, windows=windows):
             asked, ids, of, score = windows.value
-            for a, p, neg, s in negatives_of(batches, asked, negatives, low, high):
+            for a, p, neg, s in negatives_of(batches, asked, negatives, low, high, block, tile_rows):
                 cols = [ids[a], of[a, p], neg, score[a, p], s]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"])
 
