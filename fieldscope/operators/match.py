@@ -7,31 +7,28 @@ Plan, for N documents and one or more catalogs:
 2. ``sig``: the match of J1/J2 depends only on (catalog, path set). Documents
    from one producer share a handful of path sets, so matching runs once per
    distinct signature, not per document.
-3. Exact match, residual names, missing and extra rows per (catalog, sig) are
-   array expressions against the catalog, which is configuration-sized and
-   enters the plan as a constant (its size is checked).
+3. The catalog is a relation like any other: exact match, residual names,
+   missing and extra rows per (catalog, sig) are equi-joins on the normalized
+   name, so neither its size nor the number of catalogs is bounded.
 4. Fuzzy match: distinct (catalog name, residual JSON name) pairs are
    blocked by a lossless length bound through an equi-join on length, scored
    by an Arrow UDF, and assigned greedily per (catalog, sig) in
    ``applyInPandas`` (order-dependent, so not expressible as set SQL).
 5. Results join back to documents on ``sig`` (AQE broadcasts the side when
    its runtime size is small, else sort-merge with skew splitting) and the
-   null-parent suppression runs per document as map lookups.
+   null-parent suppression runs per document as map lookups. Roll-ups join
+   ``document_classes`` instead: documents whose comparison is the same row
+   for row are one class with its number of documents.
 """
 
 from __future__ import annotations
 
-import json
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
 
-MAX_CATALOG_NAMES = 20000
-
 COMPARISON_COLUMNS = [
     "catalog", "field_name", "db_field", "json_field", "status", "match_kind", "similarity", "category",
 ]
@@ -110,40 +107,38 @@ def record_units(u: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# catalog constants
+# catalog and signatures as relations
 # ---------------------------------------------------------------------------
 
-def _catalog_consts(catalog: DataFrame, case_sensitive: bool) -> dict[str, dict]:
-    rows = catalog.limit(MAX_CATALOG_NAMES + 1).collect()
-    if len(rows) > MAX_CATALOG_NAMES:
-        raise ValueError(f"catalog exceeds {MAX_CATALOG_NAMES} names; it is expected to be configuration-sized")
-    out: dict[str, dict] = {}
-
-    def na(f: str) -> str:
-        s = f.split(".")[-1].replace(" ", "").replace("_", "").replace("-", "")
-        return s if case_sensitive else s.lower()
-
-    for r in sorted(rows, key=lambda r: (r["catalog"], r["ordinal"])):
-        c = out.setdefault(r["catalog"], {"rows": [], "orig": {}, "first": {}, "catmap_raw": {}})
-        dn = na(r["field"])
-        c["rows"].append({"dn": dn, "field": r["field"], "ord": r["ordinal"], "is_cat": r["is_category"]})
-        c["orig"][dn] = r["field"]  # last original wins
-        c["first"].setdefault(dn, r["ordinal"])
-        if not r["is_category"] and r["category"] is not None:
-            # Field -> category, a later category overwrites; key order
-            # is the first appearance of the field.
-            c["catmap_raw"][r["field"]] = r["category"]
-    for c in out.values():
-        catmap: dict[str, str] = {}
-        for f, cat in c["catmap_raw"].items():
-            catmap[na(f)] = cat
-        c["catmap"] = catmap
-        c["distinct"] = sorted(c["first"].items(), key=lambda kv: kv[1])
-    return out
-
-
-def _lit_json(obj, schema: str) -> Column:
-    return F.from_json(F.lit(json.dumps(obj)), schema)
+def catalog_names(catalog: DataFrame, case_sensitive: bool = False) -> DataFrame:
+    """Per (catalog, normalized name ``dn``): its first ordinal, the original
+    name shown (the last one wins), its number of rows and its category (J10:
+    per field the last category; of fields with one normalized name the one
+    that first appears last)."""
+    c = catalog.withColumn("dn", names.norm_compare("field", case_sensitive))
+    known = c.groupBy("catalog", "dn").agg(
+        F.min("ordinal").alias("dfirst"), F.max_by("field", "ordinal").alias("orig"), F.count("*").alias("copies"))
+    cats = (
+        c.where(~F.col("is_category") & F.col("category").isNotNull())
+        .groupBy("catalog", "dn", "field").agg(F.max_by("category", "ordinal").alias("category"), F.min("ordinal").alias("o"))
+        .groupBy("catalog", "dn").agg(F.max_by("category", "o").alias("cat"))
+    )
+    return known.join(cats, ["catalog", "dn"], "left")
+
+
+def signature_names(prof: DataFrame, case_sensitive: bool = False) -> DataFrame:
+    """Per (sig, normalized name ``jn``): the path shown (the last one wins),
+    the place of its first path and its number of paths."""
+    sigs = prof.groupBy("sig").agg(F.first("paths").alias("paths"))
+    each = sigs.select("sig", F.posexplode("paths").alias("pos", "path"))
+    return each.groupBy("sig", names.norm_compare("path", case_sensitive).alias("jn")).agg(
+        F.max_by("path", "pos").alias("jorig"), F.min("pos").cast("int").alias("jfirst"), F.count("*").alias("jcopies"))
+
+
+def _every_catalog(sigs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(catalog, sig): every signature is compared with every catalog."""
+    cats = catalog.agg(F.collect_set("catalog").alias("_cats")).withColumn("_one", F.lit(1))
+    return sigs.withColumn("_one", F.lit(1)).join(cats, "_one").select(F.explode("_cats").alias("catalog"), "sig")
 
 
 # ---------------------------------------------------------------------------
@@ -153,7 +148,7 @@ def _lit_json(obj, schema: str) -> Column:
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     """Greedy one-to-one assignment for one (catalog, sig) group.
 
-    Catalog names in order; each takes the best still-unused JSON name
+    Catalog names in ordinal order; each takes the best still-unused JSON name
     (highest ratio, first in path order on ties). Pairs below the threshold
     were removed upstream, which cannot change the outcome.
     """
@@ -173,36 +168,19 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["catalog", "sig", "dn", "jn", "ratio"])
 
 
-def _fuzzy(sigs: DataFrame, consts: dict, threshold: float) -> DataFrame:
-    """(catalog, sig, dn, jn, ratio) fuzzy assignments."""
-    spark = sigs.sparkSession
-    # catalog side: residual-capable names with their length band
-    crow = []
-    for cat, c in consts.items():
-        for dn, first in c["distinct"]:
-            L = len(dn)
-            if threshold <= 0:
-                lo, hi = 0, 1 << 20
-            else:
-                k = threshold / (2 - threshold)
-                lo, hi = math.ceil(L * k - 1e-9), math.floor(L / k + 1e-9) if k > 0 else 1 << 20
-            crow.append((cat, dn, first, lo, hi))
-    cdf = spark.createDataFrame(crow, "catalog string, dn string, dfirst int, lo int, hi int")
-    cband = cdf.select("catalog", "dn", "dfirst", F.explode(F.sequence("lo", "hi")).alias("len"))
-    resid_j = sigs.select("catalog", "sig", "resid_dn", F.posexplode("resid_jn").alias("jfirst", "jn"))
-    vocab = resid_j.select("catalog", "jn").distinct().withColumn("len", F.length("jn"))
-    pairs = (
-        vocab.join(F.broadcast(cband), ["catalog", "len"])
-        .where(F.col("dn") != F.col("jn"))
-        .withColumn("ratio", _ratio_col("dn", "jn"))
-        .where(F.col("ratio") >= F.lit(threshold))
-        .select("catalog", "dn", "dfirst", "jn", "ratio")
-    )
-    cand = resid_j.join(pairs, ["catalog", "jn"]).where(F.array_contains("resid_dn", F.col("dn")))
-    cand = cand.select("catalog", "sig", "dn", "dfirst", "jn", "jfirst", "ratio")
-    return cand.groupBy("catalog", "sig").applyInPandas(
-        _greedy, "catalog string, sig string, dn string, jn string, ratio double"
-    )
+def _similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(catalog, dn, jn, ratio) of the names of ``left(catalog, dn)`` and
+    ``right(catalog, jn)`` whose ratio is positive and reaches the threshold.
+
+    Only lengths that can reach it meet: ratio <= 2 min / (la + lb).
+    """
+    d = left.select("catalog", "dn").distinct().withColumn("dl", F.length("dn"))
+    j = right.select("catalog", "jn").distinct().withColumn("jl", F.length("jn"))
+    lengths = d.select("catalog", "dl").distinct().join(j.select("catalog", "jl").distinct(), "catalog").where(
+        2 * F.least("dl", "jl") >= F.lit(threshold - 1e-9) * (F.col("dl") + F.col("jl")))
+    pairs = d.join(lengths, ["catalog", "dl"]).join(j, ["catalog", "jl"]).where(F.col("dn") != F.col("jn"))
+    return pairs.withColumn("ratio", _ratio_col("dn", "jn")).where((F.col("ratio") >= threshold) & (F.col("ratio") > 0)).select(
+        "catalog", "dn", "jn", "ratio")
 
 
 def _ratio_col(a: str, b: str) -> Column:
@@ -215,66 +193,71 @@ def _ratio_col(a: str, b: str) -> Column:
 # compare
 # ---------------------------------------------------------------------------
 
-_ROW_T = ("array<struct<dn:string,jn:string,field_name:string,db_field:string,json_field:string,"
-          "status:string,match_kind:string,similarity:double,category:string>>")
-
-
 def match_signatures(prof: DataFrame, catalog: DataFrame, fuzzy: bool = True, threshold: float = 0.8,
                      case_sensitive: bool = False) -> DataFrame:
-    """Per (catalog, sig): the comparison rows before null-parent handling."""
-    consts = _catalog_consts(catalog, case_sensitive)
-    sigs = prof.groupBy("sig").agg(F.first("paths").alias("paths"))
-    per_cat = []
-    for cat, c in consts.items():
-        cat_rows = _lit_json(c["rows"], "array<struct<dn:string,field:string,ord:int,is_cat:boolean>>")
-        dn_distinct = F.array(*[F.lit(d) for d, _ in c["distinct"]]) if c["distinct"] else F.array().cast("array<string>")
-        orig = _lit_json(c["orig"], "map<string,string>")
-        catmap = _lit_json(c["catmap"], "map<string,string>")
-        s = sigs.select(
-            F.lit(cat).alias("catalog"), "sig", "paths",
-            F.expr(f"transform(paths, p -> {_norm_a_sql('p', case_sensitive)})").alias("jn_all"),
-        )
-        s = s.withColumn("exact", F.filter(dn_distinct, lambda d: F.array_contains(F.col("jn_all"), d)))
-        s = s.withColumn("resid_dn", F.array_except(dn_distinct, F.col("exact")))
-        s = s.withColumn("resid_jn", F.array_except(F.array_distinct("jn_all"), F.col("exact")))
-        s = s.withColumn("cat_rows", cat_rows).withColumn("orig", orig).withColumn("catmap", catmap)
-        per_cat.append(s)
-    sigs_c = per_cat[0]
-    for s in per_cat[1:]:
-        sigs_c = sigs_c.unionByName(s)
+    """Per (catalog, sig): ``rows``, the comparison rows before null-parent
+    handling, each with the catalog category of its name (``cat``)."""
+    from ..session import materialize
+
+    known = materialize(catalog_names(catalog, case_sensitive))
+    found = materialize(signature_names(prof, case_sensitive))
+    pairs = _every_catalog(prof.select("sig").distinct(), known)
+    c = pairs.join(known, "catalog").join(found.withColumnRenamed("jn", "dn"), ["sig", "dn"], "left")
+    j = pairs.join(found, "sig").join(known.select("catalog", F.col("dn").alias("jn")), ["catalog", "jn"], "left_anti")
+    exact = F.col("jorig").isNotNull()
+    resid = c.where(~exact).select("catalog", "sig", "dn", "dfirst", "orig", "copies", "cat")
     if fuzzy:
-        fz = _fuzzy(sigs_c, consts, threshold)
-        fz = fz.groupBy("catalog", "sig").agg(
-            F.collect_list(F.struct("dn", "jn", "ratio")).alias("fz")
-        )
-        sigs_c = sigs_c.join(fz, ["catalog", "sig"], "left")
+        resid, j = materialize(resid), materialize(j)
+        cand = resid.join(_similar(resid, j, threshold), ["catalog", "dn"]).join(j, ["catalog", "sig", "jn"])
+        taken = cand.select("catalog", "sig", "dn", "dfirst", "jn", "jfirst", "ratio").groupBy("catalog", "sig").applyInPandas(
+            _greedy, "catalog string, sig string, dn string, jn string, ratio double")
+        taken = materialize(taken)
     else:
-        sigs_c = sigs_c.withColumn("fz", F.lit(None).cast("array<struct<dn:string,jn:string,ratio:double>>"))
-    fzc = F.coalesce(F.col("fz"), F.array().cast("array<struct<dn:string,jn:string,ratio:double>>"))
-    sigs_c = sigs_c.withColumn("fz", fzc)
-    sigs_c = sigs_c.withColumn("m_dn", F.concat("exact", F.col("fz.dn"))).withColumn(
-        "m_jn", F.concat("exact", F.col("fz.jn"))
+        taken = resid.select("catalog", "sig", "dn", F.lit(None).cast("string").alias("jn"), F.lit(0.0).alias("ratio")).limit(0)
+    none = F.lit(None)
+
+    def row(df, dn, jn, field, db, json_field, status, kind, sim, category, cat):
+        return df.select("catalog", "sig", F.struct(
+            dn.alias("dn"), jn.alias("jn"), field.alias("field_name"), db.alias("db_field"), json_field.alias("json_field"),
+            F.lit(status).alias("status"), F.lit(kind).alias("match_kind"), sim.cast("double").alias("similarity"),
+            category.cast("string").alias("category"), cat.alias("cat")).alias("r"))
+
+    dn, jn, orig, jorig, cat = (F.col(x) for x in ("dn", "jn", "orig", "jorig", "cat"))
+    text = none.cast("string")
+    fz = resid.join(taken, ["catalog", "sig", "dn"]).join(found.select("sig", "jn", "jorig"), ["sig", "jn"])
+    gone = resid.join(taken.select("catalog", "sig", "dn"), ["catalog", "sig", "dn"], "left_anti")
+    extra = j.join(taken.select("catalog", "sig", "jn"), ["catalog", "sig", "jn"], "left_anti")
+    rows = (
+        row(c.where(exact), dn, dn, orig, orig, jorig, "matched", "exact", none, none, cat)
+        .unionByName(row(fz, dn, jn, orig, orig, jorig, "matched", "fuzzy", F.col("ratio"), none, cat))
+        # a catalog name listed twice is missing twice, a name with two paths is extra twice
+        .unionByName(row(gone.withColumn("_k", F.explode(F.sequence(F.lit(1), "copies"))), dn, text, orig, orig, F.lit(""),
+                         "missing", "not_found", none, F.coalesce("cat", F.lit("")), cat))
+        .unionByName(row(extra.withColumn("_k", F.explode(F.sequence(F.lit(1), "jcopies"))), text, jn, jorig, F.lit(""), jorig,
+                         "extra", "not_found", none, none, text))
     )
-    # last original path per normalized JSON name (paths are sorted)
-    sigs_c = sigs_c.withColumn("jorig", F.map_from_arrays("jn_all", "paths"))
-    rows = F.expr(f"""
-      concat(
-        transform(exact, d -> named_struct('dn', d, 'jn', d, 'field_name', orig[d], 'db_field', orig[d],
-                  'json_field', jorig[d], 'status', 'matched', 'match_kind', 'exact',
-                  'similarity', CAST(NULL AS DOUBLE), 'category', CAST(NULL AS STRING))),
-        transform(fz, f -> named_struct('dn', f.dn, 'jn', f.jn, 'field_name', orig[f.dn], 'db_field', orig[f.dn],
-                  'json_field', jorig[f.jn], 'status', 'matched', 'match_kind', 'fuzzy',
-                  'similarity', f.ratio, 'category', CAST(NULL AS STRING))),
-        transform(filter(cat_rows, r -> NOT array_contains(m_dn, r.dn)),
-                  r -> named_struct('dn', r.dn, 'jn', CAST(NULL AS STRING), 'field_name', orig[r.dn],
-                  'db_field', orig[r.dn], 'json_field', '', 'status', 'missing', 'match_kind', 'not_found',
-                  'similarity', CAST(NULL AS DOUBLE), 'category', coalesce(try_element_at(catmap, r.dn), ''))),
-        transform(filter(jn_all, j -> NOT array_contains(m_jn, j)),
-                  j -> named_struct('dn', CAST(NULL AS STRING), 'jn', j, 'field_name', jorig[j], 'db_field', '',
-                  'json_field', jorig[j], 'status', 'extra', 'match_kind', 'not_found',
-                  'similarity', CAST(NULL AS DOUBLE), 'category', CAST(NULL AS STRING))))
-    """)
-    return sigs_c.select("catalog", "sig", rows.alias("rows"), "catmap")
+    return rows.groupBy("catalog", "sig").agg(F.collect_list("r").alias("rows"))
+
+
+def document_classes(prof: DataFrame) -> DataFrame:
+    """Documents with the same path set, null parents and array parents: one
+    row with ``class_id`` and their number ``n``. Their comparison is the same
+    row for row, so roll-ups weight a class's rows by ``n``."""
+    return with_class(prof).groupBy("class_id").agg(F.count("*").alias("n"), *[
+        F.first(c).alias(c) for c in ("sig", "paths", "null_map", "arr_map", "rec_keys")])
+
+
+def with_class(prof: DataFrame) -> DataFrame:
+    same = F.concat_ws("\u0001", "sig", F.to_json("null_map"), F.to_json("arr_map"))
+    return prof.withColumn("class_id", F.sha2(same, 256))
+
+
+def first_documents(prof: DataFrame, key: str = "doc_id", first: int = 10) -> DataFrame:
+    """(class_id, docs): the first document names of each class, sorted."""
+    from .rollup import first_k
+
+    named = with_class(prof).select("class_id", F.col(key).cast("string").alias("doc")).distinct()
+    return first_k(named, ["class_id"], "doc", first).groupBy("class_id").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
 
 
 def compare(prof: DataFrame, catalog: DataFrame, keys: tuple[str, ...] = ("doc_id",), fuzzy: bool = True,
@@ -294,13 +277,13 @@ def compare(prof: DataFrame, catalog: DataFrame, keys: tuple[str, ...] = ("doc_i
     keys = list(keys)
     ms = match_signatures(prof, catalog, fuzzy, threshold, case_sensitive)
     d = prof.select(*keys, "sig", "null_map", "arr_map", "rec_keys").join(ms, "sig")
-    x = d.select(*keys, "catalog", "null_map", "arr_map", "rec_keys", "catmap", F.explode("rows").alias("r"))
+    x = d.select(*keys, "catalog", "null_map", "arr_map", "rec_keys", F.explode("rows").alias("r"))
     arr = F.when(F.col("r.dn").isNotNull(), F.expr("try_element_at(arr_map, r.dn)"))
     if record_level:
         # Catalog field -> category where the record has a member whose
         # name equals the category after normalization; the record's own
         # arrays take precedence.
-        cat_raw = F.expr("try_element_at(catmap, r.dn)")
+        cat_raw = F.col("r.cat")
         cat_arr = F.when(
             cat_raw.isNotNull()
             & F.array_contains(F.col("rec_keys"), names.norm_array(cat_raw)),
@@ -308,7 +291,7 @@ def compare(prof: DataFrame, catalog: DataFrame, keys: tuple[str, ...] = ("doc_i
         )
         arr = F.coalesce(arr, F.when(F.col("r.dn").isNotNull(), cat_arr))
     x = x.withColumn("_arr", arr)
-    x = x.withColumn("_cat", F.expr("CASE WHEN r.dn IS NOT NULL THEN try_element_at(catmap, r.dn) END"))
+    x = x.withColumn("_cat", F.col("r.cat"))
     has_arr = F.col("_arr").isNotNull() & (F.col("_arr") != "")
     arr_null = has_arr & F.coalesce(F.expr("try_element_at(null_map, _arr)"), F.lit(False))
     cat_null = (
@@ -336,28 +319,20 @@ def mapping_suggestions(prof: DataFrame, catalog: DataFrame, threshold: float =
     """Per (catalog, sig, catalog name): exact name if present, else the
     best fuzzy name >= threshold (not one-to-one; ties: first in path order).
     """
-    consts = _catalog_consts(catalog, case_sensitive)
-    sigs = prof.groupBy("sig").agg(F.first("paths").alias("paths"))
-    out = None
-    for cat, c in consts.items():
-        dn_distinct = F.array(*[F.lit(d) for d, _ in c["distinct"]])
-        s = sigs.select(
-            F.lit(cat).alias("catalog"), "sig",
-            F.expr(f"array_distinct(transform(paths, p -> {_norm_a_sql('p', case_sensitive)}))").alias("jn"),
-        ).select("catalog", "sig", "jn", F.posexplode(dn_distinct).alias("dfirst", "dn"))
-        out = s if out is None else out.unionByName(s)
-    exact = out.where(F.array_contains("jn", F.col("dn"))).select(
-        "catalog", "sig", "dn", F.col("dn").alias("suggestion"), F.lit(1.0).alias("similarity"), F.lit("exact").alias("match_kind")
-    )
-    resid = out.where(~F.array_contains("jn", F.col("dn"))).select(
-        "catalog", "sig", "dn", F.posexplode("jn").alias("jpos", "jcand")
-    )
-    L = F.length
-    bound = 2.0 * F.least(L("dn"), L("jcand")) / (L("dn") + L("jcand"))
-    scored = resid.where(bound >= threshold).withColumn("ratio", _ratio_col("dn", "jcand")).where(F.col("ratio") >= threshold)
+    from ..session import materialize
+
+    known = catalog_names(catalog, case_sensitive)
+    found = materialize(signature_names(prof, case_sensitive))
+    pairs = _every_catalog(prof.select("sig").distinct(), known)
+    c = materialize(pairs.join(known, "catalog").join(found.select("sig", F.col("jn").alias("dn"), "jfirst"), ["sig", "dn"], "left"))
+    exact = c.where("jfirst IS NOT NULL").select(
+        "catalog", "sig", "dn", F.col("dn").alias("suggestion"), F.lit(1.0).alias("similarity"), F.lit("exact").alias("match_kind"))
+    resid = c.where("jfirst IS NULL").select("catalog", "sig", "dn")
+    j = pairs.join(found, "sig").select("catalog", "sig", "jn", "jfirst")
+    scored = resid.join(_similar(resid, j, threshold), ["catalog", "dn"]).join(j, ["catalog", "sig", "jn"])
     best = scored.groupBy("catalog", "sig", "dn").agg(
-        F.max_by(F.struct("jcand", "ratio"), F.struct(F.col("ratio"), -F.col("jpos"))).alias("b")
-    ).select("catalog", "sig", "dn", F.col("b.jcand").alias("suggestion"), F.col("b.ratio").alias("similarity"),
+        F.max_by(F.struct("jn", "ratio"), F.struct(F.col("ratio"), -F.col("jfirst"))).alias("b")
+    ).select("catalog", "sig", "dn", F.col("b.jn").alias("suggestion"), F.col("b.ratio").alias("similarity"),
              F.lit("fuzzy").alias("match_kind"))
     return exact.unionByName(best)
 

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import names
 
 
-def _cnt(cond) -> F.Column:
-    return F.count_if(cond)
+def _cnt(cond, weight: str | None = None) -> F.Column:
+    """Rows that meet a condition; with ``weight`` each counts so many times."""
+    return F.sum(F.when(cond, F.col(weight)).otherwise(0)) if weight else F.count_if(cond)
 
 
 def first_k(df: DataFrame, group: list[str], order: str, k: int, salt_buckets: int = 64) -> DataFrame:
@@ -32,16 +33,17 @@ def first_k(df: DataFrame, group: list[str], order: str, k: int, salt_buckets: i
     return local.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= k).drop("_salt", "_r")
 
 
-def match_stats(cmp: DataFrame, by: tuple[str, ...] = ("catalog",)) -> DataFrame:
-    """A1: totals by status and match kind."""
+def match_stats(cmp: DataFrame, by: tuple[str, ...] = ("catalog",), weight: str | None = None) -> DataFrame:
+    """A1: totals by status and match kind (``weight``: documents per row of a
+    comparison of document classes)."""
     s = F.col("status")
     return cmp.groupBy(*by).agg(
-        F.count("*").alias("total"),
-        _cnt(s == "matched").alias("matched"),
-        _cnt(s == "missing").alias("missing"),
-        _cnt(s == "extra").alias("extra"),
-        _cnt((s == "matched") & (F.col("match_kind") == "exact")).alias("exact_matches"),
-        _cnt((s == "matched") & (F.col("match_kind") == "fuzzy")).alias("fuzzy_matches"),
+        _cnt(F.lit(True), weight).alias("total"),
+        _cnt(s == "matched", weight).alias("matched"),
+        _cnt(s == "missing", weight).alias("missing"),
+        _cnt(s == "extra", weight).alias("extra"),
+        _cnt((s == "matched") & (F.col("match_kind") == "exact"), weight).alias("exact_matches"),
+        _cnt((s == "matched") & (F.col("match_kind") == "fuzzy"), weight).alias("fuzzy_matches"),
     )
 
 
@@ -64,44 +66,47 @@ def per_doc_lists(cmp: DataFrame, keys: tuple[str, ...] = ("catalog", "doc_id"))
     )
 
 
-def field_rollup(cmp: DataFrame, top: int = 10) -> DataFrame:
-    """A4 + A5: one verdict per field name across all documents.
+def field_partials(cmp: DataFrame, docs: DataFrame, top: int = 10, key: str = "class_id", weight: str = "n") -> DataFrame:
+    """Partial A4: per (catalog, field) the counts by status, whether it has a
+    category, the number of documents that miss it and the first ``top`` of
+    them. Partials of disjoint sets of documents merge in ``field_verdicts``.
 
-    matched anywhere -> matched (n times); else missing somewhere: a field
-    with a catalog category is reported missing with its (distinct, sorted)
-    document list, a field without one only if the name never appeared in
-    any document; else extra (n times).
+    ``cmp`` is a comparison of document classes, ``docs(key, docs)`` the first
+    documents of each: no row per document and field is ever made.
     """
     s = F.col("status")
-    # read four times below: materialize the comparison once
-    from ..session import materialize
-
-    cmp = materialize(cmp)
     g = cmp.groupBy("catalog", "field_name").agg(
-        _cnt(s == "matched").alias("n_matched"),
-        _cnt(s == "missing").alias("n_missing"),
-        _cnt(s == "extra").alias("n_extra"),
+        _cnt(s == "matched", weight).alias("n_matched"),
+        _cnt(s == "missing", weight).alias("n_missing"),
+        _cnt(s == "extra", weight).alias("n_extra"),
         F.max(F.when(s == "missing", F.col("category") != "")).alias("has_category"),
     )
-    # distinct missing documents: a count plus the first ``top`` names
-    miss = cmp.where(s == "missing").select("catalog", "field_name", F.col("doc_id").cast("string").alias("doc")).distinct()
-    n_docs = miss.groupBy("catalog", "field_name").agg(F.count("*").alias("_ndocs"))
-    firsts = first_k(miss, ["catalog", "field_name"], "doc", top).groupBy("catalog", "field_name").agg(
-        F.array_sort(F.collect_list("doc")).alias("_docs")
-    )
-    # "seen in some document" is matched or extra anywhere: same grouping key
-    g = g.withColumn("_seen", F.when((F.col("n_matched") + F.col("n_extra")) > 0, F.lit(True)))
-    g = g.join(n_docs, ["catalog", "field_name"], "left").join(firsts, ["catalog", "field_name"], "left")
-    docs = F.col("_docs")
-    listing = F.when(F.col("_ndocs") <= top, F.array_join(docs, ", ")).otherwise(
-        F.concat(F.array_join(docs, ", "), F.lit(" and "), (F.col("_ndocs") - top).cast("string"), F.lit(" more"))
-    )
+    # a class misses a field once, however often the catalog lists it
+    miss = cmp.where(s == "missing").groupBy("catalog", "field_name", key).agg(F.first(weight).alias("_n"))
+    n_docs = miss.groupBy("catalog", "field_name").agg(F.sum("_n").alias("n_docs"))
+    named = miss.join(docs, key).select("catalog", "field_name", F.explode("docs").alias("doc"))
+    return g.join(n_docs, ["catalog", "field_name"], "left").join(_first_names(named, top), ["catalog", "field_name"], "left")
+
+
+def _first_names(named: DataFrame, top: int) -> DataFrame:
+    return first_k(named, ["catalog", "field_name"], "doc", top).groupBy("catalog", "field_name").agg(
+        F.array_sort(F.collect_list("doc")).alias("docs"))
+
+
+def field_verdicts(partials: DataFrame, top: int = 10) -> DataFrame:
+    """A4 + A5 from ``field_partials`` of one or more sets of documents."""
+    g = partials.groupBy("catalog", "field_name").agg(
+        *[F.sum(c).alias(c) for c in ("n_matched", "n_missing", "n_extra", "n_docs")], F.max("has_category").alias("has_category"))
+    named = partials.select("catalog", "field_name", F.explode("docs").alias("doc"))
+    g = g.join(_first_names(named, top), ["catalog", "field_name"], "left")
+    category = F.coalesce("has_category", F.lit(False))
+    listing = F.when(F.col("n_docs") <= top, F.array_join("docs", ", ")).otherwise(
+        F.concat(F.array_join("docs", ", "), F.lit(" and "), (F.col("n_docs") - top).cast("string"), F.lit(" more")))
     # a field missing somewhere never falls through to "extra": without a
     # category it is reported only when no document carries the name at all
     verdict = (
         F.when(F.col("n_matched") > 0, F.lit("matched"))
-        .when(F.col("n_missing") > 0, F.when(
-            F.coalesce(F.col("has_category"), F.lit(False)) | F.col("_seen").isNull(), F.lit("missing")))
+        .when(F.col("n_missing") > 0, F.when(category | (F.col("n_extra") == 0), F.lit("missing")))
         .when(F.col("n_extra") > 0, F.lit("extra"))
     )
     times = (
@@ -111,25 +116,42 @@ def field_rollup(cmp: DataFrame, top: int = 10) -> DataFrame:
     )
     return g.select(
         "catalog", "field_name", verdict.alias("verdict"), times.alias("times"),
-        F.when((F.col("n_matched") == 0) & F.coalesce(F.col("has_category"), F.lit(False)), listing).alias("missing_in"),
+        F.when((F.col("n_matched") == 0) & category, listing).alias("missing_in"),
     ).where(F.col("verdict").isNotNull())
 
 
-def unique_unmatched(cmp: DataFrame) -> DataFrame:
+def field_rollup(cmp: DataFrame, top: int = 10, key: str = "doc_id") -> DataFrame:
+    """A4 + A5: one verdict per field name across all documents of a
+    comparison with one row per document and field.
+
+    matched anywhere -> matched (n times); else missing somewhere: a field
+    with a catalog category is reported missing with its (distinct, sorted)
+    document list, a field without one only if the name never appeared in
+    any document; else extra (n times). ``pipeline.rollup_fields`` gives the
+    same without a row per document and field.
+    """
+    from ..session import materialize
+
+    one = materialize(cmp.withColumn("n", F.lit(1).cast("long")))
+    docs = one.select(key).distinct().select(key, F.array(F.col(key).cast("string")).alias("docs"))
+    return field_verdicts(field_partials(one, docs, top, key), top)
+
+
+def unique_unmatched(cmp: DataFrame, weight: str | None = None) -> DataFrame:
     """Distinct missing / extra names over all documents, sorted."""
     return (
         cmp.where(F.col("status").isin("missing", "extra"))
         .groupBy("catalog", "status", "field_name")
-        .agg(F.count("*").alias("occurrences"))
+        .agg(_cnt(F.lit(True), weight).alias("occurrences"))
     )
 
 
-def totals(cmp: DataFrame) -> DataFrame:
+def totals(cmp: DataFrame, weight: str | None = None) -> DataFrame:
     """Overall matched / missing / extra / compared."""
     s = F.col("status")
     return cmp.groupBy("catalog").agg(
-        _cnt(s == "matched").alias("matched"), _cnt(s == "missing").alias("missing"),
-        _cnt(s == "extra").alias("extra"), F.count("*").alias("compared"),
+        _cnt(s == "matched", weight).alias("matched"), _cnt(s == "missing", weight).alias("missing"),
+        _cnt(s == "extra", weight).alias("extra"), _cnt(F.lit(True), weight).alias("compared"),
     )
 
 

@@ -7,7 +7,9 @@ damage are recomputed with joins, window functions and modular arithmetic.
 
 from __future__ import annotations
 
-from .queries import CROSS_NAMES, CUSTOMER_ORDERS, EVENT_FIELDS, EXPECTED_ORDER_FIELDS, PINNED_RATIOS, VARIANTS
+from difflib import SequenceMatcher
+
+from .queries import COMPETING, CROSS_NAMES, CUSTOMER_ORDERS, EVENT_FIELDS, EXPECTED_ORDER_FIELDS, PINNED_RATIOS, VARIANTS
 from ..sources.fixtures import LINEITEM_FIELDS, ORDER_FIELDS
 
 
@@ -87,6 +89,44 @@ def _catalog_rows(catalog: dict) -> list[tuple]:
     return rows
 
 
+def _contention() -> str:
+    """J2 by a recursion over the catalog's ordinals that carries the taken
+    names, for the two path sets of the order documents."""
+    squeeze = lambda x: x.split(".")[-1].replace("_", "").lower()
+    always = [(f, f) for f in (*ORDER_FIELDS, "lineitems")]
+    paths = sorted([(p, squeeze(p), False) for p, _ in always] + [("lineitems." + f, squeeze(f), True) for f in LINEITEM_FIELDS])
+    paths = [(i, *p) for i, p in enumerate(paths)]
+    ratios = [(o, c, jn, r) for o, c in enumerate(COMPETING) for _, _, jn, _ in paths
+              if (r := SequenceMatcher(None, squeeze(c), jn).ratio()) >= 0.7]
+    return f"""WITH RECURSIVE paths AS (SELECT * FROM {_values(paths, "p(pos, path, jn, nested)")}),
+    cat AS (SELECT * FROM {_values(list(enumerate(COMPETING)), "c(ord, field)")}),
+    ratios AS (SELECT * FROM {_values(ratios, "r(ord, field, jn, ratio)")}),
+    forms AS (SELECT * FROM (VALUES (true), (false)) AS f(nested)),
+    open AS (
+      SELECT f.nested AS form, r.ord, r.field, r.jn, r.ratio, p.path, p.pos FROM forms f, ratios r JOIN paths p ON p.jn = r.jn
+      WHERE f.nested OR NOT p.nested),
+    steps(form, ord, used, path, ratio) AS (
+      SELECT nested, -1, CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE) FROM forms
+      UNION ALL
+      SELECT s.form, s.ord + 1,
+             CASE WHEN b.path IS NULL THEN s.used ELSE list_append(s.used, b.path) END, b.path, b.ratio
+      FROM steps s LEFT JOIN LATERAL (
+        SELECT o.path, o.ratio FROM open o WHERE o.form = s.form AND o.ord = s.ord + 1 AND NOT list_contains(s.used, o.path)
+        ORDER BY o.ratio DESC, o.pos LIMIT 1) b ON true
+      WHERE s.ord + 1 < {len(COMPETING)}),
+    rows AS (
+      SELECT s.form, c.field AS field_name, c.field AS db_field, coalesce(s.path, '') AS json_field,
+             CASE WHEN s.path IS NULL THEN 'missing' ELSE 'matched' END AS status,
+             CASE WHEN s.path IS NULL THEN 'not_found' ELSE 'fuzzy' END AS match_kind, round(s.ratio, 4) AS similarity,
+             CASE WHEN s.path IS NULL THEN '' END AS category
+      FROM steps s JOIN cat c ON c.ord = s.ord
+      UNION ALL
+      SELECT f.nested, p.path, '', p.path, 'extra', 'not_found', NULL, NULL FROM forms f JOIN paths p ON f.nested OR NOT p.nested
+      WHERE p.path NOT IN (SELECT s.path FROM steps s WHERE s.form = f.nested AND s.path IS NOT NULL))
+    SELECT o_orderkey AS doc_id, 'competing' AS catalog, r.* EXCLUDE (form)
+    FROM orders JOIN rows r ON r.form = (o_orderkey IN (SELECT l_orderkey FROM lineitem))"""
+
+
 def compare_ctes(prefix: str, paths: str, keys: list[str], catalog_rows: list[tuple], nullmap: str | None = None) -> str:
     """CTEs ``{prefix}_cmp`` with the comparison rows for ``paths`` (CTE
     with ``*keys, path``) against a literal catalog; pinned fuzzy ratios;
@@ -352,6 +392,8 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT doc_id, p_partkey, 3, 'Brand' || bn FROM p)
       SELECT doc_id, 'Catalog' || CAST(doc_id AS VARCHAR) AS catalog, 'Part' || CAST(p_partkey AS VARCHAR) AS category, field,
              CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p_partkey, pos) - 1 AS BIGINT) AS ordinal FROM f"""
+    sql["stream_rollup"] = sql["field_rollup"]
+    sql["fuzzy_contention"] = _contention()
     sql["stream_validate"] = f"""SELECT event_id AS doc_id, event_id % 8 IN (5, 6, 7) AS valid, {SYNTAX_ERR} AS first_error,
         CASE WHEN event_id % 8 = 5 THEN 'Empty string at root.note' ELSE '' END AS warnings FROM events"""
     sql["special_char_rollup"] = """SELECT 'user' AS field, '#' AS chars, count(*) AS occurrences,

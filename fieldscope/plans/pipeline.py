@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import match, walk
+from ..operators import match, rollup, walk
 from ..session import materialize
 
 
@@ -67,3 +67,24 @@ def compare_records(docs: DataFrame, catalog: DataFrame, key: str = "doc_id", on
         bad = cmp.where(F.col("status").isin("missing", "extra")).select("catalog", key, "record_idx").distinct()
         cmp = cmp.join(bad, ["catalog", key, "record_idx"], "left_semi")
     return cmp
+
+
+def compare_classes(docs: DataFrame, catalog: DataFrame, key: str = "doc_id", tolerant: bool = True, first: int = 10,
+                    **kw) -> tuple[DataFrame, DataFrame]:
+    """E1 once per class of documents that compare alike: the comparison table
+    keyed by ``class_id`` with the class's number of documents ``n``, and the
+    first documents of each class."""
+    prof = file_profile(docs, key, tolerant=tolerant)
+    classes = materialize(match.document_classes(prof))
+    return match.compare(classes, catalog, keys=("class_id", "n"), **kw), match.first_documents(prof, key, first)
+
+
+def field_partials(docs: DataFrame, catalog: DataFrame, key: str = "doc_id", top: int = 10, **kw) -> DataFrame:
+    """Partial field roll-up of a set of documents, e.g. of a micro batch."""
+    cmp, first = compare_classes(docs, catalog, key, first=top, **kw)
+    return rollup.field_partials(materialize(cmp), first, top)
+
+
+def rollup_fields(docs: DataFrame, catalog: DataFrame, key: str = "doc_id", top: int = 10, **kw) -> DataFrame:
+    """A4 + A5 over documents, at the cost of their classes."""
+    return rollup.field_verdicts(field_partials(docs, catalog, key, top, **kw), top)

@@ -33,6 +33,9 @@ VARIANTS = ["O_ORDER KEY", "order_status", "l-ship-dat", "o_totalprice", "o_tota
             "lineitems", "l_quantity", "l_tax", "l_disc"]
 # Names of other tables' columns that are near misses of customer-document names.
 CROSS_NAMES = ["l_orderkey", "s_acctbal", "s_nationkey", "n_name", "c_mktsegment", "o_custkey"]
+# Names that compete for the same order columns, in ordinal order.
+COMPETING = ["orderstatu", "o_ordrstatus", "ordr_status", "totalpric", "o_totalprc", "shipdate", "l_shpdate", "lshipdat", "orderdat",
+             "o_ordrdate", "ordkey"]
 # Customer/orders catalog for the multi-record documents.
 CUSTOMER_ORDERS = {"customer": ["c_custkey", "c_name", "c_acctbal"], "orders": ["o_orderkey", "o_orderstatus", "o_totalprice"]}
 # difflib ratios (catalog name first) of every pair at or above 0.8 on this data.
@@ -131,34 +134,63 @@ def q_compare_variants(spark, sf):
     return _rounded(pipeline.compare_documents(fx.order_docs(spark, sf), _variants(spark)))
 
 
+def q_fuzzy_contention(spark, sf):
+    """J2 where catalog names compete: earlier ones take the better names."""
+    configure(spark)
+    cat = cg.from_dict(spark, {"competing": COMPETING})
+    return _rounded(pipeline.compare_documents(fx.order_docs(spark, sf), cat, threshold=0.7))
+
+
 def q_compare_by_table(spark, sf):
     configure(spark)
     return _rounded(pipeline.compare_documents(fx.order_docs(spark, sf), _orders_catalog(spark, sf)))
 
 
-def _both(spark, sf):
-    cat = _variants(spark).unionByName(_orders_catalog(spark, sf))
-    return pipeline.compare_documents(fx.order_docs(spark, sf), cat)
+def _both_catalogs(spark, sf):
+    return _variants(spark).unionByName(_orders_catalog(spark, sf))
 
 
 def q_match_stats(spark, sf):
     configure(spark)
-    return rollup.match_stats(_both(spark, sf))
+    cmp, _ = pipeline.compare_classes(fx.order_docs(spark, sf), _both_catalogs(spark, sf))
+    return rollup.match_stats(cmp, weight="n")
 
 
 def q_per_doc_counts(spark, sf):
     configure(spark)
-    return rollup.per_doc_counts(_both(spark, sf)).drop("zero_match")
+    cmp = pipeline.compare_documents(fx.order_docs(spark, sf), _both_catalogs(spark, sf))
+    return rollup.per_doc_counts(cmp).drop("zero_match")
 
 
 def q_field_rollup(spark, sf):
     configure(spark)
-    return rollup.field_rollup(_both(spark, sf)).withColumn("times", F.col("times").cast("bigint"))
+    r = pipeline.rollup_fields(fx.order_docs(spark, sf), _both_catalogs(spark, sf))
+    return r.withColumn("times", F.col("times").cast("bigint"))
+
+
+def q_stream_rollup(spark, sf):
+    """Running field statistics. Each micro batch leaves its partial
+    roll-up under its batch id; the roll-up is made of the partials."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..streaming import ingest
+
+    configure(spark)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/fieldscope-stream-{uuid.uuid4().hex}"
+    docs = fx.order_docs(spark, sf)
+    docs.repartition(4, "doc_id").write.mode("overwrite").parquet(f"{base}/in")
+    stream = ingest.parquet_stream(spark, f"{base}/in", docs.schema, max_files=2)
+    cat = _both_catalogs(spark, sf)
+    ingest.run_batches(stream, lambda batch: pipeline.field_partials(batch, cat), f"{base}/out", f"{base}/checkpoint")
+    r = rollup.field_verdicts(spark.read.parquet(f"{base}/out"))
+    return r.withColumn("times", F.col("times").cast("bigint"))
 
 
 def q_unique_unmatched(spark, sf):
     configure(spark)
-    return rollup.unique_unmatched(_both(spark, sf))
+    cmp, _ = pipeline.compare_classes(fx.order_docs(spark, sf), _both_catalogs(spark, sf))
+    return rollup.unique_unmatched(cmp, weight="n")
 
 
 def q_run_summary(spark, sf):
@@ -391,10 +423,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "per_doc_lists": q_per_doc_lists,
     "null_parents": q_null_parents,
     "compare_variants": q_compare_variants,
+    "fuzzy_contention": q_fuzzy_contention,
     "compare_by_table": q_compare_by_table,
     "match_stats": q_match_stats,
     "per_doc_counts": q_per_doc_counts,
     "field_rollup": q_field_rollup,
+    "stream_rollup": q_stream_rollup,
     "unique_unmatched": q_unique_unmatched,
     "run_summary": q_run_summary,
     "category_unmatched": q_category_unmatched,
