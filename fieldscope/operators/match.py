@@ -126,10 +126,16 @@ def catalog_names(catalog: DataFrame, case_sensitive: bool = False) -> DataFrame
     return known.join(cats, ["catalog", "dn"], "left")
 
 
-def signature_names(prof: DataFrame, case_sensitive: bool = False) -> DataFrame:
+def signatures(prof: DataFrame) -> DataFrame:
+    """The distinct path sets (sig, paths) of a profile."""
+    from ..session import materialize
+
+    return materialize(prof.groupBy("sig").agg(F.first("paths").alias("paths")))
+
+
+def signature_names(sigs: DataFrame, case_sensitive: bool = False) -> DataFrame:
     """Per (sig, normalized name ``jn``): the path shown (the last one wins),
     the place of its first path and its number of paths."""
-    sigs = prof.groupBy("sig").agg(F.first("paths").alias("paths"))
     each = sigs.select("sig", F.posexplode("paths").alias("pos", "path"))
     return each.groupBy("sig", names.norm_compare("path", case_sensitive).alias("jn")).agg(
         F.max_by("path", "pos").alias("jorig"), F.min("pos").cast("int").alias("jfirst"), F.count("*").alias("jcopies"))
@@ -199,9 +205,10 @@ def match_signatures(prof: DataFrame, catalog: DataFrame, fuzzy: bool = True, th
     handling, each with the catalog category of its name (``cat``)."""
     from ..session import materialize
 
+    sigs = signatures(prof)
     known = materialize(catalog_names(catalog, case_sensitive))
-    found = materialize(signature_names(prof, case_sensitive))
-    pairs = _every_catalog(prof.select("sig").distinct(), known)
+    found = signature_names(sigs, case_sensitive)
+    pairs = _every_catalog(sigs.select("sig"), known)
     c = pairs.join(known, "catalog").join(found.withColumnRenamed("jn", "dn"), ["sig", "dn"], "left")
     j = pairs.join(found, "sig").join(known.select("catalog", F.col("dn").alias("jn")), ["catalog", "jn"], "left_anti")
     exact = F.col("jorig").isNotNull()
@@ -321,9 +328,10 @@ def mapping_suggestions(prof: DataFrame, catalog: DataFrame, threshold: float =
     """
     from ..session import materialize
 
+    sigs = signatures(prof)
     known = catalog_names(catalog, case_sensitive)
-    found = materialize(signature_names(prof, case_sensitive))
-    pairs = _every_catalog(prof.select("sig").distinct(), known)
+    found = signature_names(sigs, case_sensitive)
+    pairs = _every_catalog(sigs.select("sig"), known)
     c = materialize(pairs.join(known, "catalog").join(found.select("sig", F.col("jn").alias("dn"), "jfirst"), ["sig", "dn"], "left"))
     exact = c.where("jfirst IS NOT NULL").select(
         "catalog", "sig", "dn", F.col("dn").alias("suggestion"), F.lit(1.0).alias("similarity"), F.lit("exact").alias("match_kind"))
@@ -370,17 +378,6 @@ def root_maps(df: DataFrame, v: str = "v", level: str = "file") -> DataFrame:
     )
 
 
-def _walk_bounded(u: DataFrame, keys, depth: int | None = None) -> DataFrame:
-    """Single-stage chained walk with the level count read from the units'
-    own bracket depth (one small aggregate; a level more than needed never
-    changes the result, a level less fails the query)."""
-    from . import walk
-
-    if depth is None:
-        depth = u.agg(F.max(walk.text_depth_of(F.to_json("v"))).alias("d")).first()["d"]
-    return walk.nodes_chain(u, int(depth or 0), keys=keys)
-
-
 def shape_profile(u: DataFrame, keys: tuple[str, ...], level: str = "file", content: str | None = None) -> DataFrame:
     """The ``profile`` of walk units, walking one unit per distinct shape.
 
@@ -427,7 +424,7 @@ def shape_profile(u: DataFrame, keys: tuple[str, ...], level: str = "file", cont
         .select("_shape", "r.*")
     )
     rep_units = reps if level == "record" else walk.units(reps.select("_shape", "v"), key="_shape")
-    rn = _walk_bounded(rep_units, ("_shape", "unit"))
+    rn = walk.nodes_by_depth(rep_units, ("_shape", "unit"))
     rp = profile(rn, ("_shape",), level=level).select(
         "_shape", "paths", "sig", "arr_map", F.col("null_map").alias("_rnm"), F.col("rec_keys").alias("_rrk"))
     fast = s.where(~plain).select(*keys, "_shape", "null_map", "rec_keys").join(rp, "_shape").select(
@@ -436,14 +433,12 @@ def shape_profile(u: DataFrame, keys: tuple[str, ...], level: str = "file", cont
     )
     # mixed-type shapes: full walk
     mixed = s.where(plain)
-    if content:
-        st = mixed.agg(F.count("*").alias("n"), F.max(walk.text_depth(content)).alias("d")).first()
-    else:
-        st = mixed.agg(F.count("*").alias("n"), F.max(walk.text_depth_of(F.to_json("v"))).alias("d")).first()
+    if mixed.isEmpty():
+        return fast
     mixed = value(mixed.drop("_shape", "null_map", "rec_keys"))
     mu = mixed if level == "record" else walk.units(mixed.select(*keys, "v"), key=keys[0])
     mk = tuple(keys) + (() if level == "record" else ("unit",))
-    slow = profile(_walk_bounded(mu, mk, st["d"]), tuple(keys), level=level)
+    slow = profile(walk.nodes_by_depth(mu, mk), tuple(keys), level=level)
     out = fast.unionByName(slow.select(*keys, "paths", "sig", "null_map", "arr_map", "rec_keys"))
     # heterogeneous corpora: keep the walked profile instead of walking again
-    return materialize(out) if st["n"] else out
+    return materialize(out)

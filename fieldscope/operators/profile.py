@@ -50,6 +50,24 @@ def findings(values: DataFrame, key: str = "doc_id", keywords: Column | None = N
     )
 
 
+def value_states(values: DataFrame, exclusions: DataFrame, value: str = "cleaned", reverse: bool = True) -> DataFrame:
+    """P16-P20 for ``(catalog, field, <value>)`` rows with the exclusion
+    configuration as a table (M13: ``exclusions(catalog, keyword)``): adds
+    ``state`` (empty | excluded | json_text | special | plain) and
+    ``special_chars`` (of ``special`` values only)."""
+    words = exclusions.where(F.col("catalog").isNotNull()).groupBy("catalog").agg(F.collect_set("keyword").alias("_words"))
+    v = F.col(value)
+    d = values.join(words, "catalog", "left").withColumn("special_chars", names.special_chars(v))
+    state = (
+        F.when(v.isNull() | (F.length(v) == 0), F.lit("empty"))
+        .when(names.excluded(F.col("field"), F.col("_words"), reverse), F.lit("excluded"))
+        .when(is_json_container_text(v), F.lit("json_text"))
+        .when(F.size("special_chars") > 0, F.lit("special")).otherwise(F.lit("plain"))
+    )
+    d = d.withColumn("state", state).drop("_words")
+    return d.withColumn("special_chars", F.when(F.col("state") == "special", F.col("special_chars")))
+
+
 def line_numbers(found: DataFrame, docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
     """1-based line of each finding in its document's text.
 

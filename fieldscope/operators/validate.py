@@ -109,40 +109,31 @@ def suggestions(content: Column, line: Column, msg: Column) -> Column:
     return F.filter(F.array(s1, s2, s3), lambda x: x.isNotNull())
 
 
-def root_structure(v: str = "v") -> dict[str, Column]:
-    """V2 columns for a parsed root."""
+def with_root_structure(d: DataFrame, v: str = "v") -> DataFrame:
+    """V2 columns for a parsed root. The elements of a root array are read
+    once, each to its type and its key set, whose order does not matter."""
     elems = f"try_variant_get({v}, '$', 'array<variant>')"
-    keys_of = "array_sort(map_keys(try_variant_get({e}, '$', 'map<string,variant>')))"
-    mixed = (
-        f"exists(slice({elems}, 2, greatest(size({elems}) - 1, 1)), e -> ({py_type_sql('e')}) <> ({py_type_sql(elems + '[0]')}))"
-        f" AND size({elems}) > 1"
-    )
-    inconsistent = (
-        f"size({elems}) > 1 AND try_variant_get({elems}[0], '$', 'struct<>') IS NOT NULL AND "
-        f"exists(slice({elems}, 2, greatest(size({elems}) - 1, 1)), e -> try_variant_get(e, '$', 'struct<>') IS NOT NULL "
-        f"AND NOT ({keys_of.format(e='e')} <=> {keys_of.format(e=elems + '[0]')}))"
-    )
-    return {
-        "root_type": F.expr(py_type_sql(v)),
-        "field_count": F.expr(f"cardinality(try_variant_get({v}, '$', 'map<string,variant>'))"),
-        "array_length": F.expr(f"size({elems})"),
-        "array_element_type": F.expr(f"CASE WHEN size({elems}) > 0 THEN {py_type_sql(elems + '[0]')} END"),
-        "_mixed": F.expr(f"coalesce({mixed}, false)"),
-        "_inconsistent": F.expr(f"coalesce({inconsistent}, false)"),
-    }
-
-
-def depth_and_blanks(parsed: DataFrame, key: str = "doc_id", check_nulls: bool = False,
-                     levels: int | None = None) -> DataFrame:
+    each = (f"transform({elems}, e -> named_struct('t', {py_type_sql('e')}, "
+            "'k', to_json(array_sort(map_keys(try_variant_get(e, '$', 'map<string,variant>'))))))")
+    d = d.withColumn("root_type", F.expr(py_type_sql(v))).withColumn(
+        "field_count", F.expr(f"cardinality(try_variant_get({v}, '$', 'map<string,variant>'))"))
+    d = d.withColumn("_each", F.when(F.col("root_type") == "list", F.expr(each)))
+    first = F.element_at("_each", 1)
+    return d.select(
+        *[c for c in d.columns if c != "_each"], F.size("_each").alias("_size_of"),
+        F.when(F.size("_each") > 0, first["t"]).alias("array_element_type"),
+        F.coalesce(F.size(F.array_distinct("_each.t")) > 1, F.lit(False)).alias("_mixed"),
+        F.coalesce((F.size("_each") > 0) & first["k"].isNotNull() & (F.size(F.array_distinct(F.filter("_each.k", lambda k: k.isNotNull()))) > 1),
+                   F.lit(False)).alias("_inconsistent"),
+    ).withColumn("array_length", F.when(F.col("root_type") == "list", F.col("_size_of"))).drop("_size_of")
+
+
+def depth_and_blanks(parsed: DataFrame, key: str = "doc_id", check_nulls: bool = False) -> DataFrame:
     """V3 + V4 from the walk: max depth and blank-string (null) issues.
 
-    With ``levels`` (an upper bound of the nesting depth, e.g. from
-    ``walk.text_depth``) the single-stage chained walk is used."""
-    u = walk.units(parsed.select(key, "v"), key=key)
-    if levels is not None:
-        n = walk.nodes_chain(u, levels, keys=(key, "unit"), with_vpath=True)
-    else:
-        n = walk.nodes(u, keys=(key, "unit"), with_vpath=True)
+    Every document is walked by a plan of its own depth class; only issues
+    are gathered per document, not its nodes."""
+    n = walk.nodes_by_depth(walk.units(parsed.select(key, "v"), key=key), keys=(key, "unit"), with_vpath=True)
     is_str = F.expr("kind = 'scalar' AND schema_of_variant(v) = 'STRING'")
     blank = is_str & F.expr("variant_get(v, '$', 'string')").rlike(_BLANK)
     issue = F.when(F.col("keyed") & blank, F.concat(F.lit("Empty string at "), F.col("vpath")))
@@ -150,8 +141,8 @@ def depth_and_blanks(parsed: DataFrame, key: str = "doc_id", check_nulls: bool =
         issue = F.when(F.col("keyed") & (F.col("kind") == "null"), F.concat(F.lit("Null value at "), F.col("vpath"))).otherwise(issue)
     return n.groupBy(key).agg(
         F.max("depth").alias("max_depth"),
-        F.array_sort(F.collect_list(F.struct(F.col("vpath"), issue.alias("msg")))).alias("_iss"),
-    ).select(key, "max_depth", F.expr("filter(transform(_iss, x -> x.msg), m -> m IS NOT NULL)").alias("type_issues"))
+        F.array_sort(F.collect_list(F.when(issue.isNotNull(), F.struct(F.col("vpath"), issue.alias("msg"))))).alias("_iss"),
+    ).select(key, "max_depth", F.col("_iss.msg").alias("type_issues"))
 
 
 def validate(docs: DataFrame, key: str = "doc_id", content: str = "content", schema: dict | None = None,
@@ -176,11 +167,8 @@ def validate(docs: DataFrame, key: str = "doc_id", content: str = "content", sch
     from ..session import materialize
 
     d = materialize(d)
-    for name, col in root_structure("v").items():
-        d = d.withColumn(name, col)
-    ok = d.where(F.col("v").isNotNull())
-    levels = ok.agg(F.max(walk.text_depth(content)).alias("m")).first()["m"]
-    db = depth_and_blanks(ok.select(key, "v"), key, check_nulls, int(levels or 0))
+    db = depth_and_blanks(d.where(F.col("v").isNotNull()).select(key, "v"), key, check_nulls)
+    d = with_root_structure(d)
     d = d.join(db, key, "left")
     mb = F.round(F.col("_size") / F.lit(1048576.0), 2)
     large = F.when(F.col("_size") > large_bytes, F.concat(F.lit("Large file size: "), mb.cast("string"), F.lit(" MB")))

@@ -85,8 +85,9 @@ def number_records(u: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def nodes(u: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id", "unit"), with_vpath: bool = False,
-          max_level: int = 1000) -> DataFrame:
-    """Walk every unit to all of its nodes.
+          levels: int | None = None) -> DataFrame:
+    """Walk every unit to all of its nodes. ``levels`` is an upper bound of
+    the nesting depth; without it the deepest unit's is read first.
 
     Columns: ``*keys, root_is_array, path, key, pos, v, depth, kind, keyed,
     p1, p6, arr_key, par_arr[, vpath]``.
@@ -108,6 +109,8 @@ def nodes(u: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id", "unit"),
     spark = u.sparkSession
     configure(spark)
     keys = list(keys)
+    if levels is None:
+        levels = u.agg(F.max(text_depth_of(F.to_json("v"))).alias("d")).first()["d"] or 0
     view = f"_fs_walk_src_{uuid.uuid4().hex}"
     u.createOrReplaceTempView(view)
     kcols = ", ".join(f"`{k}`" for k in keys)
@@ -123,7 +126,7 @@ def nodes(u: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id", "unit"),
     # every flag in the outer one.
     sql = f"""
 WITH RECURSIVE w({kcols}, root_is_array, path, key, pos, v, depth, kind, has_obj, keyed, p1, p6, fst, op, arr_key, par_arr{vname})
-MAX RECURSION LEVEL {int(max_level)} AS (
+MAX RECURSION LEVEL {int(levels) + 2} AS (
   SELECT {kcols}, root_is_array, '', CAST(NULL AS STRING), CAST(coalesce(unit, 0) AS INT), v,
          CASE WHEN root_is_array THEN 1 ELSE 0 END,
          {kind_sql('v')}, {has_obj_sql('v')}, false, true,
@@ -260,3 +263,32 @@ def nodes_chain(u: DataFrame, levels: int, keys: list[str] | tuple[str, ...] = (
     )
     guard = F.when(pending, F.raise_error(F.lit("document nesting exceeds the walk depth"))).otherwise(F.lit(None))
     return rows.where(guard.isNull()).drop("done")
+
+
+# Depth classes: documents of one class share a chained plan of that many
+# levels; deeper ones go through the recursive walk.
+DEPTH_CLASSES = (4, 8, 16, 32)
+
+
+def nodes_by_depth(u: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id", "unit"), with_vpath: bool = False) -> DataFrame:
+    """The node table with every unit walked by a plan of its own depth class,
+    so that one deep document neither lengthens the plan of the others nor
+    meets a limit."""
+    from ..session import materialize
+
+    depth = text_depth_of(F.to_json("v"))
+    # a scalar root has depth 0, and a unit below a root array is one level down already
+    cls = F.coalesce(*[F.when(depth <= c, F.lit(c)) for c in DEPTH_CLASSES], F.lit(-1))
+    d = u.withColumn("_depth", depth).withColumn("_class", cls)
+    present = {r["_class"]: r["d"] for r in d.groupBy("_class").agg(F.max("_depth").alias("d")).collect()}
+    if not present:
+        return nodes_chain(u, 0, keys, with_vpath)
+    if len(present) > 1:
+        d = materialize(d.withColumn("v", F.to_json("v"))).withColumn("v", F.expr("parse_json(v)"))
+    out = None
+    for c, deepest in sorted(present.items()):
+        own = d.where(F.col("_class") == c).drop("_depth", "_class")
+        n = nodes(own, keys, with_vpath, int(deepest)) if c < 0 else nodes_chain(own, int(deepest), keys, with_vpath)
+        n = n.drop("has_obj")
+        out = n if out is None else out.unionByName(n)
+    return out

@@ -392,6 +392,50 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT doc_id, p_partkey, 3, 'Brand' || bn FROM p)
       SELECT doc_id, 'Catalog' || CAST(doc_id AS VARCHAR) AS catalog, 'Part' || CAST(p_partkey AS VARCHAR) AS category, field,
              CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p_partkey, pos) - 1 AS BIGINT) AS ordinal FROM f"""
+    # every string value of the annotated documents, cleaned by hand for each catalog
+    sql["clean_then_profile"] = """WITH e AS (SELECT event_id AS doc_id, event_type AS t, CAST(user_id AS VARCHAR) AS u, props FROM events),
+      rows AS (
+        SELECT doc_id, c.catalog, f.field,
+          CASE f.field WHEN 'tag' THEN CASE c.catalog WHEN 'beta' THEN t || u ELSE t || '#' || u END
+            WHEN 'payload' THEN props WHEN 'broken' THEN '{' || t WHEN 'smiles_code' THEN 'C#N'
+            WHEN 'user' THEN CASE c.catalog WHEN 'alpha' THEN 'u' || u ELSE 'u#' || u END
+            WHEN 'meta.user' THEN CASE c.catalog WHEN 'alpha' THEN u ELSE 'm@' || u END
+            WHEN 'meta.Keep-Note' THEN CASE c.catalog WHEN 'alpha' THEN 'x' || u WHEN 'beta' THEN u || '#é#' ELSE 'x@' || u || '#é#' END
+            WHEN 'void' THEN '' END AS cleaned,
+          CASE f.field WHEN 'tag' THEN CASE c.catalog WHEN 'beta' THEN 7 ELSE 6 END
+            WHEN 'user' THEN CASE c.catalog WHEN 'alpha' THEN 1 ELSE 0 END
+            WHEN 'meta.user' THEN CASE c.catalog WHEN 'alpha' THEN 1 ELSE 0 END
+            WHEN 'meta.Keep-Note' THEN CASE c.catalog WHEN 'gamma' THEN 6 ELSE 8 END WHEN 'void' THEN 6 ELSE 0 END AS removed
+        FROM e, (VALUES ('alpha'), ('beta'), ('gamma')) AS c(catalog),
+          (VALUES ('tag'), ('payload'), ('broken'), ('smiles_code'), ('user'), ('meta.user'), ('meta.Keep-Note'), ('void')) AS f(field)),
+      states AS (
+        SELECT *, CASE WHEN cleaned = '' THEN 'empty'
+            WHEN field = 'smiles_code' OR (catalog, field) IN (('beta', 'meta.Keep-Note'), ('gamma', 'broken')) THEN 'excluded'
+            WHEN field = 'payload' THEN 'json_text'
+            WHEN regexp_matches(cleaned, '[^a-zA-Z0-9_ .(),:;-]') THEN 'special' ELSE 'plain' END AS state FROM rows)
+      SELECT doc_id, catalog, field, cleaned, CAST(removed AS BIGINT) AS removed, state,
+        CASE WHEN state <> 'special' THEN '' WHEN field = 'broken' THEN '{' WHEN field = 'meta.Keep-Note' THEN '@,#,é'
+             WHEN field = 'meta.user' THEN '@' ELSE '#' END AS special_chars FROM states"""
+    sql["decode_detected"] = """WITH d AS (
+        SELECT doc_id, doc_id % 5 AS k, regexp_replace(text, '[^\\x{01}-\\x{7E}\\x{A0}-\\x{FF}]', '?', 'g') AS plain
+        FROM documents WHERE length(text) > 0)
+      SELECT doc_id, CASE WHEN k = 2 THEN 'cp1252' WHEN k = 3 THEN 'utf-16-le' WHEN k = 4 THEN 'utf-16-be'
+          WHEN k = 0 OR regexp_full_match(plain, '[\\x{01}-\\x{7E}]*') THEN 'utf-8' ELSE 'iso-8859-1' END AS encoding,
+        true AS confident, sha256(CASE WHEN k = 2 THEN '“' || plain || '” – 5 €' ELSE plain END) AS text_sha256 FROM d"""
+    sql["deep_nesting"] = """WITH d AS (SELECT event_id AS doc_id, event_id % 500 = 0 AS deep, event_id % 13 AS k FROM events),
+      p AS (SELECT *, CASE WHEN deep THEN 72 ELSE k + 1 END AS max_depth,
+              CASE WHEN deep THEN 'root.deep' || repeat('[0]', 70) ELSE 'root' || repeat('.a', CAST(k AS INTEGER)) END AS place FROM d)
+      SELECT doc_id, true AS valid, CAST(max_depth AS BIGINT) AS max_depth,
+        CASE WHEN max_depth > 10 THEN 'Deep nesting detected: ' || max_depth || ' levels,' ELSE '' END || 'Empty string at ' || place || '.blank' AS warnings
+      FROM p"""
+    sql["root_array_mixed"] = """WITH g AS (
+        SELECT c_nationkey || '/' || c_mktsegment AS doc_id, c_mktsegment AS seg, count(*) AS n,
+          count(*) FILTER (WHERE c_custkey % 7 = 0) AS odd, min(c_custkey) % 7 = 0 AS first_odd,
+          count(*) FILTER (WHERE c_custkey % 7 <> 0) AS even FROM customer GROUP BY ALL)
+      SELECT doc_id, n + CASE WHEN seg = 'FURNITURE' THEN 1 ELSE 0 END AS array_length,
+        CASE WHEN seg = 'FURNITURE' OR (seg = 'HOUSEHOLD' AND odd > 0 AND even > 0) THEN 'Array contains mixed element types'
+             WHEN seg = 'BUILDING' AND odd > 0 AND even > 0 THEN 'Array objects have inconsistent field sets' ELSE '' END AS warnings,
+        CAST(CASE WHEN seg = 'HOUSEHOLD' AND even = 0 THEN 1 ELSE 2 END AS BIGINT) AS max_depth FROM g"""
     sql["stream_rollup"] = sql["field_rollup"]
     sql["fuzzy_contention"] = _contention()
     sql["stream_validate"] = f"""SELECT event_id AS doc_id, event_id % 8 IN (5, 6, 7) AS valid, {SYNTAX_ERR} AS first_error,

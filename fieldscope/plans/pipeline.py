@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import match, rollup, walk
+from ..operators import clean, match, profile, rollup, walk
 from ..session import materialize
 
 
@@ -88,3 +88,17 @@ def field_partials(docs: DataFrame, catalog: DataFrame, key: str = "doc_id", top
 def rollup_fields(docs: DataFrame, catalog: DataFrame, key: str = "doc_id", top: int = 10, **kw) -> DataFrame:
     """A4 + A5 over documents, at the cost of their classes."""
     return rollup.field_verdicts(field_partials(docs, catalog, key, top, **kw), top)
+
+
+def clean_then_profile(docs: DataFrame, catalogs: DataFrame, removals: DataFrame, exclusions: DataFrame, key: str = "doc_id",
+                       tolerant: bool = True) -> DataFrame:
+    """The string value of every field path, taken from the raw document,
+    cleaned with each catalog's removal table, and profiled as cleaned text
+    under its exclusion table: ``doc_id, catalog, field, cleaned, removed,
+    state, special_chars``."""
+    loaded = parse_docs(docs.select(key, "content"), tolerant=tolerant).where(F.col("v").isNotNull())
+    n = walk.nodes_by_depth(walk.units(loaded.select(key, "v"), key=key), keys=(key, "unit"))
+    values = profile.string_values(profile.path_values(n, key), key)
+    cats = catalogs.agg(F.collect_set("catalog").alias("_cats")).withColumn("_one", F.lit(1))
+    each = values.withColumn("_one", F.lit(1)).join(cats, "_one").select(key, F.explode("_cats").alias("catalog"), "field", "value")
+    return profile.value_states(clean.clean_by_table(each, removals, catalogs), exclusions).drop("value")

@@ -58,6 +58,11 @@ EVENT_SCHEMA_RULES = {
 EVENT_FIELDS = ["Event ID", "event-type", "user", "K", "note", "session"]
 CLEAN_TOKENS = {"text": ["é", "ç"]}
 USER_TOKENS = {"user": ["#"]}
+# Removal and exclusion tables (catalog, field, token, ordinal) and (catalog, keyword); null: every catalog, every field.
+REMOVALS = [(None, None, "-ISIS-", 0), ("alpha", "user", "#", 0), ("alpha", "user", "m@", 1), ("alpha", "KEEP NOTE", "@", 0),
+            ("alpha", "KEEP NOTE", "#é#", 1), ("beta", None, "x@", 1), ("beta", "tag", "#", 0)]
+EXCLUSIONS = [("beta", "Keep_Note"), ("gamma", "broken"), (None, "helm")]
+CLEANING_CATALOGS = [("alpha",), ("beta",), ("gamma",)]
 
 
 def _orders_catalog(spark: SparkSession, sf: str) -> DataFrame:
@@ -300,13 +305,10 @@ def q_root_array_consistency(spark, sf):
 
 
 def _loaded_nodes(spark, sf):
-    """Nodes of the dirty documents that load (after repairs), walked in one
-    stage with the level count from the text's bracket depth."""
+    """Nodes of the dirty documents that load (after repairs)."""
     docs = fx.dirty_docs(spark, sf)
-    # the bound over all texts (loadable or not) is still an upper bound
-    levels = docs.agg(F.max(walk.text_depth("content")).alias("m")).first()["m"]
     loaded = src_files.tolerant_load(docs).where(F.col("v").isNotNull())
-    return docs, walk.nodes_chain(walk.units(loaded.select("doc_id", "v")), int(levels or 0))
+    return docs, walk.nodes_by_depth(walk.units(loaded.select("doc_id", "v")))
 
 
 def q_special_char_profile(spark, sf):
@@ -378,6 +380,38 @@ def q_clean_docs(spark, sf):
                     F.col("cleaned").contains("#").alias("still_has_hash"))
 
 
+def q_clean_then_profile(spark, sf):
+    """Paths of the raw documents, values cleaned and profiled per catalog."""
+    configure(spark)
+    p = pipeline.clean_then_profile(
+        fx.annotated_docs(spark, sf), spark.createDataFrame(CLEANING_CATALOGS, "catalog string"),
+        spark.createDataFrame(REMOVALS, "catalog string, field string, token string, ordinal int"),
+        spark.createDataFrame(EXCLUSIONS, "catalog string, keyword string"))
+    return p.select("doc_id", "catalog", "field", "cleaned", "removed", "state", F.coalesce(_join("special_chars"), F.lit("")).alias("special_chars"))
+
+
+def q_decode_detected(spark, sf):
+    """Bytes of several encodings, decoded by rules and statistics."""
+    configure(spark)
+    d = src_files.decode_detected(fx.encoded_docs(spark, sf).drop("text"))
+    return d.select("doc_id", "encoding", (F.col("confidence") > 0.7).alias("confident"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def q_deep_nesting(spark, sf):
+    """V3: documents of very different depth."""
+    configure(spark)
+    v = val_ops.validate(fx.nested_docs(spark, sf))
+    return v.select("doc_id", "valid", F.col("max_depth").cast("bigint").alias("max_depth"), _join("warnings").alias("warnings"))
+
+
+def q_root_array_mixed(spark, sf):
+    """V2: long root arrays, with mixed types and unequal key sets."""
+    configure(spark)
+    v = val_ops.validate(fx.root_array_docs(spark, sf))
+    return v.select("doc_id", F.col("array_length").cast("bigint").alias("array_length"), _join("warnings").alias("warnings"),
+                    F.col("max_depth").cast("bigint").alias("max_depth"))
+
+
 def q_minified(spark, sf):
     configure(spark)
     a = fx.props_docs(spark, sf).select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("doc"), "content")
@@ -452,6 +486,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "special_char_docs": q_special_char_docs,
     "clean_values": q_clean_values,
     "clean_docs": q_clean_docs,
+    "clean_then_profile": q_clean_then_profile,
+    "decode_detected": q_decode_detected,
+    "deep_nesting": q_deep_nesting,
+    "root_array_mixed": q_root_array_mixed,
     "minified": q_minified,
     "catalog_from_paragraphs": q_catalog_from_paragraphs,
     "stream_validate": q_stream_validate,

@@ -73,13 +73,81 @@ def _paired(content: Column, little: bool) -> Column:
     return ~F.regexp_replace(units, "D[89AB].. D[C-F].. ", "").rlike("D[89A-F].. ")
 
 
+# The characters of bytes 80-9F in Windows code page 1252, in
+# order; U+FFFD marks the five bytes without one.
+CP1252_HIGH = "€\ufffd‚ƒ„…†‡ˆ‰Š‹Œ\ufffdŽ\ufffd\ufffd‘’“”•–—˜™š›œ\ufffdžŸ"
+LEAST_CONFIDENCE = 0.7
+
+
+def detect(content: Column) -> tuple[Column, Column]:
+    """S2's detector: (encoding, confidence) of bytes without a byte order
+    mark, from counts over all of them.
+
+    - Text has no NUL, UTF-16 of mostly Latin text has one in most units. The
+      side of the units that holds them tells the order; confidence is how far
+      that side leads.
+    - Single bytes: in Latin-1 80-9F are control characters, in code page 1252
+      all but five of them are punctuation. Confidence is the share of high
+      bytes that stand as text does: letters beside letters, punctuation.
+    - Other control characters make any text unlikely.
+    """
+    pairs = F.regexp_replace(F.hex(content), "(..)", "$1 ")
+    units = F.regexp_replace(F.hex(content), "(..)(..)", "$1$2 ")
+    count = lambda text, pattern: F.regexp_count(text, F.lit(pattern))
+    low, high = count(units, "[0-9A-F]{2}00 "), count(units, "00[0-9A-F]{2} ")
+    zeros, n_units = low + high, F.greatest(F.floor(F.length(content) / 2), F.lit(1))
+    even = F.length(content) % 2 == 0
+    lead = F.abs(low - high) / F.greatest(zeros, F.lit(1))
+    wide = even & (zeros * 10 >= n_units)
+
+    n_high = count(pairs, "[89A-F]. ")
+    control = count(pairs, "(?:0[0-8BCEF]|1[0-9A-F]|7F) ")
+    c1, undefined = count(pairs, "[89]. "), count(pairs, "(?:8[1DF]|9[0D]) ")
+    letter = "(?:4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A]|C.|D[0-68-F]|E.|F[0-68-F]) "
+    beside = count(pairs, f"(?<={letter})(?:C.|D[0-68-F]|E.|F[0-68-F]) |(?:C.|D[0-68-F]|E.|F[0-68-F]) (?={letter})")
+    marks = count(pairs, "A[0-9A-F] |B[0-9A-F] ")
+    stand = (beside + marks + F.when(undefined == 0, c1).otherwise(0)) / F.greatest(n_high, F.lit(1))
+    single = F.when((n_high > 0) & (control == 0) & (zeros == 0), stand).otherwise(0.0)
+    encoding = F.when(wide, F.when(low > high, F.lit("utf-16-le")).otherwise(F.lit("utf-16-be"))).when(
+        single > 0, F.when((c1 > 0) & (undefined == 0), F.lit("cp1252")).otherwise(F.lit("iso-8859-1")))
+    return encoding, F.when(wide, lead).otherwise(single)
+
+
+def decode_detected(df: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``text``, ``encoding`` and ``confidence``. UTF-8 and marked
+    UTF-16 are read as ``decode`` does; other bytes, and UTF-8 that is really
+    unmarked UTF-16 of ASCII, as the detector says where it is confident; the
+    rest as ``decode`` does. Lone surrogates cannot be decoded (NULL)."""
+    c = F.col(content)
+    text, enc = decode(c)
+    guess, confidence = detect(c)
+    d = df.withColumn("_enc", enc).withColumn("_plain", text)
+    # bytes that are UTF-8 without a NUL, or marked, need no guess
+    sure = (F.col("_enc") == "utf-16") | ((F.col("_enc") == "utf-8") & ~F.hex(c).rlike("^(?:..)*?00"))
+    unsure = F.coalesce(~sure, F.lit(True)) & (F.length(c) > 0)
+    d = d.withColumn("_guess", F.when(unsure, guess)).withColumn("_conf", F.when(unsure, confidence))
+    found = F.when(F.col("_conf") > LEAST_CONFIDENCE, F.col("_guess"))
+    latin = F.decode(c, "ISO-8859-1")
+    c1 = "".join(chr(0x80 + i) for i, ch in enumerate(CP1252_HIGH) if ch != "\ufffd")
+    le, be = (found == "utf-16-le") & _paired(c, True), (found == "utf-16-be") & _paired(c, False)
+    text = (
+        F.when(le, F.decode(c, "UTF-16LE")).when(be, F.decode(c, "UTF-16BE"))
+        .when(found == "cp1252", F.translate(latin, c1, CP1252_HIGH.replace("\ufffd", ""))).when(found == "iso-8859-1", latin)
+        .otherwise(F.col("_plain"))
+    )
+    used = le | be | found.isin("cp1252", "iso-8859-1")
+    return d.withColumn("text", text).withColumn("encoding", F.when(used, found).otherwise(F.col("_enc"))).withColumn(
+        "confidence", F.when(used, F.col("_conf")).when(F.col("_enc").isNotNull(), 1.0)).drop("_enc", "_plain", "_guess", "_conf")
+
+
 def decode(content: Column) -> tuple[Column, Column]:
-    """Bytes -> (text, encoding) without a statistical detector.
+    """S2's rules: bytes -> (text, encoding).
 
     Valid UTF-8 is read as UTF-8 (a UTF-8 BOM stays a U+FEFF character, as
     with Python's ``utf-8`` codec, and is removed by the loader); a UTF-16
     BOM selects UTF-16; otherwise even-length data is tried as UTF-16-LE;
     anything else, a lone surrogate included, cannot be decoded (NULL).
+    ``decode_detected`` puts a statistical detector before the last two.
     """
     head = F.hex(F.substring(content, 1, 2))
     utf8 = F.call_function("is_valid_utf8", content)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import CP1252_HIGH
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -102,6 +104,19 @@ def dirty_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_id").alias("doc_id"), content.alias("content"), damage.alias("damage"))
 
 
+def annotated_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event documents whose values need cleaning, look like JSON, or belong
+    to exempt fields; ``list`` holds the same text where no field path reads it."""
+    ev = table(spark, sf_dir, "events")
+    uid = F.col("user_id").cast("string")
+    tag = F.concat(F.col("event_type"), F.lit("-ISIS-#"), uid)
+    meta = F.struct(F.concat(F.lit("m@"), uid).alias("user"), F.concat(F.lit("x@"), uid, F.lit("#é-ISIS-#")).alias("Keep-Note"))
+    return ev.select(F.col("event_id").alias("doc_id"), F.to_json(F.struct(
+        tag.alias("tag"), F.col("props").alias("payload"), F.concat(F.lit("{"), F.col("event_type")).alias("broken"),
+        F.lit("C#N").alias("smiles_code"), F.concat(F.lit("u#"), uid).alias("user"), meta.alias("meta"),
+        F.array(tag).alias("list"), F.lit("-ISIS-").alias("void"))).alias("content"))
+
+
 RECORDS_PER_DOC = 50
 
 
@@ -155,6 +170,54 @@ def text_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+def nested_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events inside ``event_id % 13`` objects, and inside 70 arrays where
+    ``event_id % 500 = 0``."""
+    ev = table(spark, sf_dir, "events")
+    k = (F.col("event_id") % 13).cast("int")
+    inner = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "blank": ""}'))
+    deep = F.concat(F.repeat(F.lit("["), F.lit(70)), inner, F.repeat(F.lit("]"), F.lit(70)))
+    content = F.when(F.col("event_id") % 500 == 0, F.concat(F.lit('{"deep": '), deep, F.lit("}"))).otherwise(
+        F.concat(F.repeat(F.lit('{"a": '), k), inner, F.repeat(F.lit("}"), k)))
+    return ev.select(F.col("event_id").alias("doc_id"), content.alias("content"))
+
+
+def root_array_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One root array of customer records per nation and market segment, in
+    key order. In segment MACHINERY every record has the same keys; in
+    BUILDING a record with ``c_custkey % 7 = 0`` has one more; in HOUSEHOLD
+    such a record is a bare number; in FURNITURE the first element is text."""
+    seg, odd = F.col("c_mktsegment"), F.col("c_custkey") % 7 == 0
+    k = F.col("c_custkey").cast("string")
+    plain = F.concat(F.lit('{"key": '), k, F.lit(', "name": "n"}'))
+    swapped = F.concat(F.lit('{"name": "n", "key": '), k, F.lit("}"))
+    rec = (
+        F.when((seg == "BUILDING") & odd, F.concat(F.lit('{"key": '), k, F.lit(', "name": "n", "more": 1}')))
+        .when((seg == "HOUSEHOLD") & odd, k).when(F.col("c_custkey") % 2 == 0, swapped).otherwise(plain)
+    )
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", "c_custkey", rec.alias("rec"))
+    docs = c.groupBy("c_nationkey", "c_mktsegment").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "rec"))).alias("r"))
+    first = F.when(F.col("c_mktsegment") == "FURNITURE", F.lit('["x",')).otherwise(F.lit("["))
+    return docs.select(F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("doc_id"),
+                       F.concat(first, F.array_join("r.rec", ","), F.lit("]")).alias("content"))
+
+
+def encoded_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of ``documents`` as bytes, by ``doc_id % 5``: UTF-8, Latin-1, code
+    page 1252 (in curly quotes), UTF-16 little and big endian without a mark."""
+    plain = F.regexp_replace("text", r"[^\x{01}-\x{7E}\x{A0}-\x{FF}]", "?")
+    quoted = F.concat(F.lit("“"), plain, F.lit("” – 5 €"))
+    kind = F.col("doc_id") % 5
+    text = F.when(kind == 2, quoted).otherwise(plain)
+    c1 = "".join(chr(0x80 + i) for i, c in enumerate(CP1252_HIGH) if c != "\ufffd")
+    as_1252 = F.encode(F.translate(quoted, CP1252_HIGH.replace("\ufffd", ""), c1), "ISO-8859-1")
+    content = (
+        F.when(kind == 0, F.encode(plain, "UTF-8")).when(kind == 1, F.encode(plain, "ISO-8859-1")).when(kind == 2, as_1252)
+        .when(kind == 3, F.encode(plain, "UTF-16LE")).otherwise(F.encode(plain, "UTF-16BE"))
+    )
+    return table(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", text.alias("text"), content.alias("content"))
+
+
 PARTS_PER_DOC = 100
 
 
