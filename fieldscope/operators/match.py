@@ -43,6 +43,39 @@ def _norm_a_sql(x: str, case_sensitive: bool = False) -> str:
 # per-document profile
 # ---------------------------------------------------------------------------
 
+def write_order() -> Column:
+    """Sort key of array-map entries (P6): in document order, but the own
+    members of an array's element before what is nested in them; the last
+    entry of a name wins."""
+    above = F.slice("ord", 1, F.greatest(F.size("ord") - 1, F.lit(0)))
+    return F.concat(above, F.array(F.lit(-1), F.element_at("ord", -1)))
+
+
+def array_maps(docs: DataFrame, key: str = "doc_id", v: str = "v") -> DataFrame:
+    """(key, ``arr_map``): normalized field -> name of the array around it.
+
+    In a root object the members of a direct array's elements belong to that
+    array (what is nested in them is not looked at), and objects are searched
+    to any depth (P6). In a root list every element is searched like that, in
+    order, later elements overwriting earlier ones.
+    """
+    from . import walk
+
+    elems = f"try_variant_get({v}, '$', 'array<variant>')"
+    u = docs.select(key, F.posexplode(F.expr(f"CASE WHEN {elems} IS NOT NULL THEN {elems} ELSE array({v}) END")).alias("unit", "_e"),
+                    F.expr(f"{elems} IS NULL").alias("_dict"))
+    u = u.where(F.expr("try_variant_get(_e, '$', 'struct<>') IS NOT NULL")).select(key, "unit", "_dict", F.col("_e").alias("v"), F.lit(False).alias("root_is_array"))
+    n = walk.nodes_by_depth(u, (key, "unit", "_dict"), with_order=True)
+    hit = F.col("p6") & F.col("par_arr").isNotNull() & F.col("keyed")
+    entry = F.struct(F.col("unit").alias("u"), write_order().alias("o"), names.norm_array("key").alias("k"), F.col("par_arr").alias("a"), "depth",
+                     F.element_at("ord", 1).alias("top"))
+    g = n.groupBy(key).agg(F.array_sort(F.collect_list(F.when(hit, entry))).alias("_e"),
+                           F.collect_set(F.when((F.col("depth") == 1) & F.col("_dict") & (F.col("kind") == "array"), F.element_at("ord", 1))).alias("_tops"))
+    kept = F.filter("_e", lambda e: (e["depth"] == 3) | ~F.array_contains("_tops", e["top"]))
+    g = g.withColumn("_e", kept).select(key, F.map_from_arrays("_e.k", "_e.a").alias("arr_map"))
+    return docs.select(key).join(g, key, "left").withColumn("arr_map", F.coalesce("arr_map", F.create_map().cast("map<string,string>")))
+
+
 def profile(n: DataFrame, keys: tuple[str, ...] = ("doc_id",), level: str = "file") -> DataFrame:
     """Per key: ``paths`` (sorted distinct), ``sig``, ``null_map``, ``arr_map``.
 
@@ -66,10 +99,12 @@ def profile(n: DataFrame, keys: tuple[str, ...] = ("doc_id",), level: str = "fil
     is_null = (F.col("kind") == "null") | (
         (F.col("kind") == "array") & (F.expr("size(try_variant_get(v, '$', 'array<struct<>>'))") == 0)
     )
+    # document order where the walk has it (the last entry of a name wins), else path order
+    order = F.struct(F.coalesce("unit", F.lit(0)), write_order()) if "ord" in n.columns and "unit" in n.columns else F.col("path")
     if level == "file":
         arr_entry = F.when(
             F.col("p6") & F.col("par_arr").isNotNull() & F.col("keyed"),
-            F.struct(F.col("path").alias("o"), names.norm_array("key").alias("k"), names.norm_category("par_arr").alias("a")),
+            F.struct(order.alias("o"), names.norm_array("key").alias("k"), names.norm_category("par_arr").alias("a")),
         )
     else:
         # direct arrays of the record: members of objects that are elements
@@ -77,7 +112,7 @@ def profile(n: DataFrame, keys: tuple[str, ...] = ("doc_id",), level: str = "fil
         rec_depth = F.when(F.col("root_is_array"), F.lit(1)).otherwise(F.lit(0))
         arr_entry = F.when(
             F.col("keyed") & F.col("par_arr").isNotNull() & (F.col("depth") == rec_depth + 3),
-            F.struct(F.col("path").alias("o"), names.norm_array("key").alias("k"), names.norm_category("par_arr").alias("a")),
+            F.struct(order.alias("o"), names.norm_array("key").alias("k"), names.norm_category("par_arr").alias("a")),
         )
     agg = n.groupBy(*keys).agg(
         F.array_sort(F.collect_set(F.when(F.col("keyed") & F.col("p1"), F.col("path")))).alias("paths"),
@@ -94,6 +129,8 @@ def profile(n: DataFrame, keys: tuple[str, ...] = ("doc_id",), level: str = "fil
         F.map_from_arrays(F.col("_np.k"), F.col("_np.n")).alias("null_map"),
         F.map_from_arrays(F.col("_ap.k"), F.col("_ap.a")).alias("arr_map"),
         "rec_keys",
+        # a name inside arrays of different names: which one wins depends on the document, not on its shape
+        (F.size(F.array_distinct(F.transform("_ap", lambda e: F.struct(e["k"], e["a"])))) > F.size(F.array_distinct("_ap.k"))).alias("order_counts"),
     )
 
 
@@ -424,21 +461,21 @@ def shape_profile(u: DataFrame, keys: tuple[str, ...], level: str = "file", cont
         .select("_shape", "r.*")
     )
     rep_units = reps if level == "record" else walk.units(reps.select("_shape", "v"), key="_shape")
-    rn = walk.nodes_by_depth(rep_units, ("_shape", "unit"))
-    rp = profile(rn, ("_shape",), level=level).select(
-        "_shape", "paths", "sig", "arr_map", F.col("null_map").alias("_rnm"), F.col("rec_keys").alias("_rrk"))
-    fast = s.where(~plain).select(*keys, "_shape", "null_map", "rec_keys").join(rp, "_shape").select(
+    rn = walk.nodes_by_depth(rep_units, ("_shape", "unit"), with_order=True)
+    rp = materialize(profile(rn, ("_shape",), level=level).select(
+        "_shape", "paths", "sig", "arr_map", F.col("null_map").alias("_rnm"), F.col("rec_keys").alias("_rrk"), "order_counts"))
+    fast = s.where(~plain).select(*keys, "_shape", "null_map", "rec_keys").join(rp.where("NOT order_counts"), "_shape").select(
         *keys, "paths", "sig", F.coalesce("null_map", "_rnm").alias("null_map"), "arr_map",
         F.coalesce("rec_keys", "_rrk").alias("rec_keys"),
     )
-    # mixed-type shapes: full walk
-    mixed = s.where(plain)
+    # mixed-type shapes, and those with a name inside arrays of different names: full walk
+    mixed = s.where(plain).unionByName(s.where(~plain).join(rp.where("order_counts").select("_shape"), "_shape", "left_semi").select(*s.columns))
     if mixed.isEmpty():
         return fast
     mixed = value(mixed.drop("_shape", "null_map", "rec_keys"))
     mu = mixed if level == "record" else walk.units(mixed.select(*keys, "v"), key=keys[0])
     mk = tuple(keys) + (() if level == "record" else ("unit",))
-    slow = profile(walk.nodes_by_depth(mu, mk), tuple(keys), level=level)
+    slow = profile(walk.nodes_by_depth(mu, mk if "unit" in mk else (*mk, "unit"), with_order=True), tuple(keys), level=level)
     out = fast.unionByName(slow.select(*keys, "paths", "sig", "null_map", "arr_map", "rec_keys"))
     # heterogeneous corpora: keep the walked profile instead of walking again
     return materialize(out)

@@ -85,7 +85,7 @@ def number_records(u: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def nodes(u: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id", "unit"), with_vpath: bool = False,
-          levels: int | None = None) -> DataFrame:
+          levels: int | None = None, with_order: bool = False) -> DataFrame:
     """Walk every unit to all of its nodes. ``levels`` is an upper bound of
     the nesting depth; without it the deepest unit's is read first.
 
@@ -105,6 +105,8 @@ def nodes(u: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id", "unit"),
       first element and that element is an object (dotted-path lookup, P10).
     * ``depth``: containers above the node in the original document (a unit
       of a root array starts at depth 1).
+    * ``ord`` (``with_order``): places of the node and of the nodes above it,
+      so that sorting by it gives document order.
     """
     spark = u.sparkSession
     configure(spark)
@@ -121,6 +123,10 @@ def nodes(u: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id", "unit"),
         if with_vpath else ""
     )
     vname = ", vpath" if with_vpath else ""
+    if with_order:
+        vcol_a += ", CAST(array() AS ARRAY<INT>)"
+        vcol_r += ", concat(w.ord, array(x.pos))"
+        vname += ", ord"
     xk = kind_sql("x.value")
     # The child's type is computed once in the inner select and reused by
     # every flag in the outer one.
@@ -143,7 +149,7 @@ MAX RECURSION LEVEL {int(levels) + 2} AS (
          c.fst AND (c.kind = 'object' OR (c.xpos = 0 AND c.xk = 'object')),
          c.op AND c.kind = 'object',
          CASE WHEN c.kind = 'array' AND c.keyed AND c.xk = 'object' THEN c.key END,
-         CASE WHEN c.xkey IS NOT NULL THEN c.arr_key END{vcol_r.replace("x.key", "c.xkey").replace("x.pos", "c.xpos").replace("w.vpath", "c.vpath")}
+         CASE WHEN c.xkey IS NOT NULL THEN c.arr_key END{vcol_r.replace("x.key", "c.xkey").replace("x.pos", "c.xpos").replace("w.vpath", "c.vpath").replace("w.ord", "c.ord")}
   FROM (SELECT w.*, x.key AS xkey, x.pos AS xpos, x.value AS xv, {xk} AS xk
         FROM w, LATERAL variant_explode(w.v) x
         WHERE w.kind IN ('object', 'array')) c
@@ -202,7 +208,7 @@ _KIDS = (
 
 
 def nodes_chain(u: DataFrame, levels: int, keys: list[str] | tuple[str, ...] = ("doc_id", "unit"),
-                with_vpath: bool = False) -> DataFrame:
+                with_vpath: bool = False, with_order: bool = False) -> DataFrame:
     """The same node table as ``nodes``, built as ``levels`` chained
     generators in one pipelined stage.
 
@@ -220,6 +226,7 @@ def nodes_chain(u: DataFrame, levels: int, keys: list[str] | tuple[str, ...] = (
         f"(NOT root_is_array) AND {_IS_OBJ.format(v='v')} AS p6", "true AS fst",
         "NOT root_is_array AS op", "CAST(NULL AS STRING) AS arr_key", "CAST(NULL AS STRING) AS par_arr",
         *(["CASE WHEN root_is_array THEN concat('root[', unit, ']') ELSE 'root' END AS vpath"] if with_vpath else []),
+        *(["CAST(array() AS ARRAY<INT>) AS ord"] if with_order else []),
         "false AS done",
     )
     base = base.withColumn("has_obj", F.expr(f"kind = 'array' AND {has_obj_sql('v')}"))
@@ -253,6 +260,7 @@ def nodes_chain(u: DataFrame, levels: int, keys: list[str] | tuple[str, ...] = (
             f"CASE WHEN c.s THEN par_arr WHEN c.k IS NOT NULL THEN arr_key END AS par_arr",
             *([f"CASE WHEN c.s THEN vpath WHEN c.k IS NULL THEN concat(vpath, '[', c.p, ']') "
                f"ELSE concat(vpath, '.', c.k) END AS vpath"] if with_vpath else []),
+            *(["CASE WHEN c.s THEN ord ELSE concat(ord, array(c.p)) END AS ord"] if with_order else []),
             "c.s AS done",
             f"CASE WHEN c.s THEN has_obj ELSE ck = 'array' AND {has_obj_sql('c.val')} END AS has_obj",
         )
@@ -270,7 +278,8 @@ def nodes_chain(u: DataFrame, levels: int, keys: list[str] | tuple[str, ...] = (
 DEPTH_CLASSES = (4, 8, 16, 32)
 
 
-def nodes_by_depth(u: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id", "unit"), with_vpath: bool = False) -> DataFrame:
+def nodes_by_depth(u: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id", "unit"), with_vpath: bool = False,
+                   with_order: bool = False) -> DataFrame:
     """The node table with every unit walked by a plan of its own depth class,
     so that one deep document neither lengthens the plan of the others nor
     meets a limit."""
@@ -282,13 +291,13 @@ def nodes_by_depth(u: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id",
     d = u.withColumn("_depth", depth).withColumn("_class", cls)
     present = {r["_class"]: r["d"] for r in d.groupBy("_class").agg(F.max("_depth").alias("d")).collect()}
     if not present:
-        return nodes_chain(u, 0, keys, with_vpath)
+        return nodes_chain(u, 0, keys, with_vpath, with_order)
     if len(present) > 1:
         d = materialize(d.withColumn("v", F.to_json("v"))).withColumn("v", F.expr("parse_json(v)"))
     out = None
     for c, deepest in sorted(present.items()):
         own = d.where(F.col("_class") == c).drop("_depth", "_class")
-        n = nodes(own, keys, with_vpath, int(deepest)) if c < 0 else nodes_chain(own, int(deepest), keys, with_vpath)
+        n = nodes(own, keys, with_vpath, int(deepest), with_order) if c < 0 else nodes_chain(own, int(deepest), keys, with_vpath, with_order)
         n = n.drop("has_obj")
         out = n if out is None else out.unionByName(n)
     return out

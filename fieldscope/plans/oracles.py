@@ -392,6 +392,65 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT doc_id, p_partkey, 3, 'Brand' || bn FROM p)
       SELECT doc_id, 'Catalog' || CAST(doc_id AS VARCHAR) AS catalog, 'Part' || CAST(p_partkey AS VARCHAR) AS category, field,
              CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p_partkey, pos) - 1 AS BIGINT) AS ordinal FROM f"""
+    sql["catalog_from_tables"] = """WITH p AS (
+        SELECT p_partkey, p_partkey // 100 AS doc_id, p_type, p_size, regexp_replace(p_brand, '[^0-9]', '', 'g') AS bn FROM part),
+      lines AS (SELECT doc_id, p_partkey, 1 AS pos, p_type AS field FROM p
+            UNION ALL SELECT doc_id, p_partkey, 2, 'Size' || CAST(p_size AS VARCHAR) FROM p
+            UNION ALL SELECT doc_id, p_partkey, 3, 'Brand' || bn FROM p),
+      cells AS (
+        SELECT doc_id, p_partkey % 2 AS tbl, CASE WHEN doc_id % 3 = 1 THEN 'key_' || p_partkey ELSE 'size_' || p_size END AS field,
+               min(p_partkey) AS k FROM p GROUP BY ALL),
+      ends AS (SELECT doc_id, max(p_partkey) AS last_key FROM p GROUP BY doc_id),
+      f AS (
+        SELECT doc_id, 'Catalog' || doc_id AS catalog, 'Part' || p_partkey AS category, field, p_partkey AS a, 1 AS b, 0 AS c, pos AS d
+        FROM lines WHERE doc_id % 3 <> 2
+        UNION ALL
+        SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'Unknown' ELSE 'Catalog' || doc_id END,
+               CASE WHEN doc_id % 3 = 2 THEN 'Table_' || (tbl + 1) ELSE 'Part' || last_key END, field, last_key, 0, tbl, k
+        FROM cells JOIN ends USING (doc_id))
+      SELECT doc_id, catalog, category, field,
+             CAST(row_number() OVER (PARTITION BY doc_id, catalog ORDER BY a, b, c, d) - 1 AS BIGINT) AS ordinal FROM f"""
+    sql["array_parents"] = """WITH kinds(kind, field, json, status, match_kind) AS (VALUES
+        (0, 'id', 'id', 'matched', 'exact'), (0, 'price', 'nested.items.price', 'suppressed', 'exact'),
+        (0, 'items', 'nested.items', 'matched', 'exact'), (0, 'nested', 'nested', 'extra', 'not_found'),
+        (0, 'nested.items.more', 'nested.items.more', 'extra', 'not_found'), (0, 'nested.items.more.bits', 'nested.items.more.bits', 'extra', 'not_found'),
+        (0, 'nested.items.more.bits.size', 'nested.items.more.bits.size', 'extra', 'not_found'),
+        (1, 'id', 'id', 'matched', 'exact'), (1, 'price', 'price', 'matched', 'exact'), (1, 'items', 'items', 'matched', 'exact'),
+        (1, 'items.more', 'items.more', 'extra', 'not_found'), (1, 'items.more.bits', 'items.more.bits', 'extra', 'not_found'),
+        (1, 'items.more.bits.size', 'items.more.bits.size', 'extra', 'not_found'),
+        (2, 'id', 'id', 'matched', 'exact'), (2, 'price', 'lots.stock.price', 'matched', 'exact'),
+        (2, 'lots', 'lots', 'extra', 'not_found'), (2, 'lots.stock', 'lots.stock', 'extra', 'not_found'),
+        (2, 'lots.stock.more', 'lots.stock.more', 'extra', 'not_found'), (2, 'lots.stock.more.bits', 'lots.stock.more.bits', 'extra', 'not_found'),
+        (2, 'lots.stock.more.bits.size', 'lots.stock.more.bits.size', 'extra', 'not_found'),
+        (2, 'lots.stock.more', 'lots.stock.more', 'extra', 'not_found'), (2, 'lots.stock.more.bits', 'lots.stock.more.bits', 'extra', 'not_found'),
+        (2, 'lots.stock.more.bits.size', 'lots.stock.more.bits.size', 'extra', 'not_found')),
+      every AS (SELECT * FROM kinds UNION ALL SELECT 3, field, json, CASE WHEN field = 'price' THEN 'suppressed' ELSE status END, match_kind FROM kinds WHERE kind = 2
+                UNION ALL SELECT k, 'items', 'lots.items', 'matched', 'exact' FROM (VALUES (2), (3)) AS x(k))
+      SELECT event_id AS doc_id, 'priced' AS catalog, field AS field_name, CASE WHEN status = 'extra' THEN '' ELSE field END AS db_field,
+             json AS json_field, status, match_kind, CAST(NULL AS VARCHAR) AS category
+      FROM events JOIN every ON kind = event_id % 4"""
+    sql["array_parent_records"] = """WITH s AS (
+        SELECT s_suppkey // 20 AS doc_id, s_suppkey % 3 AS kind, row_number() OVER (PARTITION BY s_suppkey // 20 ORDER BY s_suppkey) AS record_idx,
+               count(*) OVER (PARTITION BY s_suppkey // 20) AS n FROM supplier),
+      rows(kind, field_name, db_field, json_field, status, match_kind, category) AS (VALUES
+        (0, 'key', 'key', 'key', 'matched', 'exact', NULL), (0, 'price', 'price', 'price', 'suppressed', 'exact', NULL),
+        (1, 'key', 'key', 'key', 'matched', 'exact', NULL), (1, 'price', 'price', 'items.price', 'matched', 'exact', NULL),
+        (2, 'key', 'key', 'key', 'matched', 'exact', NULL), (2, 'price', 'price', '', 'missing', 'not_found', 'items'),
+        (0, 'items', 'items', 'items', 'matched', 'exact', NULL), (1, 'items', 'items', 'items', 'matched', 'exact', NULL),
+        (2, 'items', 'items', 'items', 'matched', 'exact', NULL),
+        (0, 'record', 'record', '', 'missing', 'not_found', ''), (1, 'record', 'record', '', 'missing', 'not_found', ''),
+        (2, 'record', 'record', '', 'missing', 'not_found', ''))
+      SELECT doc_id, record_idx, 'priced' AS catalog, field_name, db_field, json_field, status, match_kind, category
+      FROM s JOIN rows USING (kind) WHERE n > 1"""
+    sql["array_maps"] = """WITH kinds(kind, field, arr) AS (VALUES
+        (0, 'price', 'items'), (0, 'more', 'items'), (0, 'size', 'bits'), (1, 'price', 'items'), (1, 'more', 'items'),
+        (2, 'items', 'lots'), (2, 'stock', 'lots'), (3, 'items', 'lots'), (3, 'stock', 'lots')),
+      lists AS (SELECT event_id // 4 AS doc_id, event_id % 4 AS kind FROM events),
+      last AS (SELECT doc_id, max(kind) AS kind, max(kind) FILTER (WHERE kind < 2) AS lower_kind, bool_or(kind >= 2) AS lots FROM lists GROUP BY doc_id)
+      SELECT false AS root_list, event_id AS doc_id, field, arr AS array FROM events JOIN kinds ON kind = event_id % 4
+      UNION ALL SELECT true, doc_id, f.field, CASE WHEN f.field = 'size' THEN 'bits' WHEN kind = 2 THEN 'stock' ELSE 'items' END
+        FROM last, (VALUES ('price'), ('more'), ('size')) AS f(field)
+      UNION ALL SELECT true, doc_id, f.field, 'lots' FROM last, (VALUES ('items'), ('stock')) AS f(field) WHERE lots"""
     # every string value of the annotated documents, cleaned by hand for each catalog
     sql["clean_then_profile"] = """WITH e AS (SELECT event_id AS doc_id, event_type AS t, CAST(user_id AS VARCHAR) AS u, props FROM events),
       rows AS (

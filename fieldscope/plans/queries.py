@@ -236,6 +236,32 @@ def q_suppressed_pairs(spark, sf):
     return c.where(F.col("status") == "suppressed").drop("similarity")
 
 
+def q_array_parents(spark, sf):
+    """P6 + J5: array parents, the last one in document order, drop pairs."""
+    configure(spark)
+    cat = cg.from_dict(spark, {"priced": ["id", "price", "items"]})
+    return pipeline.compare_documents(fx.array_parent_docs(spark, sf), cat, emit_suppressed=True).drop("similarity")
+
+
+def q_array_parent_records(spark, sf):
+    """P8 + J5: a record's empty array drops pairs of its catalog category."""
+    configure(spark)
+    cat = cg.from_dict(spark, {"priced": {"items": ["price"], "record": ["key"]}})
+    c = pipeline.compare_records(fx.priced_records(spark, sf), cat, only_issues=False, emit_suppressed=True)
+    return c.withColumn("record_idx", F.col("record_idx").cast("bigint")).drop("similarity")
+
+
+def q_array_maps(spark, sf):
+    """P7 over root objects and root lists."""
+    configure(spark)
+    out = None
+    for root_list in (False, True):
+        d = walk.parse(fx.array_parent_docs(spark, sf, root_list))
+        m = match.array_maps(d).select(F.lit(root_list).alias("root_list"), "doc_id", F.explode("arr_map").alias("field", "array"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
 def q_mapping_suggestions(spark, sf):
     configure(spark)
     cat = cg.from_dict(spark, {"cross_names": CROSS_NAMES})
@@ -426,6 +452,15 @@ def q_catalog_from_paragraphs(spark, sf):
     return c.select("doc_id", "catalog", "category", "field", F.col("ordinal").cast("bigint").alias("ordinal"))
 
 
+def q_catalog_from_tables(spark, sf):
+    """Tables of documents attached to their headings; every third
+    document has none."""
+    configure(spark)
+    par = fx.paragraphs(spark, sf).where("doc_id % 3 <> 2")
+    c = clean_ops.catalog_from_document(par, fx.table_cells(spark, sf))
+    return c.select("doc_id", "catalog", "category", "field", F.col("ordinal").cast("bigint").alias("ordinal"))
+
+
 def q_stream_validate(spark, sf):
     """Validation of a document stream in micro batches (availableNow)."""
     import uuid
@@ -469,6 +504,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "record_conformance": q_record_conformance,
     "record_issues": q_record_issues,
     "suppressed_pairs": q_suppressed_pairs,
+    "array_parents": q_array_parents,
+    "array_parent_records": q_array_parent_records,
+    "array_maps": q_array_maps,
     "mapping_suggestions": q_mapping_suggestions,
     "structure_diff": q_structure_diff,
     "expected_check": q_expected_check,
@@ -492,5 +530,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "root_array_mixed": q_root_array_mixed,
     "minified": q_minified,
     "catalog_from_paragraphs": q_catalog_from_paragraphs,
+    "catalog_from_tables": q_catalog_from_tables,
     "stream_validate": q_stream_validate,
 }

@@ -170,6 +170,44 @@ def text_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+def array_parent_docs(spark: SparkSession, sf_dir: str, root_list: bool = False) -> DataFrame:
+    """Events whose prices sit in arrays of different names, by ``event_id % 4``:
+    in a nested array named like a null member, in a direct one, in arrays of
+    two list elements whose order differs in the last two kinds. As root lists:
+    the documents of four events each."""
+    ev = table(spark, sf_dir, "events")
+    price = F.concat(F.lit('[{"price": '), F.col("event_id").cast("string"), F.lit(', "more": {"bits": [{"size": 1}]}}]'))
+    items, stock = F.concat(F.lit('{"items": '), price, F.lit("}")), F.concat(F.lit('{"stock": '), price, F.lit("}"))
+    kind = F.col("event_id") % 4
+    body = (
+        F.when(kind == 0, F.concat(F.lit('{"id": 1, "items": null, "nested": '), items, F.lit("}")))
+        .when(kind == 1, F.concat(F.lit('{"id": 1, "items": '), price, F.lit(', "price": 2}')))
+        .when(kind == 2, F.concat(F.lit('{"id": 1, "items": [], "lots": ['), items, F.lit(", "), stock, F.lit("]}")))
+        .otherwise(F.concat(F.lit('{"id": 1, "items": [], "lots": ['), stock, F.lit(", "), items, F.lit("]}")))
+    )
+    docs = ev.select(F.col("event_id").alias("doc_id"), body.alias("content"))
+    if not root_list:
+        return docs
+    four = docs.groupBy(F.floor(F.col("doc_id") / 4).alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "content"))).alias("r"))
+    return four.select("doc_id", F.concat(F.lit("["), F.array_join("r.content", ", "), F.lit("]")).alias("content"))
+
+
+def priced_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root lists of records, one per 20 suppliers: by ``s_suppkey % 3`` with
+    an empty ``items`` beside a price, with the price inside ``items``, and
+    with a null ``items`` and no price."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey").cast("string")
+    rec = (
+        F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit('{"key": '), k, F.lit(', "items": [], "price": 5}')))
+        .when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit('{"key": '), k, F.lit(', "items": [{"price": 5}]}')))
+        .otherwise(F.concat(F.lit('{"key": '), k, F.lit(', "items": null}')))
+    )
+    d = s.select(F.floor(F.col("s_suppkey") / 20).alias("doc_id"), "s_suppkey", rec.alias("rec"))
+    g = d.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "rec"))).alias("r"))
+    return g.select("doc_id", F.concat(F.lit("["), F.array_join("r.rec", ","), F.lit("]")).alias("content"))
+
+
 def nested_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events inside ``event_id % 13`` objects, and inside 70 arrays where
     ``event_id % 500 = 0``."""
@@ -246,3 +284,20 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("I. Catalog"), F.col("doc_id").cast("string"), F.lit(" Database details")).alias("text"),
     )
     return heads.unionByName(lines)
+
+
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of two tables per catalog description: parts of odd and of even
+    keys, with a number, a size name (repeated) and a key name per row. The
+    header names the second column, the third one, or neither, by ``doc_id % 3``."""
+    p = table(spark, sf_dir, "part")
+    doc = (F.col("p_partkey") / PARTS_PER_DOC).cast("bigint")
+    rows = p.select(doc.alias("doc_id"), (F.col("p_partkey") % 2).cast("int").alias("table_idx"),
+                    (1 + F.col("p_partkey") % PARTS_PER_DOC).cast("int").alias("row"),
+                    F.posexplode(F.array(F.col("p_partkey").cast("string"), F.concat(F.lit("size_"), F.col("p_size").cast("string")),
+                                         F.concat(F.lit("- key_"), F.col("p_partkey").cast("string"), F.lit(".")))).alias("col", "text"))
+    kind = F.col("doc_id") % 3
+    head = F.when(kind == 0, F.array(F.lit("No"), F.lit(" Field Name"), F.lit("Key"))).when(
+        kind == 1, F.array(F.lit("No"), F.lit("Field name"), F.lit("RDF field name"))).otherwise(F.array(F.lit("No"), F.lit("Size"), F.lit("Key")))
+    heads = rows.select("doc_id", "table_idx").distinct().select("doc_id", "table_idx", F.lit(0).alias("row"), F.posexplode(head).alias("col", "text"))
+    return heads.unionByName(rows)
