@@ -451,6 +451,76 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT true, doc_id, f.field, CASE WHEN f.field = 'size' THEN 'bits' WHEN kind = 2 THEN 'stock' ELSE 'items' END
         FROM last, (VALUES ('price'), ('more'), ('size')) AS f(field)
       UNION ALL SELECT true, doc_id, f.field, 'lots' FROM last, (VALUES ('items'), ('stock')) AS f(field) WHERE lots"""
+    rule = "'" + "=" * 80 + "'"
+    numbered = "SELECT row_number() OVER (ORDER BY section, name, seq, line) AS line_no, line FROM l"
+    heads = lambda section, title, cond: "".join(
+        f" UNION ALL SELECT {section}, '', {k}, {x} WHERE {cond}" for k, x in ((-3, "''"), (-2, title), (-1, rule)))
+    sql["validation_report"] = f"""WITH v AS (SELECT CAST(event_id AS VARCHAR) AS name, {SYNTAX_ERR} AS e, event_id % 8 = 5 AS w FROM events),
+      t AS (SELECT count(*) AS n, count(*) FILTER (WHERE e IS NULL) AS ok, count(e) AS bad, count(*) FILTER (WHERE w) AS warned FROM v),
+      l(section, name, seq, line) AS (
+        SELECT 0, '', 0, 'JSON VALIDATION REPORT' UNION ALL SELECT 0, '', 1, {rule}
+        UNION ALL SELECT 0, '', 2, 'Total files: ' || n FROM t UNION ALL SELECT 0, '', 3, 'Valid files: ' || ok FROM t
+        UNION ALL SELECT 0, '', 4, 'Invalid files: ' || bad FROM t UNION ALL SELECT 0, '', 5, 'Files with warnings: ' || warned FROM t
+        {heads(1, "'INVALID FILES'", "(SELECT bad FROM t) > 0")}{heads(2, "'FILES WITH WARNINGS'", "(SELECT warned FROM t) > 0")}
+        {heads(3, "'VALID FILES'", "(SELECT ok - warned FROM t) > 0")}
+        UNION ALL SELECT 1, name, 0, 'File: ' || name FROM v WHERE e IS NOT NULL UNION ALL SELECT 1, name, 1, '  Errors:' FROM v WHERE e IS NOT NULL
+        UNION ALL SELECT 1, name, 2, '    - ' || e FROM v WHERE e IS NOT NULL
+        UNION ALL SELECT 2, name, 0, 'File: ' || name FROM v WHERE w UNION ALL SELECT 2, name, 1, '  Warnings:' FROM v WHERE w
+        UNION ALL SELECT 2, name, 2, '    - Empty string at root.note' FROM v WHERE w
+        UNION ALL SELECT 3, name, 0, '  ✓ ' || name FROM v WHERE e IS NULL AND NOT w)
+      {numbered}"""
+    sql["field_report"] = ("WITH " + F2_PATHS + "," + compare_ctes("v", "f2_paths", ["doc_id"], _catalog_rows({"order_variants": VARIANTS})) + f""",
+      t AS (SELECT catalog, count(*) FILTER (WHERE status = 'matched') AS m, count(*) FILTER (WHERE status = 'missing') AS s,
+                   count(*) FILTER (WHERE status = 'extra') AS x, count(*) AS n FROM v_cmp GROUP BY catalog),
+      d AS (SELECT catalog, CAST(doc_id AS VARCHAR) AS doc, count(*) FILTER (WHERE status = 'matched') AS m,
+                   coalesce(list_sort(list('    - ' || field_name || ': ' || match_kind) FILTER (WHERE status = 'missing')), []) AS s,
+                   coalesce(list_sort(list('    - ' || field_name || ': ' || match_kind) FILTER (WHERE status = 'extra')), []) AS x
+            FROM v_cmp GROUP BY catalog, doc_id),
+      b AS (SELECT catalog || '/' || doc AS name, ['FILE: ' || doc || ' (' || catalog || ')']
+              || [CASE WHEN len(s) > 0 THEN '  Missing in JSON (' || len(s) || '):' ELSE '  Missing in JSON: none' END] || s
+              || [CASE WHEN len(x) > 0 THEN '  Not in catalog (' || len(x) || '):' ELSE '  Not in catalog: none' END] || x AS ls
+            FROM d WHERE len(s) + len(x) > 0),
+      u AS (SELECT catalog, status, field_name, count(*) AS n FROM v_cmp WHERE status IN ('missing', 'extra') GROUP BY ALL),
+      l(section, name, seq, line) AS (
+        SELECT 0, catalog, 0, 'FIELD COMPARISON: ' || catalog FROM t UNION ALL SELECT 0, catalog, 1, 'Matched: ' || m FROM t
+        UNION ALL SELECT 0, catalog, 2, 'Missing in JSON: ' || s FROM t UNION ALL SELECT 0, catalog, 3, 'Not in catalog: ' || x FROM t
+        UNION ALL SELECT 0, catalog, 4, 'Compared: ' || n FROM t
+        {heads(1, "'FIELDS OF EACH FILE'", "(SELECT sum(s + x) FROM t) > 0")}{heads(2, "'COUNTS OF EACH FILE'", "(SELECT count(*) FROM t) > 0")}
+        {heads(3, "'UNMATCHED FIELDS'", "(SELECT count(*) FROM u) > 0")}
+        UNION ALL SELECT 1, name, unnest(generate_series(0, len(ls) - 1)), unnest(ls) FROM b
+        UNION ALL SELECT 2, catalog || '/' || doc, 0, doc || ' (' || catalog || ') matched: ' || m || ', missing: ' || len(s) || ', extra: ' || len(x) FROM d
+        UNION ALL SELECT 3, catalog || '/' || status || '/' || field_name, 0, '  - ' || field_name || ' (' || catalog || '): '
+          || CASE status WHEN 'missing' THEN 'Missing in JSON' ELSE 'Not in catalog' END || ', ' || n || ' times' FROM u)
+      {numbered}""")
+    sql["special_char_report"] = f"""WITH f AS (SELECT event_id, 'u#' || user_id AS v FROM events WHERE event_id % 8 IN (0, 1, 5, 6, 7)),
+      l(section, name, seq, line) AS (
+        SELECT 0, '', 0, 'SPECIAL CHARACTERS IN VALUES' UNION ALL SELECT 0, '', 1, {rule}
+        UNION ALL SELECT 0, '', 2, 'No special characters found.' WHERE NOT EXISTS (FROM f)
+        {heads(1, "'Catalog fields (2)'", "true")}{heads(2, "'JSON fields (1)'", "EXISTS (FROM f)")}
+        UNION ALL SELECT 1, 'e-mail@', 0, '  - e-mail@: special characters [''@'']' UNION ALL SELECT 1, 'übung', 0, '  - übung: special characters [''ü'']'
+        UNION ALL SELECT 2, 'user', -1, '  - user: special characters [''#''], sample value: "' || arg_min(v, event_id) || '"' FROM f HAVING count(*) > 0
+        UNION ALL SELECT 2, 'user', 0, '      file: ' || event_id || ':4' FROM f)
+      {numbered}"""
+    sql["error_log"] = f"""SELECT event_id AS doc_id, 'load' AS stage, 'ERROR' AS level, {SYNTAX_ERR} AS message, true AS stamped
+        FROM events WHERE event_id % 8 IN (2, 3, 4)
+      UNION ALL SELECT event_id, 'validate', 'ERROR', {SYNTAX_ERR}, true FROM events WHERE event_id % 8 < 5
+      UNION ALL SELECT event_id, 'validate', 'WARNING', 'Empty string at root.note', true FROM events WHERE event_id % 8 = 5"""
+    both = _catalog_rows({"order_variants": VARIANTS}) + _orders_by_table_rows()
+    by_table = ";".join(f"{c}:" + ",".join(f for _, f, _, cat in _orders_by_table_rows() if cat == c) for c in ("orders", "lineitems"))
+    sql["results_export"] = f"""WITH {_both_ctes()},
+      t AS (SELECT catalog, count(*) FILTER (WHERE status = 'matched') AS m, count(*) FILTER (WHERE status = 'missing') AS s,
+                   count(*) FILTER (WHERE status = 'extra') AS x, count(*) AS n FROM b_cmp GROUP BY catalog)
+      SELECT 'summary' AS part, '' AS name, '{len([r for r in both if r[3] is not None or r[0] == "order_variants"])};' || (SELECT count(*) FROM orders) || ';'
+          || string_agg(catalog || ',' || m || ',' || s || ',' || x || ',' || n, ';' ORDER BY catalog) AS content FROM t
+      UNION ALL SELECT 'catalog', 'order_variants', '-:{",".join(VARIANTS)}' UNION ALL SELECT 'catalog', 'orders_by_table', '{by_table}'
+      UNION ALL SELECT 'file', CAST(doc_id AS VARCHAR), array_to_string(list_sort(list(path)), ',') FROM f2_paths GROUP BY doc_id"""
+    sql["extras_export"] = ("WITH " + F4_REC + ", f4_mpaths AS (SELECT * FROM f4_rec_paths WHERE doc_id IN (SELECT doc_id FROM f4_multi)),"
+                            + compare_ctes("d", "f4_doc_paths", ["doc_id"], cross_rows) + ","
+                            + compare_ctes("r", "f4_mpaths", ["doc_id", "record_idx"], cross_rows) + """,
+      every AS (SELECT catalog, field_name, CAST(doc_id AS VARCHAR) AS doc, false AS rec FROM d_cmp WHERE status = 'extra'
+                UNION ALL SELECT catalog, field_name, CAST(doc_id AS VARCHAR), true FROM r_cmp WHERE status = 'extra')
+      SELECT catalog, field_name, count(*) FILTER (WHERE NOT rec) AS in_files, count(*) FILTER (WHERE rec) AS in_records,
+             array_to_string(list_sort(list(DISTINCT doc))[1:10], ',') AS files, count(*) OVER () AS total_extra_fields FROM every GROUP BY ALL""")
     # every string value of the annotated documents, cleaned by hand for each catalog
     sql["clean_then_profile"] = """WITH e AS (SELECT event_id AS doc_id, event_type AS t, CAST(user_id AS VARCHAR) AS u, props FROM events),
       rows AS (

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from ..operators import diff, match, profile as prof_ops, rollup, validate as val_ops, walk
 from ..operators import clean as clean_ops
-from ..session import configure
+from ..session import checkpoint_dir, configure, materialize
 from ..sources import catalog as cg
 from ..sources import files as src_files
 from ..sources import fixtures as fx
+from ..sources import reports, sinks
 from . import pipeline
 
 # ---------------------------------------------------------------------------
@@ -461,6 +462,82 @@ def q_catalog_from_tables(spark, sf):
     return c.select("doc_id", "catalog", "category", "field", F.col("ordinal").cast("bigint").alias("ordinal"))
 
 
+def _out(spark) -> str:
+    import uuid
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/fieldscope-reports/{uuid.uuid4().hex}"
+
+
+def _written(spark, lines):
+    path = _out(spark)
+    sinks.write_report(lines, path)
+    return sinks.read_report(spark, path)
+
+
+def q_validation_report(spark, sf):
+    """S14, written and read back."""
+    configure(spark)
+    return _written(spark, reports.validation_report(materialize(_validated(spark, sf))))
+
+
+def q_field_report(spark, sf):
+    """S15, written and read back."""
+    configure(spark)
+    cmp = pipeline.compare_documents(fx.order_docs(spark, sf), _variants(spark))
+    return _written(spark, reports.field_report(materialize(cmp)))
+
+
+def q_special_char_report(spark, sf):
+    """S16, written and read back."""
+    configure(spark)
+    docs, n = _loaded_nodes(spark, sf)
+    found = prof_ops.line_numbers(prof_ops.findings(prof_ops.string_values(prof_ops.path_values(n))), docs)
+    cat = cg.from_dict(spark, {"odd": ["user", "e-mail@", "übung", "e-mail@"]})
+    return _written(spark, reports.special_character_report(materialize(found), cat))
+
+
+def q_error_log(spark, sf):
+    """S17, written and read back."""
+    configure(spark)
+    docs = fx.dirty_docs(spark, sf)
+    path = _out(spark)
+    sinks.write_log(reports.error_rows(src_files.load_status(docs), _validated(spark, sf)), path)
+    log = spark.read.schema("doc_id bigint, stage string, message string, logged_at timestamp, level string").json(path)
+    return log.select("doc_id", "stage", "level", "message", F.col("logged_at").isNotNull().alias("stamped"))
+
+
+def q_results_export(spark, sf):
+    """S18, written and read back."""
+    configure(spark)
+    cat, path = _both_catalogs(spark, sf), _out(spark)
+    docs = fx.order_docs(spark, sf)
+    cmp, _ = pipeline.compare_classes(docs, cat)
+    sinks.export_results(pipeline.file_profile(docs), cat, rollup.totals(cmp, weight="n"), path)
+    schema = "struct<catalog:string,matched:bigint,missing:bigint,extra:bigint,compared:bigint>"
+    total = spark.read.schema(f"catalog_names bigint, files bigint, comparison array<{schema}>").json(f"{path}/summary")
+    cats = spark.read.schema("catalog string, categories array<struct<category:string,fields:array<string>>>").json(f"{path}/catalogs")
+    files = spark.read.schema("doc_id bigint, fields array<string>").json(f"{path}/files")
+    return (
+        total.select(F.lit("summary").alias("part"), F.lit("").alias("name"), F.concat_ws(
+            ";", F.col("catalog_names").cast("string"), F.col("files").cast("string"),
+            F.array_join(F.transform("comparison", lambda c: F.concat_ws(",", c["catalog"], c["matched"], c["missing"], c["extra"], c["compared"])), ";")).alias("content"))
+        .unionByName(cats.select(F.lit("catalog").alias("part"), F.col("catalog").alias("name"), F.array_join(F.transform(
+            "categories", lambda c: F.concat(F.coalesce(c["category"], F.lit("-")), F.lit(":"), F.array_join(c["fields"], ","))), ";").alias("content")))
+        .unionByName(files.select(F.lit("file").alias("part"), F.col("doc_id").cast("string").alias("name"), F.array_join("fields", ",").alias("content")))
+    )
+
+
+def q_extras_export(spark, sf):
+    """S19 over files and records, written and read back."""
+    configure(spark)
+    docs, path = fx.multi_record_docs(spark, sf), _out(spark)
+    cat = cg.from_dict(spark, {"cross_names": CROSS_NAMES})
+    sinks.export_extras(reports.extra_fields(pipeline.compare_documents(docs, cat), pipeline.compare_records(docs, cat)), path)
+    rows = spark.read.schema("catalog string, field_name string, in_files bigint, in_records bigint, files array<string>").json(f"{path}/fields")
+    total = spark.read.schema("total_extra_fields bigint").json(f"{path}/total").withColumn("_one", F.lit(1))
+    return rows.withColumn("_one", F.lit(1)).join(total, "_one").drop("_one").withColumn("files", _join("files"))
+
+
 def q_stream_validate(spark, sf):
     """Validation of a document stream in micro batches (availableNow)."""
     import uuid
@@ -531,5 +608,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "minified": q_minified,
     "catalog_from_paragraphs": q_catalog_from_paragraphs,
     "catalog_from_tables": q_catalog_from_tables,
+    "validation_report": q_validation_report,
+    "field_report": q_field_report,
+    "special_char_report": q_special_char_report,
+    "error_log": q_error_log,
+    "results_export": q_results_export,
+    "extras_export": q_extras_export,
     "stream_validate": q_stream_validate,
 }

@@ -6,7 +6,7 @@ idempotent per run (``mode('overwrite')``, optionally per partition).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,23 +25,46 @@ def write_cleaned(cleaned: DataFrame, path: str, key: str = "doc_id") -> None:
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """Ordered report lines as text. ``orderBy`` range-partitions
-    the lines, so the part files concatenated in name order are the report."""
-    lines.orderBy("section", "name", "seq").select("line").write.mode("overwrite").text(path)
-
-
-def export_extras(file_cmp: DataFrame, rec_cmp: DataFrame | None, path: str) -> None:
-    """Sorted distinct extra names across file and record compares."""
-    x = file_cmp.where(F.col("status") == "extra").select("catalog", "field_name")
-    if rec_cmp is not None:
-        x = x.unionByName(rec_cmp.where(F.col("status") == "extra").select("catalog", "field_name"))
-    x.distinct().orderBy("catalog", "field_name").write.mode("overwrite").json(path)
-
-
-def error_log(parsed: DataFrame, key: str = "doc_id", stage: str = "load") -> DataFrame:
-    """``(doc_id, stage, level, message)`` rows for failed loads."""
-    return parsed.where(F.col("v").isNull()).select(
-        key, F.lit(stage).alias("stage"), F.lit("ERROR").alias("level"),
-        F.concat(F.lit("Failed to parse JSON: repair="), F.coalesce(F.col("repair"), F.lit("n/a"))).alias("message")
-        if "repair" in parsed.columns else F.lit("Failed to parse JSON").alias("message"),
-    )
+    """Ordered report lines as text. ``orderBy`` range-partitions
+    the lines, so the part files concatenated in name order are the report.
+    Lines of one place (section, name, seq) are in the order of their text."""
+    lines.orderBy("section", "name", "seq", "line").select("line").write.mode("overwrite").text(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A written report as ``(line_no, line)``, numbered from 1 over its files."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\n").alias("ls"))
+    files = files.select("file", F.slice("ls", 1, F.size("ls") - 1).alias("ls"))  # each line ends with a newline
+    w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per part file
+    at = files.select("file", F.coalesce(F.sum(F.size("ls")).over(w), F.lit(0)).alias("_before"))
+    each = files.select("file", F.posexplode("ls").alias("_k", "line")).join(at, "file")
+    return each.select((F.col("_before") + F.col("_k") + 1).cast("bigint").alias("line_no"), "line")
+
+
+def write_log(rows: DataFrame, path: str, at: Column | None = None) -> None:
+    """The error log as JSON rows, one folder per level; ``at`` is the
+    time to stamp them with (now by default)."""
+    rows.withColumn("logged_at", at if at is not None else F.current_timestamp()).write.mode("overwrite").partitionBy("level").json(path)
+
+
+def export_results(paths: DataFrame, catalog: DataFrame, stats: DataFrame, path: str, key: str = "doc_id") -> None:
+    """Nested JSON of a run. ``catalogs``: each catalog's names by
+    category; ``files``: each document with its field paths; ``summary``: one
+    document with the totals of all catalogs."""
+    named = catalog.where(~F.col("is_category"))
+    by_cat = named.groupBy("catalog", "category").agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", "field"))).alias("f"), F.min("ordinal").alias("o"))
+    cats = by_cat.groupBy("catalog").agg(F.array_sort(F.collect_list(F.struct("o", "category", F.col("f.field").alias("fields")))).alias("c")).select(
+        "catalog", F.transform("c", lambda c: F.struct(c["category"].alias("category"), c["fields"].alias("fields"))).alias("categories"))
+    cats.write.mode("overwrite").json(f"{path}/catalogs")
+    paths.select(key, F.col("paths").alias("fields")).write.mode("overwrite").json(f"{path}/files")
+    one = named.agg(F.count("*").alias("catalog_names")).withColumn("_one", F.lit(1))
+    files = paths.agg(F.count("*").alias("files")).withColumn("_one", F.lit(1))
+    comparison = stats.agg(F.array_sort(F.collect_list(F.struct(*stats.columns))).alias("comparison")).withColumn("_one", F.lit(1))
+    one.join(files, "_one").join(comparison, "_one").drop("_one").write.mode("overwrite").json(f"{path}/summary")
+
+
+def export_extras(extras: DataFrame, path: str) -> None:
+    """``reports.extra_fields`` as sorted JSON rows, with their number in ``total``."""
+    extras.orderBy("catalog", "field_name").write.mode("overwrite").json(f"{path}/fields")
+    extras.agg(F.count("*").alias("total_extra_fields")).write.mode("overwrite").json(f"{path}/total")
