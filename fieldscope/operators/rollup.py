@@ -215,3 +215,25 @@ def run_summary(cmp: DataFrame, rec_issues: DataFrame | None, findings: DataFram
         fc = findings.agg(F.countDistinct("field").alias("special_char_fields")).withColumn("_one", F.lit(1))
         out = out.join(F.broadcast(fc), "_one")
     return out.drop("_one")
+
+
+def full_summary(cmp: DataFrame, rec_cmp: DataFrame, found: DataFrame, catalog: DataFrame, counts: DataFrame) -> DataFrame:
+    """A11 over all grains: one row per catalog with its size, the files and
+    multi-record files (``counts``: one row), totals and distinct unmatched
+    names of the file comparison, records with issues, and fields with special
+    characters in values (JSON) or names (catalog).
+
+    ``cmp`` and ``rec_cmp`` are comparisons of classes with their number ``n``
+    of documents and records.
+    """
+    named = catalog.groupBy("catalog").agg(
+        F.count_if(~F.col("is_category")).alias("catalog_fields"),
+        F.countDistinct(F.when(names.has_special_name("field"), F.col("field"))).alias("special_catalog_fields"))
+    u = unique_unmatched(cmp, "n").groupBy("catalog").agg(
+        F.count_if(F.col("status") == "missing").alias("unique_missing"), F.count_if(F.col("status") == "extra").alias("unique_extra"))
+    per_rec = rec_cmp.where(F.col("status").isin("missing", "extra")).groupBy("catalog", "class_id").agg(F.first("n").alias("n"))
+    issues = per_rec.groupBy("catalog").agg(F.sum("n").alias("records_with_issues"))
+    one = found.agg(F.countDistinct("field").alias("special_json_fields")).withColumn("_one", F.lit(1))
+    out = named.join(totals(cmp, "n"), "catalog").join(u, "catalog", "left").join(issues, "catalog", "left")
+    out = out.withColumn("_one", F.lit(1)).join(counts.withColumn("_one", F.lit(1)), "_one").join(one, "_one").drop("_one")
+    return out.na.fill(0, ["unique_missing", "unique_extra", "records_with_issues"])

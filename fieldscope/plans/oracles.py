@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-from .queries import COMPETING, CROSS_NAMES, CUSTOMER_ORDERS, EVENT_FIELDS, EXPECTED_ORDER_FIELDS, PINNED_RATIOS, VARIANTS
+from .queries import COMPETING, CROSS_NAMES, LISTED_TABLES, CUSTOMER_ORDERS, EVENT_FIELDS, EXPECTED_ORDER_FIELDS, PINNED_RATIOS, VARIANTS
 from ..sources.fixtures import LINEITEM_FIELDS, ORDER_FIELDS
 
 
@@ -521,6 +521,26 @@ def oracle_sql() -> dict[str, str]:
                 UNION ALL SELECT catalog, field_name, CAST(doc_id AS VARCHAR), true FROM r_cmp WHERE status = 'extra')
       SELECT catalog, field_name, count(*) FILTER (WHERE NOT rec) AS in_files, count(*) FILTER (WHERE rec) AS in_records,
              array_to_string(list_sort(list(DISTINCT doc))[1:10], ',') AS files, count(*) OVER () AS total_extra_fields FROM every GROUP BY ALL""")
+    sql["table_columns"] = "WITH n AS (" + " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, name AS column_name, (SELECT count(*) FROM {t}) AS row_count, nulls AS null_count FROM "
+        f"(UNPIVOT (SELECT count(*) - count(COLUMNS('(.*)')) AS '\\1' FROM {t}) ON COLUMNS(*) INTO NAME name VALUE nulls)" for t in LISTED_TABLES) + """)
+      SELECT n.table_name, CAST(c.column_index AS BIGINT) AS ordinal, n.column_name,
+        CASE c.data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
+             WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(c.data_type) END AS type,
+        true AS nullable, n.row_count, n.null_count
+      FROM n JOIN duckdb_columns() c ON c.table_name = n.table_name AND c.column_name = n.column_name"""
+    summary_rows = _catalog_rows({"cross_names": [*CROSS_NAMES, "c_näme"], "few": ["c_custkey"]})
+    sql["full_summary"] = ("WITH " + F4_REC + ", f4_mpaths AS (SELECT * FROM f4_rec_paths WHERE doc_id IN (SELECT doc_id FROM f4_multi)),"
+                           + compare_ctes("d", "f4_doc_paths", ["doc_id"], summary_rows) + "," + compare_ctes("r", "f4_mpaths", ["doc_id", "record_idx"], summary_rows) + f"""
+      SELECT catalog, CAST(any_value(CASE catalog WHEN 'few' THEN 1 ELSE {len(CROSS_NAMES) + 1} END) AS BIGINT) AS catalog_fields,
+        CAST(any_value(CASE catalog WHEN 'few' THEN 0 ELSE 1 END) AS BIGINT) AS special_catalog_fields,
+        count(*) FILTER (WHERE status = 'matched') AS matched, count(*) FILTER (WHERE status = 'missing') AS missing,
+        count(*) FILTER (WHERE status = 'extra') AS extra, count(*) AS compared,
+        count(DISTINCT field_name) FILTER (WHERE status = 'missing') AS unique_missing, count(DISTINCT field_name) FILTER (WHERE status = 'extra') AS unique_extra,
+        (SELECT count(*) FROM (SELECT DISTINCT doc_id, record_idx FROM r_cmp WHERE r_cmp.catalog = d_cmp.catalog AND status IN ('missing', 'extra'))) AS records_with_issues,
+        (SELECT count(DISTINCT doc_id) FROM f4_rec) AS files_processed, (SELECT count(*) FROM f4_multi) AS multi_record_files,
+        CAST(1 AS BIGINT) AS special_json_fields
+      FROM d_cmp GROUP BY catalog""")
     # every string value of the annotated documents, cleaned by hand for each catalog
     sql["clean_then_profile"] = """WITH e AS (SELECT event_id AS doc_id, event_type AS t, CAST(user_id AS VARCHAR) AS u, props FROM events),
       rows AS (

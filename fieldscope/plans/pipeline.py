@@ -102,3 +102,20 @@ def clean_then_profile(docs: DataFrame, catalogs: DataFrame, removals: DataFrame
     cats = catalogs.agg(F.collect_set("catalog").alias("_cats")).withColumn("_one", F.lit(1))
     each = values.withColumn("_one", F.lit(1)).join(cats, "_one").select(key, F.explode("_cats").alias("catalog"), "field", "value")
     return profile.value_states(clean.clean_by_table(each, removals, catalogs), exclusions).drop("value")
+
+
+def run_summary(docs: DataFrame, catalog: DataFrame, key: str = "doc_id", tolerant: bool = True, **kw) -> DataFrame:
+    """A11 of a whole run. The corpus is loaded and parsed once; files, records
+    and values are read from the parsed table, and the comparisons run per
+    class of documents and of records that compare alike."""
+    loaded = materialize(parse_docs(docs.select(key, "content"), tolerant=tolerant).where(F.col("v").isNotNull()).select(key, "v"))
+    whole = loaded.withColumn("root_is_array", F.lit(False)).withColumn("unit", F.lit(None).cast("int"))
+    files = match.shape_profile(whole, (key,))
+    units = walk.units(loaded, key=key)
+    records = match.shape_profile(match.record_units(units, key), (key, "record_idx"), level="record")
+    cmp = match.compare(materialize(match.document_classes(files)), catalog, keys=("class_id", "n"), **kw)
+    rec = match.compare(materialize(match.document_classes(records)), catalog, keys=("class_id", "n"), record_level=True, **kw)
+    found = profile.findings(profile.string_values(profile.path_values(walk.nodes_by_depth(units, (key, "unit")), key), key), key)
+    counts = loaded.agg(F.count("*").alias("files_processed"), F.count_if(
+        F.expr("size(filter(try_variant_get(v, '$', 'array<variant>'), e -> try_variant_get(e, '$', 'struct<>') IS NOT NULL)) > 1")).alias("multi_record_files"))
+    return rollup.full_summary(materialize(cmp), rec, found, catalog, counts)

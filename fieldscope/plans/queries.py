@@ -208,6 +208,32 @@ def q_run_summary(spark, sf):
     return rollup.run_summary(cmp, None, None, cat, parsed)
 
 
+def q_full_summary(spark, sf):
+    """A11 over files, records and values of multi-record documents."""
+    configure(spark)
+    return pipeline.run_summary(fx.multi_record_docs(spark, sf), cg.from_dict(spark, {"cross_names": [*CROSS_NAMES, "c_näme"], "few": ["c_custkey"]}))
+
+
+LISTED_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "part", "events")
+
+
+def q_table_columns(spark, sf):
+    """S9 + S10: temporary views of the tables, listed and described, with
+    their observed nulls."""
+    import uuid
+
+    configure(spark)
+    tag = f"fs_{uuid.uuid4().hex[:8]}_"
+    for t in LISTED_TABLES:
+        fx.table(spark, sf, t).createOrReplaceTempView(tag + t)
+    listed = [r["table_name"] for r in cg.list_tables(spark, tag + "*").where("temporary").collect()]
+    d = cg.column_details(spark, listed, observed=True)
+    for t in LISTED_TABLES:
+        spark.catalog.dropTempView(tag + t)
+    return d.select(F.expr(f"substring(table_name, {len(tag) + 1})").alias("table_name"), (F.col("ordinal") + 1).cast("bigint").alias("ordinal"),
+                    "column_name", "type", "nullable", "row_count", "null_count")
+
+
 def q_category_unmatched(spark, sf):
     configure(spark)
     cmp = pipeline.compare_documents(fx.order_docs(spark, sf), _orders_catalog(spark, sf))
@@ -577,6 +603,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_rollup": q_stream_rollup,
     "unique_unmatched": q_unique_unmatched,
     "run_summary": q_run_summary,
+    "full_summary": q_full_summary,
+    "table_columns": q_table_columns,
     "category_unmatched": q_category_unmatched,
     "record_conformance": q_record_conformance,
     "record_issues": q_record_issues,

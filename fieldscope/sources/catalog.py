@@ -143,12 +143,41 @@ def from_table_columns(spark: SparkSession, tables: dict[str, DataFrame], catalo
     return from_dict(spark, {catalog: body})
 
 
-def column_details(df: DataFrame, table_name: str) -> list[dict]:
-    """Column name, type, nullability from a DataFrame schema."""
-    return [
-        {"table": table_name, "name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable, "ordinal": i}
-        for i, f in enumerate(df.schema.fields)
-    ]
+def list_tables(spark: SparkSession, pattern: str = "*", database: str | None = None) -> DataFrame:
+    """Tables and temporary views of a database of the Spark catalog whose
+    name fits ``pattern`` (``*`` and ``|``): ``table_name, temporary``."""
+    where = f"IN `{database}` " if database else ""
+    shown = spark.sql(f"SHOW TABLES {where}LIKE '{pattern}'")
+    return shown.select(F.col("tableName").alias("table_name"), F.col("isTemporary").alias("temporary"))
+
+
+COLUMN_DETAILS = "table_name string, ordinal int, column_name string, type string, nullable boolean, default_value string"
+
+
+def column_details(spark: SparkSession, tables: list[str], observed: bool = False) -> DataFrame:
+    """The columns of tables or views by name, in order, with type,
+    nullability and default as the Spark catalog states them (metadata only).
+    ``observed`` adds ``row_count`` and ``null_count``, one aggregate a table,
+    for sources that declare every column nullable."""
+    out = spark.createDataFrame([], COLUMN_DETAILS + (", row_count bigint, null_count bigint" if observed else ""))
+    for name in tables:
+        df = spark.table(name)
+        rows = [(name, i, f.name, f.dataType.simpleString(), f.nullable, (f.metadata or {}).get("CURRENT_DEFAULT")) for i, f in enumerate(df.schema.fields)]
+        details = spark.createDataFrame(rows, COLUMN_DETAILS)
+        if observed:
+            quoted = [F.col("`" + f.name.replace("`", "``") + "`") for f in df.schema.fields]
+            nulls = df.agg(F.count("*").alias("row_count"), F.array(*[F.count_if(c.isNull()) for c in quoted]).alias("_n"))
+            seen = nulls.select("row_count", F.posexplode("_n").alias("ordinal", "null_count"))
+            details = details.join(seen, "ordinal").select(*details.columns, "row_count", "null_count")
+        out = out.unionByName(details)
+    return out
+
+
+def from_catalog_tables(spark: SparkSession, catalog: str, pattern: str = "*", database: str | None = None) -> DataFrame:
+    """S8 from the Spark catalog: one category per listed table, its columns in order."""
+    names_ = [r["table_name"] for r in list_tables(spark, pattern, database).orderBy("table_name").collect()]
+    prefix = f"`{database}`." if database else ""
+    return from_table_columns(spark, {n: spark.table(f"{prefix}`{n}`") for n in names_}, catalog)
 
 
 # Information-schema queries per dialect for ``spark.read.format("jdbc")``
