@@ -7,20 +7,20 @@ of a bucket are candidates, and a pair is a link if a banded alignment of
 their words keeps enough whole shingles in order:
 kept / (n_a + n_b - kept) >= 0.8. Classes are the connected components.
 
-Identical word sequences are one node from the start. Within a bucket all
-pairs are tried up to ``SMALL`` nodes, or more while the pairs of the whole
-corpus stay in proportion to it; beyond that every node is tried with the
-bucket's most typical node, its leader. What this leaves out is found through the
-leader: links x and y that are not both links of leader a share a shingle that
-a does not have, or all they share lies in a, which then has at least 0.8 of the
-shingles of each. All are therefore put into new buckets by the shingles that a lacks
-(the rarest, as many as a pair of 0.8 must have one of in common), and where a
-holds so much of a node that is no link of it (a part of a longer a, or another
-order), all nodes of which it does also by the shingles they share with it. The search goes on there until no bucket holds two nodes that were not
-linked through the same leader. The order by which leaders are chosen never
-changes and a leader is in none of its new buckets, so each bucket's leader comes
-later in it than that of the bucket before. No bucket is capped, and none is
-expanded into all its pairs.
+Identical word sequences are one node from the start. Nodes linked so far are of
+one side (component), and only pairs of two sides are ever tried, so a crowd of
+near copies costs about one alignment a node:
+
+1. every node of a bucket with the bucket's leader; again with other leaders
+   where a bucket has nodes of several sides left;
+2. in buckets of up to ``SMALL`` nodes all pairs of two sides;
+3. the nodes of larger buckets with several sides meet in new buckets by their
+   rarest labelled shingles, as many as a pair of 0.8 must have one of in common
+   (a prefix filter, exact for every pair of them), where step 1 and then all
+   pairs of two sides follow, of small buckets first, as they close larger ones.
+
+No bucket is capped, and none is expanded into all its pairs: nodes of one side
+are not paired, and in step 3 a bucket is one shingle rare in its crowd.
 """
 
 from __future__ import annotations
@@ -43,9 +43,12 @@ K = 5
 LEAST = 0.8
 BANDS = 16  # a pair of 0.8 misses all of them once in 100,000: (1 - 0.8^3)^16
 PICKED = 3
-SMALL = 32  # nodes of a bucket whose pairs are all tried, at least
-FEW = 2  # nodes besides those of one class that are tried with all of a bucket, at least
-PAIRS_PER_NODE = 2  # of the corpus: what the first round may spend on all pairs of larger buckets; doubled in each next one
+SMALL = 32  # nodes of a bucket whose pairs of two sides are all tried at once
+LEADERS = 3  # leaders that a bucket is tried with in turn while it has several sides
+BITS = 1024
+WIDER = (1, 4, 16)  # times SMALL: buckets up to these sizes come before those of any size
+HELD_LABELS = 2 << 20  # shingles that a task keeps of nodes it has met
+HOT = 256  # pairs of one node beyond which its words are sent to several tasks
 
 _U = np.uint64
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], _U)
@@ -192,143 +195,154 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def codes_of(docs: DataFrame) -> DataFrame:
-    """node and codes (four bytes a word) of texts with words."""
+    """node, codes (four bytes a word), number of shingles and their bitmap,
+    of texts with words."""
 
     def step(b: pa.RecordBatch) -> dict:
         lists = [w for w in map(words_of, b.column("text").to_pylist()) if w]
-        return {"node": [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in lists], "codes": [word_codes(w).tobytes() for w in lists]}
-
-    return map_batches(docs.select("text"), step, "node binary, codes binary")
-
-
-def _typical(keys: DataFrame) -> DataFrame:
-    """node and weight: how full the first round's buckets of a node are."""
-    full = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 2")
-    return keys.join(full, "key").groupBy("node").agg(F.sum("n").alias("weight"))
-
-
-def _candidates(keys: DataFrame, pairs_allowed: int, typical: DataFrame) -> DataFrame:
-    """``keys(key, node, side)`` to pairs (a, b, side_a, side_b, large): all
-    pairs of small buckets, of the others each node with the leader. Nodes of
-    equal ``side`` are known to be of one class; a bucket of one side is closed."""
-    sides = keys.groupBy("key", "side").agg(F.count("*").alias("n"))
-    sized = sides.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "side")).alias("x"))
-    # pairs of two sides are those of the nodes that are not of the fullest side, with all
-    sized = sized.select("key", "n", F.col("x.side").alias("major"), (F.col("n") - F.col("x.n")).alias("others")).filter("others > 0")
-    sized = sized.withColumn("pairs", F.expr("n * others - others * (others + 1) / 2"))
-    # the largest power of two up to which all pairs are few enough: 64 sums at most
-    by_size = sized.groupBy(F.ceil(F.log2("pairs")).alias("e")).agg(F.sum("pairs").alias("pairs")).orderBy("e").collect()
-    most, spent = 0, 0.0
-    for row in by_size:
-        spent += row["pairs"]
-        if spent <= pairs_allowed:
-            most = max(most, 2 ** row["e"])
-    members = keys.join(sized.select("key", "major", (~F.expr(f"n <= {SMALL} OR others <= {FEW} OR pairs <= {most}")).alias("large")), "key")
-    # a large bucket's leader is its most typical node, whose first buckets were the fullest: the others then differ from it by little
-    crowd = members.filter("large").select("key", "node", "side")
-    ranked = crowd.join(typical, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
-    leaders = ranked.groupBy("key").agg(F.max(F.struct("weight", "node", "side")).alias("x")).select("key", F.col("x.node").alias("leader"), F.col("x.side").alias("side_a"))
-    stars = crowd.join(leaders, "key").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), "side_a", F.col("side").alias("side_b"), F.lit(True).alias("large"))
-    few = members.filter("NOT large").select("key", "node", "side", "major")
-    other = few.select("key", F.col("node").alias("b"), F.col("side").alias("side_b"))
-    two = few.filter("side <> major").join(other, "key").filter("side <> side_b AND (side_b = major OR node < b)")
-    swap = lambda x, y: F.when(F.col("node") < F.col("b"), F.col(x)).otherwise(F.col(y))
-    rest = two.select(swap("node", "b").alias("a"), swap("b", "node").alias("b"), swap("side", "side_b").alias("side_a"), swap("side_b", "side").alias("side_b"), F.lit(False).alias("large"))
-    return stars.unionByName(rest).groupBy("a", "b").agg(F.min("side_a").alias("side_a"), F.min("side_b").alias("side_b"), F.max("large").alias("large"))
-
-
-def _untried(pairs: DataFrame, rounds: list[DataFrame]) -> DataFrame:
-    """Adds ``known``, the similarity found in an earlier round. Pairs tried
-    before are left out, but for those of a large bucket whose leader's members
-    were not all together in one round yet: only there did they meet."""
-    tried = reduce(DataFrame.unionByName, [r.select("a", "b", "large", "similar", F.lit(i).alias("round")) for i, r in enumerate(rounds)])
-    known = tried.groupBy("a", "b").agg(F.max("similar").alias("known"))
-    led = pairs.filter("large").select("a", "b")
-    before = led.join(tried.filter("large").select("a", "b", "round"), ["a", "b"]).groupBy("a", "round").agg(F.count("*").alias("n"))
-    met = before.join(led.groupBy("a").agg(F.count("*").alias("n")), ["a", "n"]).select("a").distinct().withColumn("met", F.lit(True))
-    return pairs.join(known, ["a", "b"], "left").join(met, "a", "left").filter("known IS NULL OR (large AND met IS NULL)").drop("met")
-
-
-def _with_codes(pairs: DataFrame, codes: DataFrame) -> DataFrame:
-    member = codes.select(F.col("node").alias("b"), F.col("codes").alias("cb"))
-    leader = codes.select(F.col("node").alias("a"), F.col("codes").alias("ca"))
-    return pairs.join(member, "b").join(leader, "a")
-
-
-def _keys_of(shingles: np.ndarray, a: bytes, kind: int) -> np.ndarray:
-    """Bucket keys of shingles under leader ``a``: 0 for those it lacks, 1 for
-    those it has."""
-    salt = np.frombuffer(a, _U)
-    return _mix((shingles ^ salt[0]) * _U(0x9E3779B97F4A7C15) + salt[1] + _U(kind)).view(np.int64)
-
-
-def _verify(pairs: DataFrame, codes: DataFrame) -> DataFrame:
-    """Adds ``similar`` and, for pairs of large buckets, ``rest``: the shingles
-    of b that the leader a lacks, how many of them (``most``) a link of 0.8
-    must have one of in common, whatever their order; and ``size``: how many b
-    has."""
-    both = _with_codes(pairs, codes).select("a", "b", "side_a", "side_b", "large", "known", "ca", "cb")
+        codes = [word_codes(w) for w in lists]
+        labels = [_labels(c) for c in codes]
+        return {"node": [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in lists], "codes": [c.tobytes() for c in codes],
+                "shingles": [len(x) for x in labels], "bits": pa.array([bitmap(x).tolist() for x in labels], pa.list_(pa.int64()))}
+
+    return map_batches(docs.select("text"), step, "node binary, codes binary, shingles int, bits array<bigint>")
+
+
+def bitmap(labels: np.ndarray) -> np.ndarray:
+    """One bit of BITS for each labelled shingle, as 64-bit integers."""
+    out = np.zeros(BITS // 64, _U)
+    at = labels % _U(BITS)
+    np.bitwise_or.at(out, (at // _U(64)).astype(np.int64), _U(1) << at % _U(64))
+    return out.view(np.int64)
+
+
+def _can_be(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """Pairs whose bitmaps allow 0.8: each differing bit is a shingle that only
+    one of the two has, and a link has at most a ninth of the sum of both."""
+    of = lambda node, k: codes.select(F.col("node").alias(node), F.col("shingles").alias(f"n{k}"), F.col("bits").alias(f"s{k}"))
+    differ = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, c: n + c)
+    return pairs.join(of("a", 1), "a").join(of("b", 2), "b").filter(differ * 9 <= F.col("n1") + F.col("n2")).select("a", "b")
+
+
+def _with_sides(keys: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``keys(key, node)`` with each node's side, of buckets with two sides or more."""
+    if roots is None:
+        sided = keys.select("key", "node", F.col("node").alias("side"))
+    else:
+        sided = keys.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("side"))
+    open_ = sided.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("s"), F.max("side").alias("t")).filter("s <> t").select("key", "n")
+    return sided.join(open_, "key")
+
+
+def _with_leader(sided: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each node with its bucket's leader, where their sides
+    differ. Each turn has its own order of nodes to choose leaders by."""
+    rank = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("a"), F.col("side").alias("side_a"))
+    leaders = sided.groupBy("key").agg(F.min(rank).alias("x")).select("key", "x.a", "x.side_a")
+    led = sided.join(leaders, "key").filter("side <> side_a")
+    return led.select("a", F.col("node").alias("b")).distinct()
+
+
+def _two_sides(sided: DataFrame) -> DataFrame:
+    """All pairs of two sides of each bucket."""
+    other = sided.select("key", F.col("node").alias("b"), F.col("side").alias("side_b"))
+    return sided.join(other, "key").filter("side < side_b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def _with_codes(pairs: DataFrame, codes: DataFrame, node: str, out: str) -> DataFrame:
+    """Adds the words of ``node``. A node of many pairs is copied, so that its
+    pairs are spread over as many tasks."""
+    hot = pairs.groupBy(node).agg(F.ceil(F.count("*") / HOT).alias("copies")).filter("copies > 1")
+    salted = pairs.join(hot, node, "left").withColumn("copy", F.pmod(F.xxhash64("a", "b"), F.coalesce("copies", F.lit(1)))).drop("copies")
+    copied = codes.select(F.col("node").alias(node), F.col("codes").alias(out)).join(hot, node, "left")
+    copied = copied.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    return salted.join(copied, [node, "copy"]).drop("copy")
+
+
+def _links(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links."""
+    both = _with_codes(_with_codes(pairs, codes, "b", "cb"), codes, "a", "ca").select("a", "b", "ca", "cb")
 
     def run(batches):
-        last, ca, la = None, None, None
-        for batch in batches:
-            sims, rests, most, sizes = [], [], [], []
-            for a, cell, cell_b, large, side_a, side_b, known in zip(*(batch.column(c).to_pylist() for c in ("a", "ca", "cb", "large", "side_a", "side_b", "known")), strict=True):
-                if a != last:
-                    last, ca = a, np.frombuffer(cell, np.uint32)
-                    la = _labels(ca)
-                cb = np.frombuffer(cell_b, np.uint32)
-                lb = _labels(cb)
-                sims.append(known if known is not None else similarity(ca, cb, la, lb) if side_a != side_b else 0.0)
-                rest = []
-                if large:
-                    lacks = np.setdiff1d(lb, la, assume_unique=True)
-                    rest = _keys_of(lacks, a, 0).tolist()
-                rests.append(rest)
-                most.append(len(lb) // 5 + 1)
-                sizes.append(len(lb))
-            cols = [batch.column(c) for c in ("a", "b", "side_a", "side_b", "large")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sims, pa.float64()), pa.array(rests, pa.list_(pa.int64())), pa.array(most, pa.int32()), pa.array(sizes, pa.int32())],
-                                             names=["a", "b", "side_a", "side_b", "large", "similar", "rest", "most", "size"])
-
-    return both.mapInArrow(run, "a binary, b binary, side_a binary, side_b binary, large boolean, similar double, rest array<bigint>, most int, size int")
-
-
-def _shared_with_leader(pairs: DataFrame, codes: DataFrame) -> DataFrame:
-    """``rest`` of ``pairs(a, b, side, most)`` as the shingles of b that a has."""
+        known: dict[bytes, tuple] = {}
+        held = 0
+
+        def of(node: bytes, cell: bytes):
+            nonlocal held
+            if node not in known:
+                codes = np.frombuffer(cell, np.uint32)
+                if held + len(codes) > HELD_LABELS:
+                    known.clear()
+                    held = 0
+                known[node] = codes, _labels(codes)
+                held += len(codes)
+            return known[node]
+
+        for batch in sliced(batches, "cb", 4 << 20):
+            keep = []
+            for a, b, ca, cb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ca", "cb")), strict=True):
+                (x, lx), (y, ly) = of(a, ca), of(b, cb)
+                keep.append(similarity(x, y, lx, ly) > 0)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a binary, b binary")
+
+
+def _rare_keys(nodes: DataFrame, codes: DataFrame) -> DataFrame:
+    """``keys(key, node)``: of its labelled shingles a node takes the rarest
+    among ``nodes``, a fifth and one more: two nodes that share 0.8 have one of
+    them in common. Shingles that nobody else has count but need no bucket."""
 
     def run(batches):
-        for batch in sliced(batches, "cb", 1 << 20):
-            rests = []
-            for a, cell, cell_b in zip(*(batch.column(c).to_pylist() for c in ("a", "ca", "cb")), strict=True):
-                la, lb = (_labels(np.frombuffer(c, np.uint32)) for c in (cell, cell_b))
-                rests.append(_keys_of(np.intersect1d(la, lb, assume_unique=True), a, 1))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "side", "most")), pa.array(rests, pa.list_(pa.int64()))], names=["a", "b", "side", "most", "rest"])
-
-    return _with_codes(pairs, codes).select("a", "b", "side", "most", "ca", "cb").mapInArrow(run, "a binary, b binary, side binary, most int, rest array<bigint>")
-
-
-def _next_keys(done: DataFrame, codes: DataFrame) -> DataFrame:
-    """``keys(key, node, side)`` of the next round. Of the shingles that its
-    leader lacks a node takes the ``most`` rarest among the leader's members;
-    those that nobody else has count but need no bucket. If all that a link
-    shares lies in the leader, each of its two nodes has 4 / 9 of the sum of
-    both sizes in common with the leader, the other's size being the smallest
-    member's at least. Where such a node is no link of the leader, all such
-    nodes take as many of the shingles that they share with it."""
-    side = F.when(F.col("similar") > 0, F.col("side_a")).otherwise(F.col("side_b"))  # nodes linked to a leader take its side
-    led = done.filter("large").withColumn("side", side)
-    lists = led.select("a", "b", "side", "most", "rest", F.lit(0).alias("kind"))
-    least = led.groupBy("a").agg(F.min("size").alias("least"))
-    held = led.withColumn("has", F.col("size") - F.size("rest")).filter("5 * has >= 4 * size").join(least, "a").filter("9 * has >= 4 * (size + least)")
-    mixed = held.filter("side <> side_a").select("a").distinct()
-    if not mixed.isEmpty():
-        lists = lists.unionByName(_shared_with_leader(held.join(mixed, "a").select("a", "b", "side", "most"), codes).withColumn("kind", F.lit(1)))
-    each = lists.select("a", "b", "kind", "side", "most", F.size("rest").alias("all"), F.explode("rest").alias("key"))
+        for batch in sliced(batches, "codes", 1 << 20):
+            lists = [_labels(np.frombuffer(c, np.uint32)).view(np.int64) for c in batch.column("codes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))], names=["node", "labels"])
+
+    labels = codes.join(nodes, "node", "left_semi").select("node", "codes").mapInArrow(run, "node binary, labels array<bigint>")
+    each = labels.select("node", F.size("labels").alias("all"), F.explode("labels").alias("key"))
     shared = each.join(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
-    own = W.partitionBy("a", "b", "kind")
+    own = W.partitionBy("node")
     ranked = shared.withColumn("common", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("n", "key")))
-    return ranked.filter("rank <= most - (all - common)").groupBy("key", F.col("b").alias("node")).agg(F.min("side").alias("side"))
+    return ranked.filter("rank <= floor(all / 5) + 1 - (all - common)").select("key", "node")
+
+
+class _Search:
+    """Links found so far, the sides they make, and the pairs tried."""
+
+    def __init__(self, codes: DataFrame, scratch: Scratch):
+        self.codes, self.scratch = codes, scratch
+        self.links: list[DataFrame] = []
+        self.tried: list[DataFrame] = []
+        self.roots: DataFrame | None = None
+
+    def sides(self, keys: DataFrame) -> DataFrame:
+        return self.scratch.keep(_with_sides(keys, self.roots))
+
+    def try_pairs(self, pairs: DataFrame) -> None:
+        """Align what was not tried yet, and take the sides together that it links."""
+        for before in self.tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = self.scratch.keep(pairs)
+        found = self.scratch.keep(_links(_can_be(pairs, self.codes), self.codes))
+        self.tried.append(pairs)
+        if not found.isEmpty():
+            self.links.append(found)
+            old = self.roots
+            every = reduce(DataFrame.unionByName, [x.select("a", "b") for x in self.links] if old is None else [
+                old.select(F.col("root").alias("a"), F.col("node").alias("b")), found])
+            self.roots = components(every, self.scratch)
+            if old is not None:
+                self.scratch.drop(old)
+
+    def lead(self, keys: DataFrame) -> DataFrame:
+        """Step 1. Returns the buckets left with several sides."""
+        for turn in range(LEADERS):
+            sided = self.sides(keys)
+            if sided.isEmpty():
+                return sided
+            self.try_pairs(_with_leader(sided if turn == 0 else sided.filter(f"n > {SMALL}"), turn))
+            self.scratch.drop(sided)
+        return self.sides(keys)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -343,30 +357,31 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = with_package(docs.sparkSession)
     scratch = Scratch(spark)
     drawn = scratch.keep(sketch(docs))
-    keys = scratch.keep(drawn.filter("node IS NOT NULL").select(F.explode("keys").alias("key"), "node").distinct().withColumn("side", F.col("node")))
-    allowed = PAIRS_PER_NODE * drawn.count()
-    typical = scratch.keep(_typical(keys))
-    pairs = scratch.keep(_candidates(keys, allowed, typical))
-    scratch.drop(keys)
-    # one text of each node that is in a pair; a lone document's text is not moved any further
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    every = drawn.filter("node IS NOT NULL").select(F.explode("keys").alias("key"), "node").distinct()
+    keys = scratch.keep(_with_sides(every, None).select("key", "node"))
+    # one text of each node that shares a bucket; a lone document's text is not moved any further
+    wanted = keys.select("node").distinct()
     ids = drawn.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), (F.count("*") != F.count("doc_id")).alias("nulls")).join(wanted, "node")
     ids = ids.select(F.when(F.col("nulls"), None).otherwise(F.col("id")).alias("id")).distinct()
     codes = codes_of(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"))
-    codes = scratch.keep(codes.groupBy("node").agg(F.max("codes").alias("codes")))
-    rounds: list[DataFrame] = []
-    while True:
-        pairs = _untried(pairs, rounds) if rounds else pairs.withColumn("known", F.lit(None).cast("double"))
-        done = scratch.keep(_verify(pairs, codes))
-        rounds.append(done)
-        allowed *= 2
-        pairs = scratch.keep(_candidates(_next_keys(done, codes), allowed, typical))
-        if pairs.isEmpty():
-            break
-    roots = components(reduce(DataFrame.unionByName, [r.filter("similar > 0").select("a", "b") for r in rounds]), scratch)
+    codes = scratch.keep(codes.groupBy("node").agg(*[F.first(c).alias(c) for c in ("codes", "shingles", "bits")]))
+
+    search = _Search(codes, scratch)
+    left = search.lead(keys)
+    search.try_pairs(_two_sides(left.filter(f"n <= {SMALL}")))
+    large = search.sides(keys).filter(f"n > {SMALL}")
+    if not large.isEmpty():
+        rare = scratch.keep(_rare_keys(large.select("node").distinct(), codes))
+        search.lead(rare)
+        for times in WIDER:
+            search.try_pairs(_two_sides(search.sides(rare).filter(f"n <= {times * SMALL}")))
+        search.try_pairs(_two_sides(search.sides(rare)))
+    roots = search.roots if search.roots is not None else drawn.select("node", F.col("node").alias("root")).limit(0)
     named = drawn.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class"))
     names = named.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    return named.join(names, "class", "left").select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.col("class").isNotNull().alias("has_words"))
+    out = named.join(names, "class", "left").select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.col("class").isNotNull().alias("has_words"))
+    scratch.drop(keys, codes, *search.tried, *search.links)
+    return out
 
 
 def representatives(docs: DataFrame) -> DataFrame:

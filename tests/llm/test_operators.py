@@ -155,7 +155,6 @@ def test_order_minhash(spark, docs, monkeypatch):
 def test_order_minhash_large_buckets(spark, monkeypatch):
     """Every bucket counts as large: nothing may be lost."""
     monkeypatch.setattr(order_minhash, "SMALL", 2)
-    monkeypatch.setattr(order_minhash, "PAIRS_PER_NODE", 0)
     rng = random.Random(3)
     base = words(rng, 160).split()
     rows = []
@@ -186,7 +185,6 @@ def test_order_minhash_all_that_links_share_lies_in_the_leader(spark, monkeypatc
     """Short near copies among long documents of one passage, and copies of a
     passage whose halves are exchanged."""
     monkeypatch.setattr(order_minhash, "SMALL", 2)
-    monkeypatch.setattr(order_minhash, "PAIRS_PER_NODE", 0)
     rng = random.Random(11)
     long = lambda n: " ".join("".join(rng.choices("bcdfgklmnprst", k=7)) for _ in range(n))
     one, two = long(80), long(80)
