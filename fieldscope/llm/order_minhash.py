@@ -18,6 +18,8 @@ near copies costs about one alignment a node:
    rarest labelled shingles, as many as a pair of 0.8 must have one of in common
    (a prefix filter, exact for every pair of them), where step 1 and then all
    pairs of two sides follow, of small buckets first, as they close larger ones.
+   A pair is passed over where the shingles rarer than the bucket's, which only
+   one of the two can have there, are too many for 0.8 already.
 
 No bucket is capped, and none is expanded into all its pairs: nodes of one side
 are not paired, and in step 3 a bucket is one shingle rare in its crowd.
@@ -46,7 +48,7 @@ PICKED = 3
 SMALL = 32  # nodes of a bucket whose pairs of two sides are all tried at once
 LEADERS = 3  # leaders that a bucket is tried with in turn while it has several sides
 BITS = 1024
-WIDER = (1, 4, 16)  # times SMALL: buckets up to these sizes come before those of any size
+WIDER = (4,)  # times SMALL: buckets up to these sizes come before those of any size
 HELD_LABELS = 2 << 20  # shingles that a task keeps of nodes it has met
 HOT = 256  # pairs of one node beyond which its words are sent to several tasks
 
@@ -225,28 +227,40 @@ def _can_be(pairs: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def _with_sides(keys: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``keys(key, node)`` with each node's side, of buckets with two sides or more."""
+    """``keys(key, node, ...)`` with each node's side, of buckets with two sides or more."""
     if roots is None:
-        sided = keys.select("key", "node", F.col("node").alias("side"))
+        sided = keys.withColumn("side", F.col("node"))
     else:
-        sided = keys.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("side"))
+        sided = keys.join(roots, "node", "left").withColumn("side", F.coalesce("root", "node")).drop("root")
     open_ = sided.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("s"), F.max("side").alias("t")).filter("s <> t").select("key", "n")
     return sided.join(open_, "key")
 
 
 def _with_leader(sided: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of each node with its bucket's leader, where their sides
-    differ. Each turn has its own order of nodes to choose leaders by."""
-    rank = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("a"), F.col("side").alias("side_a"))
-    leaders = sided.groupBy("key").agg(F.min(rank).alias("x")).select("key", "x.a", "x.side_a")
-    led = sided.join(leaders, "key").filter("side <> side_a")
-    return led.select("a", F.col("node").alias("b")).distinct()
+    differ. Each turn has its own order of nodes to choose leaders by; in buckets
+    of rare shingles the first leader is one with few shingles rarer than that."""
+    first = [F.col("before")] if turn == 0 and "before" in sided.columns else []
+    rank = F.struct(*first, F.xxhash64(F.lit(turn), "node").alias("h"), F.struct(*[F.col(c).alias(f"{c}_a") for c in sided.columns if c not in ("key", "n")]).alias("x"))
+    leaders = sided.groupBy("key").agg(F.min(rank)["x"].alias("x")).select("key", "x.*")
+    led = sided.join(leaders, "key").filter("side <> side_a").filter(_near_enough(sided, "_a"))
+    return led.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _two_sides(sided: DataFrame) -> DataFrame:
-    """All pairs of two sides of each bucket."""
-    other = sided.select("key", F.col("node").alias("b"), F.col("side").alias("side_b"))
-    return sided.join(other, "key").filter("side < side_b").select(F.col("node").alias("a"), "b").distinct()
+    """All pairs of two sides of each bucket, but for those that ``_near_enough`` excludes."""
+    other = sided.select("key", *[F.col(c).alias(f"{c}_b") for c in sided.columns if c not in ("key", "n")])
+    pairs = sided.join(other, "key").filter("side < side_b").filter(_near_enough(sided, "_b"))
+    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _near_enough(sided: DataFrame, other: str):
+    """Positional filter in buckets of rare shingles: in the bucket of the rarest
+    shingle that two nodes share, all rarer ones of both are of one of them only,
+    and a link has at most a ninth of the sum of both on one side only."""
+    if "before" not in sided.columns:
+        return F.lit(True)
+    return F.expr(f"9 * (before + before{other}) <= size + size{other} AND 5 * least(size, size{other}) >= 4 * greatest(size, size{other})")
 
 
 def _with_codes(pairs: DataFrame, codes: DataFrame, node: str, out: str) -> DataFrame:
@@ -289,9 +303,10 @@ def _links(pairs: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def _rare_keys(nodes: DataFrame, codes: DataFrame) -> DataFrame:
-    """``keys(key, node)``: of its labelled shingles a node takes the rarest
-    among ``nodes``, a fifth and one more: two nodes that share 0.8 have one of
-    them in common. Shingles that nobody else has count but need no bucket."""
+    """``keys(key, node, size, before)``: of its ``size`` labelled shingles a node
+    takes the rarest among ``nodes``, a fifth and one more: two nodes that share
+    0.8 have one of them in common. ``before`` counts the rarer ones. Shingles
+    that nobody else has count but need no bucket."""
 
     def run(batches):
         for batch in sliced(batches, "codes", 1 << 20):
@@ -299,11 +314,13 @@ def _rare_keys(nodes: DataFrame, codes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))], names=["node", "labels"])
 
     labels = codes.join(nodes, "node", "left_semi").select("node", "codes").mapInArrow(run, "node binary, labels array<bigint>")
-    each = labels.select("node", F.size("labels").alias("all"), F.explode("labels").alias("key"))
+    each = labels.select("node", F.size("labels").alias("size"), F.explode("labels").alias("key"))
     shared = each.join(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
     own = W.partitionBy("node")
     ranked = shared.withColumn("common", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("n", "key")))
-    return ranked.filter("rank <= floor(all / 5) + 1 - (all - common)").select("key", "node")
+    ranked = ranked.withColumn("before", F.expr("size - common + rank - 1").cast("int"))
+    # a node with a ninth of itself and of the largest partner before the shingle has no link by it
+    return ranked.filter("before <= floor(size / 5) AND 9 * before <= size + 1.25 * size").select("key", "node", "size", "before")
 
 
 class _Search:
@@ -334,9 +351,9 @@ class _Search:
             if old is not None:
                 self.scratch.drop(old)
 
-    def lead(self, keys: DataFrame) -> DataFrame:
+    def lead(self, keys: DataFrame, turns: int = LEADERS) -> DataFrame:
         """Step 1. Returns the buckets left with several sides."""
-        for turn in range(LEADERS):
+        for turn in range(turns):
             sided = self.sides(keys)
             if sided.isEmpty():
                 return sided
@@ -372,7 +389,7 @@ def classes(docs: DataFrame) -> DataFrame:
     large = search.sides(keys).filter(f"n > {SMALL}")
     if not large.isEmpty():
         rare = scratch.keep(_rare_keys(large.select("node").distinct(), codes))
-        search.lead(rare)
+        search.lead(rare, 1)
         for times in WIDER:
             search.try_pairs(_two_sides(search.sides(rare).filter(f"n <= {times * SMALL}")))
         search.try_pairs(_two_sides(search.sides(rare)))
