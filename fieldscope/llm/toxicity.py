@@ -28,7 +28,7 @@ WINDOW, STRIDE = 24, 12  # bytes
 ORDINARY_BYTES, TOXIC_BYTES = 32_768, 2_048
 LEVEL = 3
 ROWS_PER_CLASS = (6_000, 3_000)  # ordinary, toxic: the bound of the sample
-LONGEST = 65_536  # bytes of a sampled text
+LONGEST = 65_536  # bytes of a sampled text; with ROWS_PER_CLASS the only bound of what the dictionaries learn from
 DISTINCT_Z = 5.0  # a word is distinctive beyond so many standard errors
 THRESHOLDS = np.arange(2, 13)
 
@@ -120,7 +120,7 @@ def train(rows: list[tuple[int, str | None]]) -> Model | None:
 
     distinct = {w for w, n in in_toxic.items() if n >= 3 and z(w) > DISTINCT_Z} or {w for w, _ in sorted(in_toxic.items(), key=lambda x: (-z(x[0]), x[0]))[:20]}
     toxic_samples = [s for s in (b" " + b" ".join(x for x in w if x in distinct) + b" " for w in toxic) if len(s) > 8] or [b" " + b" ".join(sorted(distinct)) + b" "]
-    ordinary_samples = [b" ".join(w[i : i + 40]) for w in ordinary for i in range(0, len(w), 40)][:60_000]
+    ordinary_samples = [b" ".join(w[i : i + 40]) for w in ordinary for i in range(0, len(w), 40)]
     m = Model(_dictionary(ordinary_samples, ORDINARY_BYTES, 48, 8), _dictionary(toxic_samples, TOXIC_BYTES, 24, 6))
     c = m.compressors()
     texts = parts[0, 1] + parts[1, 1]
