@@ -222,8 +222,12 @@ def _can_be(pairs: DataFrame, codes: DataFrame) -> DataFrame:
     """Pairs whose bitmaps allow 0.8: each differing bit is a shingle that only
     one of the two has, and a link has at most a ninth of the sum of both."""
     of = lambda node, k: codes.select(F.col("node").alias(node), F.col("shingles").alias(f"n{k}"), F.col("bits").alias(f"s{k}"))
-    differ = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, c: n + c)
-    return pairs.join(of("a", 1), "a").join(of("b", 2), "b").filter(differ * 9 <= F.col("n1") + F.col("n2")).select("a", "b")
+    return pairs.join(of("a", 1), "a").join(of("b", 2), "b").filter(_differ("s1", "s2") * 9 <= F.col("n1") + F.col("n2")).select("a", "b")
+
+
+def _differ(a: str, b: str):
+    """Number of bits that differ between two bitmaps."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, c: n + c)
 
 
 def _with_sides(keys: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -257,10 +261,12 @@ def _two_sides(sided: DataFrame) -> DataFrame:
 def _near_enough(sided: DataFrame, other: str):
     """Positional filter in buckets of rare shingles: in the bucket of the rarest
     shingle that two nodes share, all rarer ones of both are of one of them only,
-    and a link has at most a ninth of the sum of both on one side only."""
+    and a link has at most a ninth of the sum of both on one side only. The
+    bitmaps bound the same number (see ``_can_be``)."""
     if "before" not in sided.columns:
         return F.lit(True)
-    return F.expr(f"9 * (before + before{other}) <= size + size{other} AND 5 * least(size, size{other}) >= 4 * greatest(size, size{other})")
+    near = F.expr(f"9 * (before + before{other}) <= size + size{other} AND 5 * least(size, size{other}) >= 4 * greatest(size, size{other})")
+    return near & (_differ("bits", f"bits{other}") * 9 <= F.col("size") + F.col(f"size{other}"))
 
 
 def _with_codes(pairs: DataFrame, codes: DataFrame, node: str, out: str) -> DataFrame:
@@ -303,7 +309,7 @@ def _links(pairs: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def _rare_keys(nodes: DataFrame, codes: DataFrame) -> DataFrame:
-    """``keys(key, node, size, before)``: of its ``size`` labelled shingles a node
+    """``keys(key, node, size, before, bits)``: of its ``size`` labelled shingles a node
     takes the rarest among ``nodes``, a fifth and one more: two nodes that share
     0.8 have one of them in common. ``before`` counts the rarer ones. Shingles
     that nobody else has count but need no bucket."""
@@ -320,7 +326,8 @@ def _rare_keys(nodes: DataFrame, codes: DataFrame) -> DataFrame:
     ranked = shared.withColumn("common", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("n", "key")))
     ranked = ranked.withColumn("before", F.expr("size - common + rank - 1").cast("int"))
     # a node with a ninth of itself and of the largest partner before the shingle has no link by it
-    return ranked.filter("before <= floor(size / 5) AND 9 * before <= size + 1.25 * size").select("key", "node", "size", "before")
+    kept = ranked.filter("before <= floor(size / 5) AND 9 * before <= size + 1.25 * size").select("key", "node", "size", "before")
+    return kept.join(codes.select("node", "bits"), "node")
 
 
 class _Search:
