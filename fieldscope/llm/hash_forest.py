@@ -1,11 +1,13 @@
 """Approximate nearest neighbours with a hash-prefix forest.
 
-A tree gives every vector a long string: each symbol is the coordinate of
-largest size, with its sign, after a random rotation. A shard of the vectors
-keeps one sorted array of strings per tree. A query descends in each array by
-binary search to its longest-prefix matches; then all trees ascend together,
-one symbol at a time, until the matches of all trees hold enough different
-vectors. Those are compared exactly, and the nearest of all shards are kept.
+A tree gives every vector a long string: each symbol is the nearest, by
+Euclidean distance, of a set of anchor vectors that are drawn from the shard's
+own rows. So strings agree where vectors are near, whatever their lengths. A
+shard of the vectors keeps one sorted array of strings per tree. A query
+descends in each array by binary search to its longest-prefix matches; then all
+trees ascend together, one symbol at a time, until the matches of all trees hold
+enough different vectors. Those are compared exactly, and the nearest of all
+shards are kept.
 
 Queries are a stated set, broadcast in blocks of bounded size. A shard is a
 bounded number of rows, so no group of vectors meets in one task; identical
@@ -15,7 +17,7 @@ vectors of a shard are one entry with its smallest ids.
 from __future__ import annotations
 
 import math
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,36 +34,31 @@ QUERY_BLOCK = 8192
 LEAST_CANDIDATES, CANDIDATE_POWER = 512, 0.8  # a shard of n looks at max(512, n^0.8) vectors of its forest at least
 
 
-@lru_cache(maxsize=8)
-def rotations(dim: int) -> np.ndarray:
-    """TREES x SYMBOLS random rotations of one dimension."""
-    rng = np.random.default_rng(dim)
-    return np.stack([[np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(SYMBOLS)] for _ in range(TREES)])
-
-
-def strings(x: np.ndarray) -> np.ndarray:
-    """Hash strings (trees x vectors) as integers of SYMBOLS digits to the base
-    of twice the dimension."""
-    base = 2 * x.shape[1]
-    out = np.zeros((TREES, len(x)), np.int64)
-    for t, tree in enumerate(rotations(x.shape[1])):
-        for r in tree:
-            y = x @ r
-            at = np.abs(y).argmax(1)
-            out[t] = out[t] * base + 2 * at + (y[np.arange(len(x)), at] < 0)
-    return out
-
-
 class Forest:
+    """Sorted arrays of the hash strings of the different vectors ``x``."""
+
     def __init__(self, x: np.ndarray):
         self.x, self.base = x, 2 * x.shape[1]
-        s = strings(x)
+        # TREES x SYMBOLS anchor sets; a fixed seed, so a shard that is computed again is the same
+        self.anchors = np.random.default_rng(len(x)).integers(0, len(x), (TREES, SYMBOLS, self.base))
+        self.halves = (x * x).sum(1) / 2
+        s = self.strings(x)
         self.order = np.argsort(s, axis=1, kind="stable")
         self.sorted = np.take_along_axis(s, self.order, axis=1)
 
+    def strings(self, v: np.ndarray) -> np.ndarray:
+        """Hash strings (trees x vectors) as integers of SYMBOLS digits to the
+        base of twice the dimension."""
+        out = np.zeros((TREES, len(v)), np.int64)
+        for t, tree in enumerate(self.anchors):
+            for rows in tree:
+                # |v - a|^2 is smallest where v.a - |a|^2 / 2 is largest
+                out[t] = out[t] * self.base + (v @ self.x[rows].T - self.halves[rows]).argmax(1)
+        return out
+
     def candidates(self, q: np.ndarray, enough: int):
         """Per query the rows found by the synchronous ascent."""
-        of = strings(q)
+        of = self.strings(q)
         levels = []
         for level in range(SYMBOLS):  # the longest prefix first
             cut = self.base**level

@@ -228,6 +228,24 @@ def test_hash_forest(spark):
     assert [i for i, _ in got[50]] == [49, *range(51, 60)]
 
 
+@pytest.mark.parametrize("sigma", [0.0, 0.5, 1.0])
+def test_hash_forest_recall_with_lengths_of_any_spread(sigma):
+    """Directions without structure, the hardest case, with log-normal lengths."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(8192, 64))
+    x *= np.exp(sigma * rng.normal(size=(8192, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, 8192, 100)
+    found = collections.defaultdict(set)
+    for i, v, _ in hash_forest.search_shard(np.arange(8192), x, asked, x[asked], 10):
+        found[i].add(v)
+    hits = 0
+    for i, q in enumerate(asked):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(found[i] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(asked)
+
+
 def test_hash_forest_row_repeated_often(spark):
     x = np.random.default_rng(6).normal(size=(600, 8))
     x[501:521] = x[500]
