@@ -2,13 +2,15 @@
 functions only.
 
 The battery takes every long token, infers its encoding and tests the
-hypothesis "random in that encoding": chi-squared uniformity of its symbols,
-runs above and below the middle of the alphabet, serial correlation of
-neighbouring symbols. Fisher's method combines the three. A random token keeps
-the hypothesis; ordinary words, paths and repeated marks reject it. Which
-rejections count is decided by the Benjamini-Hochberg rule within strata of
-encoding and length, over the tokens of all documents, so the share of true
-secrets among the dismissed is bounded in every length class.
+hypothesis "random in that encoding": chi-squared uniformity of its symbols and
+of their classes (upper case, lower case, rest), runs above and below the middle
+of the alphabet, serial correlation of neighbouring symbols. Fisher's method
+combines them. A random token keeps
+the hypothesis; ordinary words, paths and repeated marks reject it. Where
+the line is drawn is decided within strata of encoding and length, over the
+tokens of all documents, so that the share of ordinary tokens among those kept
+as random is bounded in every length class. Both errors are measured on planted
+tokens (tests).
 
 The corpus-wide part is a histogram of p-values: its size is bounded by
 strata x bins, whatever the input.
@@ -42,8 +44,11 @@ ENCODINGS = (
     ("base62", r"^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", r"^(?:[0-9A-Za-z+/]+|[0-9A-Za-z_-]+)={0,2}$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
+CLASSES = ("A-Z", "a-z", "0-9+/")  # classes of symbols, as parts of a pattern
 RATE = 0.01  # of true secrets among the dismissed tokens
+FALSE_SHARE = 0.05  # of ordinary tokens among those kept as random
 PER_NAT, MOST_BIN = 20, 2_000  # bins of -ln p
+UPPER_BINS = 14  # bins of p-values above one half
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -123,7 +128,11 @@ def _judged(x: Column) -> Column:
         t, k, n, s = w["t"], w["k"], w["n"], w["s"]
         counts = F.transform(F.sequence(F.lit(1), k.cast("int")), lambda i: n - F.length(F.replace(t, F.substr(w["a"], i, F.lit(1)), F.lit(""))))
         pairs = F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda x, y: F.struct(((x > k / 2) != (y > k / 2)).cast("double").alias("turn"), (x * y).alias("xy")))
-        return F.struct(k.alias("k"), n.alias("n"), total(F.transform(counts, lambda c: c * c)).alias("squares"), total(s).alias("sum"), total(F.transform(s, lambda x: x * x)).alias("sum_squares"),
+        # how upper case, lower case and the rest share the token, against their shares of the alphabet
+        left = lambda text, marks: F.length(F.regexp_replace(text, f"[^{marks}]", "")).cast("double")
+        classes = F.transform(F.array(*[F.struct(left(t, m).alias("seen"), (left(w["a"], m) / k).alias("share")) for m in CLASSES]), lambda c: F.struct((c["share"] > 0).cast("double").alias("there"), F.when(c["share"] > 0, F.pow(c["seen"] - n * c["share"], 2) / (n * c["share"])).otherwise(0.0).alias("off")))
+        return F.struct(_let(classes, lambda c: F.struct(total(F.transform(c, lambda x: x["off"])).alias("chi"), (total(F.transform(c, lambda x: x["there"])) - 1).alias("df"))).alias("classes"),
+                        k.alias("k"), n.alias("n"), total(F.transform(counts, lambda c: c * c)).alias("squares"), total(s).alias("sum"), total(F.transform(s, lambda x: x * x)).alias("sum_squares"),
                         total(F.transform(s, lambda x: (x > k / 2).cast("double"))).alias("high"), (F.element_at(s, 1) + F.element_at(s, -1)).alias("ends"),
                         _let(pairs, lambda p: F.struct(total(F.transform(p, lambda q: q["turn"])).alias("turns"), total(F.transform(p, lambda q: q["xy"])).alias("lag"))).alias("p"))
 
@@ -134,12 +143,14 @@ def _judged(x: Column) -> Column:
 
     def scores(m: Column) -> Column:
         n, df = m["v"]["n"], m["v"]["k"] - 1
-        z_chi = (F.pow(m["chi"] / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        z_of = lambda chi, df: (F.pow(chi / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        z_chi = F.greatest(z_of(m["chi"], df), z_of(m["v"]["classes"]["chi"], m["v"]["classes"]["df"]))
         var_runs = (m["runs"] - 1) * (m["runs"] - 2) / (n - 1)
         z_runs = F.when(var_runs > 0, F.abs(1 + m["v"]["p"]["turns"] - m["runs"]) / F.sqrt(var_runs)).otherwise(0.0)
         z_serial = F.when(m["spread"] > 0, F.abs(m["lag"] / m["spread"] + 1 / n) * F.sqrt(n)).otherwise(0.0)
         nats = lambda p: -F.log(F.greatest(p, F.lit(1e-290)))
-        return nats(_upper_tail(z_chi)) + nats(2 * _upper_tail(z_runs)) + nats(2 * _upper_tail(z_serial))
+        # the larger of two statistics of uniformity: its p-value counts twice
+        return F.greatest(nats(_upper_tail(z_chi)) - math.log(2), F.lit(0.0)) + nats(2 * _upper_tail(z_runs)) + nats(2 * _upper_tail(z_serial))
 
     fisher = lambda s: F.least(F.floor(F.greatest(s - F.log(1 + s + s * s / 2), F.lit(0.0)) * PER_NAT), F.lit(MOST_BIN)).cast("int")
     fits = x["e"].isNotNull() & (length >= LEAST_TOKEN)
@@ -158,20 +169,33 @@ def tokens(text: Column) -> Column:
     return F.when(text.rlike(TOKEN), F.transform(_matches(text, TOKEN), one)).otherwise(none)
 
 
-def dismissal_bins(docs: DataFrame, rate: float = RATE) -> dict[str, int]:
-    """Per stratum the bin from which on "random" is rejected.
+def dismissal_bins(docs: DataFrame, rate: float = RATE, false_share: float = FALSE_SHARE) -> dict[str, int]:
+    """Per stratum the bin from which on "random" is rejected: the smaller of
+    two limits, on binned p-values.
 
-    Benjamini-Hochberg on binned p-values: a bin counts with its largest p, so
-    the control is on the safe side. Strata and bins are bounded, and so is
-    what reaches the driver: one row per stratum.
+    The first is Benjamini-Hochberg's, so a token that is clearly not random
+    goes however rare its stratum is. The second bounds the false discoveries,
+    ordinary tokens among those kept: the number of random tokens is estimated
+    from the upper half of the p-values, one-sided at 95 %, and as many bins are
+    kept as leave the share of others among the kept within ``false_share``.
+    Strata and bins are bounded, and so is what reaches the driver: one row per
+    stratum.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     each = docs.select(text.alias("t")).filter(F.col("t").rlike(TOKEN)).select(F.explode(tokens(F.col("t"))).alias("x")).filter("x.stratum IS NOT NULL")
     bins = each.groupBy(F.col("x.stratum").alias("stratum"), F.col("x.bin").alias("bin")).count()
-    beyond = W.partitionBy("stratum").orderBy(F.desc("bin"))
-    ranked = bins.select("stratum", "bin", F.sum("count").over(beyond).alias("rank"), F.sum("count").over(W.partitionBy("stratum")).alias("m"))
-    passed = ranked.filter(F.exp(-F.col("bin") / PER_NAT) <= rate * F.col("rank") / F.col("m"))
-    return {r[0]: r[1] for r in passed.groupBy("stratum").agg(F.min("bin")).collect()}
+    stratum = W.partitionBy("stratum")
+    up, down = stratum.orderBy("bin"), stratum.orderBy(F.desc("bin"))
+    upper = F.sum(F.when(F.col("bin") < UPPER_BINS, F.col("count")).otherwise(0)).over(stratum)
+    ranked = bins.select("stratum", "bin", F.sum("count").over(down).alias("rank"), F.sum("count").over(stratum).alias("m"),
+                         F.sum("count").over(up).alias("kept"), F.lead("bin").over(up).alias("next"), upper.alias("upper"))
+    p = lambda b: F.exp(-F.col(b) / PER_NAT)
+    random = (F.col("upper") + 1 + 1.64 * F.sqrt("upper")) / (1 - math.exp(-UPPER_BINS / PER_NAT))
+    within = F.col("kept") * (1 - false_share) <= random * (1 - F.coalesce(p("next"), F.lit(0.0)))
+    first = F.min(F.when(p("bin") <= rate * F.col("rank") / F.col("m"), F.col("bin")))
+    second = F.max(F.when(within & (F.coalesce("next", F.lit(MOST_BIN + 1)) >= UPPER_BINS), F.coalesce("next", F.lit(MOST_BIN + 1))))
+    limits = ranked.groupBy("stratum").agg(F.least(first, second).alias("limit")).filter(F.col("limit") <= MOST_BIN)
+    return {r[0]: r[1] for r in limits.collect()}
 
 
 def find(docs: DataFrame, rate: float = RATE) -> DataFrame:
@@ -216,8 +240,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = RATE) -> DataF
     """``docs`` with every found span (overlapping ones as one) replaced by
     ``mark``; texts without one, null texts and all other columns unchanged."""
     cols = docs.columns
-    d = find(docs, rate) if "found" not in cols else find(docs.withColumnRenamed("found", "found "), rate)
-    keep = [F.col("`found `").alias("found") if c == "found" else F.col(f"`{c}`") for c in cols]
+    aside = "_" * max(map(len, cols)) + "found"  # longer than any column, so no clash
+    d = find(docs.withColumnRenamed("found", aside) if "found" in cols else docs, rate)
+    keep = [F.col(f"`{aside}`").alias("found") if c == "found" else F.col(f"`{c}`") for c in cols]
 
     def put(acc, x):
         fresh = x["start"] >= acc["at"]

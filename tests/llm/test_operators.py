@@ -292,6 +292,27 @@ def test_secrets(spark, docs):
     assert secrets.redact(docs).columns == docs.columns and secrets.scan(empty(docs)).count() == 0
 
 
+def test_randomness_battery_errs_seldom_on_planted_tokens(spark):
+    rng = random.Random(21)
+    alphabets = {n: a for n, _, a in secrets.ENCODINGS}
+    ordinary = "time person year way day thing man world life hand part child eye woman place work week case point government company number group problem fact abstract factory service request handler".split()
+    rows = []
+    for i in range(1500):
+        rows.append((i, "r " + "".join(rng.choices(alphabets[("base32", "base36", "base62", "base64")[i % 4]], k=rng.randint(30, 70)))))
+    for i in range(1500):
+        w = rng.choices(ordinary, k=rng.randint(6, 10))
+        rows.append((2000 + i, "o " + ("".join(w) if i % 3 == 0 else "".join(map(str.title, w)) if i % 3 == 1 else "_".join(w))))
+    got = {r["doc_id"]: r["n_random"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed, alarms = sum(not got[i] for i in range(1500)), sum(bool(got[2000 + i]) for i in range(1500))
+    # the bound on the share holds but for sampling error: strata hold some dozens of tokens each
+    assert missed <= 0.03 * 1500 and alarms <= 2 * secrets.FALSE_SHARE * (1500 - missed + alarms)
+    probes = ["AbstractSingletonProxyFactoryBeanImpl", "thequickbrownfoxjumpsoverthelazydogagain"]
+    more = spark.createDataFrame(rows + [(9000 + i, p) for i, p in enumerate(probes)], "doc_id long, text string")
+    assert [r["n_random"] for r in secrets.scan(more).filter("doc_id >= 9000").collect()] == [0, 0]
+    clash = spark.createDataFrame([("x", "password=abcdefgh", 1)], ["found", "text", "found "])
+    assert [tuple(r) for r in secrets.redact(clash).collect()] == [("x", "[SECRET]", 1)]
+
+
 def test_pii(spark, docs):
     rows = [(1, "Mail ann.lee@site.org or Ann.Lee@site.org, card 4111 1111 1111 1111, host 10.20.30.40."), (2, "again ann.lee@site.org; Mrs Clara Weber met Mr Weber, ssn 123-45-6789"), (3, None), (4, ""), (5, "call +1 (017) 555-7713 now"), (6, "Госпожа Иванова")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_entities", F.lit("clash"))
