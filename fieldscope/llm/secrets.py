@@ -128,9 +128,10 @@ def _judged(x: Column) -> Column:
         t, k, n, s = w["t"], w["k"], w["n"], w["s"]
         counts = F.transform(F.sequence(F.lit(1), k.cast("int")), lambda i: n - F.length(F.replace(t, F.substr(w["a"], i, F.lit(1)), F.lit(""))))
         pairs = F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda x, y: F.struct(((x > k / 2) != (y > k / 2)).cast("double").alias("turn"), (x * y).alias("xy")))
-        # how upper case, lower case and the rest share the token, against their shares of the alphabet
+        # how upper case, lower case and the rest share the token, against their
+        # shares of the alphabet; the likelihood ratio form tells a class that is missing
         left = lambda text, marks: F.length(F.regexp_replace(text, f"[^{marks}]", "")).cast("double")
-        classes = F.transform(F.array(*[F.struct(left(t, m).alias("seen"), (left(w["a"], m) / k).alias("share")) for m in CLASSES]), lambda c: F.struct((c["share"] > 0).cast("double").alias("there"), F.when(c["share"] > 0, F.pow(c["seen"] - n * c["share"], 2) / (n * c["share"])).otherwise(0.0).alias("off")))
+        classes = F.transform(F.array(*[F.struct(left(t, m).alias("seen"), (left(w["a"], m) / k).alias("share")) for m in CLASSES]), lambda c: F.struct((c["share"] > 0).cast("double").alias("there"), F.when(c["seen"] > 0, 2 * c["seen"] * F.log(c["seen"] / (n * c["share"]))).otherwise(0.0).alias("off")))
         return F.struct(_let(classes, lambda c: F.struct(total(F.transform(c, lambda x: x["off"])).alias("chi"), (total(F.transform(c, lambda x: x["there"])) - 1).alias("df"))).alias("classes"),
                         k.alias("k"), n.alias("n"), total(F.transform(counts, lambda c: c * c)).alias("squares"), total(s).alias("sum"), total(F.transform(s, lambda x: x * x)).alias("sum_squares"),
                         total(F.transform(s, lambda x: (x > k / 2).cast("double"))).alias("high"), (F.element_at(s, 1) + F.element_at(s, -1)).alias("ends"),
@@ -144,7 +145,7 @@ def _judged(x: Column) -> Column:
     def scores(m: Column) -> Column:
         n, df = m["v"]["n"], m["v"]["k"] - 1
         z_of = lambda chi, df: (F.pow(chi / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        z_chi = F.greatest(z_of(m["chi"], df), z_of(m["v"]["classes"]["chi"], m["v"]["classes"]["df"]))
+        z_chi = F.greatest(z_of(m["chi"], df), z_of(F.greatest(m["v"]["classes"]["chi"], F.lit(0.0)), m["v"]["classes"]["df"]))
         var_runs = (m["runs"] - 1) * (m["runs"] - 2) / (n - 1)
         z_runs = F.when(var_runs > 0, F.abs(1 + m["v"]["p"]["turns"] - m["runs"]) / F.sqrt(var_runs)).otherwise(0.0)
         z_serial = F.when(m["spread"] > 0, F.abs(m["lag"] / m["spread"] + 1 / n) * F.sqrt(n)).otherwise(0.0)

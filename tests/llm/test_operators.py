@@ -304,8 +304,7 @@ def test_randomness_battery_errs_seldom_on_planted_tokens(spark):
         rows.append((2000 + i, "o " + ("".join(w) if i % 3 == 0 else "".join(map(str.title, w)) if i % 3 == 1 else "_".join(w))))
     got = {r["doc_id"]: r["n_random"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     missed, alarms = sum(not got[i] for i in range(1500)), sum(bool(got[2000 + i]) for i in range(1500))
-    # the bound on the share holds but for sampling error: strata hold some dozens of tokens each
-    assert missed <= 0.03 * 1500 and alarms <= 2 * secrets.FALSE_SHARE * (1500 - missed + alarms)
+    assert missed <= 0.03 * 1500 and alarms <= secrets.FALSE_SHARE * (1500 - missed + alarms)
     probes = ["AbstractSingletonProxyFactoryBeanImpl", "thequickbrownfoxjumpsoverthelazydogagain"]
     more = spark.createDataFrame(rows + [(9000 + i, p) for i, p in enumerate(probes)], "doc_id long, text string")
     assert [r["n_random"] for r in secrets.scan(more).filter("doc_id >= 9000").collect()] == [0, 0]
