@@ -1,22 +1,26 @@
 """Edit-aware token counts with a tree of pre-token blocks per document.
 
-A leaf is a block of whole pre-tokens with its length and its number of
-tokens; a node sums up to ``FANOUT`` leaves; the root sums the nodes. Blocks
-are cut only between a letter and a space before a letter, where the pattern
-always separates pre-tokens, so the sum of the leaves is the count of the text.
+A leaf is a block of whole pre-tokens with its length and its number of tokens;
+a node sums at most ``FANOUT`` children, up to the root. Blocks are cut only
+where the pattern always separates pre-tokens: after a letter before anything
+else, after a digit before anything else, and before white space. So the sum of
+the leaves is the count of the text, in any script and in code. (A run of one
+class, such as a long number or ideographs without marks, is one pre-token and
+stays whole.)
 An edit re-encodes the leaves that it touches, and further leaves only while
 the block's new ends are not such cuts (the boundary context). Then the sums on
-the path to the root change by the difference.
+the path to the root change. Leaves can be stored as two arrays beside the text;
+the nodes above them follow from them.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +31,9 @@ from .common import map_batches, with_package
 LEAF = 128  # characters of a block, about: an edit re-encodes one or two of them
 FANOUT = 32
 LEAVES = ArrayType(IntegerType())
-_CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+_CUT = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\s\x00-\x1f\x7f-\x9f])(?=[ \t\r\n])")
 _ENCODERS: dict[str, object] = {}
+_SHIPPED: dict[tuple[str, str], str] = {}
 
 
 def encoder(name: str, pattern: str):
@@ -57,48 +62,84 @@ def blocks(text: str) -> list[str]:
 
 
 @dataclass
-class Tree:
-    """Nodes of (characters, tokens) leaves, and the sums of nodes and root."""
+class Node:
+    """Characters and tokens of a leaf, or the sums of its children."""
 
-    nodes: list[list[tuple[int, int]]] = field(default_factory=list)
-    sums: list[list[int]] = field(default_factory=list)
-    chars: int = 0
-    tokens: int = 0
+    chars: int
+    tokens: int
+    kids: list[Node] | None = None
 
     @classmethod
-    def of(cls, leaves: list[tuple[int, int]]) -> Tree:
-        t = cls([leaves[i : i + FANOUT] for i in range(0, len(leaves), FANOUT)])
-        t.sums = [[sum(c for c, _ in n), sum(k for _, k in n)] for n in t.nodes]
-        t.chars, t.tokens = sum(s[0] for s in t.sums), sum(s[1] for s in t.sums)
-        return t
-
-    def find(self, at: int) -> tuple[int, int, int]:
-        """Node, leaf and first character of the leaf that holds character
-        ``at``; the last leaf for the end of the text."""
-        start = 0
-        for i, (c, _) in enumerate(self.sums):
-            if at < start + c or i == len(self.sums) - 1:
-                for j, (n, _) in enumerate(self.nodes[i]):
-                    if at < start + n or j == len(self.nodes[i]) - 1:
-                        return i, j, start
-                    start += n
-            start += c
-        return 0, 0, 0
-
-    def replace(self, first: tuple[int, int], last: tuple[int, int], leaves: list[tuple[int, int]]) -> None:
-        """Put ``leaves`` in place of the leaves from ``first`` to ``last``."""
-        (i, j), (k, m) = first, last
-        merged = self.nodes[i][:j] + leaves + self.nodes[k][m + 1 :]
-        fresh = [merged[x : x + FANOUT] for x in range(0, len(merged), FANOUT)]
-        old = self.sums[i : k + 1]
-        new = [[sum(c for c, _ in n), sum(t for _, t in n)] for n in fresh]
-        self.nodes[i : k + 1], self.sums[i : k + 1] = fresh, new
-        self.chars += sum(s[0] for s in new) - sum(s[0] for s in old)
-        self.tokens += sum(s[1] for s in new) - sum(s[1] for s in old)
+    def above(cls, kids: list[Node]) -> Node:
+        return cls(sum(k.chars for k in kids), sum(k.tokens for k in kids), kids)
+
+
+def grouped(kids: list[Node]) -> list[Node]:
+    """Nodes above ``kids``, of like sizes up to FANOUT."""
+    n = -(-len(kids) // FANOUT)
+    cuts = [len(kids) * i // n for i in range(n + 1)] if n else [0]
+    return [Node.above(kids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def span(kids: list[Node], first: int, last: int) -> tuple[int, int, int]:
+    """The children that hold characters ``first`` and ``last`` (the last child
+    for places beyond the end), and the first character of the former."""
+    start, i = 0, 0
+    while i < len(kids) - 1 and start + kids[i].chars <= first:
+        start, i = start + kids[i].chars, i + 1
+    end, j = start + kids[i].chars, i
+    while j < len(kids) - 1 and end <= last:
+        j += 1
+        end += kids[j].chars
+    return i, j, start
+
+
+class Tree:
+    """Balanced tree of leaves: all have the same depth below ``root``."""
+
+    def __init__(self, leaves: list[tuple[int, int]]):
+        self._grow([Node(c, t) for c, t in leaves])
+
+    def _grow(self, top: list[Node]) -> None:
+        while len(top) > FANOUT:
+            top = grouped(top)
+        while len(top) == 1 and top[0].kids is not None:
+            top = top[0].kids
+        self.root = Node.above(top)
+
+    chars = property(lambda self: self.root.chars)
+    tokens = property(lambda self: self.root.tokens)
+
+    def leaf(self, at: int) -> tuple[int, int]:
+        """First and end character of the leaf that holds character ``at``; the
+        last leaf for the end of the text."""
+        node, start = self.root, 0
+        while node.kids is not None:
+            i, _, off = span(node.kids, at - start, at - start)
+            node, start = node.kids[i], start + off
+        return start, start + node.chars
+
+    def replace(self, start: int, stop: int, leaves: list[tuple[int, int]]) -> None:
+        """Put ``leaves`` in place of those that hold the characters from
+        ``start`` to before ``stop``, both ends of leaves."""
+        fresh = [Node(c, t) for c, t in leaves]
+
+        def splice(kids: list[Node], start: int, stop: int) -> list[Node]:
+            i, j, off = span(kids, start, stop - 1)
+            below = kids[i].kids
+            if below is None:
+                return kids[:i] + fresh + kids[j + 1 :]
+            inner = [g for k in kids[i : j + 1] for g in k.kids]
+            return kids[:i] + grouped(splice(inner, start - off, stop - off)) + kids[j + 1 :]
+
+        self._grow(splice(self.root.kids, start, stop))
 
     @property
     def leaves(self) -> list[tuple[int, int]]:
-        return [x for n in self.nodes for x in n]
+        level = self.root.kids
+        while level and level[0].kids is not None:
+            level = [g for k in level for g in k.kids]
+        return [(k.chars, k.tokens) for k in level]
 
 
 def edit(tree: Tree, text: str, at: int, deleted: int, inserted: str, count) -> tuple[str, int]:
@@ -107,22 +148,17 @@ def edit(tree: Tree, text: str, at: int, deleted: int, inserted: str, count) ->
     at = min(max(at, 0), len(text))
     deleted = min(max(deleted, 0), len(text) - at)
     new = text[:at] + inserted + text[at + deleted :]
-    if not tree.nodes:
-        parts = blocks(new)
-        built = Tree.of([(len(p), count(p)) for p in parts])
-        tree.nodes, tree.sums, tree.chars, tree.tokens = built.nodes, built.sums, built.chars, built.tokens
+    if not text:
+        tree.__init__([(len(p), count(p)) for p in blocks(new)])
         return new, len(new)
-    i, j, start = tree.find(at)
-    k, m, stop = tree.find(max(at, at + deleted - 1))
-    stop += tree.nodes[k][m][0]  # end of the touched leaves in the old text
+    start, stop = tree.leaf(at)[0], tree.leaf(max(at, at + deleted - 1))[1]
     shift = len(new) - len(text)
     while not is_cut(new, start):
-        i, j, start = tree.find(start - 1)
+        start = tree.leaf(start - 1)[0]
     while not is_cut(new, stop + shift):
-        k, m, s = tree.find(stop)
-        stop = s + tree.nodes[k][m][0]
+        stop = tree.leaf(stop)[1]
     region = new[start : stop + shift]
-    tree.replace((i, j), (k, m), [(len(p), count(p)) for p in blocks(region)])
+    tree.replace(start, stop, [(len(p), count(p)) for p in blocks(region)])
     return new, len(region)
 
 
@@ -145,8 +181,12 @@ def build_trees(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def _shipped(df: DataFrame, path: str) -> str:
+    """Ship a file to the workers, under its base name. Another file of that
+    name is an error, since workers could not tell the two apart."""
     spark = with_package(df.sparkSession)
-    name = path.rsplit("/", 1)[-1]
+    name, app = path.rsplit("/", 1)[-1], spark.sparkContext.applicationId
+    if _SHIPPED.setdefault((app, name), path) != path:
+        raise ValueError(f"a file named {name} is in use already: {_SHIPPED[app, name]}")
     if not any(x.endswith("/" + name) for x in spark.sparkContext.listFiles):
         spark.sparkContext.addFile(path)
     return name
@@ -168,7 +208,7 @@ def count_edited(trees: DataFrame, ranks_path: str, pattern: str, with_text: boo
         count = lambda s: len(e.encode_ordinary(s))
         out: dict[str, list] = {c: [] for c in ("n_tokens", "n_leaves", "n_edits", "n_tokens_edited", "n_reencoded", "edited_sha256", "edited", "leaf_chars", "leaf_tokens")}
         for text, edits, chars, tokens in zip(*(b.column(c).to_pylist() for c in ("text", "edits", "leaf_chars", "leaf_tokens")), strict=True):
-            tree, text, work = Tree.of(list(zip(chars, tokens, strict=True))), text or "", 0
+            tree, text, work = Tree(list(zip(chars, tokens, strict=True))), text or "", 0
             before = tree.tokens, len(chars)
             for x in edits or ():
                 text, n = edit(tree, text, x["at"] or 0, x["deleted"] or 0, x["inserted"] or "", count)

@@ -386,6 +386,49 @@ def test_token_counts(spark, docs):
     assert long["n_reencoded"] < 5 * 4 * token_counts.LEAF  # only what the edits touch
 
 
+@pytest.mark.parametrize("kind", ["Cyrillic", "ideographs", "code", "digits", "lines"])
+def test_token_counts_edits_in_any_script(kind):
+    """Blocks stay short, an edit re-encodes a few of them, and the counts are the library's."""
+    import base64
+
+    import tiktoken
+
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        enc = tiktoken.Encoding("m", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    count = lambda s: len(enc.encode_ordinary(s))
+    rng = random.Random(kind)
+    make = {"Cyrillic": lambda: "".join(rng.choices("абвгдежз", k=5)) + " ", "ideographs": lambda: "".join(rng.choices("的一是不了人我在", k=9)) + rng.choice("。，"), "code": lambda: rng.choice(["x+=1;", "if(a!=b){", "}\n", "don't_", "\t "]),
+            "digits": lambda: str(rng.randrange(10**6)) + rng.choice(", .-"), "lines": lambda: "=" * rng.randint(1, 40) + "\n"}[kind]
+    text = "".join(make() for _ in range(6000))
+    parts = token_counts.blocks(text)
+    assert max(map(len, parts)) < 4 * token_counts.LEAF and "".join(parts) == text
+    tree = token_counts.Tree([(len(p), count(p)) for p in parts])
+    assert tree.tokens == count(text)
+    for _ in range(12):
+        text, n = token_counts.edit(tree, text, rng.randrange(len(text)), rng.randint(0, 30), make() * rng.randint(0, 3), count)
+        assert n < 12 * token_counts.LEAF and (tree.chars, tree.tokens) == (len(text), count(text))
+    text, n = token_counts.edit(tree, text, 100, len(text) - 200, "", count)
+    assert (tree.chars, tree.tokens) == (len(text), count(text)) and sum(c for c, _ in tree.leaves) == len(text)
+    text, n = token_counts.edit(tree, text, 0, len(text), "", count)
+    assert (tree.chars, tree.tokens, tree.leaves) == (0, 0, [])
+
+
+def test_token_trees_are_stored_and_read_again(spark, tmp_path):
+    path = P.path("byte_bpe_50k.tiktoken")
+    d = spark.createDataFrame([(1, "one two " * 400), (2, None), (3, "")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, seq int, at int, deleted int, inserted string")
+    token_counts.build_trees(token_counts.with_edits(d, none), path, P.PATTERN).write.parquet(f"{tmp_path}/a")
+    first = spark.createDataFrame([(1, 2, 0, 3, "ten"), (1, 1, 5, 0, "x"), (3, 1, 9, 9, "new")], "doc_id long, seq int, at int, deleted int, inserted string")
+    stored = spark.read.parquet(f"{tmp_path}/a")
+    trees = token_counts.with_edits(stored, first).drop("text").join(stored.drop("edits"), "doc_id")
+    token_counts.count_edited(trees, path, P.PATTERN, with_text=True).write.parquet(f"{tmp_path}/b")
+    got = {r["doc_id"]: r for r in spark.read.parquet(f"{tmp_path}/b").collect()}
+    assert got[1]["edited"] == "ten txwo " + "one two " * 399 and got[3]["edited"] == "new" and got[2]["edited"] == ""
+    assert all(r["n_tokens_edited"] == sum(r["leaf_tokens"]) and sum(r["leaf_chars"]) == len(r["edited"]) for r in got.values())
+    with pytest.raises(ValueError):
+        token_counts.build_trees(token_counts.with_edits(d, none), "/elsewhere/byte_bpe_50k.tiktoken", P.PATTERN)
+
+
 def test_random_edits():
     rng = random.Random(9)
     pieces = ["ab", " cd", "  ", "\n", "'s", "12", " !", "é"]
@@ -393,7 +436,7 @@ def test_random_edits():
     for _ in range(200):
         text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 1500)))
         parts = token_counts.blocks(text)
-        tree = token_counts.Tree.of([(len(p), count(p)) for p in parts])
+        tree = token_counts.Tree([(len(p), count(p)) for p in parts])
         for _ in range(4):
             text, _n = token_counts.edit(tree, text, rng.randint(0, len(text) + 3), rng.randint(0, 900), "".join(rng.choice(pieces) for _ in range(rng.randint(0, 5))), count)
             assert (tree.chars, tree.tokens) == (len(text), count(text))
