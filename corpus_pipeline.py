@@ -3,13 +3,11 @@ reread as the next one's input."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldscope.llm import contamination, order_minhash, secrets, sentencepiece_codec, toxicity
+from fieldscope.llm.common import Scratch
 from fieldscope.llm.queries import piece_model, table
-from fieldscope.session import checkpoint_dir
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +47,11 @@ ORACLE_SQL = None  # trained scores, near-duplicate classes and token ids are be
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    root = f"{checkpoint_dir(spark).rstrip('/')}/fieldscope-pipeline/{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{root}/{k}")
-        docs = spark.read.schema(out.schema).parquet(f"{root}/{k}")
+    """The last stage's rows. Each stage is written and read again; the table
+    before it, full texts with their secrets, is then removed."""
+    tables, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        done = tables.keep(stage(spark, docs, sf_dir))
+        tables.drop(docs)
+        docs = done
     return docs

@@ -30,6 +30,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldscope.session import checkpoint_dir
+
 from .secrets import _let
 
 # A word that may be a name; a possessive 's is not part of it.
@@ -190,6 +192,7 @@ def units(entities: Column) -> Column:
 def redrawn(docs: DataFrame, key: str) -> DataFrame | None:
     """(unit, attempt) of the units that the collision check draws again; None
     if there are none. The smallest unit of a collision keeps its own."""
+    checkpoint_dir(docs.sparkSession)  # sets one of its own where a local session has none
     each = docs.select(F.explode(units(_entities(F.coalesce(F.col("text"), F.lit(""))))).alias("unit"))
     known = each.groupBy("unit").agg(F.count("*").alias("n")).select("unit", _kind(F.col("unit")).alias("kind"))
     # the corpus is read for it once; kept in the folder that the cluster names
