@@ -32,13 +32,19 @@ def write_report(lines: DataFrame, path: str) -> None:
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """A written report as ``(line_no, line)``, numbered from 1 over its files."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\n").alias("ls"))
-    files = files.select("file", F.slice("ls", 1, F.size("ls") - 1).alias("ls"))  # each line ends with a newline
-    w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per part file
-    at = files.select("file", F.coalesce(F.sum(F.size("ls")).over(w), F.lit(0)).alias("_before"))
-    each = files.select("file", F.posexplode("ls").alias("_k", "line")).join(at, "file")
-    return each.select((F.col("_before") + F.col("_k") + 1).cast("bigint").alias("line_no"), "line")
+    """A written report as ``(line_no, line)``, numbered from 1 over its files.
+
+    A file is read in blocks by several tasks, line by line. A task's row
+    numbers rise over its blocks, so a line's number is the lines before its
+    block and its place in it: only one row per block is gathered."""
+    each = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"),
+        F.col("value").alias("line"))
+    blocks = each.groupBy("file", "block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    w = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    at = blocks.select("file", "block", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    each = each.join(F.broadcast(at), ["file", "block"])
+    return each.select((F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("bigint").alias("line_no"), "line")
 
 
 def write_log(rows: DataFrame, path: str, at: Column | None = None) -> None:
