@@ -174,6 +174,16 @@ def q_field_rollup(spark, sf):
     return r.withColumn("times", F.col("times").cast("bigint"))
 
 
+def _arriving(spark, docs, path, batches):
+    """A stream that takes the documents in so many micro batches; they are
+    written by as many tasks as other shuffles have, two files a batch at least."""
+    from ..streaming import ingest
+
+    n = max(2 * batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs.repartition(n, "doc_id").write.mode("overwrite").parquet(path)
+    return ingest.parquet_stream(spark, path, docs.schema, max_files=-(-n // batches))
+
+
 def q_stream_rollup(spark, sf):
     """Running field statistics. Each micro batch leaves its partial
     roll-up under its batch id; the roll-up is made of the partials."""
@@ -185,8 +195,7 @@ def q_stream_rollup(spark, sf):
     configure(spark)
     base = f"{checkpoint_dir(spark).rstrip('/')}/fieldscope-stream-{uuid.uuid4().hex}"
     docs = fx.order_docs(spark, sf)
-    docs.repartition(4, "doc_id").write.mode("overwrite").parquet(f"{base}/in")
-    stream = ingest.parquet_stream(spark, f"{base}/in", docs.schema, max_files=2)
+    stream = _arriving(spark, docs, f"{base}/in", batches=2)
     cat = _both_catalogs(spark, sf)
     ingest.run_batches(stream, lambda batch: pipeline.field_partials(batch, cat), f"{base}/out", f"{base}/checkpoint")
     r = rollup.field_verdicts(spark.read.parquet(f"{base}/out"))
@@ -285,6 +294,7 @@ def q_array_maps(spark, sf):
     for root_list in (False, True):
         d = walk.parse(fx.array_parent_docs(spark, sf, root_list))
         m = match.array_maps(d).select(F.lit(root_list).alias("root_list"), "doc_id", F.explode("arr_map").alias("field", "array"))
+        m = materialize(m)  # one walk is planned and run at a time
         out = m if out is None else out.unionByName(m)
     return out
 
@@ -574,8 +584,7 @@ def q_stream_validate(spark, sf):
     configure(spark)
     base = f"{checkpoint_dir(spark).rstrip('/')}/fieldscope-stream-{uuid.uuid4().hex}"
     docs = fx.dirty_docs(spark, sf)
-    docs.repartition(8, "doc_id").write.mode("overwrite").parquet(f"{base}/in")
-    stream = ingest.parquet_stream(spark, f"{base}/in", docs.schema, max_files=2)
+    stream = _arriving(spark, docs, f"{base}/in", batches=4)
 
     def per_batch(batch):
         v = val_ops.validate(batch)
