@@ -57,12 +57,14 @@ def units(docs: DataFrame, v: str = "v", key: str = "doc_id", spread: int | None
     # An empty root array stays one unit (the array itself) so that the
     # document is still seen downstream (it has no paths, every expected
     # field is missing).
-    d = docs.where(F.col(v).isNotNull()).select(
+    # The outer generator lets no filter on the elements be inferred below it,
+    # which would parse every document once more.
+    d = docs.select(
         *cols,
         F.expr(f"coalesce(size({arr}) > 0, false)").alias("root_is_array"),
-        F.expr(f"CASE WHEN size({arr}) > 0 THEN {arr} ELSE array(`{v}`) END").alias("_elems"),
+        F.expr(f"CASE WHEN size({arr}) > 0 THEN {arr} WHEN `{v}` IS NOT NULL THEN array(`{v}`) END").alias("_elems"),
     )
-    u = d.select(*cols, "root_is_array", F.posexplode("_elems").alias("unit", "v")).withColumn(
+    u = d.select(*cols, "root_is_array", F.posexplode_outer("_elems").alias("unit", "v")).where("unit IS NOT NULL").withColumn(
         "unit", F.when(F.col("root_is_array"), F.col("unit").cast("int"))
     )
     if spread:
@@ -87,7 +89,8 @@ def number_records(u: DataFrame, key: str = "doc_id") -> DataFrame:
 def nodes(u: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id", "unit"), with_vpath: bool = False,
           levels: int | None = None, with_order: bool = False) -> DataFrame:
     """Walk every unit to all of its nodes. ``levels`` is an upper bound of
-    the nesting depth; without it the deepest unit's is read first.
+    the nesting depth, for the recursive walk; without it units are walked by
+    ``nodes_by_depth``, which shuffles no nodes between levels.
 
     Columns: ``*keys, root_is_array, path, key, pos, v, depth, kind, keyed,
     p1, p6, arr_key, par_arr[, vpath]``.
@@ -112,7 +115,7 @@ def nodes(u: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id", "unit"),
     configure(spark)
     keys = list(keys)
     if levels is None:
-        levels = u.agg(F.max(text_depth_of(F.to_json("v"))).alias("d")).first()["d"] or 0
+        return nodes_by_depth(u, keys, with_vpath, with_order)
     view = f"_fs_walk_src_{uuid.uuid4().hex}"
     u.createOrReplaceTempView(view)
     kcols = ", ".join(f"`{k}`" for k in keys)
@@ -189,8 +192,10 @@ def text_depth(content: str = "content") -> Column:
 
 
 def text_depth_of(text: Column) -> Column:
-    brackets = F.regexp_replace(F.regexp_replace(text, _JSON_STRING, ""), r"[^\[\]{}]", "")
+    return _bracket_depth(F.regexp_replace(F.regexp_replace(text, _JSON_STRING, ""), r"[^\[\]{}]", ""))
 
+
+def _bracket_depth(brackets: Column) -> Column:
     def step(a, x):
         c = a["c"] + F.when(x.isin("[", "{"), 1).otherwise(-1)
         return F.struct(c.alias("c"), F.greatest(a["m"], c).alias("m"))
@@ -198,6 +203,14 @@ def text_depth_of(text: Column) -> Column:
     return F.aggregate(F.split(brackets, ""), F.struct(F.lit(0).alias("c"), F.lit(0).alias("m")), step, lambda a: a["m"])
 
 
+def value_depth(v: str = "v", shape: str = "_schema") -> Column:
+    """Nesting depth of a parsed value: that of its schema (``shape``), where types
+    do not mix (field names that hold brackets are quoted there), else of its text."""
+    shape = F.col(shape)
+    opened = F.translate(F.regexp_replace(F.regexp_replace(shape, "`[^`]*+`", ""), "[^<>]++", ""), "<>", "[]")
+    return F.when(shape.contains("VARIANT"), text_depth_of(F.to_json(v))).otherwise(_bracket_depth(opened))
+
+
 _SELF = "named_struct('s', true, 'k', CAST(NULL AS STRING), 'p', 0, 'val', CAST(NULL AS VARIANT))"
 _KIDS = (
     "CASE WHEN kind = 'object' THEN transform(map_entries(try_variant_get(v, '$', 'map<string,variant>')), "
@@ -285,15 +298,13 @@ def nodes_by_depth(u: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id",
     meets a limit."""
     from ..session import materialize
 
-    depth = text_depth_of(F.to_json("v"))
     # a scalar root has depth 0, and a unit below a root array is one level down already
-    cls = F.coalesce(*[F.when(depth <= c, F.lit(c)) for c in DEPTH_CLASSES], F.lit(-1))
-    d = u.withColumn("_depth", depth).withColumn("_class", cls)
+    cls = F.coalesce(*[F.when(F.col("_depth") <= c, F.lit(c)) for c in DEPTH_CLASSES], F.lit(-1))
+    # computed once: the classes are read from the written units, and so is the walk of each
+    d = materialize(u.withColumn("_schema", F.expr("schema_of_variant(v)")).withColumn("_depth", value_depth("v", "_schema")).withColumn("_class", cls).drop("_schema"))
     present = {r["_class"]: r["d"] for r in d.groupBy("_class").agg(F.max("_depth").alias("d")).collect()}
     if not present:
-        return nodes_chain(u, 0, keys, with_vpath, with_order)
-    if len(present) > 1:
-        d = materialize(d.withColumn("v", F.to_json("v"))).withColumn("v", F.expr("parse_json(v)"))
+        return nodes_chain(u, 0, keys, with_vpath, with_order).drop("has_obj")
     out = None
     for c, deepest in sorted(present.items()):
         own = d.where(F.col("_class") == c).drop("_depth", "_class")

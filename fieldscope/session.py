@@ -20,6 +20,8 @@ RUNTIME_CONFS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     # Maps built from name lists keep the last duplicate, like a Python dict.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Beyond 8,000 bytes of bytecode the JVM interprets a method: split such stages by operator.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Variant walking costs CPU per row, not bytes: keep small shuffles spread
