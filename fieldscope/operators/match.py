@@ -167,7 +167,8 @@ def signatures(prof: DataFrame) -> DataFrame:
     """The distinct path sets (sig, paths) of a profile."""
     from ..session import materialize
 
-    return materialize(prof.groupBy("sig").agg(F.first("paths").alias("paths")))
+    # distinct rows need no aggregate buffer, so the documents pass a hash aggregate and are not sorted
+    return materialize(prof.select("sig", "paths").distinct().groupBy("sig").agg(F.first("paths").alias("paths")))
 
 
 def signature_names(sigs: DataFrame, case_sensitive: bool = False) -> DataFrame:
@@ -442,7 +443,7 @@ def shape_profile(u: DataFrame, keys: tuple[str, ...], level: str = "file", cont
     sh = u.withColumn("_shape", F.expr("schema_of_variant(v)"))
     per_row = F.col("_shape").contains("ARRAY<VOID>")
     if level != "record":
-        per_row = per_row | F.expr("try_variant_get(v, '$', 'array<struct<>>') IS NOT NULL")
+        per_row = per_row | F.col("_shape").startswith("ARRAY<")
     m_ents = _root_entries_sql("v", level)
     base = sh.withColumn("_ents", F.when(per_row, F.expr(m_ents))).withColumn(
         "null_map", F.when(per_row, F.map_from_arrays(F.col("_ents.k"), F.col("_ents.n")))
@@ -454,12 +455,16 @@ def shape_profile(u: DataFrame, keys: tuple[str, ...], level: str = "file", cont
     def value(df: DataFrame) -> DataFrame:
         return df.withColumn("v", F.expr(f"parse_json({content})")).drop(content) if content else df
 
-    # one representative unit per shape
+    # one representative unit per shape: its smallest hash is a number, so that
+    # all units pass a hash aggregate and no text is sorted
+    s = s.withColumn("_at", F.xxhash64(*keys, "unit"))
+    least = s.where(~plain).groupBy("_shape").agg(F.min("_at").alias("_at"))
     reps = value(
-        s.where(~plain).groupBy("_shape")
+        s.where(~plain).join(F.broadcast(materialize(least)), ["_shape", "_at"], "left_semi").groupBy("_shape")
         .agg(F.min_by(F.struct("root_is_array", "unit", *body), F.struct(*keys)).alias("r"))
         .select("_shape", "r.*")
     )
+    s = s.drop("_at")
     rep_units = reps if level == "record" else walk.units(reps.select("_shape", "v"), key="_shape")
     rn = walk.nodes_by_depth(rep_units, ("_shape", "unit"), with_order=True)
     rp = materialize(profile(rn, ("_shape",), level=level).select(

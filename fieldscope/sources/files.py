@@ -166,6 +166,8 @@ def decode(content: Column) -> tuple[Column, Column]:
 _TRAILING = re.compile(r",(\s*[}\]])")
 
 REPAIR_T = T.StringType()
+# Fixed value: ends a text that stands in an array; texts that hold it go through Python.
+_MARK = "fieldscope:end-of-text"
 
 
 @pandas_udf(REPAIR_T)
@@ -223,8 +225,20 @@ def tolerant_load(docs: DataFrame, content: str = "content") -> DataFrame:
     text); repairs are tried only after failure: drop a BOM, then drop commas
     before a closing bracket on the BOM-less text. The text that parsed is
     parsed again natively into VARIANT.
+
+    Python sees only the texts that the native parser does not accept as one
+    whole value: a text stands alone as the first element of an array whose
+    second one is a mark that the text does not hold. The native parser takes
+    nothing that Python's refuses, but for text after the value, and that
+    cannot reach the mark.
     """
-    return docs.withColumn("repair", _repair_kind(F.col(content))).withColumn("v", F.try_parse_json(repaired_text(content)))
+    c = F.col(content)
+    d = docs.withColumn("_whole", F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{_MARK}"]'))))
+    whole = F.coalesce((F.expr("try_variant_get(_whole, '$[1]', 'string')") == _MARK) & ~c.contains(_MARK), F.lit(False))
+    d = d.withColumn("_strict", whole)
+    d = d.withColumn("repair", _repair_kind(F.when(~F.col("_strict"), c)))
+    return d.withColumn("repair", F.when(F.col("_strict"), F.lit("none")).otherwise(F.col("repair"))).withColumn("v", F.when(
+        F.col("_strict"), F.expr("try_variant_get(_whole, '$[0]', 'variant')")).otherwise(F.try_parse_json(repaired_text(content)))).drop("_whole", "_strict")
 
 
 def load_status(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
