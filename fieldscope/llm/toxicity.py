@@ -1,6 +1,6 @@
 """Toxicity by compression distance with zstandard dictionaries.
 
-Training, on a bounded labelled sample: one dictionary is trained on ordinary
+Training, on a bounded labelled sample and in one task: one dictionary is trained on ordinary
 text and one on the distinctive words of toxic text. Scoring: every window of
 a document's words is compressed twice, with the ordinary dictionary and with
 the same dictionary followed by the toxic one. The window's distance is how
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, with_package, words_of
-from .sampling import fold, labelled_sample
+from .sampling import fold, learned
 
 WINDOW, STRIDE = 24, 12  # bytes
 ORDINARY_BYTES, TOXIC_BYTES = 32_768, 2_048
@@ -95,13 +95,15 @@ class Model:
 
 
 def train(rows: list[tuple[int, str | None]]) -> Model | None:
-    """Model from (label, text) rows; None if a class is missing."""
+    """Model from (label, text) rows; None if a class is missing. Texts are
+    held as joined words and split when they are looked at: a list of words
+    takes many times the memory of its text."""
     seen, parts = set(), {(y, part): [] for y in (0, 1) for part in (0, 1)}
     for y, text in rows:
         words = words_of(text)
         if (key := _family(words)) not in seen:  # near copies would pass for distinctive text
             seen.add(key)
-            parts[y, key >> 7 & 1].append(words)
+            parts[y, key >> 7 & 1].append(b" ".join(words))
     if not all(parts.values()):  # too few rows for a part of their own
         whole = {y: parts[y, 0] + parts[y, 1] for y in (0, 1)}
         parts = {(y, part): whole[y] for y in (0, 1) for part in (0, 1)}
@@ -110,21 +112,21 @@ def train(rows: list[tuple[int, str | None]]) -> Model | None:
         return None
     in_toxic, in_ordinary = Counter(), Counter()
     for w in toxic:
-        in_toxic.update(set(w))
+        in_toxic.update(set(w.split()))
     for w in ordinary:
-        in_ordinary.update(set(w))
+        in_ordinary.update(set(w.split()))
 
     def z(w: bytes) -> float:
         expected = len(toxic) * (in_ordinary[w] + 1) / (len(ordinary) + 1)
         return (in_toxic[w] - expected) / (expected + 1) ** 0.5
 
     distinct = {w for w, n in in_toxic.items() if n >= 3 and z(w) > DISTINCT_Z} or {w for w, _ in sorted(in_toxic.items(), key=lambda x: (-z(x[0]), x[0]))[:20]}
-    toxic_samples = [s for s in (b" " + b" ".join(x for x in w if x in distinct) + b" " for w in toxic) if len(s) > 8] or [b" " + b" ".join(sorted(distinct)) + b" "]
-    ordinary_samples = [b" ".join(w[i : i + 40]) for w in ordinary for i in range(0, len(w), 40)]
+    toxic_samples = [s for s in (b" " + b" ".join(x for x in w.split() if x in distinct) + b" " for w in toxic) if len(s) > 8] or [b" " + b" ".join(sorted(distinct)) + b" "]
+    ordinary_samples = [b" ".join(w[i : i + 40]) for w in map(bytes.split, ordinary) for i in range(0, len(w), 40)]
     m = Model(_dictionary(ordinary_samples, ORDINARY_BYTES, 48, 8), _dictionary(toxic_samples, TOXIC_BYTES, 24, 6))
     c = m.compressors()
     texts = parts[0, 1] + parts[1, 1]
-    x = np.array([m.features(w, c) for w in texts])
+    x = np.array([m.features(w.split(), c) for w in texts])
     y = np.repeat([0.0, 1.0], [len(parts[0, 1]), len(parts[1, 1])])
     m.mean, m.scale, m.weights = logistic(x, y)
     return m
@@ -140,7 +142,7 @@ def score(docs: DataFrame, labels: DataFrame, rows_per_class: tuple[int, int] =
     rows of either class every score is 0. Repeated rows score alike.
     """
     spark = with_package(docs.sparkSession)
-    model = spark.sparkContext.broadcast(train([tuple(r) for r in labelled_sample(docs, labels, "toxic", 5, 0, rows_per_class, LONGEST)]))
+    model = spark.sparkContext.broadcast(learned(train, docs, labels, "toxic", 5, 0, rows_per_class, LONGEST))
 
     def step(b: pa.RecordBatch) -> dict:
         m = model.value

@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -273,6 +275,23 @@ def test_sample_has_one_row_of_a_repeated_id(spark):
     assert 3 in ids and sorted(tuple(r) for r in rows) == sorted((i % 2, "again 0" if i == 3 else f"text {i}") for i in ids)
 
 
+def test_training_sample_is_read_in_a_task(spark):
+    d, labels = labelled(spark)
+    pid, rows = sampling.learned(lambda rows: (os.getpid(), rows), d, labels, "toxic", 5, 0, (60, 40), 1000)
+    assert pid != os.getpid() and rows == [tuple(r) for r in sampling.labelled_sample(d, labels, "toxic", 5, 0, (60, 40), 1000)]
+    assert sampling.learned(len, d.limit(0), labels, "toxic", 5, 0, (60, 40), 1000) == 0
+
+
+def test_toxicity_training_holds_no_lists_of_words():
+    rng = random.Random(4)
+    rows = [(int(i % 3 == 0), words(rng, 400)) for i in range(600)]
+    tracemalloc.start()
+    toxicity.train(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * sum(len(t) for _, t in rows)
+
+
 def test_secrets(spark, docs):
     hexes = "0123456789abcdef" * 2
     rows = [(1, f'passWORD = "abc" x token: {hexes} AKIA' + "Z" * 16 + " é API_key='s3cr3t!'"), (2, "password=token:abcdefgh"), (3, None), (4, ""), (5, "AKIA123 " + "f" * 23),
