@@ -81,23 +81,35 @@ def contexts(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, k: int =
     return grams[place].view(np.int64), whole.view(np.int64), doc[cut], first - starts[doc[cut]], many
 
 
-def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
+def suffix_order(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Suffix array of ``s`` by its first ``depth`` symbols, prefix doubling
-    from packs of seven symbols."""
+    from packs of seven symbols; only suffixes that share their group are sorted
+    again. Also which rows differ from the row above within a smaller number of
+    symbols, the last that the doubling passed, and that number."""
+    n, done = len(s), 7 if depth > 7 else 1
     padded = np.concatenate([s.astype(np.int64), np.zeros(8, np.int64)])
-    code = np.zeros(len(s), np.int64)
-    for j in range(7):
-        code = code << 9 | padded[j : j + len(s)]
-    done = 7
-    order = np.argsort(code, kind="stable")
+    code = np.zeros(n, np.int64)
+    for j in range(done):
+        code = code << 9 | padded[j : j + n]
+    order = np.argsort(code)
+    code = code[order]
+    rank = np.zeros(n + depth + 7, np.int64)  # of a suffix: one more than the first row of its group; 0 beyond the end
+    rows = np.arange(n)  # of suffixes that share their group
+    new = np.zeros(n, bool)
     while True:
-        step = np.concatenate([[0], np.cumsum(code[order][1:] != code[order][:-1])])
-        rank = np.empty(len(s), np.int64)
-        rank[order] = step + 1
-        if done >= depth or step[-1] == len(s) - 1:
-            return order
-        code = rank * (len(s) + 2) + np.concatenate([rank[done:], np.zeros(min(done, len(s)), np.int64)])[: len(s)]
-        order = np.argsort(code, kind="stable")
+        fresh = np.concatenate([[True], code[1:] != code[:-1]])
+        new[rows] = fresh
+        left = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+        if done >= depth or not len(left):
+            return order, new, done
+        rank[order[rows]] = rows[np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))] + 1
+        rows = rows[left]
+        at = order[rows]
+        code = rank[at] * (n + 2) + rank[at + done]
+        resort = np.argsort(code)
+        order[rows], code = at[resort], code[resort]
+        if done * 2 > depth:
+            return order, new, done
         done *= 2
 
 
@@ -108,35 +120,43 @@ def equal_windows(s: np.ndarray, length: int) -> np.ndarray:
     ``s`` holds symbols >= 1 and separators 0. The rows of the transform are
     split breadth-first: row r and the row above it differ at level l + 1 if
     they start with different symbols, or if the rows they come from by one
-    step to the right differ at level l. Rows alone in their class drop out.
+    step to the right differ at level l. The first level is the deepest that
+    sorting the rows has told. Rows alone in their class drop out.
     """
     n = len(s)
-    order = suffix_order(s, length)
+    order, new, start = suffix_order(s, length)
     row_of = np.empty(n, np.int64)
     row_of[order] = np.arange(n)
-    first = s[order]  # F column; the transform is s[order - 1]
+    # the transform is s[order - 1]
     right = row_of[np.minimum(order + 1, n - 1)]  # the row one step to the right: where this row's backward extension started
-    new = np.concatenate([[True], first[1:] != first[:-1]]) | (first == 0)  # level 1; a separator ends every match
+    ends = np.flatnonzero(np.append(s, 0) == 0)
+    new |= ends[np.searchsorted(ends, order)] - order < start  # a separator ends every match
     rows = np.arange(n)  # rows still looked at: those that are not alone
-    for level in range(length - 1):
-        live = np.flatnonzero(~new)  # rows that are still one with the row above
+    group = np.empty(n + 1, np.int32)
+    live = np.flatnonzero(~new)  # rows that are still one with the row above, and where both come from
+    here, above = right[live], right[live - 1]
+    for level in range(start, length):
         if not len(live):
             break
-        group = np.append(np.cumsum(new), -1)  # the last: of rows no longer looked at
+        if (level - start) % 8 == 0:
+            kept = np.flatnonzero(~(new & np.append(new[1:], True)))
+            place = np.full(len(new) + 1, len(kept))
+            place[kept] = np.arange(len(kept))
+            rows, new = rows[kept], new[kept]
+            live, here, above = place[live], place[here], place[above]
+        np.cumsum(new, dtype=np.int32, out=group[: len(new)])
+        group[len(new)] = -1  # of rows no longer looked at
         # extended rows stay together only if their rests are in one interval of the level before
-        g, above = group[right[live]], group[right[live - 1]]
-        new[live[(g != above) | (g < 0)]] = True
-        if level % 8 == 7:
-            alone = new & np.append(new[1:], True)
-            kept = np.flatnonzero(~alone)
-            here = np.full(len(new) + 1, len(kept))
-            here[kept] = np.arange(len(kept))
-            rows, right, new = rows[kept], here[right[kept]], new[kept]
+        g = group[here]
+        apart = (g != group[above]) | (g < 0)
+        if apart.any():
+            new[live[apart]] = True
+            live, here, above = live[~apart], here[~apart], above[~apart]
     whole = np.ones(n, bool)
     whole[rows] = new
     new = whole
     group = np.cumsum(new)
-    size = np.bincount(group, minlength=group[-1] + 1 if n else 1)
+    size = np.bincount(group)
     out = np.full(n, -1, np.int64)
     out[order] = np.where(size[group] > 1, group, -1)
     return out
@@ -159,28 +179,29 @@ def repeated(order: np.ndarray, texts: list[bytes], routes: list[int], length: i
     distinct = [i for i in distinct if many[routes[i]] > 1]
     if not distinct:
         return dup
-    s = np.concatenate([np.append(np.frombuffer(texts[i], np.uint8).astype(np.uint16) + 1, 0) for i in distinct]).astype(np.uint16)
+    s = np.frombuffer(b"\0".join([texts[i] for i in distinct] + [b""]), np.uint8).astype(np.uint16) + 1
+    ends = np.cumsum([len(texts[i]) + 1 for i in distinct])
+    s[ends - 1] = 0
     label = equal_windows(s, length)
-    at = 0
-    met = np.zeros(label.max() + 2, bool)
-    for i in distinct:  # earliest context first
-        own = label[at : at + len(dup[i])]
-        hit = own >= 0
-        dup[i] = hit & met[np.where(hit, own, -1)]
-        fresh = np.flatnonzero(hit & ~dup[i])
-        if len(fresh):  # a window again within one context
-            _, where = np.unique(own[fresh], return_index=True)
-            again = np.ones(len(fresh), bool)
-            again[where] = False
-            dup[i][fresh[again]] = True
-        met[own[hit]] = True
-        at += len(texts[i]) + 1
+    hit = np.flatnonzero(label >= 0)
+    first = np.empty(label.max() + 1, np.int64)  # in corpus order: contexts lie earliest first
+    first[label[hit][::-1]] = hit[::-1]
+    again = np.zeros(len(s), bool)
+    again[hit] = first[label[hit]] != hit
+    for i, end in zip(distinct, ends.tolist(), strict=True):
+        start = end - 1 - len(texts[i])
+        dup[i] = again[start : start + len(dup[i])]
     return dup
 
 
-def _runs(doc: int, tie: int, start: int, dup: np.ndarray, length: int) -> list[tuple]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], dup.astype(np.int8), [0]])))
-    return [(doc, tie, start + int(a), start + int(b) - 1 + length) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+def _runs(d: np.ndarray, ties: np.ndarray, f: np.ndarray, dup: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """Runs of repeated windows of all contexts, as spans of their documents."""
+    gap = np.zeros(1, bool)  # before each context, and at the end
+    edge = np.diff(np.concatenate([y for x in dup for y in (gap, x)] + [gap]).astype(np.int8))
+    first = np.cumsum([1] + [len(x) + 1 for x in dup])
+    s, e = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+    of = np.searchsorted(first, s, side="right") - 1
+    return [d[of], ties[of], f[of] + s - first[of], f[of] + e - first[of] - 1 + length]
 
 
 def _merged(spans) -> list[tuple[int, int]]:
@@ -222,36 +243,45 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = found.repartition(parts, "a")  # one shuffle for the count and the join
     place = F.struct("d", "tie") if ids < rows else F.col("d")  # in the order of documents
-    again = dealt.groupBy("a").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(place).alias("p0")).filter("m > 1")
+    # both read every column of it: of two selections of columns each would be cut and shuffled on its own
+    unused = [F.max(c).alias(f"max_{c}") for c in ("tie", "f", "n")]
+    again = dealt.groupBy("a").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(place).alias("p0"), *unused)
+    again = again.filter("m > 1 AND max_tie IS NOT NULL AND max_f >= 0 AND max_n > 0")
     # where all contexts of an anchor are equal (by 64 bits each of anchor and context), all but the first are repeats
-    marks = dealt.join(again, "a").select("d", "tie", F.struct("a", "f", "n", "m", (F.col("c0") == F.col("c1")).alias("alike"), (place > F.col("p0")).alias("later")).alias("mark"))
+    marks = dealt.join(again, "a").select("d", "tie", F.struct("a", "f", "n", "m", ((F.col("c0") == F.col("c1")) & (F.col("c") == F.col("c0"))).alias("alike"), (place > F.col("p0")).alias("later")).alias("mark"))
     per_doc = scratch.keep(marks.groupBy("d", "tie").agg(F.collect_list("mark").alias("marks")))
     alike = per_doc.select("d", "tie", F.explode(F.filter("marks", lambda m: m["alike"] & m["later"])).alias("x")).select("d", "tie", F.col("x.f").alias("s"), (F.col("x.f") + F.col("x.n") - 1 + length).alias("e"))
     # the others' text is wanted; equal contexts in the first document itself are settled along with them
     per_doc = per_doc.select("d", "tie", F.filter("marks", lambda m: ~(m["alike"] & m["later"])).alias("marks")).filter(F.exists("marks", lambda m: ~m["alike"]) | (F.size(F.array_distinct(F.transform("marks", lambda m: m["a"]))) < F.size("marks")))
 
     def slices(b: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {c: [] for c in ("route", "d", "tie", "f", "settled", "ctx")}
+        marks, raw = b.column("marks"), b.column("text").cast(pa.binary()).to_pylist()
+        doc = np.repeat(np.arange(b.num_rows), pa.compute.list_value_length(marks).to_numpy())
+        a, f, n, m, alike = (marks.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("a", "f", "n", "m", "alike"))
+        by_anchor = np.lexsort((a, doc))
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(a[by_anchor]) != 0) | (np.diff(doc[by_anchor]) != 0)])) if len(a) else np.empty(0, np.int64)
+        repeats_here = np.empty(len(a), bool)
+        repeats_here[by_anchor] = np.repeat(np.diff(np.append(starts, len(a))) > 1, np.diff(np.append(starts, len(a))))
+        d, tie = b.column("d").to_numpy(), b.column("tie").to_numpy()
+        order = np.lexsort((f, tie[doc], d[doc]))
+        order = order[~alike[order] | repeats_here[order]]
+        by_window = m[order] > MANY
+        times = np.where(by_window, n[order], 1)  # one piece, or one for each window
+        step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        of, by_window = np.repeat(order, times), np.repeat(by_window, times)
+        doc, a, f, n = doc[of], a[of], f[of] + step, np.where(by_window, 1, n[of])
+        ctx = [raw[i][x:y] for i, x, y in zip(doc.tolist(), f.tolist(), (f + n - 1 + length).tolist(), strict=True)]
         seen: set = set()
-        order = np.lexsort((b.column("tie").to_numpy(), b.column("d").to_numpy()))
-        marks, raw = b.column("marks").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()
-        ds, ties = b.column("d").to_pylist(), b.column("tie").to_pylist()
-        for i in order.tolist():
-            counts = Counter(m["a"] for m in marks[i])
-            repeats_here = {a: k > 1 for a, k in counts.items()}
-            for m in sorted(marks[i], key=lambda x: x["f"]):
-                by_window = m["m"] > MANY
-                if m["alike"] and not repeats_here[m["a"]]:
-                    continue
-                for f, n in ((m["f"] + j, 1) for j in range(m["n"])) if by_window else ((m["f"], m["n"]),):
-                    ctx = raw[i][f : f + n - 1 + length]
-                    route = int.from_bytes(hashlib.blake2b(ctx, digest_size=8).digest(), "little", signed=True) if by_window else m["a"]
-                    known = (m["a"], ctx) in seen  # an earlier one in this very task
-                    if not known:
-                        seen.add((m["a"], ctx))
-                    for c, v in zip(out, (route, ds[i], ties[i], f, n if known else 0, None if known else ctx), strict=True):
-                        out[c].append(v)
-        return out
+        known = np.zeros(len(ctx), bool)  # an earlier one in this very task
+        for i, key in enumerate(zip(a.tolist(), ctx, strict=True)):
+            if key in seen:
+                known[i] = True
+            else:
+                seen.add(key)
+        route = a.copy()
+        for i in np.flatnonzero(by_window).tolist():
+            route[i] = int.from_bytes(hashlib.blake2b(ctx[i], digest_size=8).digest(), "little", signed=True)
+        return {"route": route, "d": d[doc], "tie": tie[doc], "f": f, "settled": np.where(known, n, 0), "ctx": pa.array(ctx, pa.binary(), mask=known)}
 
     joined = once.select("d", "tie", "text").join(per_doc, ["d", "tie"])
     pieces = scratch.keep(map_batches(joined, slices, "route long, d long, tie long, f int, settled int, ctx binary", most_bytes=4 << 20))
@@ -265,8 +295,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         rank = np.empty(len(d), np.int64)
         rank[np.lexsort((f, ties, d))] = np.arange(len(d))
         dup = repeated(rank, t.column("ctx").to_pylist(), t.column("route").to_pylist(), length)
-        got = [r for i, x in enumerate(dup) if x.any() for r in _runs(int(d[i]), int(ties[i]), int(f[i]), x, length)]
-        return pa.Table.from_arrays([pa.array([g[j] for g in got], x.type) for j, x in enumerate(bound)], schema=bound)
+        return pa.Table.from_arrays([pa.array(x, y.type) for x, y in zip(_runs(d, ties, f, dup, length), bound, strict=True)], schema=bound)
 
     open_pieces = pieces.filter("ctx IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("route"), F.lit(blocks)))
     spans = open_pieces.groupBy("block").applyInArrow(settle, "d long, tie long, s int, e int")

@@ -142,6 +142,35 @@ def test_suffix_dedup_by_window(spark, docs, monkeypatch):
     assert sorted(map(str, suffix_dedup.remove_repeats(docs).collect())) == want
 
 
+def test_suffix_dedup_cuts_contexts_once(spark, monkeypatch):
+    plans, rng = [], random.Random(6)
+    docs = spark.createDataFrame([(i, words(rng, 60)) for i in range(4)], "doc_id long, text string")
+    monkeypatch.setattr(suffix_dedup.Scratch, "keep", lambda self, df, keep=suffix_dedup.Scratch.keep: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(self, df))[1])
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        suffix_dedup.remove_repeats(docs)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert plans[0].count("MapInArrow") == 1 and "ReusedExchange" in plans[0]
+
+
+@pytest.mark.parametrize("length", [1, 5, 7, 8, 14, 20, 40])
+def test_equal_windows(length):
+    rng = np.random.default_rng(length)
+    body = rng.integers(1, 4, 900)
+    s = np.concatenate([body[:400], [0], body[200:500], [0], body[100:260], body[100:260], [0], np.full(90, 3), [0]]).astype(np.uint16)
+    order, new, level = suffix_dedup.suffix_order(s, length)
+    packs = [tuple(np.append(s, np.zeros(50, int))[i : i + level]) for i in order.tolist()]
+    assert level <= length and new.tolist() == [r == 0 or x != packs[r - 1] for r, x in enumerate(packs)]
+    windows = [tuple(s[i : i + length]) if i + length <= len(s) and s[i : i + length].all() else None for i in range(len(s))]
+    many = collections.Counter(windows)
+    got = suffix_dedup.equal_windows(s, length).tolist()
+    assert [g >= 0 for g in got] == [w is not None and many[w] > 1 for w in windows]
+    classes = {(g, w) for g, w in zip(got, windows, strict=True) if g >= 0}
+    assert len({g for g, _ in classes}) == len(classes) == len({w for _, w in classes})
+
+
 def test_order_minhash(spark, docs, monkeypatch):
     got = order_minhash.classes(docs).collect()
     by_id = {r[0]: r[1] for r in got if r[0] is not None}
