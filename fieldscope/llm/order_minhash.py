@@ -269,19 +269,25 @@ def _near_enough(sided: DataFrame, other: str):
     return near & (_differ("bits", f"bits{other}") * 9 <= F.col("size") + F.col(f"size{other}"))
 
 
-def _with_codes(pairs: DataFrame, codes: DataFrame, node: str, out: str) -> DataFrame:
-    """Adds the words of ``node``. A node of many pairs is copied, so that its
-    pairs are spread over as many tasks."""
-    hot = pairs.groupBy(node).agg(F.ceil(F.count("*") / HOT).alias("copies")).filter("copies > 1")
+def _with_codes(pairs: DataFrame, codes: DataFrame, hot: DataFrame, node: str, out: str) -> DataFrame:
+    """Adds the words of ``node``. A node of many pairs, listed in ``hot``, is
+    copied, so that its pairs are spread over as many tasks."""
+    hot = hot.filter(F.col("role") == node).select(F.col("node").alias(node), "copies")
     salted = pairs.join(hot, node, "left").withColumn("copy", F.pmod(F.xxhash64("a", "b"), F.coalesce("copies", F.lit(1)))).drop("copies")
     copied = codes.select(F.col("node").alias(node), F.col("codes").alias(out)).join(hot, node, "left")
     copied = copied.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
     return salted.join(copied, [node, "copy"]).drop("copy")
 
 
-def _links(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+def _hot(pairs: DataFrame) -> DataFrame:
+    """role (a or b), node and copies of nodes of more than HOT pairs."""
+    ends = pairs.select(F.explode(F.array(*[F.struct(F.lit(c).alias("role"), F.col(c).alias("node")) for c in "ab"])).alias("x")).select("x.*")
+    return ends.groupBy("role", "node").agg(F.ceil(F.count("*") / HOT).alias("copies")).filter("copies > 1")
+
+
+def _links(pairs: DataFrame, codes: DataFrame, hot: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links."""
-    both = _with_codes(_with_codes(pairs, codes, "b", "cb"), codes, "a", "ca").select("a", "b", "ca", "cb")
+    both = _with_codes(_with_codes(pairs, codes, hot, "b", "cb"), codes, hot, "a", "ca").select("a", "b", "ca", "cb")
 
     def run(batches):
         known: dict[bytes, tuple] = {}
@@ -338,35 +344,50 @@ class _Search:
         self.links: list[DataFrame] = []
         self.tried: list[DataFrame] = []
         self.roots: DataFrame | None = None
-
-    def sides(self, keys: DataFrame) -> DataFrame:
-        return self.scratch.keep(_with_sides(keys, self.roots))
-
-    def try_pairs(self, pairs: DataFrame) -> None:
-        """Align what was not tried yet, and take the sides together that it links."""
-        for before in self.tried:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        self.linked = 0  # rows of roots
+
+    def sides(self, sided: DataFrame) -> DataFrame:
+        """The buckets of ``sided`` that have several sides now; those of one side stay so."""
+        return self.scratch.keep(_with_sides(sided.drop("side", "n"), self.roots))
+
+    def try_pairs(self, pairs: DataFrame, near: bool = False) -> bool:
+        """Align what was not tried yet, and take the sides together that it
+        links; whether there are any. ``near``: pairs of rare shingles' buckets,
+        which ``_near_enough`` has held to what ``_can_be`` asks."""
+        if self.tried:
+            pairs = pairs.join(reduce(DataFrame.unionByName, self.tried), ["a", "b"], "left_anti")
         pairs = self.scratch.keep(pairs)
-        found = self.scratch.keep(_links(_can_be(pairs, self.codes), self.codes))
+        if not pairs.count():
+            self.scratch.drop(pairs)
+            return False
         self.tried.append(pairs)
-        if not found.isEmpty():
-            self.links.append(found)
-            old = self.roots
-            every = reduce(DataFrame.unionByName, [x.select("a", "b") for x in self.links] if old is None else [
-                old.select(F.col("root").alias("a"), F.col("node").alias("b")), found])
-            self.roots = components(every, self.scratch)
-            if old is not None:
-                self.scratch.drop(old)
-
-    def lead(self, keys: DataFrame, turns: int = LEADERS) -> DataFrame:
-        """Step 1. Returns the buckets left with several sides."""
+        able = pairs if near else self.scratch.keep(_can_be(pairs, self.codes))
+        hot = self.scratch.keep(_hot(able))
+        found = self.scratch.keep(_links(able, self.codes, hot))
+        self.scratch.drop(hot, *([] if near else [able]))
+        n = found.count()
+        if not n:
+            return False
+        self.links.append(found)
+        old = self.roots
+        every = found if old is None else old.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found)
+        self.roots = components(every, self.scratch, self.linked + n)
+        self.linked = self.roots.count()
+        if old is not None:
+            self.scratch.drop(old)
+        return True
+
+    def lead(self, sided: DataFrame, turns: int = LEADERS) -> DataFrame:
+        """Step 1 in the buckets ``sided``. Returns those left with several sides."""
+        near = "before" in sided.columns
         for turn in range(turns):
-            sided = self.sides(keys)
-            if sided.isEmpty():
-                return sided
-            self.try_pairs(_with_leader(sided if turn == 0 else sided.filter(f"n > {SMALL}"), turn))
-            self.scratch.drop(sided)
-        return self.sides(keys)
+            at = sided if turn == 0 else sided.filter(f"n > {SMALL}")
+            if at.isEmpty():
+                break
+            if self.try_pairs(_with_leader(at, turn), near):
+                last, sided = sided, self.sides(sided)
+                self.scratch.drop(last)
+        return sided
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -382,9 +403,9 @@ def classes(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     drawn = scratch.keep(sketch(docs))
     every = drawn.filter("node IS NOT NULL").select(F.explode("keys").alias("key"), "node").distinct()
-    keys = scratch.keep(_with_sides(every, None).select("key", "node"))
+    keys = scratch.keep(_with_sides(every, None))
     # one text of each node that shares a bucket; a lone document's text is not moved any further
-    wanted = keys.select("node").distinct()
+    wanted = scratch.keep(keys.select("node").distinct())
     ids = drawn.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), (F.count("*") != F.count("doc_id")).alias("nulls")).join(wanted, "node")
     ids = ids.select(F.when(F.col("nulls"), None).otherwise(F.col("id")).alias("id")).distinct()
     codes = codes_of(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"))
@@ -392,19 +413,20 @@ def classes(docs: DataFrame) -> DataFrame:
 
     search = _Search(codes, scratch)
     left = search.lead(keys)
-    search.try_pairs(_two_sides(left.filter(f"n <= {SMALL}")))
-    large = search.sides(keys).filter(f"n > {SMALL}")
+    if search.try_pairs(_two_sides(left.filter(f"n <= {SMALL}"))):
+        left = search.sides(left)
+    large = left.filter(f"n > {SMALL}")
     if not large.isEmpty():
-        rare = scratch.keep(_rare_keys(large.select("node").distinct(), codes))
-        search.lead(rare, 1)
-        for times in WIDER:
-            search.try_pairs(_two_sides(search.sides(rare).filter(f"n <= {times * SMALL}")))
-        search.try_pairs(_two_sides(search.sides(rare)))
+        nodes = large.select("node").distinct()
+        rare = search.lead(scratch.keep(_with_sides(_rare_keys(nodes, codes), search.roots)), 1)
+        for most in (*(times * SMALL for times in WIDER), None):
+            if search.try_pairs(_two_sides(rare if most is None else rare.filter(f"n <= {most}")), True) and most is not None:
+                rare = search.sides(rare)
     roots = search.roots if search.roots is not None else drawn.select("node", F.col("node").alias("root")).limit(0)
     named = drawn.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class"))
     names = named.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"))
     out = named.join(names, "class", "left").select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.col("class").isNotNull().alias("has_words"))
-    scratch.drop(keys, codes, *search.tried, *search.links)
+    scratch.drop(codes, wanted, left, *search.tried, *search.links)
     return out
 
 

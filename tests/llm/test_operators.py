@@ -13,8 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldscope.llm import contamination, hash_forest, order_minhash, pii, quality, sampling, secrets, sentencepiece_codec, suffix_dedup, token_counts, toxicity
-from fieldscope.llm.common import words_of
+from fieldscope.llm import components, contamination, hash_forest, order_minhash, pii, quality, sampling, secrets, sentencepiece_codec, suffix_dedup, token_counts, toxicity
+from fieldscope.llm.common import Scratch, words_of
 from fieldscope.llm.queries import piece_model
 
 P = pytest.importorskip("public_tokenizers")
@@ -184,6 +184,20 @@ def test_order_minhash(spark, docs, monkeypatch):
     assert order_minhash.classes(empty(docs)).count() == 0
 
 
+def test_few_links_are_read_by_one_task(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)]
+    links = spark.createDataFrame(rows, "a long, b long").repartition(8)
+    root = list(range(400))
+    for _ in rows:
+        for a, b in rows:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components.components(links, Scratch(spark), len(rows))
+    assert len(got.inputFiles()) == 1 and {tuple(r) for r in got.collect()} == {(i, r) for i, r in enumerate(root) if r != i}
+    monkeypatch.setattr(components, "FEW", 10)
+    assert {tuple(r) for r in components.components(links, Scratch(spark)).collect()} == {tuple(r) for r in got.collect()}
+
+
 def test_order_minhash_large_buckets(spark, monkeypatch):
     """Every bucket counts as large: nothing may be lost."""
     monkeypatch.setattr(order_minhash, "SMALL", 2)
