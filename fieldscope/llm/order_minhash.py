@@ -405,7 +405,7 @@ def classes(docs: DataFrame) -> DataFrame:
     every = drawn.filter("node IS NOT NULL").select(F.explode("keys").alias("key"), "node").distinct()
     keys = scratch.keep(_with_sides(every, None))
     # one text of each node that shares a bucket; a lone document's text is not moved any further
-    wanted = scratch.keep(keys.select("node").distinct())
+    wanted = keys.select("node").distinct()
     ids = drawn.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), (F.count("*") != F.count("doc_id")).alias("nulls")).join(wanted, "node")
     ids = ids.select(F.when(F.col("nulls"), None).otherwise(F.col("id")).alias("id")).distinct()
     codes = codes_of(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"))
@@ -426,7 +426,7 @@ def classes(docs: DataFrame) -> DataFrame:
     named = drawn.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class"))
     names = named.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"))
     out = named.join(names, "class", "left").select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.col("class").isNotNull().alias("has_words"))
-    scratch.drop(codes, wanted, left, *search.tried, *search.links)
+    scratch.drop(codes, left, *search.tried, *search.links)
     return out
 
 
