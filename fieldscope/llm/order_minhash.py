@@ -50,6 +50,7 @@ LEADERS = 3  # leaders that a bucket is tried with in turn while it has several
 BITS = 1024
 WIDER = (4,)  # times SMALL: buckets up to these sizes come before those of any size
 HELD_LABELS = 2 << 20  # shingles that a task keeps of nodes it has met
+FREQUENT = 50_000  # most shingles of crowds, 16 bytes each, that every task knows
 HOT = 256  # pairs of one node beyond which its words are sent to several tasks
 
 _U = np.uint64
@@ -314,26 +315,59 @@ def _links(pairs: DataFrame, codes: DataFrame, hot: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _rare_keys(nodes: DataFrame, codes: DataFrame) -> DataFrame:
+def _rare_keys(nodes: DataFrame, codes: DataFrame, scratch: Scratch) -> DataFrame:
     """``keys(key, node, size, before, bits)``: of its ``size`` labelled shingles a node
     takes the rarest among ``nodes``, a fifth and one more: two nodes that share
     0.8 have one of them in common. ``before`` counts the rarer ones. Shingles
-    that nobody else has count but need no bucket."""
+    that nobody else has count but need no bucket.
+    """
+    wanted = codes.join(nodes, "node", "left_semi").select("node", "codes")
+    shared = _given(wanted).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = scratch.keep(shared)
+    own = W.partitionBy("node")
+    ranked = _given(wanted, shared).join(shared, "key").withColumn("common", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("n", "key")))
+    ranked = ranked.withColumn("before", F.expr("given - common + rank - 1").cast("int"))
+    # a node with a ninth of itself and of the largest partner before the shingle has no link by it
+    kept = ranked.filter("before <= floor(size / 5) AND 9 * before <= size + 1.25 * size").select("key", "node", "size", "before")
+    return kept.join(codes.select("node", "bits"), "node")
+
+
+def _given(wanted: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """Rows (node, size, given, key) of ``given`` of each node's ``size`` labelled
+    shingles: of all, or, where the counts ``shared(key, n)`` are known, without
+    frequent ones that come too late in the node's order, by n, to be taken.
+
+    The most frequent shingles, fewer than ``FREQUENT``, are known to every task.
+    A node has all others before them, and gives as many of them as its fifth has
+    room for: in a crowd of near copies that is its rare end alone.
+    """
+    often = counts = np.zeros(0, np.int64)
+    if shared is not None:
+        least = (shared.agg(F.sum("n")).first()[0] or 0) // FREQUENT
+        often, counts = np.array(shared.filter(F.col("n") > least).select("key", "n").collect(), np.int64).reshape(-1, 2).T
+        often, counts = often[order := np.argsort(often)], counts[order]
 
     def run(batches):
         for batch in sliced(batches, "codes", 1 << 20):
             lists = [_labels(np.frombuffer(c, np.uint32)).view(np.int64) for c in batch.column("codes").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))], names=["node", "labels"])
+            some = [_rare_end(x, often, counts) for x in lists]
+            sizes = [pa.array([len(x) for x in y], pa.int32()) for y in (lists, some)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *sizes, pa.array([x.tolist() for x in some], pa.list_(pa.int64()))], names=["node", "size", "given", "labels"])
 
-    labels = codes.join(nodes, "node", "left_semi").select("node", "codes").mapInArrow(run, "node binary, labels array<bigint>")
-    each = labels.select("node", F.size("labels").alias("size"), F.explode("labels").alias("key"))
-    shared = each.join(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
-    own = W.partitionBy("node")
-    ranked = shared.withColumn("common", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("n", "key")))
-    ranked = ranked.withColumn("before", F.expr("size - common + rank - 1").cast("int"))
-    # a node with a ninth of itself and of the largest partner before the shingle has no link by it
-    kept = ranked.filter("before <= floor(size / 5) AND 9 * before <= size + 1.25 * size").select("key", "node", "size", "before")
-    return kept.join(codes.select("node", "bits"), "node")
+    labels = wanted.mapInArrow(run, "node binary, size int, given int, labels array<bigint>")
+    return labels.select("node", "size", "given", F.explode("labels").alias("key"))
+
+
+def _rare_end(labels: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``labels`` without those of ``often`` (sorted, with their counts) that are
+    beyond the rarest fifth and one more."""
+    if not len(often):
+        return labels
+    at = np.minimum(np.searchsorted(often, labels), len(often) - 1)
+    known = often[at] == labels
+    rest, n = labels[known], counts[at[known]]
+    room = max(0, len(labels) // 5 + 1 - (len(labels) - len(rest)))
+    return np.concatenate([labels[~known], rest[np.lexsort((rest, n))[:room]]])
 
 
 class _Search:
@@ -418,7 +452,7 @@ def classes(docs: DataFrame) -> DataFrame:
     large = left.filter(f"n > {SMALL}")
     if not large.isEmpty():
         nodes = large.select("node").distinct()
-        rare = search.lead(scratch.keep(_with_sides(_rare_keys(nodes, codes), search.roots)), 1)
+        rare = search.lead(scratch.keep(_with_sides(_rare_keys(nodes, codes, scratch), search.roots)), 1)
         for most in (*(times * SMALL for times in WIDER), None):
             if search.try_pairs(_two_sides(rare if most is None else rare.filter(f"n <= {most}")), True) and most is not None:
                 rare = search.sides(rare)

@@ -246,6 +246,35 @@ def test_order_minhash_all_that_links_share_lies_in_the_leader(spark, monkeypatc
     assert got == {i: min(j for j in first if linked[i][j]) for i in first}
 
 
+@pytest.mark.parametrize("known", [50_000, 40, 1])
+def test_rare_keys_of_a_crowd_give_no_rows_of_what_all_share(spark, monkeypatch, known):
+    """The keys are those of the plain statement, however many frequent shingles
+    the tasks know; with all of them known a node's rows end with its fifth."""
+    monkeypatch.setattr(order_minhash, "FREQUENT", known, raising=False)
+    rng = random.Random(8)
+    base = words(rng, 120, "x").split()
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for _ in range(i % 8):
+            w[rng.randrange(len(w))] = "v" + str(rng.randrange(30))
+        rows.append((i, " ".join(w + [f"end{i}"])))
+    rows += [(100 + i, words(rng, 4 + i)) for i in range(6)]
+    scratch = Scratch(spark)
+    codes = scratch.keep(order_minhash.codes_of(spark.createDataFrame(rows, "doc_id long, text string")))
+    own = {r["node"]: order_minhash._labels(np.frombuffer(r["codes"], np.uint32)).view(np.int64).tolist() for r in codes.collect()}
+    n = collections.Counter(x for labels in own.values() for x in labels)
+    want = {(x, node, len(labels), k) for node, labels in own.items() for k, x in enumerate(sorted(labels, key=lambda x: (n[x], x))) if k <= len(labels) // 5 and n[x] > 1}
+    got = order_minhash._rare_keys(codes.select("node"), codes, scratch)
+    assert {(r["key"], r["node"], r["size"], r["before"]) for r in got.collect()} == want and got.count() == len(want)
+    shared = spark.createDataFrame([(x, c) for x, c in n.items() if c > 1], "key long, n long")
+    wanted = codes.select("node", "codes")
+    assert order_minhash._given(wanted).count() == sum(n.values())
+    if known == 50_000:
+        alone = {node: sum(n[x] == 1 for x in labels) for node, labels in own.items()}
+        assert order_minhash._given(wanted, shared).count() == sum(max(alone[node], len(labels) // 5 + 1) for node, labels in own.items()) < sum(n.values()) / 2
+
+
 def test_alignment():
     a = words_of("a b c d e f g h i j k l m n o p q r s t")
     assert order_minhash.kept_shingles(a, a, 0) == 16
