@@ -1,5 +1,7 @@
 """The pipeline's stages take effect and hand on the columns of documents."""
 
+import random
+
 import corpus_pipeline
 from fieldscope.llm import contamination, order_minhash, toxicity
 from fieldscope.llm.queries import table
@@ -29,3 +31,35 @@ def test_stages(spark, tmp_path):
             dirty = contamination.contamination(before, table(spark, SF, "benchmark")).filter("contaminated")
             assert seen[3] == seen[2] - ids(dirty)
     assert seen[3] == seen[4] == seen[5] and docs.count() == len(seen[5])
+
+
+def test_near_dedup_joins_only_the_rare_end_of_a_crowd(spark, monkeypatch):
+    """Of near copies that do not all link, the counts of shingles meet a fifth of
+    each text's, and the rows kept are those of a plain statement."""
+    monkeypatch.setattr(order_minhash, "SMALL", 2)
+    given, counted = order_minhash._given, []
+
+    def seen(wanted, shared=None):
+        out = given(wanted, shared)
+        counted.append((shared is not None, out.count()))
+        return out
+
+    monkeypatch.setattr(order_minhash, "_given", seen)
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(24):  # 40 words of each third, one changed: links within a third only
+        w = list(base)
+        w[:40] = [f"g{i % 3}x{k}" for k in range(40)]
+        w[40 + 3 * i] = "changed"
+        rows.append((i, " ".join(w), "en", "web", 1))
+    codes = [order_minhash.word_codes(order_minhash.words_of(r[1])) for r in rows]
+    root = list(range(24))
+    for i in range(24):
+        for j in range(i):
+            if order_minhash.similarity(codes[i], codes[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert ids(corpus_pipeline.near_dedup(spark, docs, "")) == set(root) and len(set(root)) == 3
+    (_, every), (_, some) = sorted(counted)
+    assert every > 24 * 100 and some < every / 3
