@@ -5,11 +5,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -21,6 +23,9 @@ WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 
+# Slots of 64 bits, the most that a filter of `likely` broadcasts: 16 million bits.
+SLOTS = 1 << 18
+
 
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words of a text as UTF-8; a null text has none."""
@@ -102,3 +107,26 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str
             )
 
     return df.mapInArrow(run, schema)
+
+
+def likely(rows: DataFrame, column: str, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose ``column`` may be among the values of ``keys``, a table of
+    that column alone, or (``left_anti``) the others.
+
+    All rows that match are likely, nulls too; so are a few that do not, and an
+    exact join follows. That one shuffles little more than the rows it needs, and
+    this one none of ``rows``. Each task knows three bits of each key (a Bloom
+    filter) in at most ``SLOTS`` slots of 64, however many keys there are; beyond
+    some millions of them more rows are likely, and none is lost.
+    """
+
+    def bits(h: Column) -> Column:
+        at = [F.shiftrightunsigned(h, 18 + 6 * i).bitwiseAND(63).cast("int") for i in range(3)]
+        return reduce(Column.bitwiseOR, [F.call_function("shiftleft", F.lit(1).cast("long"), x) for x in at])
+
+    slot = lambda h: F.pmod(h, F.lit(SLOTS))
+    h = F.xxhash64(*keys.columns)
+    known = keys.select(slot(h).alias("_slot"), bits(h).alias("_bits")).groupBy("_slot").agg(F.bit_or("_bits").alias("_bits"))
+    known = F.broadcast(known)
+    h = F.xxhash64(rows[column])
+    return rows.join(known, (known["_slot"] == slot(h)) & (known["_bits"].bitwiseAND(bits(h)) == bits(h)), how)

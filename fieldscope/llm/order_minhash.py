@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import Scratch, map_batches, sliced, with_package, words_of
+from .common import Scratch, likely, map_batches, sliced, with_package, words_of
 from .components import components
 
 K = 5
@@ -288,7 +288,8 @@ def _hot(pairs: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, codes: DataFrame, hot: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links."""
-    both = _with_codes(_with_codes(pairs, codes, hot, "b", "cb"), codes, hot, "a", "ca").select("a", "b", "ca", "cb")
+    of_pairs = {c: likely(codes, "node", pairs.select(c)) for c in "ab"}
+    both = _with_codes(_with_codes(pairs, of_pairs["b"], hot, "b", "cb"), of_pairs["a"], hot, "a", "ca").select("a", "b", "ca", "cb")
 
     def run(batches):
         known: dict[bytes, tuple] = {}
@@ -321,6 +322,7 @@ def _rare_keys(nodes: DataFrame, codes: DataFrame, scratch: Scratch) -> DataFram
     0.8 have one of them in common. ``before`` counts the rarer ones. Shingles
     that nobody else has count but need no bucket.
     """
+    codes = likely(codes, "node", nodes)
     wanted = codes.join(nodes, "node", "left_semi").select("node", "codes")
     shared = _given(wanted).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = scratch.keep(shared)
@@ -436,13 +438,15 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = with_package(docs.sparkSession)
     scratch = Scratch(spark)
     drawn = scratch.keep(sketch(docs))
-    every = drawn.filter("node IS NOT NULL").select(F.explode("keys").alias("key"), "node").distinct()
-    keys = scratch.keep(_with_sides(every, None))
+    every = drawn.filter("node IS NOT NULL").select("node", F.array_distinct("keys").alias("keys")).distinct().select(F.explode("keys").alias("key"), "node")
+    shared = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    keys = scratch.keep(_with_sides(likely(every, "key", shared), None))
     # one text of each node that shares a bucket; a lone document's text is not moved any further
     wanted = keys.select("node").distinct()
     ids = drawn.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), (F.count("*") != F.count("doc_id")).alias("nulls")).join(wanted, "node")
     ids = ids.select(F.when(F.col("nulls"), None).otherwise(F.col("id")).alias("id")).distinct()
-    codes = codes_of(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"))
+    ids = scratch.keep(ids)
+    codes = codes_of(likely(docs.select("doc_id", "text"), "doc_id", ids).join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"))
     codes = scratch.keep(codes.groupBy("node").agg(*[F.first(c).alias(c) for c in ("codes", "shingles", "bits")]))
 
     search = _Search(codes, scratch)
@@ -451,7 +455,7 @@ def classes(docs: DataFrame) -> DataFrame:
         left = search.sides(left)
     large = left.filter(f"n > {SMALL}")
     if not large.isEmpty():
-        nodes = large.select("node").distinct()
+        nodes = scratch.keep(large.select("node").distinct())
         rare = search.lead(scratch.keep(_with_sides(_rare_keys(nodes, codes, scratch), search.roots)), 1)
         for most in (*(times * SMALL for times in WIDER), None):
             if search.try_pairs(_two_sides(rare if most is None else rare.filter(f"n <= {most}")), True) and most is not None:
@@ -469,12 +473,16 @@ def representatives(docs: DataFrame) -> DataFrame:
     equal ids one. Texts without words all stay. All columns are kept."""
     named = classes(docs)
     scratch = Scratch(docs.sparkSession)
-    chosen = named.filter("has_words AND doc_id <=> class_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    chosen = scratch.keep(chosen)
+    # rows of each id that name a class: of most ids one, whose texts stay where they are
+    naming = scratch.keep(named.filter("has_words").groupBy(F.col("doc_id").alias("_id")).agg(F.count_if(F.expr("doc_id <=> class_id")).alias("copies")))
+    is_id = F.col("doc_id").eqNullSafe(F.col("_id"))
     cols = [F.col(f"`{c}`") for c in docs.columns]
     has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-    single = docs.filter(has_words).join(chosen.filter("copies = 1").select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    others = naming.filter("copies <> 1").select("_id")
+    stay = likely(docs.filter(has_words), "doc_id", others, "left_anti")
+    single = likely(docs.filter(has_words), "doc_id", others).join(others, is_id, "left_anti")
     # several rows with the chosen id: one of each word sequence stays
-    several = docs.filter(has_words).join(chosen.filter("copies > 1").select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    repeated = naming.filter("copies > 1").select("_id")
+    several = likely(docs.filter(has_words), "doc_id", repeated).join(repeated, is_id, "left_semi")
     several = several.withColumn("_words", F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")).dropDuplicates(["doc_id", "_words"])
-    return single.select(*cols).unionByName(several.select(*cols)).unionByName(docs.filter(~has_words).select(*cols))
+    return stay.select(*cols).unionByName(single.select(*cols)).unionByName(several.select(*cols)).unionByName(docs.filter(~has_words).select(*cols))
