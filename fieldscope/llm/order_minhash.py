@@ -323,7 +323,8 @@ def _rare_keys(nodes: DataFrame, codes: DataFrame, scratch: Scratch) -> DataFram
     that nobody else has count but need no bucket.
     """
     codes = likely(codes, "node", nodes)
-    wanted = codes.join(nodes, "node", "left_semi").select("node", "codes")
+    # dealt out by node: a crowd's shingles are made by all tasks, not by the few whose files hold it
+    wanted = codes.join(nodes, "node", "left_semi").select("node", "codes").repartition("node")
     shared = _given(wanted).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = scratch.keep(shared)
     own = W.partitionBy("node")
