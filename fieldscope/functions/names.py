@@ -78,12 +78,10 @@ def excluded(path: Column | str, keywords: Column | None = None, reverse: bool =
     ``reverse``: also exclude when the name is contained in a built-in token.
     """
     n = norm_exclusion(path)
-    toks = F.array(*[F.lit(t) for t in DEFAULT_EXCLUDED])
+    # one search for all tokens; a name has no space left, so it lies within one of the joined tokens
+    hit = n.rlike("|".join((*DEFAULT_EXCLUDED, *ALWAYS_EXCLUDED_SUBSTRINGS)))
     if reverse:
-        hit = F.exists(toks, lambda t: n.contains(t) | t.contains(n))
-    else:
-        hit = F.exists(toks, lambda t: n.contains(t))
-    hit = hit | F.exists(F.array(*[F.lit(t) for t in ALWAYS_EXCLUDED_SUBSTRINGS]), lambda t: n.contains(t))
+        hit = hit | F.lit(" ".join(DEFAULT_EXCLUDED)).contains(n)
     if keywords is not None:
         hit = hit | F.coalesce(F.exists(keywords, lambda k: n.contains(norm_exclusion(k))), F.lit(False))
     return hit

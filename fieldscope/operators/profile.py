@@ -32,8 +32,7 @@ def string_values(pv: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def is_json_container_text(v: Column) -> Column:
     """Trimmed text is a bracketed JSON array/object that parses."""
-    t = F.regexp_replace(v, r"(?U)^[\s\x{1C}-\x{1F}]+|[\s\x{1C}-\x{1F}]+$", "")
-    shaped = (t.startswith("[") & t.endswith("]")) | (t.startswith("{") & t.endswith("}"))
+    shaped = v.rlike(r"(?sU)\A[\s\x{1C}-\x{1F}]*+(?:\[.*\]|\{.*\})[\s\x{1C}-\x{1F}]*+\z")
     return shaped & F.try_parse_json(v).isNotNull()
 
 
@@ -57,7 +56,8 @@ def value_states(values: DataFrame, exclusions: DataFrame, value: str = "cleaned
     ``special_chars`` (of ``special`` values only)."""
     words = exclusions.where(F.col("catalog").isNotNull()).groupBy("catalog").agg(F.collect_set("keyword").alias("_words"))
     v = F.col(value)
-    d = values.join(words, "catalog", "left").withColumn("special_chars", names.special_chars(v))
+    # else a catalog's values, of all documents, meet in one task
+    d = values.join(F.broadcast(words), "catalog", "left").withColumn("special_chars", names.special_chars(v))
     state = (
         F.when(v.isNull() | (F.length(v) == 0), F.lit("empty"))
         .when(names.excluded(F.col("field"), F.col("_words"), reverse), F.lit("excluded"))
@@ -74,8 +74,11 @@ def line_numbers(found: DataFrame, docs: DataFrame, key: str = "doc_id", content
     First line holding the last path segment (case-insensitive) and the
     first 50 characters of the value; else the first line holding those 50
     characters (plain substring; see README on the regex-escape quirk).
+
+    Findings come from Variant values, whose assumed width makes any number of
+    them look small: the hint keeps them from being broadcast by the driver.
     """
-    j = found.join(docs.select(key, content), key)
+    j = found.hint("merge").join(docs.select(key, content).hint("merge"), key)
     lines = F.split(F.col(content), "\n")
     seg = F.lower(F.element_at(F.split("field", r"\."), -1))
     probe = F.substring("value", 1, 50)

@@ -221,7 +221,7 @@ _KIDS = (
 
 
 def nodes_chain(u: DataFrame, levels: int, keys: list[str] | tuple[str, ...] = ("doc_id", "unit"),
-                with_vpath: bool = False, with_order: bool = False) -> DataFrame:
+                with_vpath: bool = False, with_order: bool = False, only: str | None = None) -> DataFrame:
     """The same node table as ``nodes``, built as ``levels`` chained
     generators in one pipelined stage.
 
@@ -229,7 +229,9 @@ def nodes_chain(u: DataFrame, levels: int, keys: list[str] | tuple[str, ...] = (
     of not-yet-expanded containers, so nothing is recomputed and no level
     needs its own job. ``levels`` must be at least the nesting depth (see
     ``text_depth``); rows still pending after the last level make the query
-    fail rather than return a partial walk.
+    fail rather than return a partial walk. ``only``: a flag (``p1``, ``p6``,
+    ``fst``, ``op``) that all wanted nodes have; what lies below a node without
+    it has none either, so neither is emitted.
     """
     keys = list(keys)
     base = u.selectExpr(
@@ -277,6 +279,8 @@ def nodes_chain(u: DataFrame, levels: int, keys: list[str] | tuple[str, ...] = (
             "c.s AS done",
             f"CASE WHEN c.s THEN has_obj ELSE ck = 'array' AND {has_obj_sql('c.val')} END AS has_obj",
         )
+        if only:
+            rows = rows.where(f"done OR {only}")
     # a container still holding unexpanded children means ``levels`` was too small
     pending = F.expr(
         "NOT done AND ((kind = 'object' AND size(map_keys(try_variant_get(v, '$', 'map<string,variant>'))) > 0) "
@@ -292,10 +296,11 @@ DEPTH_CLASSES = (4, 8, 16, 32)
 
 
 def nodes_by_depth(u: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id", "unit"), with_vpath: bool = False,
-                   with_order: bool = False) -> DataFrame:
+                   with_order: bool = False, only: str | None = None) -> DataFrame:
     """The node table with every unit walked by a plan of its own depth class,
     so that one deep document neither lengthens the plan of the others nor
-    meets a limit."""
+    meets a limit. ``only``: a flag that all wanted nodes have; the others are
+    left out."""
     from ..session import materialize
 
     # a scalar root has depth 0, and a unit below a root array is one level down already
@@ -304,11 +309,12 @@ def nodes_by_depth(u: DataFrame, keys: list[str] | tuple[str, ...] = ("doc_id",
     d = materialize(u.withColumn("_schema", F.expr("schema_of_variant(v)")).withColumn("_depth", value_depth("v", "_schema")).withColumn("_class", cls).drop("_schema"))
     present = {r["_class"]: r["d"] for r in d.groupBy("_class").agg(F.max("_depth").alias("d")).collect()}
     if not present:
-        return nodes_chain(u, 0, keys, with_vpath, with_order).drop("has_obj")
+        return nodes_chain(u, 0, keys, with_vpath, with_order, only).drop("has_obj")
     out = None
     for c, deepest in sorted(present.items()):
         own = d.where(F.col("_class") == c).drop("_depth", "_class")
-        n = nodes(own, keys, with_vpath, int(deepest), with_order) if c < 0 else nodes_chain(own, int(deepest), keys, with_vpath, with_order)
+        n = nodes(own, keys, with_vpath, int(deepest), with_order) if c < 0 else nodes_chain(own, int(deepest), keys, with_vpath, with_order, only)
+        n = n.where(only) if only and c < 0 else n
         n = n.drop("has_obj")
         out = n if out is None else out.unionByName(n)
     return out

@@ -368,10 +368,10 @@ def q_root_array_consistency(spark, sf):
 
 
 def _loaded_nodes(spark, sf):
-    """Nodes of the dirty documents that load (after repairs)."""
+    """Nodes of the dirty documents that load (after repairs), as far as dotted paths reach."""
     docs = fx.dirty_docs(spark, sf)
     loaded = src_files.tolerant_load(docs).where(F.col("v").isNotNull())
-    return docs, walk.nodes_by_depth(walk.units(loaded.select("doc_id", "v")))
+    return docs, walk.nodes_by_depth(walk.units(loaded.select("doc_id", "v")), only="fst")
 
 
 def q_special_char_profile(spark, sf):
