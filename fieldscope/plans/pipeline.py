@@ -97,10 +97,10 @@ def clean_then_profile(docs: DataFrame, catalogs: DataFrame, removals: DataFrame
     under its exclusion table: ``doc_id, catalog, field, cleaned, removed,
     state, special_chars``."""
     loaded = parse_docs(docs.select(key, "content"), tolerant=tolerant).where(F.col("v").isNotNull())
-    n = walk.nodes_by_depth(walk.units(loaded.select(key, "v"), key=key), keys=(key, "unit"))
+    n = walk.nodes_by_depth(walk.units(loaded.select(key, "v"), key=key), keys=(key, "unit"), only="fst")
     values = profile.string_values(profile.path_values(n, key), key)
     cats = catalogs.agg(F.collect_set("catalog").alias("_cats")).withColumn("_one", F.lit(1))
-    each = values.withColumn("_one", F.lit(1)).join(cats, "_one").select(key, F.explode("_cats").alias("catalog"), "field", "value")
+    each = values.withColumn("_one", F.lit(1)).join(F.broadcast(cats), "_one").select(key, F.explode("_cats").alias("catalog"), "field", "value")
     return profile.value_states(clean.clean_by_table(each, removals, catalogs), exclusions).drop("value")
 
 
@@ -115,7 +115,7 @@ def run_summary(docs: DataFrame, catalog: DataFrame, key: str = "doc_id", tolera
     records = match.shape_profile(match.record_units(units, key), (key, "record_idx"), level="record")
     cmp = match.compare(materialize(match.document_classes(files)), catalog, keys=("class_id", "n"), **kw)
     rec = match.compare(materialize(match.document_classes(records)), catalog, keys=("class_id", "n"), record_level=True, **kw)
-    found = profile.findings(profile.string_values(profile.path_values(walk.nodes_by_depth(units, (key, "unit")), key), key), key)
+    found = profile.findings(profile.string_values(profile.path_values(walk.nodes_by_depth(units, (key, "unit"), only="fst"), key), key), key)
     counts = loaded.agg(F.count("*").alias("files_processed"), F.count_if(
         F.expr("size(filter(try_variant_get(v, '$', 'array<variant>'), e -> try_variant_get(e, '$', 'struct<>') IS NOT NULL)) > 1")).alias("multi_record_files"))
     return rollup.full_summary(materialize(cmp), rec, found, catalog, counts)
