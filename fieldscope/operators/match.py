@@ -23,9 +23,14 @@ Plan, for N documents and one or more catalogs:
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from ..functions import names
 
@@ -51,29 +56,61 @@ def write_order() -> Column:
     return F.concat(above, F.array(F.lit(-1), F.element_at("ord", -1)))
 
 
+def _array_members(root: dict, unit: int) -> list[tuple]:
+    """The names inside the arrays of an object as (unit, place, name in lower
+    case, array, depth, top, name), the place as in ``write_order``: objects
+    are searched to any depth, from a work list; the elements of a list inside
+    a list have no array."""
+    found, todo = [], [(root, None, ())]
+    while todo:
+        obj, name, place = todo.pop()
+        for i, (k, x) in enumerate(obj.items()):
+            if name is not None:
+                found.append((unit, (*place, -1, i), k.translate(_NO_MARKS).lower(), name, len(place) + 1, place[0], k))
+            if isinstance(x, dict):
+                todo.append((x, None, (*place, i)))
+            elif isinstance(x, list):
+                todo += [(e, k, (*place, i, j)) for j, e in enumerate(x) if isinstance(e, dict)]
+    return found
+
+
+_NO_MARKS = str.maketrans("", "", " _-.")
+_NAMES = T.ArrayType(T.StringType())
+
+
+@arrow_udf(T.StructType().add("k", _NAMES).add("a", _NAMES))
+def _array_entries(texts: pa.Array) -> pa.Array:
+    """Of the JSON texts of a key: the names and their arrays in the order of
+    writing. In a root object's own arrays only the members of elements count."""
+    ks, arrays = [], []
+    for of_key in texts.to_pylist():
+        found, tops = [], set()
+        for data in map(json.loads, of_key):
+            if isinstance(data, dict):
+                tops.update(i for i, x in enumerate(data.values()) if isinstance(x, list))
+            for i, x in enumerate(data if isinstance(data, list) else [data]):
+                found += _array_members(x, i) if isinstance(x, dict) else []
+        kept = sorted(e for e in found if e[4] == 3 or e[5] not in tops)
+        ks.append([e[6] for e in kept])
+        arrays.append([e[3] for e in kept])
+    return pa.StructArray.from_arrays([pa.array(ks, pa.list_(pa.string())), pa.array(arrays, pa.list_(pa.string()))], ["k", "a"])
+
+
 def array_maps(docs: DataFrame, key: str = "doc_id", v: str = "v") -> DataFrame:
     """(key, ``arr_map``): normalized field -> name of the array around it.
 
     In a root object the members of a direct array's elements belong to that
     array (what is nested in them is not looked at), and objects are searched
     to any depth (P6). In a root list every element is searched like that, in
-    order, later elements overwriting earlier ones.
+    order, later elements overwriting earlier ones. A document is searched
+    whole, not node by node; the rows of one key share the map of all their
+    documents, and rows without a key have an empty one.
     """
-    from . import walk
-
-    elems = f"try_variant_get({v}, '$', 'array<variant>')"
-    u = docs.select(key, F.posexplode(F.expr(f"CASE WHEN {elems} IS NOT NULL THEN {elems} ELSE array({v}) END")).alias("unit", "_e"),
-                    F.expr(f"{elems} IS NULL").alias("_dict"))
-    u = u.where(F.expr("try_variant_get(_e, '$', 'struct<>') IS NOT NULL")).select(key, "unit", "_dict", F.col("_e").alias("v"), F.lit(False).alias("root_is_array"))
-    n = walk.nodes_by_depth(u, (key, "unit", "_dict"), with_order=True)
-    hit = F.col("p6") & F.col("par_arr").isNotNull() & F.col("keyed")
-    entry = F.struct(F.col("unit").alias("u"), write_order().alias("o"), names.norm_array("key").alias("k"), F.col("par_arr").alias("a"), "depth",
-                     F.element_at("ord", 1).alias("top"))
-    g = n.groupBy(key).agg(F.array_sort(F.collect_list(F.when(hit, entry))).alias("_e"),
-                           F.collect_set(F.when((F.col("depth") == 1) & F.col("_dict") & (F.col("kind") == "array"), F.element_at("ord", 1))).alias("_tops"))
-    kept = F.filter("_e", lambda e: (e["depth"] == 3) | ~F.array_contains("_tops", e["top"]))
-    g = g.withColumn("_e", kept).select(key, F.map_from_arrays("_e.k", "_e.a").alias("arr_map"))
-    return docs.select(key).join(g, key, "left").withColumn("arr_map", F.coalesce("arr_map", F.create_map().cast("map<string,string>")))
+    g = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(F.to_json(v)).alias("_texts"), F.count("*").cast("int").alias("_n"))
+    g = g.withColumn("_e", _array_entries("_texts")).select(key, "_n", F.map_from_arrays(F.transform("_e.k", names.norm_array), "_e.a").alias("arr_map"))
+    g = g.select(key, "arr_map", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select(key, "arr_map")
+    none = docs.where(F.col(key).isNull()).select(key, F.create_map().cast("map<string,string>").alias("arr_map"))
+    return g.unionByName(none)
 
 
 def profile(n: DataFrame, keys: tuple[str, ...] = ("doc_id",), level: str = "file") -> DataFrame:
