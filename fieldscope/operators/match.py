@@ -356,8 +356,12 @@ def compare(prof: DataFrame, catalog: DataFrame, keys: tuple[str, ...] = ("doc_i
     is dropped; a missing field with a null array parent is dropped only when
     it has no category in the catalog.
     """
+    from ..session import materialize
+
     keys = list(keys)
-    ms = match_signatures(prof, catalog, fuzzy, threshold, case_sensitive)
+    # written once, so that its size is known before the join: few path sets are sent to the documents, which else
+    # meet by path set, most of them in one task
+    ms = materialize(match_signatures(prof, catalog, fuzzy, threshold, case_sensitive))
     d = prof.select(*keys, "sig", "null_map", "arr_map", "rec_keys").join(ms, "sig")
     x = d.select(*keys, "catalog", "null_map", "arr_map", "rec_keys", F.explode("rows").alias("r"))
     arr = F.when(F.col("r.dn").isNotNull(), F.expr("try_element_at(arr_map, r.dn)"))

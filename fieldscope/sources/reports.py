@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import rollup, validate
+from ..session import materialize
 
 RULE = "=" * 80
 
@@ -54,18 +55,19 @@ def validation_report(val: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def field_report(cmp: DataFrame, key: str = "doc_id") -> DataFrame:
     """Totals, fields of each document, counts of each document, and the
-    unmatched names over all documents, per catalog."""
-    t = rollup.totals(cmp)
+    unmatched names over all documents, per catalog. Each roll-up is made
+    once: several sections read it, and sorting the report reads them twice."""
+    t = materialize(rollup.totals(cmp))
     status = F.col("status")
     totals = _lines(t, 0, F.col("catalog"), [
         _text("FIELD COMPARISON: ", F.col("catalog")), _text("Matched: ", F.col("matched")), _text("Missing in JSON: ", F.col("missing")),
         _text("Not in catalog: ", F.col("extra")), _text("Compared: ", F.col("compared"))])
     one = F.concat_ws("/", "catalog", F.col(key).cast("string"))
     item = F.struct("field_name", "match_kind")
-    docs = cmp.groupBy("catalog", key).agg(
+    docs = materialize(cmp.groupBy("catalog", key).agg(
         F.count_if(status == "matched").alias("matched"),
         F.array_sort(F.collect_list(F.when(status == "missing", item))).alias("missing"),
-        F.array_sort(F.collect_list(F.when(status == "extra", item))).alias("extra"))
+        F.array_sort(F.collect_list(F.when(status == "extra", item))).alias("extra")))
 
     def listing(title: str, col: str) -> Column:
         head = F.when(F.size(col) > 0, _text(f"  {title} (", F.size(col), "):")).otherwise(F.lit(f"  {title}: none"))
@@ -74,7 +76,7 @@ def field_report(cmp: DataFrame, key: str = "doc_id") -> DataFrame:
     detail = docs.where((F.size("missing") > 0) | (F.size("extra") > 0)).select(F.lit(1).alias("section"), one.alias("name"), F.posexplode(F.concat(
         F.array(_text("FILE: ", F.col(key), " (", F.col("catalog"), ")")), listing("Missing in JSON", "missing"), listing("Not in catalog", "extra"))).alias("seq", "line"))
     counts = _lines(docs, 2, one, [_text(F.col(key), " (", F.col("catalog"), ") matched: ", F.col("matched"), ", missing: ", F.size("missing"), ", extra: ", F.size("extra"))])
-    unmatched = rollup.unique_unmatched(cmp)
+    unmatched = materialize(rollup.unique_unmatched(cmp))
     kind = F.when(status == "missing", F.lit("Missing in JSON")).otherwise(F.lit("Not in catalog"))
     names_ = _lines(unmatched, 3, F.concat_ws("/", "catalog", F.col("status"), "field_name"),
                     [_text("  - ", F.col("field_name"), " (", F.col("catalog"), "): ", kind, ", ", F.col("occurrences"), " times")])
